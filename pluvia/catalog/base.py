@@ -62,7 +62,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "gauge": (
         (),
         """gauge AS (SELECT 'S' || CAST(user_id AS VARCHAR) AS station, event_id,
-                 date_trunc('minute', ts) AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS level,
+                 date_trunc('minute', ts) AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE floor(value) END AS level,
                  67.9e0 + (user_id % 50) / 100e0 AS lon, 7.9e0 + (user_id % 190) / 10e0 AS lat
                  FROM events WHERE event_id % 23 <> 0)""",
     ),
@@ -212,8 +212,8 @@ class Views:
         return self.table("events").filter(e % 23 != 0).select(
             F.concat(F.lit("S"), u.cast("string")).alias("station"),
             "event_id",
-            F.date_trunc("minute", "ts").alias("ts"),
-            F.when(e % 17 != 0, F.col("value")).alias("level"),
+            F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"),
+            F.when(e % 17 != 0, F.floor("value").cast("double")).alias("level"),
             (F.lit(67.9) + (u % 50) / F.lit(100.0)).alias("lon"),
             (F.lit(7.9) + (u % 190) / F.lit(10.0)).alias("lat"),
         )
