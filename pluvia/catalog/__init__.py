@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "joins")
+MODULES = ("series", "joins", "scoring", "rules")
 
 
 def load_all() -> None:
