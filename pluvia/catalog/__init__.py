@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "joins", "scoring", "rules")
+MODULES = ("series", "joins", "scoring", "rules", "sources", "quality")
 
 
 def load_all() -> None:

@@ -166,3 +166,15 @@ def line_length_in_zones(segments: DataFrame, rects: DataFrame, tile: float) ->
     out = rects.join(sums, "zone", "left").join(F.broadcast(some))
     out = out.withColumn("length_m", F.when(F.col("_some"), F.coalesce("length_m", F.lit(0.0))))
     return out.select("zone", "length_m", (F.col("length_m") / area).alias("m_per_km2"))
+
+
+def layer_statistics(segments: DataFrame, tag: str, study: tuple[float, float, float, float]) -> DataFrame:
+    """Segment and line counts and extent per tag, and whether the extent covers the study box."""
+    lx, hx = F.least("x1", "x2"), F.greatest("x1", "x2")
+    ly, hy = F.least("y1", "y2"), F.greatest("y1", "y2")
+    agg = segments.groupBy(tag).agg(
+        F.count(F.lit(1)).alias("segments"), F.count_distinct("line_id").alias("lines"),
+        F.min(lx).alias("min_x"), F.min(ly).alias("min_y"), F.max(hx).alias("max_x"), F.max(hy).alias("max_y"),
+    )
+    covers = (F.col("min_x") <= study[0]) & (F.col("min_y") <= study[1]) & (F.col("max_x") >= study[2]) & (F.col("max_y") >= study[3])
+    return agg.withColumn("covers", covers)
