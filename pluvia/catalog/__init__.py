@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "joins", "scoring", "rules", "sources", "quality", "spatial", "raster")
+MODULES = ("series", "joins", "scoring", "rules", "sources", "quality", "spatial", "raster", "models")
 
 
 def load_all() -> None:
