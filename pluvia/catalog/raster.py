@@ -155,8 +155,8 @@ def _(v: Views):
 )
 def _(v: Views):
     p = v.pixels
-    last = p.agg(F.floor(F.max("row") / 2).alias("_half"))  # one row
-    src = p.join(F.broadcast(last)).filter("row < _half AND col < 50").drop("_half")
+    half = p.agg(F.floor(F.max("row") / 2)).scalar()
+    src = p.filter((F.col("row") < half) & (F.col("col") < 50))
     elev = src.select("row", "col", F.col("z").alias("elevation_m"))
     slope = src.select("row", "col", (F.col("z") / 10).alias("slope_deg"))
     out = raster.stack_bands(p, GRID, elev, slope, COARSE, p.select("row", "col", "cls"), GRID)

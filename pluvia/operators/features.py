@@ -85,5 +85,5 @@ def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25,
 
 def spatial_block_split(df: DataFrame, lon: str = "longitude") -> DataFrame:
     """West of (or on) the exact median longitude trains, east tests. Runs jobs for the median."""
-    mid = exact_quantiles(df, [lon], [0.5]).select(F.col("value").alias("_mid"))
-    return df.join(F.broadcast(mid)).withColumn("is_train", F.col(lon) <= F.col("_mid")).drop("_mid")  # one row
+    mid = exact_quantiles(df, [lon], [0.5]).select("value").scalar()
+    return df.withColumn("is_train", F.col(lon) <= mid)

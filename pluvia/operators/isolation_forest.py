@@ -154,7 +154,8 @@ def fit(
         out.insert(0, "tree", tree)
         return out
 
-    nodes = picked.groupBy("tree").applyInPandas(grow, _NODES)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, _NODES)
     # kept as a local relation: trees x 511 rows at most
     nodes = df.sparkSession.createDataFrame(nodes.toPandas(), _NODES)
     model = IsolationForest(cols, list(keys), nodes, used, limit, trees)

@@ -19,8 +19,8 @@ def label_gate(labels: DataFrame, gate=fv.LABEL_GATE) -> DataFrame:
     z = zones.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("positives"), F.count(F.lit(1)).alias("zones"), F.max("n").alias("_top")
     )
-    y = cells.agg(F.count_distinct("year").alias("years"))
-    row = z.join(F.broadcast(y)).withColumn("top_share", F.try_divide("_top", "positives")).drop("_top")  # one row each
+    years = cells.agg(F.count_distinct("year")).scalar()
+    row = z.withColumns({"years": years, "top_share": F.try_divide("_top", "positives")}).drop("_top")
     g = gate
     few = F.when(F.col("positives") < g["min_positives"], F.format_string(f"only %d positive rows (needs >= {g['min_positives']})", "positives"))
     narrow = F.when(F.col("zones") < g["min_zones"], F.format_string(f"positives in only %d zones (needs >= {g['min_zones']})", "zones"))

@@ -17,15 +17,14 @@ def outside(col: Column, lo: float, hi: float) -> Column:
 
 
 def missing_dates(df: DataFrame, zone="zone", date="date", start=None, end=None) -> DataFrame:
-    """Expected days minus present days per zone. The span (one row) defaults to the whole table's."""
+    """Expected days minus present days per zone. The span defaults to the whole table's."""
     keys = df.select(zone, date).distinct()
     zones = keys.select(zone).distinct()
     if start is None or end is None:
-        span = keys.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-        spine = zones.join(F.broadcast(span)).select(zone, F.explode(F.sequence("_lo", "_hi")).alias(date))
+        days = F.sequence(keys.agg(F.min(date)).scalar(), keys.agg(F.max(date)).scalar())
     else:
         days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-        spine = zones.select(zone, F.explode(days).alias(date))
+    spine = zones.select(zone, F.explode(days).alias(date))
     return spine.join(keys, [zone, date], "left_anti")
 
 
@@ -203,7 +202,7 @@ def validate_features(df: DataFrame, rain_cols: Sequence[str], zone="zone", date
         df, zone, date,
         {"_inf": inf, "_neg": neg, "_gauge": F.count("river_level_daily_mean_m"), "_pos": F.sum("flood_event_active")},
     )
-    span = df.agg(F.count_distinct(date).alias("_dates"))  # one row
+    dates = df.agg(F.count_distinct(date)).scalar()
     agg = z.agg(
         F.sum("_rows").alias("rows"),
         F.sum(F.col("_rows") - F.col("_days")).alias("dups"),
@@ -213,12 +212,12 @@ def validate_features(df: DataFrame, rain_cols: Sequence[str], zone="zone", date
         F.sum("_neg").alias("neg"),
         F.sum("_gauge").alias("gauge"),
         F.sum("_pos").alias("pos"),
-    ).join(F.broadcast(span))
+    ).withColumn("dates", dates)
     return agg.select(
-        "rows", F.lit(len(df.columns)).alias("columns"), "zones", "_dates", "dups",
-        (F.col("zones") * F.col("_dates") - F.col("pairs")).alias("missing_pairs"), "inf", "neg",
+        "rows", F.lit(len(df.columns)).alias("columns"), "zones", "dates", "dups",
+        (F.col("zones") * F.col("dates") - F.col("pairs")).alias("missing_pairs"), "inf", "neg",
         "gauge", F.col("pos").alias("positives"),
-    ).withColumnRenamed("_dates", "dates")
+    )
 
 
 def feature_guards(df: DataFrame, forbidden: Sequence[str] = fv.FORBIDDEN_FEATURES, keys=("zone", "date"), rows: int | None = None) -> None:

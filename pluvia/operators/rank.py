@@ -61,10 +61,10 @@ def percentile_rank(df: DataFrame, score: str, keys: Sequence[str], nulls_last:
     """position/(n-1)*100 rounded to 2 digits, and its integer part; ties follow `keys`. Runs jobs."""
     first = F.col(score).asc_nulls_last() if nulls_last else F.col(score).asc()
     placed = global_position(df, [first, *keys], "_pos")
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
-    pct = round_to(F.lit(100.0) * F.col("_pos") / (F.col("_n") - 1), 2)
-    out = placed.join(F.broadcast(n)).withColumn("percentile_0_100", pct)  # n is one row
-    return out.withColumn("percentile_int", F.col("percentile_0_100").cast("int")).drop("_pos", "_n")
+    n = placed.agg(F.count(F.lit(1))).scalar()
+    pct = round_to(F.lit(100.0) * F.col("_pos") / (n - 1), 2)
+    out = placed.withColumn("percentile_0_100", pct)
+    return out.withColumn("percentile_int", F.col("percentile_0_100").cast("int")).drop("_pos")
 
 
 def value_ranks(df: DataFrame, col: str, descending: bool = False) -> DataFrame:

@@ -27,13 +27,10 @@ def daily_series(
     """
     obs = raw.select(F.col(zone).alias("zone"), F.col(date).cast("date").alias("date"), value.alias("_v"))
     if start is None or end is None:
-        span = obs.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-        zones = obs.select("zone").distinct().join(F.broadcast(span))  # span is one row
-        lo, hi = F.col("_lo"), F.col("_hi")
+        lo, hi = obs.agg(F.min("date")).scalar(), obs.agg(F.max("date")).scalar()
     else:
-        zones = obs.select("zone").distinct()
         lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    spine = zones.select("zone", F.explode(F.sequence(lo, hi)).alias("date"), F.lit(0.0).alias("_v"))
+    spine = obs.select("zone").distinct().select("zone", F.explode(F.sequence(lo, hi)).alias("date"), F.lit(0.0).alias("_v"))
     return obs.unionByName(spine).groupBy("zone", "date").agg(F.sum("_v").alias(out))
 
 

@@ -16,6 +16,9 @@ from pluvia.functions.geo import clipped_length, segment_distance, tile_cover, t
 
 _FAN = 4  # tiles per side when a tile is split
 _LEAF = 8  # aimed number of targets in a finest tile
+_FULL = 64  # a finest tile with more targets is split further
+_DEEPEST = 12
+_SMALL = 3  # levels whose tile table has at most 16^3 rows and is broadcast
 
 
 def zone_rectangles(zones: DataFrame, half: float, box: dict[str, float] | None = None) -> DataFrame:
@@ -51,8 +54,19 @@ def count_in_zones(points: DataFrame, rects: DataFrame, key: str, tile: float) -
     return rects.select("zone").join(counts, "zone", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def _levels(extent: float, n: int) -> int:
-    return max(1, min(12, math.ceil(math.log(max(n, 1) / _LEAF + 1, _FAN * _FAN))))
+def _levels(n: int, load) -> int:
+    """Depth of the pyramid: enough for evenly spread targets, then deeper while a tile is crowded.
+
+    load(depth) gives (targets in the fullest finest tile, tile entries of all targets); long
+    lines stop the descent once their cover outgrows the table. One small job per step.
+    """
+    depth = max(1, min(_DEEPEST, math.ceil(math.log(n / _LEAF + 1, _FAN * _FAN))))
+    while depth < _DEEPEST:
+        fullest, entries = load(depth)
+        if fullest <= _FULL or entries > 8 * n:
+            break
+        depth += 1
+    return depth
 
 
 def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx: str, qy: str, tie: list[str]) -> DataFrame:
@@ -70,9 +84,14 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
         return queries.select(key).withColumn("_none", F.lit(None).cast("double"))
     x0, y0 = span[0], span[1]
     extent = max(span[2] - x0, span[3] - y0, 1e-9) * (1.0 + 1e-9)
-    levels = _levels(extent, span[4])
-    size = extent / _FAN**levels
     shifted = [F.col("_lx") - x0, F.col("_ly") - y0, F.col("_hx") - x0, F.col("_hy") - y0]
+
+    def load(depth):
+        tiles = items.select(F.explode(cover(*shifted, extent / _FAN**depth)).alias("t")).groupBy("t").count()
+        return tiles.agg(F.max("count"), F.sum("count")).first()
+
+    levels = _levels(span[4], load)
+    size = extent / _FAN**levels
     placed = items.withColumn("_t", F.explode(cover(*shifted, size))).withColumns(
         {"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}
     ).drop("_t")
@@ -95,7 +114,7 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
         # a hair of slack keeps rounding from dropping the true tile
         near = F.col("_lo") <= F.min("_up").over(w) * (1.0 + 1e-9) + 1e-12
         frontier = (
-            frontier.join(tiles, ["_tx", "_ty"])
+            frontier.join(F.broadcast(tiles) if level <= _SMALL else tiles, ["_tx", "_ty"])
             .withColumns({"_lo": dx * dx + dy * dy, "_up": ux * ux + uy * uy})
             .withColumn("_near", near)
             .filter("_near")
@@ -161,10 +180,10 @@ def line_length_in_zones(segments: DataFrame, rects: DataFrame, tile: float) ->
         F.least(F.col("hi_x"), (F.col("tx") + 1) * tile), F.least(F.col("hi_y"), (F.col("ty") + 1) * tile),
     )
     sums = seg.join(rect, ["tx", "ty"]).groupBy("zone").agg(F.sum(length).alias("length_m"))
-    some = segments.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))  # one row: is the layer empty?
+    some = segments.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     area = (F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) / 1e6
-    out = rects.join(sums, "zone", "left").join(F.broadcast(some))
-    out = out.withColumn("length_m", F.when(F.col("_some"), F.coalesce("length_m", F.lit(0.0))))
+    out = rects.join(sums, "zone", "left")
+    out = out.withColumn("length_m", F.when(some, F.coalesce("length_m", F.lit(0.0))))
     return out.select("zone", "length_m", (F.col("length_m") / area).alias("m_per_km2"))
 
 

@@ -120,7 +120,7 @@ def log_histogram(df: DataFrame, value="rain_mm", low: float = 0.1, edges: int =
     """Density per log-spaced bin of the positive values; the last bin holds its upper edge."""
     bins = edges - 1
     positive = df.filter(F.col(value) > 0).select(F.col(value).alias("v"))
-    top = positive.agg(F.max("v").alias("hi"))  # one row
+    positive = positive.withColumn("hi", positive.agg(F.max("v")).scalar())
     step = F.log10(F.col("hi") / low) / bins
     edge = lambda i: F.lit(low) * F.pow(F.lit(10.0), i * step)
     guess = F.floor(F.log10(F.col("v") / low) / step)
@@ -128,13 +128,12 @@ def log_histogram(df: DataFrame, value="rain_mm", low: float = 0.1, edges: int =
     fixed = F.when(F.col("v") < edge(guess), guess - 1).when(F.col("v") >= edge(guess + 1), guess + 1).otherwise(guess)
     binned = (
         positive.filter(F.col("v") >= low)
-        .join(F.broadcast(top))
         .withColumn("bin", F.when(F.col("v") == F.col("hi"), F.lit(bins - 1)).otherwise(fixed).cast("int"))
     )
     counts = binned.groupBy("bin", "hi").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
+    total = counts.agg(F.sum("n")).scalar()
     width = edge(F.col("bin") + 1) - edge(F.col("bin"))
-    return counts.join(F.broadcast(total)).select("bin", "n", (F.col("n") / (F.col("total") * width)).alias("density"))
+    return counts.select("bin", "n", (F.col("n") / (total * width)).alias("density"))
 
 
 def station_days(readings: DataFrame) -> DataFrame:

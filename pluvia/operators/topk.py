@@ -50,9 +50,8 @@ def top_with_fallback(df: DataFrame, preferred: Column, score: str, ties: Sequen
 
 
 def latest_rows(df: DataFrame, date: str = "date") -> DataFrame:
-    """rows of the newest date; the maximum is one row, so the join is a broadcast filter."""
-    last = df.agg(F.max(date).alias(date))
-    return df.join(F.broadcast(last), date, "left_semi")
+    """rows of the newest date; the maximum is a scalar subquery that reads the date column only."""
+    return df.filter(F.col(date) == df.agg(F.max(date)).scalar())
 
 
 def top_dates_text(df: DataFrame, score: str, zone="zone", date="date", k: int = 3) -> DataFrame:

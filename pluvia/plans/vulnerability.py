@@ -13,13 +13,13 @@ from pluvia.functions.numeric import round_to
 
 
 def _with_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Attach min and max of each column over all zones: one aggregate row, broadcast back."""
-    aggs = [f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
-    return df.join(F.broadcast(df.agg(*aggs)))
+    """Attach min and max of each column over all zones as one scalar subquery."""
+    aggs = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
+    return df.withColumn("_range", df.agg(F.struct(*aggs)).scalar())
 
 
 def _minmax(c: str) -> Column:
-    lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+    lo, hi = F.col(f"_range.lo_{c}"), F.col(f"_range.hi_{c}")
     scaled = (F.col(c) - lo) / (hi - lo) * 100.0
     fail = F.raise_error(F.lit(f"factor {c} is constant across zones"))
     return F.when(hi == lo, fail.cast("double")).otherwise(scaled)
@@ -100,4 +100,4 @@ def model_zone_scores(samples: DataFrame, label: str, prob: str = "p", key: str
     score = round_to(_minmax("flagged_area_share_pct"), 2)
     out = ranged.withColumn("vulnerability_score", score)
     out = out.withColumn("vulnerability_level", band(F.col("vulnerability_score"), fv.MODEL_ZONE_BANDS))
-    return out.drop("_lo_flagged_area_share_pct", "_hi_flagged_area_share_pct")
+    return out.drop("_range")
