@@ -222,8 +222,8 @@ def _(v: Views):
     m AS (SELECT s.zone, any_value(last) AS last, avg(anomaly_score) AS a, avg(temporal_intensity) AS t, any_value(vulnerability_score) AS v FROM scored s JOIN l ON s.zone = l.zone AND s.date >= l.last - 90 GROUP BY s.zone),
     d AS (SELECT zone, v, CAST(h AS INTEGER) AS days_ahead, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, greatest(0.30e0, 1e0 - 0.04e0 * h) AS damp, CASE WHEN a = 0 THEN 40e0 ELSE a END AS a, CASE WHEN t = 0 THEN 35e0 ELSE t END AS t
           FROM m, (SELECT unnest(range(1, 31)) AS h)),
-    p AS (SELECT *, round_even(a * damp * 1e2, 0) / 1e2 AS fa, round_even(t * damp * 1e2, 0) / 1e2 AS ft FROM d),
-    f AS (SELECT *, least(50e0, round_even((fa * 0.45e0 + ft * 0.3e0 + v * 0.25e0) * 1e2, 0) / 1e2) AS fs, days_ahead % 3 = 0 AS hit FROM p),
+    p AS (SELECT *, CAST(printf('%.2f', a * damp) AS DOUBLE) AS fa, CAST(printf('%.2f', t * damp) AS DOUBLE) AS ft FROM d),
+    f AS (SELECT *, least(50e0, CAST(printf('%.2f', 0.45e0 * fa + 0.3e0 * ft + 0.25e0 * v) AS DOUBLE)) AS fs, days_ahead % 3 = 0 AS hit FROM p),
     g AS (SELECT zone, date, CASE WHEN hit THEN CAST((days_ahead * 7) % 100 AS DOUBLE) ELSE fs END AS risk_score, CASE WHEN hit THEN 'INCREASING' ELSE 'STABLE' END AS trend, hit AS from_stored FROM f)
     SELECT *, CASE WHEN risk_score < 40 THEN 'LOW' WHEN risk_score < 60 THEN 'MODERATE' WHEN risk_score < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level FROM g""",
     ("scored",),

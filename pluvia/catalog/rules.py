@@ -150,7 +150,7 @@ def _(v: Views):
 
 
 def _st(c, lvl=None):
-    t = f"printf('%.1f', CAST(round_even({c} * 1e1, 0) AS BIGINT) / 1e1) || '/100'"
+    t = f"printf('%.1f', {c}) || '/100'"
     t = f"{t} || ' (' || {lvl} || ')'" if lvl else t
     return f"CASE WHEN {c} IS NOT NULL THEN {t} END"
 

@@ -57,7 +57,7 @@ def _(v: Views):
 
 
 _PHRASES = f"""lg AS ({_LONG}),
-    ph AS (SELECT zone, points, i, CASE WHEN points < 5 THEN '(minor) ' ELSE '' END || noun || ' (+' || printf('%.1f', round_even(points * 1e1, 0) / 1e1) || ' pts)' AS phrase FROM lg),
+    ph AS (SELECT zone, points, i, CASE WHEN points < 5 THEN '(minor) ' ELSE '' END || noun || ' (+' || printf('%.1f', points) || ' pts)' AS phrase FROM lg),
     ex AS (SELECT zone, string_agg(phrase, '; ' ORDER BY points DESC, i) AS explanation FROM ph GROUP BY zone),
     mj AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY points DESC, i) AS rn FROM ph WHERE points >= 5),
     tp AS (SELECT zone, string_agg(phrase, '; ' ORDER BY rn) AS top_contributors FROM mj WHERE rn <= 4 GROUP BY zone)"""
@@ -113,15 +113,13 @@ def _(v: Views):
 
 @query(
     "P25_why_statements",
-    """WITH w AS (SELECT zone, date, CAST(round_even(anomaly_score * 1e1, 0) AS BIGINT) AS a10, CAST(round_even(temporal_intensity * 1e1, 0) AS BIGINT) AS t10, * EXCLUDE (zone, date) FROM scored)
-    SELECT zone, date, 'Anomaly signal ' || printf('%.1f', a10 / 1e1) || '/100 is ' || CASE WHEN anomaly_score >= 70 THEN 'elevated' WHEN anomaly_score >= 40 THEN 'moderate' ELSE 'low' END || ' relative to this zone''s history.'
-      || '|7-day rainfall intensity signal ' || printf('%.1f', t10 / 1e1) || '/100 is ' || CASE WHEN temporal_intensity >= 70 THEN 'high' WHEN temporal_intensity >= 40 THEN 'moderate' ELSE 'low' END || '.'
+    """SELECT zone, date, 'Anomaly signal ' || printf('%.1f', anomaly_score) || '/100 is ' || CASE WHEN anomaly_score >= 70 THEN 'elevated' WHEN anomaly_score >= 40 THEN 'moderate' ELSE 'low' END || ' relative to this zone''s history.'
+      || '|7-day rainfall intensity signal ' || printf('%.1f', temporal_intensity) || '/100 is ' || CASE WHEN temporal_intensity >= 70 THEN 'high' WHEN temporal_intensity >= 40 THEN 'moderate' ELSE 'low' END || '.'
       || '|Underlying vulnerability is ' || vulnerability_level || ' (' || printf('%.1f', vulnerability_score) || '/100); factors: flat terrain.'
-      || coalesce('|Risk trend over the last 6 days: ' || risk_trend || '.', '|Trend unavailable (warm-up period at start of record).') AS why FROM w""",
+      || coalesce('|Risk trend over the last 6 days: ' || risk_trend || '.', '|Trend unavailable (warm-up period at start of record).') AS why FROM scored""",
     ("scored",),
 )
 def _(v: Views):
-    # signals carry two digits; half-way cases are settled on the scaled integer as in the SQL
     rows = v.scored.withColumn("top_contributors", F.lit("flat terrain"))
     return rows.select("zone", "date", F.array_join(zr.why_statements(), "|").alias("why"))
 

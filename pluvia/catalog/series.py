@@ -567,8 +567,8 @@ def _(v: Views):
     m AS (SELECT s.zone, avg(anomaly_score) AS a, avg(temporal_intensity) AS t, any_value(vulnerability_score) AS v FROM scored s JOIN l ON s.zone = l.zone AND s.date >= l.last - 90 GROUP BY s.zone),
     d AS (SELECT zone, v, CAST(h AS INTEGER) AS days_ahead, greatest(0.30e0, 1e0 - 0.04e0 * h) AS damp,
         CASE WHEN a = 0 THEN 40e0 ELSE a END AS a, CASE WHEN t = 0 THEN 35e0 ELSE t END AS t FROM m, (VALUES (1), (10), (60)) x(h)),
-    p AS (SELECT zone, days_ahead, v, round_even(a * damp * 1e2, 0) / 1e2 AS anomaly, round_even(t * damp * 1e2, 0) / 1e2 AS temporal_rainfall FROM d)
-    SELECT zone, days_ahead, anomaly, temporal_rainfall, least(50e0, round_even((anomaly * 0.45e0 + temporal_rainfall * 0.3e0 + v * 0.25e0) * 1e2, 0) / 1e2) AS risk_score FROM p""",
+    p AS (SELECT zone, days_ahead, v, CAST(printf('%.2f', a * damp) AS DOUBLE) AS anomaly, CAST(printf('%.2f', t * damp) AS DOUBLE) AS temporal_rainfall FROM d)
+    SELECT zone, days_ahead, anomaly, temporal_rainfall, least(50e0, CAST(printf('%.2f', 0.45e0 * anomaly + 0.3e0 * temporal_rainfall + 0.25e0 * v) AS DOUBLE)) AS risk_score FROM p""",
     ("scored",),
 )
 def _(v: Views):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
+from pluvia.functions.numeric import fixed_text
 
 
 def _by_level(level: Column, templates: Mapping[str, Mapping], field: str, fill=None) -> Column:
@@ -49,7 +50,7 @@ def public_alerts(df: DataFrame, brand: str = "Flood", authority: str = "the mun
 
 def _score_text(score: Column, suffix: Column | None = None) -> Column:
     """'12.3/100', NULL when the score is NULL."""
-    text = F.concat(F.format_string("%.1f", F.bround(score, 1)), F.lit("/100"))
+    text = F.concat(fixed_text(score, 1), F.lit("/100"))
     text = F.concat(text, suffix) if suffix is not None else text
     return F.when(score.isNotNull(), text)
 

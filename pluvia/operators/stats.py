@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
-from pluvia.functions.numeric import is_infinite, round_to
+from pluvia.functions.numeric import decimal_round, fixed_text, is_infinite, round_to
 
 
 def _rainy(value):
@@ -287,7 +287,7 @@ def trailing_mean(df: DataFrame, cols: Sequence[str], zone="zone", date="date",
 def damped(value: Column, days_ahead: Column, when_zero: float) -> Column:
     """D25 second half: a zero mean reads as `when_zero`; at least 30 % of it remains."""
     base = F.when(value == 0, F.lit(when_zero)).otherwise(value)
-    return round_to(base * damping(days_ahead), 2)
+    return decimal_round(base * damping(days_ahead), 2)
 
 
 def damping(days_ahead: Column) -> Column:
@@ -300,7 +300,7 @@ def score_summary(df: DataFrame, score: str, pct: str, zone="zone", date="date",
     row_number <= k is cut before the shuffle as well (window group limit), so only the best
     days of a zone travel; ties go to the earlier date.
     """
-    day = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" ("), F.rint(score).cast("int").cast("string"), F.lit(")"))
+    day = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" ("), fixed_text(F.col(score), 0), F.lit(")"))
     w = Window.partitionBy(zone).orderBy(F.desc(score), date)
     best = (
         df.withColumn("_rn", F.row_number().over(w))

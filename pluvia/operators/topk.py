@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
+from pluvia.functions.numeric import fixed_text
 
 
 def top_per_group(df: DataFrame, group: str, value: str, ties: Sequence[str], k: int, rank: str = "rank") -> DataFrame:
@@ -58,7 +59,7 @@ def top_dates_text(df: DataFrame, score: str, zone="zone", date="date", k: int =
     """the k best dates per zone as one text."""
     top = top_per_group(df, zone, score, [date], k, "_rank")
     label = F.concat(
-        F.date_format(date, "yyyy-MM-dd"), F.lit(" ("), F.rint(score).cast("int").cast("string"), F.lit(")")
+        F.date_format(date, "yyyy-MM-dd"), F.lit(" ("), fixed_text(F.col(score), 0), F.lit(")")
     )
     packed = F.array_sort(F.collect_list(F.struct("_rank", label.alias("t"))))
     return top.groupBy(zone).agg(F.array_join(F.transform(packed, lambda x: x["t"]), "; ").alias("top_dates"))

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.functions.classify import band, deficit_ratio
-from pluvia.functions.numeric import round_to
+from pluvia.functions.numeric import fixed_text, round_to
 
 
 def water_table(df: DataFrame) -> DataFrame:
     """Needs rainfall_30d and hist_mean_prior_years_mm; NULL inputs leave score and level NULL."""
     rain, mean = F.col("rainfall_30d"), F.col("hist_mean_prior_years_mm")
     ratio = F.col("water_deficit_ratio")
-    pct = F.concat(F.lit("deficit vs own climatology ("), F.format_string("%.0f", F.rint(ratio * 100)), F.lit("% of expected shortfall)"))
+    pct = F.concat(F.lit("deficit vs own climatology ("), fixed_text(ratio * 100, 0), F.lit("% of expected shortfall)"))
     detail = F.when(ratio <= 0.001, F.lit("at or above climatology (surplus)")).otherwise(pct)
-    head = F.format_string("rainfall_30d=%.1f mm vs expected %.1f mm", rain, F.lit(30.0) * mean)
+    head = F.concat(
+        F.lit("rainfall_30d="), fixed_text(rain, 1), F.lit(" mm vs expected "), fixed_text(F.lit(30.0) * mean, 1), F.lit(" mm")
+    )
     missing = F.lit("insufficient history: no prior-year baseline and/or incomplete 30-day window (left null)")
     return (
         df.withColumn("water_deficit_ratio", deficit_ratio(rain, mean))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
-from pluvia.functions.classify import band, risk_score
+from pluvia.functions.classify import band
+from pluvia.functions.numeric import decimal_round
 from pluvia.operators.stats import damped, trailing_mean
 
 
@@ -22,7 +23,9 @@ def damped_climatology(history: DataFrame, requests: DataFrame) -> DataFrame:
             "temporal_rainfall": damped(F.col("temporal_intensity"), ahead, 35.0),
         }
     )
-    score = risk_score(F.col("anomaly"), F.col("temporal_rainfall"), F.col("vulnerability_score"))
+    w = fv.RISK_WEIGHTS
+    total = w["anomaly"] * F.col("anomaly") + w["intensity"] * F.col("temporal_rainfall") + w["vulnerability"] * F.col("vulnerability_score")
+    score = decimal_round(total, 2)
     return rows.withColumns({"risk_score": F.least(F.lit(50.0), score), "trend": F.lit("STABLE")}).drop(
         "anomaly_score", "temporal_intensity"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.functions.classify import band, total
-from pluvia.functions.numeric import round_to
+from pluvia.functions.numeric import decimal_round, fixed_text, round_to
 
 
 def _with_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def contributors(factors=fv.VULNERABILITY_FACTORS) -> dict[str, Column]:
     )
 
     def phrase(x):
-        base = F.format_string("%s (+%.1f pts)", x["noun"], round_to(-x["s"], 1))
+        base = F.concat(x["noun"], F.lit(" (+"), fixed_text(-x["s"], 1), F.lit(" pts)"))
         return F.when(-x["s"] < fv.MINOR_POINTS, F.concat(F.lit("(minor) "), base)).otherwise(base)
 
     phrases = F.transform(F.array_sort(items), phrase)
@@ -80,8 +80,8 @@ def heat_table(features: DataFrame, key: str = "zone") -> DataFrame:
     score = w["built_up"] * _minmax("built_up_pct") + w["vegetation"] * (F.lit(100.0) - _minmax("vegetation_pct"))
     inputs = F.to_json(
         F.struct(
-            round_to(F.col("built_up_pct"), 2).alias("built_up_pct"),
-            round_to(F.col("vegetation_pct"), 2).alias("vegetation_pct"),
+            decimal_round(F.col("built_up_pct"), 2).alias("built_up_pct"),
+            decimal_round(F.col("vegetation_pct"), 2).alias("vegetation_pct"),
         )
     )
     out = ranged.select(key, round_to(score, 2).alias("heat_score"), inputs.alias("heat_inputs"))

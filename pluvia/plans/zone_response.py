@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
+from pluvia.functions.numeric import fixed_text
 from pluvia.operators.rules import apply_rules, checklist
 
 
 def key_signals() -> Column:
     """Text signals of a risk row (anomaly, 7-day rain, vulnerability, river)."""
-    whole = lambda c: F.format_string("%.0f", F.rint(c))
+    whole = lambda c: fixed_text(c, 0)
     pct = F.col("anomaly_percentile")
     rare = F.concat(F.lit("top "), (F.lit(100) - pct).cast("int").cast("string"), F.lit("%"))
     common = F.concat(F.lit("percentile "), pct.cast("int").cast("string"))
     anomaly = F.concat(F.lit("ML anomaly "), whole(F.col("anomaly_score")), F.lit("/100 ("), F.when(pct >= 95, rare).otherwise(common), F.lit(")"))
     rain = F.concat(F.lit("7-day rainfall percentile "), whole(F.col("temporal_intensity")), F.lit("/100 (vs zone history, leak-safe)"))
-    vuln = F.concat(F.lit("vulnerability "), F.format_string("%.1f", F.bround("vulnerability_score", 1)), F.lit(" ("), F.col("vulnerability_level"), F.lit(")"))
+    vuln = F.concat(F.lit("vulnerability "), fixed_text(F.col("vulnerability_score"), 1), F.lit(" ("), F.col("vulnerability_level"), F.lit(")"))
     level = F.concat(
-        F.lit("river level "), F.format_string("%.2f", F.bround("river_level_daily_max_m", 2)), F.lit(" m ("),
+        F.lit("river level "), fixed_text(F.col("river_level_daily_max_m"), 2), F.lit(" m ("),
         F.col("cwc_stations_in_cell").cast("int").cast("string"), F.lit(" station)"),
     )
     known = F.col("river_level_daily_mean_m").isNotNull() & F.col("river_level_daily_max_m").isNotNull()
@@ -29,7 +30,7 @@ def key_signals() -> Column:
 
 def why_statements() -> Column:
     """P25: one sentence per component, the joined factors, and the trend or warm-up text."""
-    one = lambda c: F.format_string("%.1f", F.bround(c, 1))
+    one = lambda c: fixed_text(F.col(c), 1)
     word = lambda c, hi: F.when(F.col(c) >= 70, hi).when(F.col(c) >= 40, "moderate").otherwise("low")
     a = F.concat(F.lit("Anomaly signal "), one("anomaly_score"), F.lit("/100 is "), word("anomaly_score", "elevated"), F.lit(" relative to this zone's history."))
     t = F.concat(F.lit("7-day rainfall intensity signal "), one("temporal_intensity"), F.lit("/100 is "), word("temporal_intensity", "high"), F.lit("."))
