@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +17,27 @@ def outside(col: Column, lo: float, hi: float) -> Column:
 
 
 def missing_dates(df: DataFrame, zone="zone", date="date", start=None, end=None) -> DataFrame:
-    """Expected days minus present days per zone. The span defaults to the whole table's."""
+    """Expected days minus present days per zone. The span defaults to the whole table's.
+
+    The gaps are read off neighbouring days of a zone; the full spine is never built.
+    """
     keys = df.select(zone, date).distinct()
-    zones = keys.select(zone).distinct()
     if start is None or end is None:
-        days = F.sequence(keys.agg(F.min(date)).scalar(), keys.agg(F.max(date)).scalar())
+        lo, hi = keys.agg(F.min(date)).scalar(), keys.agg(F.max(date)).scalar()
     else:
-        days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    spine = zones.select(zone, F.explode(days).alias(date))
-    return spine.join(keys, [zone, date], "left_anti")
+        lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    w = Window.partitionBy(zone).orderBy(date)
+    before, after = F.lag(date).over(w), F.lead(date).over(w)
+    gaps = keys.withColumns(
+        {
+            "_a": F.when(before.isNull(), lo),
+            "_b": F.when(before.isNull(), F.least(F.date_sub(date, 1), hi)),
+            "_c": F.greatest(F.date_add(date, 1), lo),
+            "_d": F.least(F.coalesce(F.date_sub(after, 1), hi), hi),
+        }
+    )
+    days = lambda x, y: F.when(F.col(x) <= F.col(y), F.sequence(x, y)).otherwise(F.array().cast("array<date>"))
+    return gaps.select(zone, F.explode(F.concat(days("_a", "_b"), days("_c", "_d"))).alias(date))
 
 
 def complete_grid(df: DataFrame, zone="zone", date="date") -> DataFrame:
@@ -57,14 +69,15 @@ def _tidy(agg: DataFrame, checks: Sequence[tuple[str, Column, Column]]) -> DataF
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _per_zone(df: DataFrame, zone: str, date: str, cols: dict[str, Column]) -> DataFrame:
-    """Partial results per zone, so a hot zone is combined on the map side and distinct dates stay per zone."""
-    return df.groupBy(zone).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_distinct(date).alias("_days"),
+def _per_zone(df: DataFrame, zone: str, date: str, counts: dict[str, Column]) -> DataFrame:
+    """Counts per (zone, day) first, then per zone: days need no distinct aggregate and a hot zone is combined early."""
+    days = df.groupBy(zone, date).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in counts.items()])
+    return days.groupBy(zone).agg(
+        F.sum("_n").alias("_rows"),
+        F.count(F.lit(1)).alias("_days"),
         F.min(date).alias("_first"),
         F.max(date).alias("_last"),
-        *[c.alias(k) for k, c in cols.items()],
+        *[F.sum(k).alias(k) for k in counts],
     )
 
 
@@ -134,19 +147,18 @@ def validate_final(df: DataFrame, zones: int | None, first: str, last: str, zone
     nulls = {c: n for c, n in expected_nulls().items() if c in df.columns}
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     inf = F.count_if(F.exists(F.array(*[is_infinite(F.col(c)) for c in numeric]), lambda x: F.coalesce(x, F.lit(False))))
-    bad = None
-    for c, n in nulls.items():
-        off = (F.count_if(F.col(c).isNull()) != n).cast("int")
-        bad = off if bad is None else bad + off
     z = _per_zone(
         df, zone, date,
         {
             "_null": F.count_if(F.col(value).isNull()),
             "_neg": F.count_if(F.col(value) < 0),
             "_inf": inf,
-            "_feat": F.lit(0) if bad is None else bad,
+            **{f"_null_{c}": F.count_if(F.col(c).isNull()) for c in nulls},
         },
     )
+    off = F.lit(0)
+    for c, n in nulls.items():
+        off = off + (F.col(f"_null_{c}") != n).cast("int")
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     agg = z.agg(
         F.count(F.lit(1)).alias("zones"),
@@ -156,7 +168,7 @@ def validate_final(df: DataFrame, zones: int | None, first: str, last: str, zone
         F.sum("_null").alias("nulls"),
         F.sum(F.col("_rows") - F.col("_days")).alias("dups"),
         F.sum("_neg").alias("neg"),
-        F.sum("_feat").alias("feat"),
+        F.sum(off).cast("bigint").alias("feat"),
         F.sum("_inf").alias("inf"),
         F.sum(F.date_diff("_last", "_first") + 1 - F.col("_days")).alias("gaps"),
     )

@@ -9,10 +9,11 @@ third of the table is a single row here.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,24 +144,23 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 def expanding_percentile(df: DataFrame, value: str, zone="zone", date="date", out="temporal_intensity") -> DataFrame:
     """Average-rank percentile of the value among the zone's values up to that day; NULL counts as 0.
 
-    Spark has no frame-aware rank. One zone is one pandas group, bounded by the calendar.
+    Spark has no frame-aware rank. One zone is one Arrow group, bounded by the calendar; the
+    other columns pass through untouched, so nothing is joined back, and rows that are
+    already partitioned by zone are not shuffled again.
     """
-    fields = df.select(zone, date).schema.fields
-    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def per_zone(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date, kind="stable")
+    def per_zone(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(date, "ascending")]))
         seen: list[float] = []
         pct = []
-        for v in pdf[value].fillna(0.0).to_numpy():
-            insort(seen, v)
-            rank = (bisect_left(seen, v) + bisect_right(seen, v) + 1) / 2.0
-            pct.append(rank / len(seen) * 100.0)
-        return pd.DataFrame({zone: pdf[zone], date: pdf[date], out: pct})
-
-    ranked = df.select(zone, date, value).groupBy(zone).applyInPandas(per_zone, schema)
-    ranked = ranked.withColumn(out, round_to(F.col(out), 2))
-    return df.join(ranked, [zone, date])
+        for v in pc.fill_null(table[value], 0.0).to_pylist():
+            below, upto = bisect_left(seen, v), bisect_right(seen, v)
+            seen.insert(upto, v)
+            pct.append((below + upto + 2) / 2.0 / len(seen) * 100.0)
+        return table.append_column(out, pa.array(pct, pa.float64()))
+
+    return df.groupBy(zone).applyInArrow(per_zone, schema).withColumn(out, round_to(F.col(out), 2))
 
 
 def gini(df: DataFrame, value="rain_mm", zone="zone") -> DataFrame:

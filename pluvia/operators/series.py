@@ -22,16 +22,28 @@ def daily_series(
 ) -> DataFrame:
     """One row per (zone, day) from start to end; days without an observation count as 0.
 
-    The spine is appended as zero rows before the aggregation instead of being joined,
-    so the whole step costs one shuffle. With no start/end the span of the data is used.
+    Only observed days are shuffled. Each of them is then stretched to the day before the
+    zone's next one (the first back to the start, the last on to the end), so no spine of
+    all days is built or joined, and the rows leave partitioned by zone for the windows
+    that follow. With no start/end the span of the data is used.
     """
     obs = raw.select(F.col(zone).alias("zone"), F.col(date).cast("date").alias("date"), value.alias("_v"))
     if start is None or end is None:
         lo, hi = obs.agg(F.min("date")).scalar(), obs.agg(F.max("date")).scalar()
     else:
         lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    spine = obs.select("zone").distinct().select("zone", F.explode(F.sequence(lo, hi)).alias("date"), F.lit(0.0).alias("_v"))
-    return obs.unionByName(spine).groupBy("zone", "date").agg(F.sum("_v").alias(out))
+    days = obs.groupBy("zone", "date").agg(F.sum("_v").alias("_v"))
+    w = Window.partitionBy("zone").orderBy("date")
+    ranged = days.withColumns(
+        {
+            "_from": F.when(F.lag("date").over(w).isNull(), lo).otherwise(F.greatest(F.col("date"), lo)),
+            "_to": F.least(F.coalesce(F.date_sub(F.lead("date").over(w), 1), hi), hi),
+        }
+    )
+    span = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))
+    filled = ranged.select("zone", "date", "_v", F.explode(span).alias("_day"))
+    known = F.when(F.col("_day") == F.col("date"), F.coalesce("_v", F.lit(0.0))).otherwise(F.lit(0.0))
+    return filled.select("zone", F.col("_day").alias("date"), known.alias(out))
 
 
 def _by_zone(zone: str, date: str):

@@ -21,22 +21,27 @@ def top_per_group(df: DataFrame, group: str, value: str, ties: Sequence[str], k:
 def top_days_with_context(df: DataFrame, k: int = 10, value="rain_mm", zone="zone", date="date") -> DataFrame:
     """the top rows with zone, year and month maxima and the year's heavy/extreme day counts.
 
-    The context comes from small grouped tables joined to the few top rows, so the full
-    series is never widened.
+    All windows share the partitioning by zone (one exchange); month, year and zone windows
+    also share one sort, as each sort key is a prefix of the one before.
     """
-    v, y, m = F.col(value), F.year(date).alias("_y"), F.month(date).alias("_m")
-    monthly = df.groupBy(zone, y, m).agg(
-        F.max(v).alias("month_max"),
-        F.count_if(v > fv.HEAVY_MM).alias("_h"),
-        F.count_if(v > fv.EXTREME_MM).alias("_e"),
+    v = F.col(value)
+    by_month = Window.partitionBy(zone, "_y", "_m")
+    by_year = Window.partitionBy(zone, "_y")
+    wide = (
+        df.select(zone, date, value, F.year(date).alias("_y"), F.month(date).alias("_m"))
+        .repartition(zone)
+        .withColumn("month_max", F.max(v).over(by_month))
+        .withColumns(
+            {
+                "year_max": F.max(v).over(by_year),
+                "heavy_days": F.count_if(v > fv.HEAVY_MM).over(by_year),
+                "extreme_days": F.count_if(v > fv.EXTREME_MM).over(by_year),
+            }
+        )
+        .withColumn("zone_max", F.max(v).over(Window.partitionBy(zone)))
     )
-    yearly = monthly.groupBy(zone, "_y").agg(
-        F.max("month_max").alias("year_max"), F.sum("_h").alias("heavy_days"), F.sum("_e").alias("extreme_days")
-    )
-    overall = yearly.groupBy(zone).agg(F.max("year_max").alias("zone_max"))
-    top = top_per_group(df, zone, value, [date], k, "_rank").withColumns({"_y": F.year(date), "_m": F.month(date)})
-    joined = top.join(monthly.drop("_h", "_e"), [zone, "_y", "_m"]).join(yearly, [zone, "_y"]).join(overall, zone)
-    return joined.select(zone, date, value, "zone_max", "year_max", "month_max", "heavy_days", "extreme_days")
+    top = top_per_group(wide, zone, value, [date], k, "_rank")
+    return top.select(zone, date, value, "zone_max", "year_max", "month_max", "heavy_days", "extreme_days")
 
 
 def top_with_fallback(df: DataFrame, preferred: Column, score: str, ties: Sequence[str], k: int) -> DataFrame:
