@@ -237,9 +237,13 @@ class Views:
 
     @property
     def scored_parts(self) -> DataFrame:
+        return self.signals(self.rain_features)
+
+    def signals(self, features: DataFrame, *keep: str) -> DataFrame:
         n = zone_number()
         days = F.date_diff("date", F.lit("1995-01-01").cast("date"))
-        return self.rain_features.select(
+        return features.select(
+            *keep,
             "zone",
             "date",
             "rainfall_1d",

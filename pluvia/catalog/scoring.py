@@ -211,12 +211,12 @@ ZR_VIEWS = ("scored", "zones", "reports")
 def zone_table(v: Views):
     from pluvia.operators.series import with_previous_year
     from pluvia.plans.environment import water_table
+    from pluvia.plans.risk_table import score_rows
 
-    scored = v.scored
-    gauges = river_levels(scored.select("zone", "date")).filter("river_level_daily_mean_m IS NOT NULL")
+    risk = score_rows(v.signals(water_table(with_previous_year(v.rain_features)), "water_score", "water_level"))
+    level = river_levels(v.zone_day.select("zone", "date")).filter("river_level_daily_mean_m IS NOT NULL")
     zones = v.zones.select("zone", F.concat(F.lit("Zone "), F.substring("zone", 2, 20)).alias("zone_name"))
-    water = water_table(with_previous_year(v.rain_features))
-    return zr.zone_rows(scored, zones, vu.heat_table(v.zones), water, gauges, v.reports)
+    return zr.zone_rows(risk, zones, vu.heat_table(v.zones), level, v.reports)
 
 
 @query(
@@ -247,3 +247,27 @@ _ADV = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in fv.ADVISORIES.items())
 def _(v: Views):
     out = zr.role_view(zone_table(v), "PUBLIC")
     return out.select("date", "zone", "zone_name", "risk.score", "risk.level", "risk.trend", "public_alert", "reporting_enabled")
+
+
+@query(
+    "feature_table",
+    f"""WITH {_RIVER}, e AS (SELECT DISTINCT zone, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS date FROM event_range),
+    y AS (SELECT zone, year(date) AS y, avg(rain_mm) AS m, max(rain_mm) AS x FROM zone_day GROUP BY 1, 2), py AS (SELECT zone, y, lag(m) OVER w AS pm, lag(x) OVER w AS px FROM y WINDOW w AS (PARTITION BY zone ORDER BY y)),
+    mm AS (SELECT zone, month(date) AS mo, year(date) AS y, avg(rain_mm) AS m FROM zone_day GROUP BY 1, 2, 3), pc AS (SELECT zone, mo, y, lag(m) OVER (PARTITION BY zone, mo ORDER BY y) AS c FROM mm)
+    SELECT f.zone, f.date, f.rainfall_1d, f.rainfall_7d, f.rainfall_30d, pm AS hist_mean_prior_years_mm, px AS hist_max_prior_years_mm, c AS month_clim_mean_prior_years_mm, f.rain_mm - pm AS rainfall_anomaly_mm,
+      sum(rain_mm) OVER (PARTITION BY f.zone, year(f.date), month(f.date) ORDER BY f.date) AS monthly_rainfall_to_date,
+      CASE WHEN month(f.date) >= 6 THEN sum(CASE WHEN month(f.date) >= 6 THEN rain_mm END) OVER (PARTITION BY f.zone, year(f.date) ORDER BY f.date) END AS monsoon_rainfall_to_date,
+      CAST(month(f.date) IN (6, 7, 8, 9) AS INTEGER) AS is_monsoon, built_up_pct, river.river_level_daily_max_m, CASE WHEN e.zone IS NULL THEN 0 ELSE 1 END AS flood_event_active
+    FROM rain_features f JOIN py ON f.zone = py.zone AND year(f.date) = py.y JOIN pc ON f.zone = pc.zone AND year(f.date) = pc.y AND month(f.date) = pc.mo
+    LEFT JOIN zones z ON f.zone = z.zone LEFT JOIN rv river ON f.zone = river.zone AND f.date = river.date LEFT JOIN e ON f.zone = e.zone AND f.date = e.date""",
+    ("scored", "zones", "event_range"),
+)
+def _(v: Views):
+    from pluvia.plans.feature_table import feature_table
+
+    level = river_levels(v.zone_day.select("zone", "date")).filter("river_level_daily_mean_m IS NOT NULL")
+    out = feature_table(v.zone_day, v.zones, level, v.event_range)
+    return out.select(
+        "zone", "date", "rainfall_1d", "rainfall_7d", "rainfall_30d", "hist_mean_prior_years_mm", "hist_max_prior_years_mm", "month_clim_mean_prior_years_mm",
+        "rainfall_anomaly_mm", "monthly_rainfall_to_date", "monsoon_rainfall_to_date", "is_monsoon", "built_up_pct", "river_level_daily_max_m", "flood_event_active",
+    )

@@ -133,10 +133,27 @@ def previous_year_stats(df: DataFrame, value="rain_mm", zone="zone", date="date"
     )
 
 
+def _previous_period(df: DataFrame, stats: dict[str, Column], zone: str, group: Sequence[str], period: str, date: str) -> DataFrame:
+    """Aggregates of the previous recorded period, on every row of a period.
+
+    The period's aggregate is taken over the period, handed to the next period's first row
+    by a lag, and spread over that period. Each window is partitioned by the zone (and more)
+    and sorted by the same keys, so rows partitioned by zone are neither shuffled nor joined.
+    """
+    inside = Window.partitionBy(zone, *group, period).orderBy(date)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    along = Window.partitionBy(zone, *group).orderBy(period, date)
+    new_period = ~F.lag(period).over(along).eqNullSafe(F.col(period))
+    out = df.withColumn("_new", new_period).withColumns({f"_own_{k}": c.over(whole) for k, c in stats.items()})
+    out = out.withColumns({f"_prev_{k}": F.when(F.col("_new"), F.lag(f"_own_{k}").over(along)) for k in stats})
+    out = out.withColumns({k: F.first(f"_prev_{k}").over(whole) for k in stats})
+    return out.drop("_new", *[f"_own_{k}" for k in stats], *[f"_prev_{k}" for k in stats])
+
+
 def with_previous_year(df: DataFrame, value="rain_mm", zone="zone", date="date") -> DataFrame:
-    """Attach the previous year's mean and max."""
-    stats = previous_year_stats(df, value, zone, date)
-    return df.withColumn("year", F.year(date)).join(stats, [zone, "year"], "left")
+    """Attach the previous recorded year's mean and max."""
+    stats = {"hist_mean_prior_years_mm": F.avg(value), "hist_max_prior_years_mm": F.max(value)}
+    return _previous_period(df.withColumn("year", F.year(date)), stats, zone, [], "year", date)
 
 
 def with_previous_month_climatology(df: DataFrame, value="rain_mm", zone="zone", date="date") -> DataFrame:
@@ -144,12 +161,9 @@ def with_previous_month_climatology(df: DataFrame, value="rain_mm", zone="zone",
 
     Expects the columns of `with_previous_year`.
     """
-    monthly = df.groupBy(zone, F.month(date).alias("month"), F.year(date).alias("year")).agg(F.avg(value).alias("_m"))
-    w = Window.partitionBy(zone, "month").orderBy("year")
-    clim = monthly.select(zone, "month", "year", F.lag("_m").over(w).alias("month_clim_mean_prior_years_mm"))
     base = df.withColumns({"month": F.month(date), "year": F.year(date)})
-    joined = base.join(clim, [zone, "month", "year"], "left")
-    return joined.withColumn("rainfall_anomaly_mm", F.col(value) - F.col("hist_mean_prior_years_mm"))
+    out = _previous_period(base, {"month_clim_mean_prior_years_mm": F.avg(value)}, zone, ["month"], "year", date)
+    return out.withColumn("rainfall_anomaly_mm", F.col(value) - F.col("hist_mean_prior_years_mm"))
 
 
 def trend_delta(df: DataFrame, score="risk_score", zone="zone", date="date", width: int = 3) -> Column:

@@ -43,18 +43,20 @@ def why_statements() -> Column:
 
 
 def zone_rows(
-    risk: DataFrame, zones: DataFrame, heat: DataFrame, water: DataFrame, gauges: DataFrame, reports: DataFrame,
-    model_scores: DataFrame | None = None,
+    risk: DataFrame, zones: DataFrame, heat: DataFrame, gauges: DataFrame, reports: DataFrame,
+    water: DataFrame | None = None, model_scores: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row per (date, zone), for all dates at once.
 
-    risk is joined on (zone, date) with water and gauges and on zone with the small zone
-    tables; a NULL trend counts as STABLE for the rules only.
+    risk is joined on (zone, date) with gauges, and with water unless it already carries
+    water_score and water_level, and on zone with the zone tables; a NULL trend counts as
+    STABLE for the rules only.
     """
     counts = reports.groupBy("zone").agg(F.count(F.lit(1)).alias("citizen_reports"))
+    if water is not None:
+        risk = risk.join(water.select("zone", "date", "water_score", "water_level"), ["zone", "date"], "left")
     rows = (
-        risk.join(water.select("zone", "date", "water_score", "water_level"), ["zone", "date"], "left")
-        .join(gauges, ["zone", "date"], "left")
+        risk.join(gauges, ["zone", "date"], "left")
         .join(zones, "zone", "left")
         .join(heat.select("zone", "heat_score", "heat_level"), "zone", "left")
         .join(counts, "zone", "left")
