@@ -29,15 +29,17 @@ def daily_series(
     """
     obs = raw.select(F.col(zone).alias("zone"), F.col(date).cast("date").alias("date"), value.alias("_v"))
     if start is None or end is None:
-        lo, hi = obs.agg(F.min("date")).scalar(), obs.agg(F.max("date")).scalar()
+        bounds = obs.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
     else:
-        lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+        bounds = F.struct(F.lit(start).cast("date").alias("lo"), F.lit(end).cast("date").alias("hi"))
     days = obs.groupBy("zone", "date").agg(F.sum("_v").alias("_v"))
     w = Window.partitionBy("zone").orderBy("date")
-    ranged = days.withColumns(
+    around = days.withColumns({"_before": F.lag("date").over(w), "_after": F.lead("date").over(w)})
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
+    ranged = around.withColumn("_bounds", bounds).withColumns(
         {
-            "_from": F.when(F.lag("date").over(w).isNull(), lo).otherwise(F.greatest(F.col("date"), lo)),
-            "_to": F.least(F.coalesce(F.date_sub(F.lead("date").over(w), 1), hi), hi),
+            "_from": F.when(F.col("_before").isNull(), lo).otherwise(F.greatest(F.col("date"), lo)),
+            "_to": F.least(F.coalesce(F.date_sub("_after", 1), hi), hi),
         }
     )
     span = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))
