@@ -68,7 +68,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "event_range": (
         (),
-        """event_range AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS start_date,
+        """event_range AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS start_date, o_totalprice AS price,
                  CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS end_date,
                  'Z' || lpad(CAST(o_custkey % 100 AS VARCHAR), 7, '0') AS zone,
                  68e0 + 0.25e0 * ((o_custkey % 100) // 80) + ((o_orderkey % 7) - 3) / 20e0 AS lon,
@@ -224,6 +224,7 @@ class Views:
         start = F.col("o_orderdate").cast("date")
         return self.table("orders").filter("o_totalprice > 495000").select(
             k.alias("event_id"),
+            F.col("o_totalprice").alias("price"),
             start.alias("start_date"),
             F.date_add(start, (k % 3).cast("int")).alias("end_date"),
             zone_id(c).alias("zone"),

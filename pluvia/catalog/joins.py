@@ -38,16 +38,15 @@ def _(v: Views):
 @query(
     "J02_site_series",
     """WITH cells AS (SELECT DISTINCT zone, lon AS clon, lat AS clat FROM zones),
-    p AS (SELECT site, zone, (clon - lon) * (clon - lon) + (clat - lat) * (clat - lat) AS d2, clat, clon FROM sites, cells WHERE CAST(substr(site, 10) AS BIGINT) % 10 = 0),
+    p AS (SELECT site, zone, (clon - lon) * (clon - lon) + (clat - lat) * (clat - lat) AS d2, clat, clon FROM sites, cells),
     m AS (SELECT site, arg_min(zone, (d2, clat, clon)) AS zone FROM p GROUP BY site)
     SELECT m.site, date, rain_mm FROM m JOIN zone_day z ON m.zone = z.zone WHERE rain_mm > 64.4""",
     ("sites", "zones", "zone_day"),
 )
 def _(v: Views):
-    sites = v.sites.filter(F.substring("site", 10, 20).cast("bigint") % 10 == 0)
     cells = v.zones.select("zone", F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"))
     near = spatial.nearest_point(
-        sites, "site", cells.drop("zone"), "lon", "lat", "grid_lon", "grid_lat", ("grid_lat", "grid_lon")
+        v.sites, "site", cells.drop("zone"), "lon", "lat", "grid_lon", "grid_lat", ("grid_lat", "grid_lon")
     )
     wet = v.zone_day.filter(F.col("rain_mm") > fv.HEAVY_MM).join(cells, "zone")
     return near.join(wet, ["grid_lat", "grid_lon"]).select("site", "date", "rain_mm")
@@ -78,7 +77,7 @@ def _(v: Views):
     ("event_range", "zones"),
 )
 def _(v: Views):
-    return spatial.point_in_zone(v.event_range.select("event_id", "lon", "lat"), rects(v), "event_id", TILE)
+    return spatial.point_in_zone(v.event_range.select("event_id", "lon", "lat"), rects(v), TILE)
 
 
 @query(
@@ -107,19 +106,19 @@ def _(v: Views):
     ("event_range", "zones"),
 )
 def _(v: Views):
-    return spatial.count_in_zones(v.event_range.select("event_id", "lon", "lat"), rects(v), "event_id", TILE)
+    return spatial.count_in_zones(v.event_range.select("event_id", "lon", "lat"), rects(v), TILE)
 
 
 @query(
     "J10_event_buffer_exclusion",
-    """WITH e AS (SELECT DISTINCT CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM event_range WHERE event_id % 9 = 0)
+    """WITH e AS (SELECT DISTINCT CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM event_range WHERE price > 499500)
        SELECT zone, date, rain_mm FROM zone_day z WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.d BETWEEN z.date - 3 AND z.date + 3)""",
     ("zone_day", "event_range"),
 )
 def _(v: Views):
     from pluvia.operators.features import exclude_event_buffer
 
-    days = joins.expand_dates(v.event_range.filter("event_id % 9 = 0"))
+    days = joins.expand_dates(v.event_range.filter("price > 499500"))
     return exclude_event_buffer(v.zone_day, days).select("zone", "date", "rain_mm")
 
 
@@ -158,7 +157,7 @@ _GZ = f"""gz AS (SELECT g.station, g.ts, g.event_id, g.level, m.zone FROM gauge
 
 def station_days(v: Views):
     stations = v.gauge.groupBy("station").agg(F.min_by("lon", "ts").alias("lon"), F.min_by("lat", "ts").alias("lat"))
-    located = spatial.point_in_zone(stations, rects(v), "station", TILE).filter("zone IS NOT NULL").select("station", "zone")
+    located = spatial.point_in_zone(stations, rects(v), TILE).filter("zone IS NOT NULL").select("station", "zone")
     return stats.station_days(v.gauge.join(located, "station"))
 
 

@@ -54,7 +54,7 @@ def _forest(v: Views):
 
     def make():
         rows = v.rain_features.select(*KEYS, *RAIN)
-        events = joins.expand_dates(v.event_range.filter("event_id % 9 = 0"))
+        events = joins.expand_dates(v.event_range.filter("price > 499500"))
         fit = F.year("date") < 2000
         medians = features.training_medians(features.exclude_event_buffer(rows, events), RAIN, fit)
         fill = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()}
@@ -168,13 +168,13 @@ def _(v: Views):
     return metrics.zone_share_rank(boosting.mean_attribution(attributed(v), PROXY))
 
 
-_GATE = """g AS (SELECT zone, CAST(date AS DATE) AS date FROM (SELECT DISTINCT zone, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS date FROM event_range WHERE event_id % 4 = 0)),
+_GATE = """g AS (SELECT zone, CAST(date AS DATE) AS date FROM (SELECT DISTINCT zone, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS date FROM event_range)),
     gs AS (SELECT count(*) AS positives, count(DISTINCT zone) AS zones, count(DISTINCT year(date)) AS years FROM g), gt AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM g GROUP BY zone)),
     gr AS (SELECT positives, zones, years, CAST(top AS DOUBLE) / positives AS top_share FROM gs, gt)"""
 
 
 def _labels(v: Views):
-    days = joins.expand_dates(v.event_range.filter("event_id % 4 = 0")).select("date", "zone").distinct()
+    days = joins.expand_dates(v.event_range).select("date", "zone").distinct()
     return days.withColumn("label", F.lit(1))
 
 
@@ -189,8 +189,7 @@ def _(v: Views):
 
 @query("M10_gated_training")
 def _(v: Views):
-    few = _labels(v).filter(F.col("zone") == "Z0000007")
-    out = boosting.training_decision(metrics.label_gate(few), enabled=False, reason="labels not verified")
+    out = boosting.training_decision(metrics.label_gate(_labels(v)), enabled=False, reason="labels not verified")
     rows = [(out["may_train"], reason) for reason in out["refusal_reasons"]]
     return v.spark.createDataFrame(rows, "may_train boolean, reason string")
 

@@ -18,15 +18,14 @@ def block_correlations(df: DataFrame, value: str, zone: str, date: str, block: i
     ids = global_position(df.select(zone).distinct(), [zone], "_i").select(zone, "_i")
     size = ids.count()
     entry = F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))
-    vectors = df.join(ids, zone).groupBy(date).agg(F.collect_list(entry).alias("entries"))
+    vectors = df.join(ids, zone).groupBy(date).agg(F.collect_list(entry).alias("e")).select("e.i", "e.v")
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for pdf in batches:
-            for entries in pdf["entries"]:
+            for i, v in zip(pdf["i"], pdf["v"]):
                 row = np.full(size, np.nan)
-                for e in entries:
-                    row[e["i"]] = np.nan if e["v"] is None else e["v"]
+                row[i] = np.asarray(v, dtype="float64")
                 rows.append(row)
         if not rows:
             return
@@ -44,7 +43,7 @@ def block_correlations(df: DataFrame, value: str, zone: str, date: str, block: i
                 names = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"]
                 yield pd.DataFrame({k: c.ravel()[keep] for k, c in zip(names, cols)})
 
-    sums = vectors.select("entries").mapInPandas(moments, _MOMENTS).groupBy("a", "b").agg(
+    sums = vectors.mapInPandas(moments, _MOMENTS).groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")

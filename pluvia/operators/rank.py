@@ -63,7 +63,7 @@ def percentile_rank(df: DataFrame, score: str, keys: Sequence[str], nulls_last:
     first = F.col(score).asc_nulls_last() if nulls_last else F.col(score).asc()
     placed = global_position(df, [first, *keys], "_pos")
     n = placed.agg(F.count(F.lit(1))).scalar()
-    pct = round_to(F.lit(100.0) * F.col("_pos") / (n - 1), 2)
+    pct = round_to(F.try_divide(F.lit(100.0) * F.col("_pos"), n - 1), 2)
     out = placed.withColumn("percentile_0_100", pct)
     return out.withColumn("percentile_int", F.col("percentile_0_100").cast("int")).drop("_pos")
 
@@ -154,7 +154,7 @@ def expanding_percentile(df: DataFrame, value: str, zone="zone", date="date", ou
         table = table.take(pc.sort_indices(table, sort_keys=[(date, "ascending")]))
         seen: list[float] = []
         pct = []
-        for v in pc.fill_null(table[value], 0.0).to_pylist():
+        for v in pc.fill_null(table[value], 0.0).to_numpy().tolist():
             below, upto = bisect_left(seen, v), bisect_right(seen, v)
             seen.insert(upto, v)
             pct.append((below + upto + 2) / 2.0 / len(seen) * 100.0)

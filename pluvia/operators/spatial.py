@@ -33,23 +33,26 @@ def zone_rectangles(zones: DataFrame, half: float, box: dict[str, float] | None
     ).filter("lo_x < hi_x AND lo_y < hi_y")
 
 
-def point_in_zone(points: DataFrame, rects: DataFrame, key: str, tile: float, x="lon", y="lat") -> DataFrame:
+def point_in_zone(points: DataFrame, rects: DataFrame, tile: float, x="lon", y="lat") -> DataFrame:
     """First zone (by id) whose rectangle strictly contains the point, NULL if none.
 
-    The containing zones are reduced per point with a partial min, then joined back.
+    Each tile lists the zones that touch it (a handful when the tile is about as large as a
+    zone), so every point meets exactly one tile row: one join, no regrouping of points, and
+    a crowded tile can be split by AQE.
     """
-    cover = rects.withColumn("t", F.explode(tile_cover(F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"), tile)))
-    cover = cover.select("zone", "lo_x", "lo_y", "hi_x", "hi_y", "t.tx", "t.ty")
-    located = points.withColumns({"tx": tile_index(F.col(x), tile), "ty": tile_index(F.col(y), tile)})
-    inside = (F.col(x) > F.col("lo_x")) & (F.col(x) < F.col("hi_x")) & (F.col(y) > F.col("lo_y")) & (F.col(y) < F.col("hi_y"))
-    hits = located.select(key, x, y, "tx", "ty").join(cover, ["tx", "ty"]).filter(inside)
-    first = hits.groupBy(key).agg(F.min("zone").alias("zone"))
-    return points.drop("zone").join(first, key, "left")
+    cover = F.explode(tile_cover(F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"), tile))
+    box = F.struct("zone", "lo_x", "lo_y", "hi_x", "hi_y")
+    tiles = rects.withColumn("t", cover).groupBy("t.tx", "t.ty").agg(F.sort_array(F.collect_list(box)).alias("_zones"))
+    px, py = F.col(x), F.col(y)
+    inside = lambda z: (px > z["lo_x"]) & (px < z["hi_x"]) & (py > z["lo_y"]) & (py < z["hi_y"])
+    located = points.drop("zone").withColumns({"tx": tile_index(px, tile), "ty": tile_index(py, tile)})
+    joined = located.join(tiles, ["tx", "ty"], "left")
+    return joined.withColumn("zone", F.get(F.filter("_zones", inside), F.lit(0))["zone"]).drop("tx", "ty", "_zones")
 
 
-def count_in_zones(points: DataFrame, rects: DataFrame, key: str, tile: float) -> DataFrame:
+def count_in_zones(points: DataFrame, rects: DataFrame, tile: float) -> DataFrame:
     """Points per zone, zero included."""
-    hit = point_in_zone(points, rects, key, tile).filter(F.col("zone").isNotNull())
+    hit = point_in_zone(points, rects, tile).filter(F.col("zone").isNotNull())
     counts = hit.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
     return rects.select("zone").join(counts, "zone", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -56,27 +56,45 @@ def zone_stats(df: DataFrame, value="rain_mm", zone="zone", spell="consecutive_d
 
 
 def quality_profile(df: DataFrame, value="rain_mm", zone="zone", date="date") -> DataFrame:
-    """D04. The exact median is bounded per zone by the calendar (duplicates share one map entry)."""
+    """Counts by (zone, day), order statistics by (zone, value), both reduced to one row per zone.
+
+    Neither needs a distinct or a collecting aggregate: rows are combined before each shuffle,
+    and a zone has no more groups than days or distinct values.
+    """
     v = F.col(value)
-    missing = [F.count_if(F.col(c).isNull()) for c in df.columns]
-    total_missing = missing[0]
-    for m in missing[1:]:
-        total_missing = total_missing + m
-    return df.groupBy(zone).agg(
-        F.count(F.lit(1)).alias("record_count"),
+    missing = F.lit(0)
+    for c in df.columns:
+        missing = missing + F.count_if(F.col(c).isNull())
+    days = df.groupBy(zone, date).agg(
+        F.count(F.lit(1)).alias("_n"), missing.alias("_null"), F.count_if(v < 0).alias("_neg"), _dry(value).alias("_dry"), _rainy(value).alias("_wet")
+    )
+    counts = days.groupBy(zone).agg(
+        F.sum("_n").alias("record_count"),
         F.min(date).alias("start_date"),
         F.max(date).alias("end_date"),
-        total_missing.alias("missing_values"),
-        (F.count(F.lit(1)) - F.count_distinct(date)).alias("duplicate_records"),
-        F.count_if(v < 0).alias("negative_count"),
-        _dry(value).alias("zero_days"),
-        _rainy(value).alias("rainy_days"),
-        round_to(F.avg(v), 4).alias("mean_rainfall"),
-        round_to(F.percentile(v, F.lit(0.5)), 4).alias("median_rainfall"),
-        round_to(F.stddev_samp(v), 4).alias("std_rainfall"),
+        F.sum("_null").alias("missing_values"),
+        (F.sum("_n") - F.count(date)).alias("duplicate_records"),
+        F.sum("_neg").alias("negative_count"),
+        F.sum("_dry").alias("zero_days"),
+        F.sum("_wet").alias("rainy_days"),
+    )
+    freq = df.filter(v.isNotNull()).groupBy(zone, value).agg(F.count(F.lit(1)).alias("_c"))
+    whole, upto = Window.partitionBy(zone), Window.partitionBy(zone).orderBy(value)
+    n, c = F.col("_n"), F.col("_c")
+    ranked = freq.withColumns(
+        {"_n": F.sum("_c").over(whole), "_mean": F.sum(c * v).over(whole) / F.sum("_c").over(whole), "_upto": F.sum("_c").over(upto)}
+    )
+    at = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - c <= k), v))
+    middle = (at(F.floor((n - 1) / 2.0)) + at(F.ceil((n - 1) / 2.0))) / 2.0
+    spread = F.sqrt(F.try_divide(F.sum(c * (v - F.col("_mean")) ** 2), F.max(n) - 1))
+    values = ranked.groupBy(zone).agg(
+        round_to(F.max("_mean"), 4).alias("mean_rainfall"),
+        round_to(middle, 4).alias("median_rainfall"),
+        round_to(spread, 4).alias("std_rainfall"),
         round_to(F.min(v), 4).alias("min_rainfall"),
         round_to(F.max(v), 4).alias("max_rainfall"),
     )
+    return counts.join(values, zone, "left")
 
 
 def monthly_climatology(df: DataFrame, value="rain_mm", zone="zone", date="date") -> DataFrame:
@@ -121,7 +139,7 @@ def log_histogram(df: DataFrame, value="rain_mm", low: float = 0.1, edges: int =
     bins = edges - 1
     positive = df.filter(F.col(value) > 0).select(F.col(value).alias("v"))
     positive = positive.withColumn("hi", positive.agg(F.max("v")).scalar())
-    step = F.log10(F.col("hi") / low) / bins
+    step = F.nullif(F.log10(F.col("hi") / low), F.lit(0.0)) / bins
     edge = lambda i: F.lit(low) * F.pow(F.lit(10.0), i * step)
     guess = F.floor(F.log10(F.col("v") / low) / step)
     # the logarithm may land one bin off next to an edge, so the guess is checked against the edges
@@ -200,7 +218,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     ]
     one = df.agg(F.array(*items).alias("a"))
     out = one.select(F.explode("a").alias("r")).select("r.*")
-    return out.withColumn("null_pct", round_to(F.col("null_count") * 100.0 / F.col("_n"), 2)).drop("_n")
+    return out.withColumn("null_pct", round_to(F.try_divide(F.col("null_count") * 100.0, F.col("_n")), 2)).drop("_n")
 
 
 def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -238,7 +256,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
         for c in df.columns
     ]
     out = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("r")).select("r.*").filter("missing > 0")
-    pct = F.col("missing") * 100.0 / F.col("_n")
+    pct = F.try_divide(F.col("missing") * 100.0, F.col("_n"))
     return out.withColumn("missing_pct", pct).drop("_n").orderBy(F.desc("missing"), "column")
 
 

@@ -132,9 +132,7 @@ def read_label_sources(spark: SparkSession, registry_path: str, rects: DataFrame
             ),
         )
         if has_point:
-            places = keyed.select("lon", "lat").distinct().withColumn("_k", F.struct("lon", "lat"))
-            located = point_in_zone(places, rects, "_k", tile).select("lon", "lat", "zone")
-            keyed = keyed.join(located, ["lon", "lat"], "left").drop("lon", "lat")
+            keyed = point_in_zone(keyed, rects, tile).drop("lon", "lat")
         frames.append(
             expand_dates(keyed).select("date", "zone", "label", F.lit(src["source_id"]).alias("source_id"))
         )

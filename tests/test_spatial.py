@@ -52,7 +52,7 @@ def test_empty_line_layer_gives_null(spark):
 def test_point_on_the_border_is_outside(spark):
     rect = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 0.5, 0.0, 2.0, 1.0)], "zone string, lo_x double, lo_y double, hi_x double, hi_y double")
     pts = spark.createDataFrame([(1, 0.0, 0.5), (2, 0.7, 0.5), (3, 1.5, 0.5), (4, 9.0, 9.0)], "id int, lon double, lat double")
-    got = {r["id"]: r["zone"] for r in spatial.point_in_zone(pts, rect, "id", 0.4).collect()}
+    got = {r["id"]: r["zone"] for r in spatial.point_in_zone(pts, rect, 0.4).collect()}
     assert got == {1: None, 2: "a", 3: "b", 4: None}
 
 
