@@ -187,7 +187,15 @@ def _(v: Views):
     return metrics.label_gate(_labels(v)).select("positives", "zones", "years", "top_share", "passed")
 
 
-@query("M10_gated_training")
+@query(
+    "M10_gated_training",
+    f"""WITH {_GATE} SELECT false AS may_train, 'training disabled (labels not verified)' AS reason
+    UNION ALL SELECT false, 'only ' || CAST(positives AS VARCHAR) || ' positive rows (needs >= 20)' FROM gr WHERE positives < 20
+    UNION ALL SELECT false, 'positives in only ' || CAST(zones AS VARCHAR) || ' zones (needs >= 3)' FROM gr WHERE zones < 3
+    UNION ALL SELECT false, 'positives in only ' || CAST(years AS VARCHAR) || ' years (needs >= 3)' FROM gr WHERE years < 3
+    UNION ALL SELECT false, 'one zone holds ' || CAST(CAST(round_even(top_share * 100, 0) AS INTEGER) AS VARCHAR) || '% of positives (allowed <= 60%)' FROM gr WHERE top_share > 0.6""",
+    ("event_range",),
+)
 def _(v: Views):
     out = boosting.training_decision(metrics.label_gate(_labels(v)), enabled=False, reason="labels not verified")
     rows = [(out["may_train"], reason) for reason in out["refusal_reasons"]]

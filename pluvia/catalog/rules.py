@@ -210,19 +210,40 @@ def _(v: Views):
 
 @query(
     "R11_risk_event_json",
-    """SELECT zone, date, '{"event":"flood_risk.updated","date":"' || strftime(date, '%Y-%m-%d') || '","grid_id":"' || zone || '","risk":{"level":"' || risk_level || '","trend":' ||
-       coalesce('"' || risk_trend || '"', 'null') || '}}' AS payload FROM scored""",
+    """SELECT zone, date, risk_score AS score, 'flood_risk.updated|' || strftime(date, '%Y-%m-%d') || '|' || zone || '|' || risk_level || '|' || coalesce(risk_trend, 'null') || '|ROUTINE|x|pluvia' AS fields FROM scored""",
     ("scored",),
 )
 def _(v: Views):
-    # the score is left to the property test: number formatting differs between engines
+    # the payload is read back, since number formatting in JSON differs between engines
     rows = v.scored.withColumns({"priority": F.lit("ROUTINE"), "recommended_actions": F.array(F.lit("x"))})
-    full = rows.select("zone", "date", al.risk_event_json("flood_risk.updated", "pluvia").alias("j"))
-    part = F.from_json("j", "event string, date string, grid_id string, risk struct<level string, trend string>")
-    return full.select("zone", "date", F.to_json(part, {"ignoreNullFields": "false"}).alias("payload"))
+    shape = (
+        "event string, date string, grid_id string, risk struct<score double, level string, trend string>, "
+        "prevention struct<priority string, recommended_actions array<string>>, metadata struct<source string>"
+    )
+    p = rows.select("zone", "date", F.from_json(al.risk_event_json("flood_risk.updated", "pluvia"), shape).alias("p"))
+    fields = F.concat_ws(
+        "|", "p.event", "p.date", "p.grid_id", "p.risk.level", F.coalesce("p.risk.trend", F.lit("null")), "p.prevention.priority",
+        F.array_join("p.prevention.recommended_actions", ","), "p.metadata.source",
+    )
+    return p.select("zone", "date", F.col("p.risk.score").alias("score"), fields.alias("fields"))
 
 
-@query("R11_anomaly_event_json")
+@query(
+    "R11_anomaly_event_json",
+    """SELECT zone, date, anomaly_score AS score, CAST(floor(anomaly_score) AS INTEGER) AS percentile, 'anomaly.detected|' || strftime(date, '%Y-%m-%d') || '|' || zone || '|null|0|null|IsolationForest|v1|RISK_EVENT' AS fields FROM scored""",
+    ("scored",),
+)
 def _(v: Views):
     rows = v.scored_parts.withColumn("anomaly_percentile", F.floor("anomaly_score").cast("int"))
-    return rows.select("zone", "date", al.anomaly_event_json("anomaly.detected", "pluvia").alias("payload"))
+    shape = (
+        "event string, date string, grid_id string, ml struct<anomaly_score double, anomaly_percentile int>, "
+        "rule struct<score double, risk_level string, recommended_actions array<string>>, hybrid struct<final_risk_score double, risk_level string>, "
+        "metadata struct<model string, model_version string, event_type string>"
+    )
+    p = rows.select("zone", "date", F.from_json(al.anomaly_event_json("anomaly.detected", "pluvia"), shape).alias("p"))
+    fields = F.concat_ws(
+        "|", "p.event", "p.date", "p.grid_id", F.coalesce(F.col("p.rule.score").cast("string"), F.lit("null")),
+        F.size("p.rule.recommended_actions").cast("string"), F.coalesce("p.hybrid.risk_level", F.lit("null")),
+        "p.metadata.model", "p.metadata.model_version", "p.metadata.event_type",
+    )
+    return p.select("zone", "date", F.col("p.ml.anomaly_score").alias("score"), F.col("p.ml.anomaly_percentile").alias("percentile"), fields.alias("fields"))

@@ -55,9 +55,14 @@ def top_with_fallback(df: DataFrame, preferred: Column, score: str, ties: Sequen
     return best.withColumn("_any", seen).filter(F.col("_pref") == F.col("_any")).drop("_pref", "_any")
 
 
-def latest_rows(df: DataFrame, date: str = "date") -> DataFrame:
-    """rows of the newest date; the maximum is a scalar subquery that reads the date column only."""
-    return df.filter(F.col(date) == df.agg(F.max(date)).scalar())
+def latest_rows(df: DataFrame, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
+    """rows of the newest date; the maximum is a scalar subquery that reads the date column only.
+
+    Column pruning stops at Python stages: give `dates`, a frame from before such a stage
+    with the same dates, and the subquery does not repeat it.
+    """
+    source = df if dates is None else dates
+    return df.filter(F.col(date) == source.agg(F.max(date)).scalar())
 
 
 def top_dates_text(df: DataFrame, score: str, zone="zone", date="date", k: int = 3) -> DataFrame:
