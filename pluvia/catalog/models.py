@@ -49,38 +49,46 @@ def _(v: Views):
     return features.feature_matrix(joins.static_join(rows, v.zones))
 
 
+def prepared(v: Views):
+    events = joins.expand_dates(v.event_range.filter("price > 499500"))
+    return features.prepare(v.rain_features.select(*KEYS, *RAIN), events, F.year("date") < 2000, RAIN)
+
+
+@query(
+    "M01_prepared_matrix",
+    """WITH e AS (SELECT DISTINCT CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM event_range WHERE price > 499500),
+    f AS (SELECT zone, date, rainfall_1d, rainfall_7d, rainfall_30d, year(date) < 2000 AND NOT EXISTS (SELECT 1 FROM e WHERE e.d BETWEEN r.date - 3 AND r.date + 3) AS is_fit FROM rain_features r),
+    m AS (SELECT quantile_cont(rainfall_1d, 0.5) AS a, quantile_cont(rainfall_7d, 0.5) AS b, quantile_cont(rainfall_30d, 0.5) AS c FROM f WHERE is_fit)
+    SELECT zone, date, coalesce(rainfall_1d, a) AS rainfall_1d, coalesce(rainfall_7d, b) AS rainfall_7d, coalesce(rainfall_30d, c) AS rainfall_30d, is_fit FROM f, m""",
+    ("rain_features", "event_range"),
+)
+def _(v: Views):
+    return prepared(v)
+
+
 def _forest(v: Views):
     """Training rows: before 2000, event days and their buffer left out, gaps filled by training medians."""
 
     def make():
-        rows = v.rain_features.select(*KEYS, *RAIN)
-        events = joins.expand_dates(v.event_range.filter("price > 499500"))
-        fit = F.year("date") < 2000
-        medians = features.training_medians(features.exclude_event_buffer(rows, events), RAIN, fit)
-        fill = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()}
-        train = features.exclude_event_buffer(rows, events).filter(fit).withColumns(fill)
-        return forest.fit(train, RAIN, KEYS), fill
+        return forest.fit(prepared(v).filter("is_fit").drop("is_fit"), RAIN, KEYS)
 
     return _once(v, "forest", make)
 
 
 @query("M02_isolation_forest_nodes")
 def _(v: Views):
-    return _forest(v)[0].nodes
+    return _forest(v).nodes
 
 
 @query("M03_isolation_forest_scores")
 def _(v: Views):
-    model, fill = _forest(v)
-    rows = v.rain_features.select(*KEYS, *RAIN).withColumns(fill)
-    return forest.anomaly_scores(model, rows, KEYS)
+    return forest.anomaly_scores(_forest(v), prepared(v), KEYS)
 
 
 @query("M11_score_direction")
 def _(v: Views):
-    model, fill = _forest(v)
-    held_out = v.rain_features.select(*KEYS, *RAIN).filter(F.year("date") >= 2000).withColumns(fill)
-    rho = spearman(model.score(held_out, "raw"), "raw", "rainfall_7d")
+    held_out = prepared(v).filter(F.year("date") >= 2000)
+    rho = spearman(_forest(v).score(held_out, "raw"), "raw", "rainfall_7d")
     return rho.withColumn("direction_ok", F.col("spearman") > 0.5)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pluvia import fixed_values as fv
 from pluvia.catalog.base import Views, query
 from pluvia.functions import calendar as cal
 from pluvia.functions import classify as cls
@@ -197,9 +198,10 @@ def _(v: Views):
     ("zones",),
 )
 def _(v: Views):
-    cells = rank.global_position(v.zones.select("lat", "lon").distinct(), ["lat", "lon"], "p")
-    # three digits hold 999 cells; the width grows so ids stay sortable on a large grid
-    return cells.select("lat", "lon", F.concat(F.lit("CELL_"), F.lpad((F.col("p") + 1).cast("string"), 8, "0")).alias("cell_id"))
+    # three digits hold 999 cells; eight keep the ids sortable on a large grid
+    from pluvia.operators.spatial import stable_cell_ids
+
+    return stable_cell_ids(v.zones, "CELL_", 8)
 
 
 # -------------------------------------------------------------- projections
@@ -331,11 +333,15 @@ def _(v: Views):
 
 @query(
     "P18_anomaly_status",
-    "SELECT zone, date, anomaly_score, CASE WHEN anomaly_score >= 75 THEN 'HIGH ANOMALY' ELSE 'NORMAL/MODERATE ANOMALY' END AS status FROM scored",
+    f"""SELECT zone, date, anomaly_score, CASE WHEN anomaly_score >= 75 THEN 'HIGH ANOMALY' ELSE 'NORMAL/MODERATE ANOMALY' END AS status,
+      'Anomaly|' || strftime(date, '%Y-%m-%d') || '|' || zone || '|' || CASE WHEN anomaly_score >= 75 THEN 'HIGH ANOMALY' ELSE 'NORMAL/MODERATE ANOMALY' END || '|{fv.ANOMALY_MESSAGE}|{fv.ANOMALY_DISCLAIMER}' AS message FROM scored""",
     ("scored",),
 )
 def _(v: Views):
-    return v.scored_parts.select("zone", "date", "anomaly_score", cls.anomaly_status(F.col("anomaly_score")).alias("status"))
+    rows = v.scored_parts.withColumn("anomaly_percentile", F.floor("anomaly_score").cast("int"))
+    m = cls.anomaly_message("Anomaly")
+    text = F.concat_ws("|", *[m[k] for k in ("title", "date", "grid", "status", "message", "disclaimer")])
+    return rows.select("zone", "date", "anomaly_score", cls.anomaly_status(F.col("anomaly_score")).alias("status"), text.alias("message"))
 
 
 # -------------------------------------------------------------- aggregates

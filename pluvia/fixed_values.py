@@ -232,6 +232,13 @@ ADVISORIES = {
     "CRITICAL": "Stay indoors if safe, avoid flooded areas, and follow emergency advisories.",
 }
 
+# Anomaly message.
+ANOMALY_MESSAGE = (
+    "Hydro-meteorological conditions are unusually anomalous for this location. Awaiting rule-engine "
+    "vulnerability assessment before issuing a final flood-risk classification."
+)
+ANOMALY_DISCLAIMER = "ML anomaly status only - NOT a flood warning and NOT official flood risk."
+
 # Public message templates. {brand}, {zone} and {authority} are parameters.
 PUBLIC_TEMPLATES = {
     "LOW": {

@@ -102,6 +102,20 @@ def anomaly_status(score: Column, cut: float = 75.0) -> Column:
     return F.when(score >= cut, F.lit("HIGH ANOMALY")).otherwise(F.lit("NORMAL/MODERATE ANOMALY"))
 
 
+def anomaly_message(title: str) -> Column:
+    """Message of a row with date, zone, anomaly_score and anomaly_percentile."""
+    return F.struct(
+        F.lit(title).alias("title"),
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.col("zone").alias("grid"),
+        F.col("anomaly_score"),
+        F.col("anomaly_percentile"),
+        anomaly_status(F.col("anomaly_score")).alias("status"),
+        F.lit(fv.ANOMALY_MESSAGE).alias("message"),
+        F.lit(fv.ANOMALY_DISCLAIMER).alias("disclaimer"),
+    )
+
+
 def wetness_proxy(slope_deg: Column) -> Column:
     """ln(50 / tan(max(slope, 0.15)))."""
     floor = F.when(slope_deg.isNotNull(), F.greatest(slope_deg, F.lit(0.15)))

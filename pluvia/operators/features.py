@@ -34,6 +34,19 @@ def exclude_event_buffer(df: DataFrame, event_days: DataFrame, days: int = fv.EV
     return df.join(buffer, date, "left_anti")
 
 
+def fit_flag(df: DataFrame, event_days: DataFrame, train: Column, days: int = fv.EVENT_BUFFER_DAYS, date="date") -> DataFrame:
+    """J10 as a flag: is_fit marks training rows outside every event buffer."""
+    around = F.explode(F.sequence(F.date_sub(date, days), F.date_add(date, days)))
+    buffer = event_days.select(date).distinct().select(around.alias(date)).distinct().withColumn("_near", F.lit(True))
+    marked = df.join(buffer, date, "left")
+    return marked.withColumn("is_fit", train & F.col("_near").isNull()).drop("_near")
+
+
+def prepare(df: DataFrame, event_days: DataFrame, train: Column, cols: Sequence[str]) -> DataFrame:
+    """M01 with J10 and D22: fit flag, then gaps of all rows filled by the medians of the fit rows. Runs jobs."""
+    return impute_training_medians(fit_flag(df, event_days, train), cols, F.col("is_fit"))
+
+
 def feature_matrix(df: DataFrame) -> DataFrame:
     """Season sum NULL -> 0 before June only, gauge availability flag, forbidden columns left out."""
     level_mean, level_max = F.col("river_level_daily_mean_m"), F.col("river_level_daily_max_m")

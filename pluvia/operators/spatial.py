@@ -200,3 +200,33 @@ def layer_statistics(segments: DataFrame, tag: str, study: tuple[float, float, f
     )
     covers = (F.col("min_x") <= study[0]) & (F.col("min_y") <= study[1]) & (F.col("max_x") >= study[2]) & (F.col("max_y") >= study[3])
     return agg.withColumn("covers", covers)
+
+
+def require_box_inside(df: DataFrame, box: dict[str, float], lon: str = "lon", lat: str = "lat") -> None:
+    """Fails unless the study box lies inside the extent of the data. Runs a job (four numbers)."""
+    e = df.agg(F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
+    if e[0] is None or box["min_lon"] < e[0] or box["max_lon"] > e[1] or box["min_lat"] < e[2] or box["max_lat"] > e[3]:
+        raise ValueError(f"study box {box} is not inside the data extent {tuple(e)}")
+
+
+def stable_cell_ids(cells: DataFrame, prefix: str, width: int = 3) -> DataFrame:
+    """Ids by (lat, lon) order, zero-padded to at least `width` digits. Runs a job."""
+    from pluvia.operators.rank import global_position
+
+    placed = global_position(cells.select("lat", "lon").distinct(), ["lat", "lon"], "_p")
+    digits = (F.col("_p") + 1).cast("string")
+    padded = F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+    return placed.select("lat", "lon", F.concat(F.lit(prefix), padded).alias("cell_id"))
+
+
+def land_cells(cube: DataFrame, value: str = "rain_mm") -> DataFrame:
+    """Cells of the cube that ever hold a value, i.e. whose mean is known."""
+    return cube.groupBy("lat", "lon").agg(F.count(value).alias("_n")).filter("_n > 0").select("lat", "lon")
+
+
+def site_series(sites: DataFrame, cube: DataFrame, value: str = "rain_mm") -> DataFrame:
+    """Each site takes the daily series of its nearest land cell (lowest lat, lon on ties)."""
+    cells = land_cells(cube, value).select(F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"))
+    near = nearest_point(sites, "site", cells, "lon", "lat", "grid_lon", "grid_lat", ("grid_lat", "grid_lon")).drop("d2")
+    daily = cube.select("date", F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"), value)
+    return daily.join(near, ["grid_lat", "grid_lon"])

@@ -173,14 +173,15 @@ def zone_days(days: DataFrame) -> DataFrame:
     return per_day.join(stations, "zone", "left")
 
 
-def station_profile(readings: DataFrame, box: dict[str, float], near_km: float = 15.0, corners_only: bool = True) -> DataFrame:
-    """First position, counts, span and level statistics per station, distance to the box."""
+def station_profile(readings: DataFrame, box: dict[str, float], near_km: float = 15.0, corners_only: bool = True, texts: Sequence[str] = ()) -> DataFrame:
+    """First position and text fields, counts, span and level statistics per station, distance to the box."""
     from pluvia.functions.geo import km_to_box
 
     first = lambda c: F.min_by(c, F.struct("ts", "event_id")).alias(c)
     agg = readings.groupBy("station").agg(
         first("lon"),
         first("lat"),
+        *[F.min_by(F.trim(c), F.struct("ts", "event_id")).alias(c) for c in texts],
         F.count(F.lit(1)).alias("n_records"),
         F.min("ts").alias("time_start"),
         F.max("ts").alias("time_end"),
@@ -244,9 +245,9 @@ def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def category_distribution(df: DataFrame, category: str) -> DataFrame:
-    """The share window runs over one row per category."""
+    """D20."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("pct", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,3 +77,9 @@ def quality_summary(profile: DataFrame) -> DataFrame:
         status("negative_count", "FAILED").alias("negatives"),
         status("missing_values", "WARNING").alias("missing"),
     )
+
+
+def write_card(spark: SparkSession, card: dict, path: str) -> None:
+    """A model or run card as one small JSON document."""
+    text = json.dumps(card, default=str, sort_keys=True)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
