@@ -100,9 +100,7 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
     ).drop("_t")
 
     best_rep = F.min(F.struct("_rx", "_ry")).alias("_rep")
-    frontier = queries.select(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy")).withColumns(
-        {"_tx": F.lit(0).cast("bigint"), "_ty": F.lit(0).cast("bigint")}
-    )
+    frontier = queries.select(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy"))
     finest = placed.groupBy("_tx", "_ty").agg(best_rep)
     for level in range(1, levels + 1):
         step = _FAN ** (levels - level)
@@ -116,9 +114,17 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
         w = Window.partitionBy(key)
         # a hair of slack keeps rounding from dropping the true tile
         near = F.col("_lo") <= F.min("_up").over(w) * (1.0 + 1e-9) + 1e-12
+        if level == 1:
+            # all tiles are children of the root: sixteen at most, handed over as literals
+            first = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("_cx", "_cy", "_rx", "_ry"), r)]) for r in
+                     tiles.select("_cx", "_cy", "_rep._rx", "_rep._ry").collect()]
+            children = frontier.withColumn("_c", F.explode(F.array(*first))).select(
+                key, "_qx", "_qy", "_c._cx", "_c._cy", F.struct("_c._rx", "_c._ry").alias("_rep")
+            )
+        else:
+            children = frontier.join(F.broadcast(tiles) if level <= _SMALL else tiles, ["_tx", "_ty"])
         frontier = (
-            frontier.join(F.broadcast(tiles) if level <= _SMALL else tiles, ["_tx", "_ty"])
-            .withColumns({"_lo": dx * dx + dy * dy, "_up": ux * ux + uy * uy})
+            children.withColumns({"_lo": dx * dx + dy * dy, "_up": ux * ux + uy * uy})
             .withColumn("_near", near)
             .filter("_near")
             .select(key, "_qx", "_qy", F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"))
