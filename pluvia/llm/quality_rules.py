@@ -28,8 +28,10 @@ from pluvia.session import cut_lineage
 FEATURES = {"log_words": 0.5, "log_word_length": 0.12, "symbol_share": 0.06, "dup_line_share": 0.2, "repeat_share": 0.2}
 P = len(FEATURES)
 SCALE = 1000
-#: Quantiles of chi-squared with 5 degrees of freedom at 0.5, 0.975 and 1 - 1e-9.
-CHI2_MEDIAN, CHI2_975, CHI2_FAR = 4.3515, 12.8325, 50.7
+#: Quantiles of chi-squared with 5 degrees of freedom at 0.5, 0.975 and 1 - 1e-6.
+CHI2_MEDIAN, CHI2_975, CHI2_FAR = 4.3515, 12.8325, 35.9
+#: Copies of each group's estimate, so that a group with most of the rows joins in as many tasks.
+SALTS = 32
 SYMBOLS = "#*$%&|<>"
 
 
@@ -149,15 +151,20 @@ def _groups(rows: DataFrame, min_rows: int) -> DataFrame:
     return n.select("lang", "source", F.when(F.col("n") >= min_rows, own).otherwise("").alias("grp"))
 
 
+def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Rows with the estimate of their group. Salted: the rows of a hot group go to many tasks."""
+    return rows.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"])
+
+
 def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
-    """Estimates (lang, source, est) from rows (lang, source, stat). One row per language and source."""
-    usable = stats.where(~F.col("stat")["base_failed"]).select("lang", "source", F.col("stat")["x"].alias("x"))
+    """Estimates (lang, source, est) from rows (lang, source, salt, stat). One row per language and source."""
+    usable = stats.where(~F.col("stat")["base_failed"]).select("lang", "source", "salt", F.col("stat")["x"].alias("x"))
     groups = cut_lineage(_groups(usable, min_rows))
-    rows = usable.join(groups, ["lang", "source"]).select("grp", "x")
+    rows = usable.join(groups, ["lang", "source"]).select("grp", "salt", "x")
 
     # start 1: medians and scaled absolute deviations; start 2: covariance of spatial signs
     med = rows.groupBy("grp").agg(F.array(*[F.expr(f"percentile(x[{i}], 0.5)") for i in range(P)]).alias("med"))
-    off = rows.join(med, "grp").withColumn("off", F.array(*[F.abs(F.col("x")[i] - F.col("med")[i]) for i in range(P)]))
+    off = _with(rows, med).withColumn("off", F.array(*[F.abs(F.col("x")[i] - F.col("med")[i]) for i in range(P)]))
     mad = off.groupBy("grp").agg(F.first("med").alias("med"), F.array(*[F.expr(f"percentile(off[{i}], 0.5)") for i in range(P)]).alias("mad"))
     mad = cut_lineage(mad)
     sd = [F.sqrt((F.col("mad")[i] * 1.4826 / SCALE) ** 2 + t**2) for i, t in enumerate(FEATURES.values())]
@@ -165,7 +172,7 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
     diagonal = F.array(*[sd[i] if i == j else zero for i in range(P) for j in range(i + 1)])
     centre = F.array(*[F.col("med")[i] / SCALE for i in range(P)])
     plain = mad.select("grp", "mad", "med", F.struct(centre.alias("m"), diagonal.alias("l"), zero.alias("det")).alias("a"))
-    signed = rows.join(mad, "grp")
+    signed = _with(rows, mad)
     z = [(F.col("x")[i] - F.col("med")[i]) / SCALE / sd[i] for i in range(P)]
     norm = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
     unit = F.array(*[F.coalesce(F.round(F.try_divide(v, norm) * SCALE), F.lit(0)).cast("bigint") for v in z])
@@ -176,18 +183,18 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
     est = cut_lineage(est)
 
     for _ in range(steps):
-        near = rows.join(est, "grp").select("grp", "x", *[_bin(_distance(F.col("x"), F.col(s))).alias(f"d{s}") for s in "ab"])
+        near = _with(rows, est).select("grp", "salt", "x", *[_bin(_distance(F.col("x"), F.col(s))).alias(f"d{s}") for s in "ab"])
         at = near.groupBy("grp").agg(*[F.ceil(F.expr(f"percentile(d{s}, {h_share})")).alias(f"t{s}") for s in "ab"])
-        sums = near.join(at, "grp").groupBy("grp").agg(*[c for s in "ab" for c in _moment_sums(F.col("x"), F.col(f"d{s}") <= F.col(f"t{s}"), s)])
+        sums = _with(near, at).groupBy("grp").agg(*[c for s in "ab" for c in _moment_sums(F.col("x"), F.col(f"d{s}") <= F.col(f"t{s}"), s)])
         for s in "ab":
             sums = _factor(sums, s, F.lit(1.0), f"e{s}")
         est = cut_lineage(sums.select("grp", F.col("ea").alias("a"), F.col("eb").alias("b")))
 
     # the start with the lesser determinant, made consistent by the median distance, reweighted once
     best = est.select("grp", F.when(F.col("a")["det"] <= F.col("b")["det"], F.col("a")).otherwise(F.col("b")).alias("a"))
-    near = rows.join(best, "grp").select("grp", "x", _bin(_distance(F.col("x"), F.col("a"))).alias("d"))
+    near = _with(rows, best).select("grp", "salt", "x", _bin(_distance(F.col("x"), F.col("a"))).alias("d"))
     at = near.groupBy("grp").agg((_unbin(F.expr("percentile(d, 0.5)")) * (CHI2_975 / CHI2_MEDIAN)).alias("t"))
-    sums = near.join(at, "grp").groupBy("grp").agg(*_moment_sums(F.col("x"), _unbin(F.col("d")) <= F.col("t"), "r"))
+    sums = _with(near, at).groupBy("grp").agg(*_moment_sums(F.col("x"), _unbin(F.col("d")) <= F.col("t"), "r"))
     last = _factor(sums, "r", F.lit(1.0), "est").select("grp", "est")
     return cut_lineage(groups.join(last, "grp", "left").select("lang", "source", "est"))
 
@@ -200,7 +207,8 @@ def judged(stats: DataFrame, estimates: DataFrame, cutoff: float = CHI2_FAR) ->
 
 
 def _keys(row: Column) -> list[Column]:
-    return [F.coalesce(row[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    salt = F.pmod(F.xxhash64(row["doc_id"], row["text"]), F.lit(SALTS)).cast("int").alias("salt")
+    return [*[F.coalesce(row[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], salt]
 
 
 def quality_report(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> DataFrame:
@@ -222,7 +230,7 @@ def keep_good(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> DataFrame
     """The documents that are kept, with their own columns. Texts are judged where they are read, not shuffled."""
     rows = boxed(docs)
     counted = statistics(rows, F.col("row")["text"]).select("row", *_keys(F.col("row")), "stat")
-    estimates = fit(stored(counted.select("lang", "source", "stat"), "quality-statistics"), **options)
+    estimates = fit(stored(counted.select("lang", "source", "salt", "stat"), "quality-statistics"), **options)
     return unboxed(judged(counted, estimates, cutoff).where("kept"), docs.columns)
 
 

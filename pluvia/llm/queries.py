@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pluvia.llm import line_dedup, substring_dedup
 from pluvia.llm.common import table
 from pluvia.llm.quality_rules import quality_report
 
@@ -23,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_line_dedup", line_dedup.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup", substring_dedup.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup_report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
