@@ -51,4 +51,5 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     """Equi-join on keys that may be NULL; the right side's keys go."""
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     on = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
-    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(other, on, how)
+    return joined if how == "left_semi" else joined.drop(*[f"_r_{k}" for k in keys])

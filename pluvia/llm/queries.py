@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pluvia.llm import line_dedup, substring_dedup
 from pluvia.llm.common import table
 from pluvia.llm.quality_rules import quality_report
+from pluvia.llm.simhash_dedup import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_simhash_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
