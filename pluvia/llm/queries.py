@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pluvia.llm import line_dedup, substring_dedup
 from pluvia.llm.common import table
+from pluvia.llm.decontamination import leak_report
+from pluvia.llm.packing import pack_documents
 from pluvia.llm.quality_rules import quality_report
 from pluvia.llm.simhash_dedup import simhash_components
 
@@ -35,6 +38,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op8_simhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
