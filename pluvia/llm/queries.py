@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pluvia.llm import line_dedup, substring_dedup
 from pluvia.llm.common import table
 from pluvia.llm.decontamination import leak_report
+from pluvia.llm.lm_scoring import ctw_scores
 from pluvia.llm.packing import pack_documents
 from pluvia.llm.quality_rules import quality_report
 from pluvia.llm.simhash_dedup import simhash_components
@@ -33,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op3_substring_dedup", substring_dedup.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup_report(table(spark, sf_dir, "documents"))
