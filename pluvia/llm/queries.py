@@ -14,6 +14,7 @@ from pluvia.llm.lm_scoring import ctw_scores
 from pluvia.llm.packing import pack_documents
 from pluvia.llm.quality_rules import quality_report
 from pluvia.llm.simhash_dedup import simhash_components
+from pluvia.llm.suffix_dedup import suffix_dedup_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_report(table(spark, sf_dir, "documents"))
