@@ -12,9 +12,11 @@ from pluvia.llm.common import table
 from pluvia.llm.decontamination import leak_report
 from pluvia.llm.lm_scoring import ctw_scores
 from pluvia.llm.packing import pack_documents
+from pluvia.llm.pii import find_pii
 from pluvia.llm.quality_rules import quality_report
 from pluvia.llm.simhash_dedup import simhash_components
 from pluvia.llm.suffix_dedup import suffix_dedup_report
+from pluvia.llm.warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_warc_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index(table(spark, sf_dir, "pages"))
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
