@@ -17,6 +17,7 @@ import math
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pluvia.llm.common import stored
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 4_000_000
 #: Words a Python worker remembers; a fuller memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Fixed value: the code points with the Unicode property White_Space. str.split() also takes \x1c-\x1f.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -52,9 +53,9 @@ class WordEncoder:
     def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
             n, base = len(self.slot), int(self.ends[len(self.slot) - 1]) if self.slot else 0
             while base + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -68,11 +69,15 @@ class WordEncoder:
         split = [WHITE.split(t) if ODD.search(t) else t.split() for t in texts]
         if len(self.slot) > REMEMBERED:
             self.clear()
-        new = set().union(*split).difference(self.slot)
-        self.learn(sorted(new))
+        slots = [list(map(self.slot.get, words)) for words in split]
+        missing = [k for k, at in enumerate(slots) if None in at]
+        if missing:
+            self.learn(sorted({w for k in missing for w, at in zip(split[k], slots[k]) if at is None}))
+            for k in missing:
+                slots[k] = list(map(self.slot.__getitem__, split[k]))
         out = []
-        for words in split:
-            at = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
+        for found in slots:
+            at = np.array(found, dtype=np.int64)
             ends = self.ends[at]
             starts = np.where(at > 0, self.ends[at - 1], 0)
             sizes = ends - starts
