@@ -73,7 +73,13 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                  'Z' || lpad(CAST(o_custkey % 100 AS VARCHAR), 7, '0') AS zone,
                  68e0 + 0.25e0 * ((o_custkey % 100) // 80) + ((o_orderkey % 7) - 3) / 20e0 AS lon,
                  8e0 + 0.25e0 * ((o_custkey % 100) % 80) + ((o_orderkey % 5) - 2) / 20e0 AS lat
-                 FROM orders WHERE o_totalprice > 495000)""",
+                 FROM orders)""",
+    ),
+    # a sparse log for exclusion windows: one event per nation
+    "storm_days": (
+        (),
+        """storm_days AS (SELECT DISTINCT CAST(unnest(generate_series(s, s + CAST(n_nationkey % 3 AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS d
+             FROM (SELECT n_nationkey, DATE '1995-02-03' + CAST(n_nationkey * 67 AS INTEGER) AS s FROM nation))""",
     ),
     "rain_features": (
         ("zone_day",),
@@ -107,7 +113,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """reports AS (SELECT event_id, 'Z' || lpad(CAST(user_id % 100 AS VARCHAR), 7, '0') AS zone,
                ['WATERLOGGING', 'FLOODING', 'BLOCKED_DRAIN', 'OTHER', 'NOISE'][1 + event_id % 5] AS report_type,
-               CASE WHEN event_id % 11 = 0 THEN '  ' ELSE props END AS description, ts FROM events WHERE event_type = 'error')""",
+               CASE WHEN event_id % 11 = 0 THEN '  ' ELSE props END AS description, ts FROM events)""",
     ),
     "segments": (
         (),
@@ -218,11 +224,17 @@ class Views:
             (F.lit(7.9) + (u % 190) / F.lit(10.0)).alias("lat"),
         )
 
+    @property
+    def storm_range(self) -> DataFrame:
+        k = F.col("n_nationkey")
+        start = F.date_add(F.lit("1995-02-03").cast("date"), (k * 67).cast("int"))
+        return self.table("nation").select(start.alias("start_date"), F.date_add(start, (k % 3).cast("int")).alias("end_date"))
+
     @property
     def event_range(self) -> DataFrame:
         k, c = F.col("o_orderkey"), F.col("o_custkey") % 100
         start = F.col("o_orderdate").cast("date")
-        return self.table("orders").filter("o_totalprice > 495000").select(
+        return self.table("orders").select(
             k.alias("event_id"),
             F.col("o_totalprice").alias("price"),
             start.alias("start_date"),
@@ -264,7 +276,7 @@ class Views:
     @property
     def reports(self) -> DataFrame:
         e = F.col("event_id")
-        return self.table("events").filter("event_type = 'error'").select(
+        return self.table("events").select(
             "event_id",
             zone_id(F.col("user_id") % 100).alias("zone"),
             pick(["WATERLOGGING", "FLOODING", "BLOCKED_DRAIN", "OTHER", "NOISE"], e % 5).alias("report_type"),

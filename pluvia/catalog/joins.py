@@ -40,7 +40,7 @@ def _(v: Views):
     """WITH cells AS (SELECT DISTINCT zone, lon AS clon, lat AS clat FROM zones),
     p AS (SELECT site, zone, (clon - lon) * (clon - lon) + (clat - lat) * (clat - lat) AS d2, clat, clon FROM sites, cells),
     m AS (SELECT site, arg_min(zone, (d2, clat, clon)) AS zone FROM p GROUP BY site)
-    SELECT m.site, date, rain_mm FROM m JOIN zone_day z ON m.zone = z.zone WHERE rain_mm > 64.4""",
+    SELECT m.site, date, rain_mm FROM m JOIN zone_day z ON m.zone = z.zone""",
     ("sites", "zones", "zone_day"),
 )
 def _(v: Views):
@@ -48,8 +48,8 @@ def _(v: Views):
     near = spatial.nearest_point(
         v.sites, "site", cells.drop("zone"), "lon", "lat", "grid_lon", "grid_lat", ("grid_lat", "grid_lon")
     )
-    wet = v.zone_day.filter(F.col("rain_mm") > fv.HEAVY_MM).join(cells, "zone")
-    return near.join(wet, ["grid_lat", "grid_lon"]).select("site", "date", "rain_mm")
+    series = v.zone_day.join(cells, "zone")
+    return near.join(series, ["grid_lat", "grid_lon"]).select("site", "date", "rain_mm")
 
 
 @query(
@@ -111,14 +111,13 @@ def _(v: Views):
 
 @query(
     "J10_event_buffer_exclusion",
-    """WITH e AS (SELECT DISTINCT CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM event_range WHERE price > 499500)
-       SELECT zone, date, rain_mm FROM zone_day z WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.d BETWEEN z.date - 3 AND z.date + 3)""",
-    ("zone_day", "event_range"),
+    """SELECT zone, date, rain_mm FROM zone_day z WHERE NOT EXISTS (SELECT 1 FROM storm_days e WHERE e.d BETWEEN z.date - 3 AND z.date + 3)""",
+    ("zone_day", "storm_days"),
 )
 def _(v: Views):
     from pluvia.operators.features import exclude_event_buffer
 
-    days = joins.expand_dates(v.event_range.filter("price > 499500"))
+    days = joins.expand_dates(v.storm_range)
     return exclude_event_buffer(v.zone_day, days).select("zone", "date", "rain_mm")
 
 

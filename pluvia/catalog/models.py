@@ -50,17 +50,16 @@ def _(v: Views):
 
 
 def prepared(v: Views):
-    events = joins.expand_dates(v.event_range.filter("price > 499500"))
+    events = joins.expand_dates(v.storm_range)
     return features.prepare(v.rain_features.select(*KEYS, *RAIN), events, F.year("date") < 2000, RAIN)
 
 
 @query(
     "M01_prepared_matrix",
-    """WITH e AS (SELECT DISTINCT CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM event_range WHERE price > 499500),
-    f AS (SELECT zone, date, rainfall_1d, rainfall_7d, rainfall_30d, year(date) < 2000 AND NOT EXISTS (SELECT 1 FROM e WHERE e.d BETWEEN r.date - 3 AND r.date + 3) AS is_fit FROM rain_features r),
+    """WITH f AS (SELECT zone, date, rainfall_1d, rainfall_7d, rainfall_30d, year(date) < 2000 AND NOT EXISTS (SELECT 1 FROM storm_days e WHERE e.d BETWEEN r.date - 3 AND r.date + 3) AS is_fit FROM rain_features r),
     m AS (SELECT quantile_cont(rainfall_1d, 0.5) AS a, quantile_cont(rainfall_7d, 0.5) AS b, quantile_cont(rainfall_30d, 0.5) AS c FROM f WHERE is_fit)
     SELECT zone, date, coalesce(rainfall_1d, a) AS rainfall_1d, coalesce(rainfall_7d, b) AS rainfall_7d, coalesce(rainfall_30d, c) AS rainfall_30d, is_fit FROM f, m""",
-    ("rain_features", "event_range"),
+    ("rain_features", "storm_days"),
 )
 def _(v: Views):
     return prepared(v)
@@ -162,8 +161,7 @@ def _(v: Views):
 
 
 def attributed(v: Views):
-    every = raster.every_kth(predictions(v), ["row", "col"], 3)
-    return boosting.attributions(_trees(v), every, PROXY)
+    return boosting.attributions(_trees(v), predictions(v), PROXY)
 
 
 @query("M09_tree_attribution")

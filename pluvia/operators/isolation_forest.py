@@ -39,17 +39,13 @@ def _unit(seed: int, salt: Column, keys: Sequence[str]) -> Column:
 
 
 def tree_samples(df: DataFrame, keys: Sequence[str], trees: int, size: int, seed: int, rows: int) -> DataFrame:
-    """Candidate rows per tree (about twice the sample size), by hash.
+    """Candidate rows per tree (about twice the sample size), by hash of row and tree.
 
-    A large table is thinned once before the rows are matched with trees, so the work per
-    row of the full table is a single hash.
+    Every tree draws from all rows at any size; a row leaves the scan only with the trees that drew it.
     """
-    want = 2.0 * size
-    thin = min(1.0, 4.0 * want * trees / max(rows, 1))
-    kept = df if thin >= 1.0 else df.filter(_unit(seed, F.lit("thin"), keys) < thin)
-    share = min(1.0, want / max(rows * thin, 1.0))
-    spread = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return spread.withColumn("_u", _unit(seed, F.col("tree"), keys)).filter(F.col("_u") < share)
+    share = min(1.0, 2.0 * size / max(rows, 1))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), _unit(seed, t, keys).alias("_u")))
+    return df.select("*", F.inline(F.filter(draws, lambda d: d["_u"] < share)))
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:

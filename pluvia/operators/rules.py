@@ -144,7 +144,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Mapping] = fv.RULES, ladder: Mapp
         )
         hits.append(F.when(condition(df.schema, r["condition"]), item))
     fired = F.array_compact(F.array(*hits))
-    say = lambda t: F.concat(t["rule_id"], F.lit(": "), F.substring(t["condition"], 4, 100000), F.lit(" -> "), t["explanation"])
+    say = lambda t: F.concat(t["rule_id"], F.lit(": "), F.substr(t["condition"], F.lit(4)), F.lit(" -> "), t["explanation"])
     return df.withColumn("triggered_rules", fired).withColumns(
         {
             "recommended_actions": F.col("triggered_rules.action"),
