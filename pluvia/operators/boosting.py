@@ -116,9 +116,7 @@ def attributions(model: GBTClassificationModel, df: DataFrame, cols: Sequence[st
                     phi[:, f] += value * weight * (inside[i] - share)
             yield pdf.assign(**{f"shap_{c}": phi[:, i] for i, c in enumerate(cols)})
 
-    # spread evenly whatever the values: equal feature rows must not meet in one task
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
 def mean_attribution(attributed: DataFrame, cols: Sequence[str], zone: str = "zone") -> DataFrame:

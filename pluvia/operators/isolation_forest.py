@@ -124,8 +124,7 @@ class IsolationForest:
                     total += path.take(at)
                 yield pdf.assign(**{name: np.exp2(-total / len(roots) / norm) - offset})
 
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(tasks, *self.keys).mapInPandas(run, schema)
+        return df.mapInPandas(run, schema)
 
 
 def fit(

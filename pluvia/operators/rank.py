@@ -26,7 +26,8 @@ _ROW_MASK = (1 << 33) - 1
 
 def _fixed_order(df: DataFrame, order: Sequence) -> DataFrame:
     """Sorted rows with (_part, _row), materialised so both survive a lost executor. Runs a job."""
-    marked = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    # a range sort samples its input first: stored, so that what is above runs once
+    marked = cut_lineage(df).orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     stored = cut_lineage(marked)
     return stored.withColumns(
         {"_part": F.shiftright("_id", 33).cast("int"), "_row": F.col("_id").bitwiseAND(_ROW_MASK)}

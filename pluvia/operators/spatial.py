@@ -84,7 +84,8 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
         F.min("_lx"), F.min("_ly"), F.max("_hx"), F.max("_hy"), F.count(F.lit(1))
     ).first()  # five numbers
     if span[4] == 0:
-        return queries.select(key).withColumn("_none", F.lit(None).cast("double"))
+        kinds = {f.name: f.dataType for f in items.schema.fields}
+        return queries.select(key, F.lit(None).cast("double").alias("_d"), *[F.lit(None).cast(kinds[t]).alias(t) for t in tie])
     x0, y0 = span[0], span[1]
     extent = max(span[2] - x0, span[3] - y0, 1e-9) * (1.0 + 1e-9)
     shifted = [F.col("_lx") - x0, F.col("_ly") - y0, F.col("_hx") - x0, F.col("_hy") - y0]
@@ -100,7 +101,7 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
     ).drop("_t")
 
     best_rep = F.min(F.struct("_rx", "_ry")).alias("_rep")
-    frontier = queries.select(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy"))
+    frontier = queries.select(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy")).where("_qx is not null and _qy is not null")
     finest = placed.groupBy("_tx", "_ty").agg(best_rep)
     for level in range(1, levels + 1):
         step = _FAN ** (levels - level)
@@ -131,7 +132,8 @@ def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx
         )
     pairs = frontier.join(placed, ["_tx", "_ty"]).withColumn("_d", distance(F.col("_qx"), F.col("_qy")))
     payload = F.struct("_d", *tie)
-    return pairs.groupBy(key).agg(F.min(payload).alias("_b")).select(key, "_b.*")
+    best = pairs.groupBy(key).agg(F.min(payload).alias("_b")).select(key, "_b.*")
+    return queries.select(key).distinct().join(best, key, "left")  # a query without a place keeps its row
 
 
 def nearest_point(queries: DataFrame, key: str, targets: DataFrame, qx="x", qy="y", tx="x", ty="y", tie=()) -> DataFrame:

@@ -21,25 +21,27 @@ def _ctx(rows, *cases):
     return rows(CTX, *[(D, "z", s, lvl, t, n) for s, lvl, t, n in cases])
 
 
-@pytest.mark.parametrize(
-    "case, priority, words",
-    [
-        ((20.0, "LOW", "STABLE", 0), "ROUTINE", ["routine monitoring"]),
-        ((50.0, "MODERATE", "STABLE", 0), "ELEVATED", ["increased monitoring"]),
-        ((70.0, "HIGH", "STABLE", 0), "HIGH", ["inspection", "deployment readiness", "advisory", "vulnerable"]),
-        ((70.0, "HIGH", "INCREASING", 0), "URGENT", ["rising"]),
-        ((93.0, "CRITICAL", "STRONGLY_INCREASING", 0), "URGENT", ["immediate activation", "emergency resources", "continuous monitoring"]),
-        ((45.0, "MODERATE", "DECREASING", 0), "ELEVATED", ["standard monitoring cycle"]),
-        ((50.0, "MODERATE", "STABLE", 4), "HIGH", ["field verification", "clustered"]),
-        ((50.0, "MODERATE", None, 1), "ELEVATED", ["field verification"]),
-    ],
-)
-def test_scenarios(rows, case, priority, words):
-    r = rl.apply_rules(_ctx(rows, case)).first()
-    text = " ".join(r["recommended_actions"]).lower()
-    assert r["priority"] == priority
-    assert all(w in text for w in words)
-    assert len(r["triggered_rules"]) == len(r["recommended_actions"]) == len(r["explanations"])
+LADDER = ["ROUTINE", "ELEVATED", "HIGH", "URGENT"]
+LEVELS = [(10.0, "LOW"), (45.0, "MODERATE"), (72.0, "HIGH"), (95.0, "CRITICAL")]
+TRENDS = ["STABLE", "INCREASING", "STRONGLY_INCREASING"]
+COUNTS = [0, 1, 3, 8]
+
+
+def test_every_combination(rows):
+    """Without trend or reports a level has its own rung; neither trend nor reports ever lower it."""
+    cases = [(s, level, t, n) for s, level in LEVELS for t in TRENDS for n in COUNTS]
+    got = {}
+    for r in rl.apply_rules(_ctx(rows, *cases)).collect():
+        got[r["risk_level"], r["risk_trend"], r["citizen_reports"]] = LADDER.index(r["priority"])
+        assert len(r["triggered_rules"]) == len(r["recommended_actions"]) == len(r["explanations"])
+        assert len(set(r["triggered_rules"])) == len(r["triggered_rules"])
+    assert len(got) == len(cases)
+    for rung, (_, level) in enumerate(LEVELS):
+        assert got[level, "STABLE", 0] == rung
+        for t in TRENDS:
+            for n, more in zip(COUNTS, COUNTS[1:]):
+                assert got[level, t, n] <= got[level, t, more]
+            assert got[level, t, 0] >= rung
 
 
 def test_null_and_absent_fields(rows):
