@@ -202,8 +202,9 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
 def judged(stats: DataFrame, estimates: DataFrame, cutoff: float = CHI2_FAR) -> DataFrame:
     """Adds `d2` and `kept` to rows (lang, source, stat, ...)."""
     df = stats.join(estimates, ["lang", "source"], "left").withColumn("d2", _distance(F.col("stat")["x"], F.col("est")))
-    far = F.coalesce(F.col("d2") > cutoff, F.lit(False))
-    return df.withColumn("kept", ~F.col("stat")["base_failed"] & ~far).drop("est")
+    # one comparison: a conjunction would be split and the base rules evaluated again below the join
+    reach = F.coalesce(F.when(F.col("stat")["base_failed"], F.lit(float("inf"))).otherwise(F.col("d2")), F.lit(0.0))
+    return df.withColumn("kept", reach <= cutoff).drop("est")
 
 
 def _keys(row: Column) -> list[Column]:
