@@ -196,7 +196,8 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
     at = near.groupBy("grp").agg((_unbin(F.expr("percentile(d, 0.5)")) * (CHI2_975 / CHI2_MEDIAN)).alias("t"))
     sums = _with(near, at).groupBy("grp").agg(*_moment_sums(F.col("x"), _unbin(F.col("d")) <= F.col("t"), "r"))
     last = _factor(sums, "r", F.lit(1.0), "est").select("grp", "est")
-    return cut_lineage(groups.join(last, "grp", "left").select("lang", "source", "est"))
+    # as a file its size is known, so that the join with texts broadcasts it only where it is small
+    return stored(groups.join(last, "grp", "left").select("lang", "source", "est"), "quality-estimates")
 
 
 def judged(stats: DataFrame, estimates: DataFrame, cutoff: float = CHI2_FAR) -> DataFrame:
@@ -228,10 +229,11 @@ def quality_report(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> Data
 
 
 def keep_good(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> DataFrame:
-    """The documents that are kept, with their own columns. Texts are judged where they are read, not shuffled."""
+    """The documents that are kept, with their own columns. Statistics are counted once and stored beside
+    the rows; the fit reads them alone, and texts are judged where they are read, not shuffled."""
     rows = boxed(docs)
-    counted = statistics(rows, F.col("row")["text"]).select("row", *_keys(F.col("row")), "stat")
-    estimates = fit(stored(counted.select("lang", "source", "salt", "stat"), "quality-statistics"), **options)
+    counted = stored(statistics(rows, F.col("row")["text"]).select("row", *_keys(F.col("row")), "stat"), "quality-rows")
+    estimates = fit(counted.select("lang", "source", "salt", "stat"), **options)
     return unboxed(judged(counted, estimates, cutoff).where("kept"), docs.columns)
 
 
