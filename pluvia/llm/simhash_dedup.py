@@ -4,7 +4,8 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
 vantage-point tree, fitted on a bounded sample, deals the distinct fingerprints to shards by
 Hamming distance: d <= mu goes inside, d > mu outside. A fingerprint is owned by one shard and
 also visits every shard that the triangle bounds d <= mu + r and d > mu - r cannot rule out, so
-each pair within the radius meets in the owner's shard of either side. Shards search with local
+each pair within the radius meets in the owner's shard of either side. Crowded shards are cut into
+blocks of bounded size in which their pairs still meet. Shards search with local
 trees under the same bounds and return star edges (fingerprint, least linked fingerprint): links
 are exact, and their number is linear in the rows. Components follow in `links`.
 
@@ -256,7 +257,32 @@ def link_edges(nodes: DataFrame, radius: int, least: float | None = None, shard:
                 )
 
     dealt = nodes.select("node", "fp", "band", "sketch").mapInArrow(deal, "leaf bigint, band bigint, own boolean, node bigint, fp bigint, sketch binary")
-    return dealt.groupBy("leaf", "band").applyInPandas(_shard_edges(radius, least), "a bigint, b bigint")
+    blocks = _blocks(stored(dealt, "shards"), shard)
+    return blocks.groupBy("leaf", "band", "block").applyInPandas(_shard_edges(radius, least), "a bigint, b bigint")
+
+
+def _blocks(dealt: DataFrame, shard: int) -> DataFrame:
+    """Shards with more than twice `shard` rows in blocks of about that many, however crowded the shard is.
+
+    Owned rows fall into parts that ask, all rows into parts that are asked, and a block is one part
+    of either kind, so every pair of the shard still meets in one block.
+    """
+    crowd = dealt.groupBy("leaf", "band").agg(F.count("*").alias("all"), F.count_if("own").alias("own")).where(F.col("all") > 2 * shard)
+    parts = [F.greatest(F.ceil(F.col(c) / shard), F.lit(1)).cast("int").alias(f"{c}_parts") for c in ("own", "all")]
+    crowd = stored(crowd.select("leaf", "band", *parts), "crowded-shards")  # a file of known size: broadcast only where small
+    marked = dealt.join(crowd, ["leaf", "band"], "left").fillna(1, ["own_parts", "all_parts"])
+    asks = F.pmod(F.xxhash64("node"), F.col("own_parts")).cast("int")
+    asked = F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_parts")).cast("int")
+
+    def block(ask, ask_to):
+        return F.struct(ask.alias("ask"), ask_to.alias("asked"))
+
+    as_target = F.transform(F.sequence(F.lit(0), F.col("own_parts") - 1), lambda i: block(i, asked))
+    as_query = F.transform(F.sequence(F.lit(0), F.col("all_parts") - 1), lambda j: block(asks, j))
+    where = F.when(F.col("own"), F.array_union(as_query, as_target)).otherwise(as_target)
+    return marked.select("*", F.explode(where).alias("block")).select(
+        "leaf", "band", "block", (F.col("own") & (F.col("block.ask") == asks)).alias("own"), "node", "fp", "sketch"
+    )
 
 
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:

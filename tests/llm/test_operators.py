@@ -406,3 +406,32 @@ def test_field_labels_a_number_without_its_prefix(spark):
     at = text.index("743-555")
     assert set(base) < set(spans) and (at, 3, at + 12) in spans
     assert not any(text.index("4381") <= a < text.index(" is no") for a, _, _ in spans)
+
+
+def test_crowded_shards_lose_no_link(spark):
+    """One fingerprint and its neighbours crowd a shard: cut into blocks, it links as brute force does."""
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    close = [base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (150, 2))]
+    far = [int(x) for x in rng.integers(1 << 62, size=150)]
+    fps = sorted({base, *close, *far})
+    nodes = spark.createDataFrame([(f, f, 0, None) for f in fps], "node bigint, fp bigint, band int, sketch binary")
+    edges = simhash_dedup.link_edges(nodes, 3, shard=8).collect()
+    up = {f: f for f in fps}
+
+    def head(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    for e in edges:
+        a, b = sorted((head(e["a"]), head(e["b"])))
+        up[b] = a
+    got = {f: head(f) for f in fps}
+    up = {f: f for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if bin(a ^ b).count("1") <= 3:
+                x, y = sorted((head(a), head(b)))
+                up[y] = x
+    assert got == {f: head(f) for f in fps}
