@@ -197,7 +197,8 @@ def _(v: Views):
     return stats.station_summary(station_days(v)).withColumn("mean_level_m", round_to(F.col("mean_level_m"), 6))
 
 
-_REQ = "rq AS (SELECT z.zone, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date FROM zones z)"
+_REQ = """sp AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM gauge),
+    rq AS (SELECT z.zone, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM zones z, sp)"""
 
 
 @query(
@@ -210,8 +211,9 @@ _REQ = "rq AS (SELECT z.zone, CAST(unnest(generate_series(DATE '2024-01-01', DAT
     ("gauge", "zones"),
 )
 def _(v: Views):
-    days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("date")
-    return joins.gauge_status(v.zones.select("zone", days), stats.zone_days(station_days(v)))
+    first, last = (v.gauge.agg(f("ts").cast("date")).scalar() for f in (F.min, F.max))
+    asked = v.zones.select("zone", first.alias("lo"), last.alias("hi")).select("zone", F.explode(F.sequence("lo", "hi")).alias("date"))
+    return joins.gauge_status(asked, stats.zone_days(station_days(v)))
 
 
 @query(

@@ -79,18 +79,51 @@ def _(v: Views):
     return _forest(v).nodes
 
 
+@query(
+    "M02_forest_checks",
+    """WITH f AS (SELECT count(*) AS n FROM rain_features r WHERE year(date) < 2000 AND NOT EXISTS (SELECT 1 FROM storm_days e WHERE e.d BETWEEN r.date - 3 AND r.date + 3))
+       SELECT CAST(t AS INTEGER) AS tree, CAST(least(256, n) AS BIGINT) AS root_size, true AS leaves_add_up, true AS depth_ok FROM f, (SELECT unnest(range(300)) AS t)""",
+    ("rain_features", "storm_days"),
+)
+def _(v: Views):
+    model = _forest(v)
+    root, leaf = F.col("node") == 1, F.col("feature") < 0
+    trees = model.nodes.groupBy("tree").agg(
+        F.sum(F.when(root, F.col("size"))).alias("root_size"),
+        F.sum(F.when(leaf, F.col("size"))).alias("_leaves"),
+        F.max(F.floor(F.log2("node"))).alias("_depth"),
+    )
+    return trees.select("tree", "root_size", (F.col("_leaves") == F.col("root_size")).alias("leaves_add_up"), (F.col("_depth") <= model.limit).alias("depth_ok"))
+
+
 @query("M03_isolation_forest_scores")
 def _(v: Views):
     return forest.anomaly_scores(_forest(v), prepared(v), KEYS)
 
 
-@query("M11_score_direction")
+@query("M03_score_checks", "SELECT zone, date, true AS in_range, true AS int_part_ok FROM zone_day", ("zone_day",))
 def _(v: Views):
+    pct, part = F.col("anomaly_score"), F.col("anomaly_percentile")
+    scores = forest.anomaly_scores(_forest(v), prepared(v), KEYS)
+    return scores.select(*KEYS, pct.between(0.0, 100.0).alias("in_range"), (part == F.floor(pct)).alias("int_part_ok"))
+
+
+def score_direction(v: Views):
     held_out = prepared(v).filter(F.year("date") >= 2000)
     rho = spearman(_forest(v).score(held_out, "raw"), "raw", "rainfall_7d")
     return rho.withColumn("direction_ok", F.col("spearman") > 0.5)
 
 
+@query("M11_score_direction")
+def _(v: Views):
+    return score_direction(v)
+
+
+@query("M11_direction_checks", "SELECT count(*) AS n, true AS in_range FROM zone_day WHERE year(date) >= 2000", ("zone_day",))
+def _(v: Views):
+    return score_direction(v).select("n", F.abs("spearman").between(0.0, 1.0).alias("in_range"))
+
+
 def samples(v: Views):
     """Labelled pixels: distance and built-up share by arithmetic, label by the rule, zone by block."""
     r, c = F.col("row"), F.col("col")
@@ -160,6 +193,16 @@ def _(v: Views):
     return predictions(v).select("row", "col", "zone", "p", "flagged")
 
 
+@query(
+    "M08_prediction_checks",
+    """SELECT "row", col, 'B' || CAST(col // 25 AS VARCHAR) AS zone, true AS p_in_range, true AS flag_ok FROM pixels WHERE z IS NOT NULL""",
+    ("pixels",),
+)
+def _(v: Views):
+    p = F.col("p")
+    return predictions(v).select("row", "col", "zone", p.between(0.0, 1.0).alias("p_in_range"), ((F.col("flagged") == 1) == (p >= 0.5)).alias("flag_ok"))
+
+
 def attributed(v: Views):
     return boosting.attributions(_trees(v), predictions(v), PROXY)
 
@@ -174,6 +217,17 @@ def _(v: Views):
     return metrics.zone_share_rank(boosting.mean_attribution(attributed(v), PROXY))
 
 
+@query(
+    "D32_attribution_counts",
+    """WITH s AS (SELECT 'B' || CAST(col // 25 AS VARCHAR) AS zone FROM pixels WHERE z IS NOT NULL),
+    f AS (SELECT unnest(['elevation_m', 'dist_to_drainage_m', 'builtup_frac_local']) AS factor)
+    SELECT zone, factor, count(*) AS n_samples, true AS mean_ok FROM s, f GROUP BY GROUPING SETS ((zone, factor), (factor))""",
+    ("pixels",),
+)
+def _(v: Views):
+    return boosting.mean_attribution(attributed(v), PROXY).select("zone", "factor", "n_samples", (F.col("mean_abs") >= 0.0).alias("mean_ok"))
+
+
 _GATE = """g AS (SELECT zone, CAST(date AS DATE) AS date FROM (SELECT DISTINCT zone, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS date FROM event_range)),
     gs AS (SELECT count(*) AS positives, count(DISTINCT zone) AS zones, count(DISTINCT year(date)) AS years FROM g), gt AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM g GROUP BY zone)),
     gr AS (SELECT positives, zones, years, CAST(top AS DOUBLE) / positives AS top_share FROM gs, gt)"""

@@ -12,7 +12,7 @@ from pluvia.operators import raster, spatial
 
 # pixel centres at 68 + (col + 0.5)/64 and 30 - (row + 0.5)/64: exact in binary
 GRID = raster.Affine(68.0, 30.0, 1 / 64, 1 / 64)
-COARSE = raster.Affine(68.0, 30.0, 1 / 32, 1 / 32)
+FINE = raster.Affine(68.0, 30.0, 1 / 128, 1 / 128)
 _AT = "68 + (col + 0.5e0) / 64 AS lon, 30 - (\"row\" + 0.5e0) / 64 AS lat"
 _HIT = "lon >= zlon - 0.125e0 AND lon < zlon + 0.125e0 AND lat >= zlat - 0.125e0 AND lat < zlat + 0.125e0"
 _ZZ = "zz AS (SELECT zone, lat AS zlat, lon AS zlon FROM zones)"
@@ -144,8 +144,9 @@ def _(v: Views):
 
 @query(
     "J20_band_stack",
-    """WITH src AS (SELECT "row", col, z, z / 10 AS s FROM pixels WHERE "row" < (SELECT max("row") // 2 FROM pixels) AND col < 50),
-    tg AS (SELECT "row", col, cls, ("row" + 0.5e0) / 2 - 0.5e0 AS fy, (col + 0.5e0) / 2 - 0.5e0 AS fx FROM pixels),
+    """WITH src AS (SELECT "row", col, z, z / 10 AS s FROM pixels),
+    qt AS (SELECT 2 * "row" + q // 2 AS "row", 2 * col + q % 2 AS col, cls FROM pixels, (SELECT CAST(unnest(range(4)) AS INTEGER) AS q)),
+    tg AS (SELECT "row", col, cls, ("row" + 0.5e0) / 2 - 0.5e0 AS fy, (col + 0.5e0) / 2 - 0.5e0 AS fx FROM qt),
     nb AS (SELECT t."row", t.col, CAST(floor(fy) AS INTEGER) + dy AS sr, CAST(floor(fx) AS INTEGER) + dx AS sc,
        (CASE WHEN dx = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) * (CASE WHEN dy = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) AS w
        FROM tg t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)),
@@ -155,11 +156,13 @@ def _(v: Views):
 )
 def _(v: Views):
     p = v.pixels
-    half = p.agg(F.floor(F.max("row") / 2)).scalar()
-    src = p.filter((F.col("row") < half) & (F.col("col") < 50))
-    elev = src.select("row", "col", F.col("z").alias("elevation_m"))
-    slope = src.select("row", "col", (F.col("z") / 10).alias("slope_deg"))
-    out = raster.stack_bands(p, GRID, elev, slope, COARSE, p.select("row", "col", "cls"), GRID)
+    elev = p.select("row", "col", F.col("z").alias("elevation_m"))
+    slope = p.select("row", "col", (F.col("z") / 10).alias("slope_deg"))
+    # every pixel as the coarse source of its four quarters
+    quarters = p.select("row", "col", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q")).select(
+        (F.col("row") * 2 + F.floor(F.col("q") / 2)).cast("int").alias("row"), (F.col("col") * 2 + F.col("q") % 2).cast("int").alias("col")
+    )
+    out = raster.stack_bands(quarters, FINE, elev, slope, GRID, p.select("row", "col", "cls"), GRID)
     return out.withColumns({c: round_to(F.col(c), 6) for c in ("elevation_m", "slope_deg")})
 
 

@@ -10,6 +10,7 @@ from pluvia.functions import calendar as cal
 from pluvia.functions import classify as cls
 from pluvia.functions.numeric import round_to
 from pluvia.operators import rank, series, stats
+from pluvia.operators.correlation import pair_correlations
 
 ZW = "(PARTITION BY zone ORDER BY date"
 
@@ -433,15 +434,18 @@ def _(v: Views):
 
 @query(
     "D09_correlation",
-    """WITH r AS (SELECT CAST(substr(zone, 2) AS BIGINT) % 32 AS g, date, sum(rain_mm) AS s FROM zone_day GROUP BY 1, 2)
-       SELECT a.g AS zone_a, b.g AS zone_b, round_even(corr(a.s, b.s) * 1e9, 0) / 1e9 + 0e0 AS corr FROM r a JOIN r b ON a.date = b.date AND a.g < b.g GROUP BY 1, 2""",
-    ("zone_day",),
-)
-def _(v: Views):
-    from pluvia.catalog.base import zone_number
-
-    groups = v.zone_day.groupBy((zone_number() % 32).alias("zone"), "date").agg(F.sum("rain_mm").alias("rain_mm"))
-    return stats.correlation_pairs(groups).withColumn("corr", round_to(F.col("corr"), 9))
+    """WITH nb AS (SELECT a.zone AS zone_a, b.zone AS zone_b FROM zones a JOIN zones b ON (b.lat = a.lat + 0.25e0 AND b.lon = a.lon) OR (b.lat = a.lat AND b.lon = a.lon + 0.25e0))
+       SELECT zone_a, zone_b, round_even(corr(x.rain_mm, y.rain_mm) * 1e9, 0) / 1e9 + 0e0 AS corr
+       FROM nb LEFT JOIN zone_day x ON x.zone = zone_a LEFT JOIN zone_day y ON y.zone = zone_b AND y.date = x.date GROUP BY 1, 2""",
+    ("zones", "zone_day"),
+)
+def _(v: Views):
+    cell = [F.round((F.col("lat") - 8.0) * 4).cast("int").alias("y"), F.round((F.col("lon") - 68.0) * 4).cast("int").alias("x")]
+    cells = v.zones.select("zone", *cell)
+    step = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.lit(0).alias("x")), F.struct(F.lit(0).alias("y"), F.lit(1).alias("x")))).alias("s")
+    beside = cells.select(F.col("zone").alias("zone_a"), "y", "x", step).select("zone_a", (F.col("y") + F.col("s.y")).alias("y"), (F.col("x") + F.col("s.x")).alias("x"))
+    pairs = beside.join(cells.withColumnRenamed("zone", "zone_b"), ["y", "x"])
+    return pair_correlations(v.zone_day, pairs).withColumn("corr", round_to(F.col("corr"), 9))
 
 
 @query(

@@ -1,55 +1,18 @@
-"""Pairwise correlation from per-task moment matrices."""
+"""Correlation of the series of asked pairs of zones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.operators.rank import global_position
-
-_MOMENTS = "a bigint, b bigint, n double, sx double, sy double, sxx double, syy double, sxy double"
-
-
-def block_correlations(df: DataFrame, value: str, zone: str, date: str, block: int) -> DataFrame:
-    ids = global_position(df.select(zone).distinct(), [zone], "_i").select(zone, "_i")
-    size = ids.count()
-    entry = F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))
-    vectors = df.join(ids, zone).groupBy(date).agg(F.collect_list(entry).alias("e")).select("e.i", "e.v")
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for pdf in batches:
-            for i, v in zip(pdf["i"], pdf["v"]):
-                row = np.full(size, np.nan)
-                row[i] = np.asarray(v, dtype="float64")
-                rows.append(row)
-        if not rows:
-            return
-        x = np.vstack(rows)
-        known = ~np.isnan(x)
-        x, m = np.where(known, x, 0.0), known.astype("float64")
-        for i in range(0, size, block):
-            xi, mi = x[:, i : i + block], m[:, i : i + block]
-            for j in range(i, size, block):
-                xj, mj = x[:, j : j + block], m[:, j : j + block]
-                a, b = np.meshgrid(np.arange(i, i + xi.shape[1]), np.arange(j, j + xj.shape[1]), indexing="ij")
-                keep = (a < b).ravel()
-                parts = [mi.T @ mj, xi.T @ mj, mi.T @ xj, (xi * xi).T @ mj, mi.T @ (xj * xj), xi.T @ xj]
-                cols = [a, b, *parts]
-                names = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"]
-                yield pd.DataFrame({k: c.ravel()[keep] for k, c in zip(names, cols)})
+def pair_correlations(df: DataFrame, pairs: DataFrame, value="rain_mm", zone="zone", date="date") -> DataFrame:
+    """Pearson correlation of each pair (zone_a, zone_b) over the dates where both have a value.
 
-    sums = vectors.mapInPandas(moments, _MOMENTS).groupBy("a", "b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov = n * F.col("sxy") - sx * sy
-    var = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
-    corr = F.when(var > 0, cov / F.sqrt(var))
-    names_a = ids.select(F.col("_i").alias("a"), F.col(zone).alias("zone_a"))
-    names_b = ids.select(F.col("_i").alias("b"), F.col(zone).alias("zone_b"))
-    return sums.withColumn("corr", corr).join(names_a, "a").join(names_b, "b").select("zone_a", "zone_b", "corr")
+    The series is joined to the pairs on zone and on (zone, date), so output and work grow with
+    the pairs asked for. Pairs without common values or without variance get NULL.
+    """
+    a = df.select(F.col(zone).alias("zone_a"), F.col(date).alias("_d"), F.col(value).alias("_x"))
+    b = df.select(F.col(zone).alias("zone_b"), F.col(date).alias("_d"), F.col(value).alias("_y"))
+    both = pairs.select("zone_a", "zone_b").join(a, "zone_a", "left").join(b, ["zone_b", "_d"], "left")
+    return both.groupBy("zone_a", "zone_b").agg(F.corr("_x", "_y").alias("corr"))

@@ -100,11 +100,7 @@ class IsolationForest:
         return split, cut, child, path, roots
 
     def score(self, df: DataFrame, name: str = "isolation") -> DataFrame:
-        """2^(-E[h]/c(sample)), higher is more anomalous; minus the stored offset when set.
-
-        Scoring is the costly part, so rows are spread evenly over all shuffle partitions
-        first: they arrive from windows that AQE may have packed into a few tasks.
-        """
+        """2^(-E[h]/c(sample)), higher is more anomalous; minus the stored offset when set."""
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast(self._arrays())
         cols, limit, norm, offset = self.cols, self.limit, float(average_path(self.sample)), self.offset or 0.0

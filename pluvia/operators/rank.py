@@ -9,9 +9,9 @@ third of the table is a single row here.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -142,6 +142,24 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return picked.select("column", "prob", "n", value.alias("value"))
 
 
+def _expanding_counts(v: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Per value, how many earlier ones are below it and how many are not above it.
+
+    A block of values is looked up in the sorted earlier blocks; inside the block one small
+    comparison matrix decides.
+    """
+    below, upto = np.zeros(len(v), dtype="int64"), np.zeros(len(v), dtype="int64")
+    seen = v[:0]
+    for start in range(0, len(v), block):
+        part = v[start : start + block]
+        earlier = np.tri(len(part), k=-1, dtype=bool)
+        end = start + len(part)
+        below[start:end] = np.searchsorted(seen, part, "left") + ((part[None, :] < part[:, None]) & earlier).sum(axis=1)
+        upto[start:end] = np.searchsorted(seen, part, "right") + ((part[None, :] <= part[:, None]) & earlier).sum(axis=1)
+        seen = np.sort(np.concatenate([seen, part]), kind="stable")
+    return below, upto
+
+
 def expanding_percentile(df: DataFrame, value: str, zone="zone", date="date", out="temporal_intensity") -> DataFrame:
     """Average-rank percentile of the value among the zone's values up to that day; NULL counts as 0.
 
@@ -153,12 +171,8 @@ def expanding_percentile(df: DataFrame, value: str, zone="zone", date="date", ou
 
     def per_zone(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, sort_keys=[(date, "ascending")]))
-        seen: list[float] = []
-        pct = []
-        for v in pc.fill_null(table[value], 0.0).to_numpy().tolist():
-            below, upto = bisect_left(seen, v), bisect_right(seen, v)
-            seen.insert(upto, v)
-            pct.append((below + upto + 2) / 2.0 / len(seen) * 100.0)
+        below, upto = _expanding_counts(pc.fill_null(table[value], 0.0).to_numpy())
+        pct = (below + upto + 2) / 2.0 / np.arange(1, len(below) + 1) * 100.0
         return table.append_column(out, pa.array(pct, pa.float64()))
 
     return df.groupBy(zone).applyInArrow(per_zone, schema).withColumn(out, round_to(F.col(out), 2))

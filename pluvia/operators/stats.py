@@ -358,15 +358,3 @@ def dashboard_kpis(df: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL")).alias("active_alerts"),
         F.max_by("zone", F.struct("risk_score", "zone")).alias("top_zone"),
     )
-
-
-def correlation_pairs(df: DataFrame, value="rain_mm", zone="zone", date="date", block: int = 512) -> DataFrame:
-    """Pearson per zone pair (zone_a < zone_b), aligned by date.
-
-    The result itself has one row per pair. No row pair is ever emitted: each
-    date becomes one vector over zones, every task turns its share of the dates into moment
-    matrices block by block, and the per-task matrices are added up by (zone_a, zone_b).
-    """
-    from pluvia.operators.correlation import block_correlations
-
-    return block_correlations(df, value, zone, date, block)
