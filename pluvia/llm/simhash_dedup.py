@@ -27,11 +27,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import boxed, null_safe, stored, unboxed
+from pluvia.llm.common import boxed, stored, unboxed
 from pluvia.llm.links import components
 from pluvia.session import cut_lineage
 
@@ -298,54 +299,98 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataF
     return seen.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _leaders(size: int, similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, np.ndarray]] = []
+def _leaders(size: int, similarity: float, gone: bool):
+    """Rows of a bounded part that lead, by (doc_id, body); with `gone`, those that do not."""
+
+    def run(part: pa.Table) -> pa.Table:
+        order = pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("body", "ascending")], null_placement="at_start")
+        part = part.take(order)
+        heads: list[np.ndarray] = []
         lead = []
-        pdf = pdf.sort_values(["doc_id", "mark"], kind="stable")
-        for at, text in enumerate(pdf["text"]):
-            own = np.unique(shingle_hashes(word_bytes(text), size))
-            found = -1
-            for k, (_, head) in enumerate(heads):
-                if similarity * max(len(own), len(head)) <= min(len(own), len(head)):
-                    common = len(np.intersect1d(own, head, assume_unique=True))
-                    if common >= similarity * (len(own) + len(head) - common):
-                        found = k
-                        break
-            if found < 0:
-                heads.append((at, own))
-            lead.append(found < 0)
-        return pdf[lead]
+        for text in part.column("text"):
+            own = np.unique(shingle_hashes(word_bytes(text.as_py()), size))
+            lead.append(not any(_alike(own, head, similarity) for head in heads))
+            if lead[-1]:
+                heads.append(own)
+        rows = part.filter(np.array(lead) != gone)
+        return rows.select(["doc_id", "body"] if gone else ["label", "parts", "doc_id", "body", "text"])
 
     return run
 
 
-def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 12, salts: int = 16) -> DataFrame:
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (doc_id, body) that are not in `gone`; keys as structs, in which NULL equals NULL."""
+    key = F.struct("doc_id", "body").alias("key")
+    return rows.select(key).join(gone.select(key), "key", "left_anti").select("key.*")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if similarity * max(len(a), len(b)) > min(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _thinned(members: DataFrame, kind: str, size: int, similarity: float, part: int) -> DataFrame:
+    """(doc_id, body) of the leaders among members (label, parts, doc_id, body, text) of the groups.
+
+    No task holds more than some `part` rows of a group. A group of several parts is thinned part by
+    part and dealt anew while that at least halves what is left. What resists, a group of many
+    different texts, is compared in blocks of two parts, so that all its pairs still meet.
+    """
+    key, columns = f"doc_id {kind}, body bigint", f"label bigint, parts int, doc_id {kind}, body bigint, text string"
+    deal = lambda turn: F.pmod(F.xxhash64("doc_id", "body", F.lit(turn)), F.col("parts")).cast("int")
+    settled, left, turn = [], members, 0
+    before = None
+    while True:
+        led = left.withColumn("at", deal(turn)).groupBy("label", "at").applyInArrow(_leaders(size, similarity, False), columns)
+        led = stored(led, "leaders")
+        settled.append(led.where("parts = 1").select("doc_id", "body"))
+        rest = led.where("parts > 1")
+        now = rest.count()
+        if not now:
+            break
+        sizes = stored(rest.groupBy("label").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "group-sizes")
+        left = rest.drop("parts").join(sizes, "label")
+        turn += 1
+        if before is not None and 2 * now > before:
+            mine, other = deal(turn), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            met = left.select("*", mine.alias("mine"), other.alias("other"))
+            met = met.select("label", "doc_id", "body", "text", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+            gone = met.groupBy("label", "low", "high").applyInArrow(_leaders(size, similarity, True), key).distinct()
+            settled.append(_without(rest.select("doc_id", "body"), gone))
+            break
+        before = now
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out
+
+
+def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 12, part: int = 512) -> DataFrame:
     """The documents with their own columns, one of each group of near copies.
 
-    Groups are candidate components; inside one, taken by doc_id, a document goes when its shingle
-    set has the similarity with a document that stays. Large groups are thinned in salted parts
-    first and then as wholes. Documents with equal words are one; the least doc_id stays.
+    Groups are candidate components. Inside one, a document goes when its shingle set has the
+    similarity with a document of smaller doc_id; the least doc_id of a group stays, and no two that
+    stay have the similarity. Documents with equal words are one; the least doc_id stays. Rows with
+    the same doc_id and different texts are judged apart; a NULL doc_id comes before all others.
     """
-    rows = boxed(docs)
-    texts = rows.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"))
-    seen = stored(fingerprints(texts, size), "fingerprints")
+    rows = boxed(docs).withColumn("key", F.struct(F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(F.col("row")["text"]).alias("body")))
+    texts = rows.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text"))
+    seen = stored(fingerprints(texts, size).withColumnRenamed("doc_id", "key"), "fingerprints")
     # one document per word sequence, one node per look
     look = F.xxhash64("fp", "n", "sketch")
-    bodies = seen.groupBy("mark", "fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id"))
+    bodies = seen.groupBy("mark", "fp", "n", "sketch").agg(F.min("key").alias("key"))
     bodies = cut_lineage(bodies.withColumn("node", look))
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(similarity)).cast("bigint")
     nodes = bodies.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("band", band)
     labels = components(link_edges(nodes, radius, least=0.5))
     grouped = bodies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    big = grouped.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(grouped.join(big, "label").select("doc_id", "mark", "label", "size"))
-
-    full = texts.join(members.select("doc_id", "label", "mark", "size"), "doc_id").dropDuplicates(["doc_id", "mark"])
-    columns = "label bigint, doc_id {}, mark bigint, text string".format(docs.schema["doc_id"].dataType.simpleString())
-    salted = full.withColumn("salt", F.when(F.col("size") > 200, F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0))
-    first = salted.groupBy("label", "salt").applyInPandas(lambda pdf: _leaders(size, similarity)(pdf)[["label", "doc_id", "mark", "text"]], columns)
-    last = first.groupBy("label").applyInPandas(lambda pdf: _leaders(size, similarity)(pdf)[["label", "doc_id", "mark", "text"]], columns)
-    stay = last.select("doc_id").union(grouped.join(big, "label", "left_anti").select("doc_id")).distinct()
-    out = null_safe(rows.withColumn("doc_id", F.col("row")["doc_id"]), stay, ["doc_id"], "left_semi")
-    return unboxed(out, docs.columns)
+    big = grouped.groupBy("label").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"), F.count("*").alias("size")).where("size > 1")
+    members = cut_lineage(grouped.join(big, "label").select("key", "label", "parts"))
+
+    full = texts.withColumnRenamed("doc_id", "key").join(members, "key").dropDuplicates(["key"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    stay = _thinned(full.select("label", "parts", "key.*", "text"), kind, size, similarity, part)
+    stay = stay.select(F.struct("doc_id", "body").alias("key")).union(grouped.join(big, "label", "left_anti").select("key"))
+    return unboxed(rows.join(stay, "key", "left_semi"), docs.columns)

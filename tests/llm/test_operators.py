@@ -190,6 +190,32 @@ def test_leaders_cover_what_goes(clean):
     assert not any(a < b and like(a, b) for a in kept for b in kept)
 
 
+@pytest.mark.parametrize("drift", [1, 5])
+def test_leaders_of_groups_in_small_parts(spark, drift):
+    """Groups far above the part size: close copies thin out in rounds, a drifting chain needs the blocks of pairs."""
+    words = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(words))
+        words[(i * 37) % 200 : (i * 37) % 200 + drift] = [f"x{i}_{k}" for k in range(drift)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = simhash_dedup.keep_leaders(spark.createDataFrame(rows, "doc_id bigint, text string"), part=4)
+    kept = {r.doc_id for r in got.collect()}
+    sets = [set(simhash_dedup.shingle_hashes(simhash_dedup.word_bytes(t), 5).tolist()) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert 0 in kept and len(kept) < 60
+    assert not any(like(a, b) for a in kept for b in kept if a < b)
+    assert all(any(like(i, j) for j in range(i)) for i in range(60) if i not in kept)
+
+
+def test_leaders_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, text), (None, text + " more"), (3, text + " and more"), (4, None), (4, "another text of its own"), (4, text + " x")]
+    got = simhash_dedup.keep_leaders(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "4", "None"]
+    assert {r.text for r in got if r.doc_id == 4} == {None, "another text of its own"}
+
+
 def test_leaks_match_brute_force(clean, bench):
     words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
