@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import SPACE_CHARS, boxed, let, stored, unboxed, words
-from pluvia.session import cut_lineage
 
 #: Names and tolerances (added to the standard deviation) of the transformed statistics.
 FEATURES = {"log_words": 0.5, "log_word_length": 0.12, "symbol_share": 0.06, "dup_line_share": 0.2, "repeat_share": 0.2}
@@ -127,21 +126,31 @@ def _moment_sums(x: Column, use: Column, tag: str) -> list[Column]:
     return one + first + second
 
 
-def _factor(df: DataFrame, tag: str, scale: Column, out: str) -> DataFrame:
-    """Estimate struct `out` (centre m, Cholesky factor l, log determinant) from moment sums."""
-    n = F.greatest(F.col(f"{tag}n"), F.lit(1))
-    mean = [F.coalesce(F.col(f"{tag}s{i}"), F.lit(0)) / n / SCALE for i in range(P)]
+def _factor(df: DataFrame, **made: tuple[str, float]) -> DataFrame:
+    """Estimate structs (centre m, Cholesky factor l, log determinant) from moment sums: name = (tag of the sums, scale).
+
+    One step per column of the factors, all of them together: few steps keep the plan's analysis short.
+    """
     tolerance = list(FEATURES.values())
-    for i in range(P):
-        for j in range(i + 1):
-            cov = (F.coalesce(F.col(f"{tag}q{i}_{j}"), F.lit(0)) / n / SCALE / SCALE - mean[i] * mean[j]) * scale
-            rest = cov + tolerance[i] ** 2 if i == j else cov
-            for k in range(j):
-                rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
-            df = df.withColumn(f"_l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"_l{j}_{j}"))
-    names = [f"_l{i}_{j}" for i in range(P) for j in range(i + 1)]
-    det = sum((F.log(F.col(f"_l{i}_{i}")) for i in range(1, P)), F.log(F.col("_l0_0")))
-    return df.withColumn(out, F.struct(F.array(*mean).alias("m"), F.array(*map(F.col, names)).alias("l"), det.alias("det"))).drop(*names)
+    mean = lambda tag, i: f"(coalesce({tag}s{i}, 0) / greatest({tag}n, 1) / {SCALE})"
+
+    def rest(tag: str, scale: float, i: int, j: int) -> str:
+        cov = f"(coalesce({tag}q{i}_{j}, 0) / greatest({tag}n, 1) / {SCALE} / {SCALE} - {mean(tag, i)} * {mean(tag, j)}) * {scale!r}D"
+        cov += f" + {tolerance[i] ** 2!r}D" if i == j else ""
+        return cov + "".join(f" - _{tag}{i}_{k} * _{tag}{j}_{k}" for k in range(j))
+
+    for j in range(P):
+        df = df.withColumns({f"_{tag}{j}_{j}": F.expr(f"sqrt(greatest({rest(tag, scale, j, j)}, 1e-9D))") for tag, scale in made.values()})
+        if j + 1 < P:
+            below = [(tag, scale, i) for tag, scale in made.values() for i in range(j + 1, P)]
+            df = df.withColumns({f"_{tag}{i}_{j}": F.expr(f"({rest(tag, scale, i, j)}) / _{tag}{j}_{j}") for tag, scale, i in below})
+    out = []
+    for name, (tag, _) in made.items():
+        centre = ", ".join(mean(tag, i) for i in range(P))
+        factor = ", ".join(f"_{tag}{i}_{j}" for i in range(P) for j in range(i + 1))
+        det = " + ".join(f"ln(_{tag}{i}_{i})" for i in range(P))
+        out.append(F.expr(f"named_struct('m', array({centre}), 'l', array({factor}), 'det', {det})").alias(name))
+    return df.select("grp", *out)
 
 
 def _groups(rows: DataFrame, min_rows: int) -> DataFrame:
@@ -159,14 +168,14 @@ def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
     """Estimates (lang, source, est) from rows (lang, source, salt, stat). One row per language and source."""
     usable = stats.where(~F.col("stat")["base_failed"]).select("lang", "source", "salt", F.col("stat")["x"].alias("x"))
-    groups = cut_lineage(_groups(usable, min_rows))
+    groups = stored(_groups(usable, min_rows), "quality-groups")
     rows = usable.join(groups, ["lang", "source"]).select("grp", "salt", "x")
 
     # start 1: medians and scaled absolute deviations; start 2: covariance of spatial signs
     med = rows.groupBy("grp").agg(F.array(*[F.expr(f"percentile(x[{i}], 0.5)") for i in range(P)]).alias("med"))
     off = _with(rows, med).withColumn("off", F.array(*[F.abs(F.col("x")[i] - F.col("med")[i]) for i in range(P)]))
     mad = off.groupBy("grp").agg(F.first("med").alias("med"), F.array(*[F.expr(f"percentile(off[{i}], 0.5)") for i in range(P)]).alias("mad"))
-    mad = cut_lineage(mad)
+    mad = stored(mad, "quality-deviations")
     sd = [F.sqrt((F.col("mad")[i] * 1.4826 / SCALE) ** 2 + t**2) for i, t in enumerate(FEATURES.values())]
     zero = F.lit(0.0)
     diagonal = F.array(*[sd[i] if i == j else zero for i in range(P) for j in range(i + 1)])
@@ -177,25 +186,23 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
     norm = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
     unit = F.array(*[F.coalesce(F.round(F.try_divide(v, norm) * SCALE), F.lit(0)).cast("bigint") for v in z])
     signs = signed.select("grp", unit.alias("x")).groupBy("grp").agg(*_moment_sums(F.col("x"), F.lit(True), "b"))
-    signs = _factor(signs, "b", F.lit(float(P)), "s").select("grp", "s")
+    signs = _factor(signs, s=("b", float(P)))
     scaled = F.array(*[F.col("s")["l"][i * (i + 1) // 2 + j] * sd[i] for i in range(P) for j in range(i + 1)])
     est = plain.join(signs, "grp").select("grp", "a", F.struct(F.col("a")["m"].alias("m"), scaled.alias("l"), zero.alias("det")).alias("b"))
-    est = cut_lineage(est)
+    est = stored(est, "quality-starts")
 
     for _ in range(steps):
         near = _with(rows, est).select("grp", "salt", "x", *[_bin(_distance(F.col("x"), F.col(s))).alias(f"d{s}") for s in "ab"])
         at = near.groupBy("grp").agg(*[F.ceil(F.expr(f"percentile(d{s}, {h_share})")).alias(f"t{s}") for s in "ab"])
-        sums = _with(near, at).groupBy("grp").agg(*[c for s in "ab" for c in _moment_sums(F.col("x"), F.col(f"d{s}") <= F.col(f"t{s}"), s)])
-        for s in "ab":
-            sums = _factor(sums, s, F.lit(1.0), f"e{s}")
-        est = cut_lineage(sums.select("grp", F.col("ea").alias("a"), F.col("eb").alias("b")))
+        sums = _with(near, stored(at, "quality-halves")).groupBy("grp").agg(*[c for s in "ab" for c in _moment_sums(F.col("x"), F.col(f"d{s}") <= F.col(f"t{s}"), s)])
+        est = stored(_factor(sums, a=("a", 1.0), b=("b", 1.0)), "quality-steps")
 
     # the start with the lesser determinant, made consistent by the median distance, reweighted once
     best = est.select("grp", F.when(F.col("a")["det"] <= F.col("b")["det"], F.col("a")).otherwise(F.col("b")).alias("a"))
     near = _with(rows, best).select("grp", "salt", "x", _bin(_distance(F.col("x"), F.col("a"))).alias("d"))
     at = near.groupBy("grp").agg((_unbin(F.expr("percentile(d, 0.5)")) * (CHI2_975 / CHI2_MEDIAN)).alias("t"))
-    sums = _with(near, at).groupBy("grp").agg(*_moment_sums(F.col("x"), _unbin(F.col("d")) <= F.col("t"), "r"))
-    last = _factor(sums, "r", F.lit(1.0), "est").select("grp", "est")
+    sums = _with(near, stored(at, "quality-reach")).groupBy("grp").agg(*_moment_sums(F.col("x"), _unbin(F.col("d")) <= F.col("t"), "r"))
+    last = _factor(sums, est=("r", 1.0))
     # as a file its size is known, so that the join with texts broadcasts it only where it is small
     return stored(groups.join(last, "grp", "left").select("lang", "source", "est"), "quality-estimates")
 

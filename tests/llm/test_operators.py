@@ -127,7 +127,7 @@ def test_factor_matches_numpy(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(500, 5)) * 1000).astype(int)
     df = spark.createDataFrame([(row.tolist(),) for row in x], "x array<bigint>")
-    e = quality_rules._factor(df.agg(*quality_rules._moment_sums(F.col("x"), F.lit(True), "t")), "t", F.lit(1.0), "est").first().est
+    e = quality_rules._factor(df.groupBy(F.lit(1).alias("grp")).agg(*quality_rules._moment_sums(F.col("x"), F.lit(True), "t")), est=("t", 1.0)).first().est
     cov = np.cov(x.T / 1000, bias=True) + np.diag(np.square(list(quality_rules.FEATURES.values())))
     lower = np.linalg.cholesky(cov)
     assert np.allclose(e.l, lower[np.tril_indices(5)]) and np.allclose(e.m, x.mean(0) / 1000)
