@@ -258,8 +258,7 @@ def _(v: Views):
 )
 def _(v: Views):
     out = boosting.training_decision(metrics.label_gate(_labels(v)), enabled=False, reason="labels not verified")
-    rows = [(out["may_train"], reason) for reason in out["refusal_reasons"]]
-    return v.spark.createDataFrame(rows, "may_train boolean, reason string")
+    return out.select("may_train", F.explode("refusal_reasons").alias("reason"))
 
 
 @query(

@@ -130,9 +130,8 @@ def mean_attribution(attributed: DataFrame, cols: Sequence[str], zone: str = "zo
     return both.select(zone, "factor", (F.col("s") / F.col("n")).alias("mean_abs"), F.col("n").alias("n_samples"))
 
 
-def training_decision(gate: DataFrame, enabled: bool, override: bool = False, reason: str = "") -> dict:
-    """Refusal reasons of the flag and of the label gate; training may run only without any. Reads one row."""
-    row = gate.first()
-    reasons = [] if (enabled or override) else [f"training disabled ({reason})"]
-    reasons += list(row["reasons"])
-    return {"may_train": not reasons, "refusal_reasons": reasons}
+def training_decision(gate: DataFrame, enabled: bool, override: bool = False, reason: str = "") -> DataFrame:
+    """Adds `refusal_reasons` of the flag and of the label gate, and `may_train`, true only without any."""
+    flag = [] if (enabled or override) else [F.lit(f"training disabled ({reason})")]
+    reasons = F.concat(F.array(*flag).cast("array<string>"), F.col("reasons"))
+    return gate.withColumn("refusal_reasons", reasons).withColumn("may_train", F.size("refusal_reasons") == 0)
