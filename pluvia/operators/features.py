@@ -90,7 +90,7 @@ def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25,
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     placed = global_position(hashed, [label, "_h", key], "_p")
     sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_first"))
-    out = placed.join(F.broadcast(sizes), label)  # one row per class
+    out = placed.join(sizes, label)
     return out.withColumn("is_test", F.col("_p") - F.col("_first") < F.floor(F.col("_n") * share)).drop(
         "_h", "_p", "_n", "_first"
     )
