@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import boxed, stored, unboxed
@@ -299,8 +299,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataF
     return seen.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _leaders(size: int, similarity: float, gone: bool):
-    """Rows of a bounded part that lead, by (doc_id, body); with `gone`, those that do not."""
+def _leaders(size: int, similarity: float):
+    """Rows of a bounded part that stay: in order of (doc_id, body), those not similar to one that stays."""
 
     def run(part: pa.Table) -> pa.Table:
         order = pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("body", "ascending")], null_placement="at_start")
@@ -312,16 +312,32 @@ def _leaders(size: int, similarity: float, gone: bool):
             lead.append(not any(_alike(own, head, similarity) for head in heads))
             if lead[-1]:
                 heads.append(own)
-        rows = part.filter(np.array(lead) != gone)
-        return rows.select(["doc_id", "body"] if gone else ["label", "parts", "doc_id", "body", "text"])
+        return part.filter(np.array(lead)).select(["label", "doc_id", "body", "text"])
 
     return run
 
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows (doc_id, body) that are not in `gone`; keys as structs, in which NULL equals NULL."""
-    key = F.struct("doc_id", "body").alias("key")
-    return rows.select(key).join(gone.select(key), "key", "left_anti").select("key.*")
+def _strangers(size: int, similarity: float):
+    """Rows of a bounded part that are similar to none of the leaders dealt to it (`lead`), by an index of the leaders' shingles."""
+
+    def run(part: pa.Table) -> pa.Table:
+        sets = [np.unique(shingle_hashes(word_bytes(t.as_py()), size)) for t in part.filter(pc.field("lead")).column("text")]
+        rows = part.filter(~pc.field("lead"))
+        length = np.array([len(s) for s in sets], dtype=np.int64)
+        shingle = np.concatenate([np.empty(0, np.uint64), *sets])
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], np.repeat(np.arange(len(sets)), length)[order]
+        new = []
+        for text in rows.column("text"):
+            own = np.unique(shingle_hashes(word_bytes(text.as_py()), size))
+            low = np.searchsorted(shingle, own)
+            hits = np.searchsorted(shingle, own, "right") - low
+            at = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            new.append(not (common >= similarity * (length + len(own) - common)).any())
+        return rows.filter(np.array(new, dtype=bool)).select(["label", "doc_id", "body", "text"])
+
+    return run
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -331,36 +347,51 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common)
 
 
-def _thinned(members: DataFrame, kind: str, size: int, similarity: float, part: int) -> DataFrame:
-    """(doc_id, body) of the leaders among members (label, parts, doc_id, body, text) of the groups.
+def _prefixes(keys: DataFrame, part: int) -> DataFrame:
+    """(label, parts, end) of the groups above `part` among (label, doc_id, body): about `part` rows are not after `end`.
+
+    The end is a low quantile of one hash part of the group, so no task sorts a whole group.
+    """
+    wide = keys.groupBy("label").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    wide = stored(wide, "group-sizes")  # a file of known size: broadcast only where small
+    dealt = keys.join(wide, "label").groupBy("label", "parts", _dealt().alias("at")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "body"))).alias("all"))
+    nth = F.least(F.ceil(F.lit(part) / F.col("parts")).cast("int"), F.size("all"))
+    ends = dealt.select("label", "parts", "at", F.get("all", nth - 1).alias("end"))
+    return stored(ends.groupBy("label", "parts").agg(F.min_by("end", "at").alias("end")), "group-ends")
+
+
+def _dealt() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "body"), F.col("parts")).cast("int")
+
+
+def _thinned(members: DataFrame, keys: DataFrame, kind: str, size: int, similarity: float, part: int) -> DataFrame:
+    """(doc_id, body) of the leaders among members (label, doc_id, body, text) of the groups; `keys` are the members without text.
 
-    No task holds more than some `part` rows of a group. A group of several parts is thinned part by
-    part and dealt anew while that at least halves what is left. What resists, a group of many
-    different texts, is compared in blocks of two parts, so that all its pairs still meet.
+    One rule at every size: a row goes if it is similar to a smaller one that stays. A group of up to
+    `part` rows is settled in one task. Of a larger one the first `part` rows or so, which depend on no
+    later row, are settled in a task; what is similar to their leaders goes, in parts of some `part`
+    rows, and the rest is a group of the next round.
     """
-    key, columns = f"doc_id {kind}, body bigint", f"label bigint, parts int, doc_id {kind}, body bigint, text string"
-    deal = lambda turn: F.pmod(F.xxhash64("doc_id", "body", F.lit(turn)), F.col("parts")).cast("int")
-    settled, left, turn = [], members, 0
-    before = None
+    columns = f"label bigint, doc_id {kind}, body bigint, text string"
+    settled, left = [], members
     while True:
-        led = left.withColumn("at", deal(turn)).groupBy("label", "at").applyInArrow(_leaders(size, similarity, False), columns)
-        led = stored(led, "leaders")
-        settled.append(led.where("parts = 1").select("doc_id", "body"))
-        rest = led.where("parts > 1")
-        now = rest.count()
-        if not now:
+        ends = _prefixes(keys, part)
+        wide = ends.count() > 0
+        if wide:
+            left = stored(left.join(ends, "label", "left"), "group-rows")
+            first = F.col("end").isNull() | (F.struct("doc_id", "body") <= F.col("end"))
+        heads = left.where(first) if wide else left
+        heads = stored(heads.groupBy("label").applyInArrow(_leaders(size, similarity), columns), "leaders")
+        settled.append(heads.select("doc_id", "body"))
+        if not wide:
             break
-        sizes = stored(rest.groupBy("label").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "group-sizes")
-        left = rest.drop("parts").join(sizes, "label")
-        turn += 1
-        if before is not None and 2 * now > before:
-            mine, other = deal(turn), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            met = left.select("*", mine.alias("mine"), other.alias("other"))
-            met = met.select("label", "doc_id", "body", "text", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-            gone = met.groupBy("label", "low", "high").applyInArrow(_leaders(size, similarity, True), key).distinct()
-            settled.append(_without(rest.select("doc_id", "body"), gone))
+        asked = left.where(~first).select("label", _dealt().alias("at"), "doc_id", "body", "text", F.lit(False).alias("lead"))
+        told = heads.join(ends, "label").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = asked.union(told.select("label", "at", "doc_id", "body", "text", F.lit(True).alias("lead")))
+        left = stored(met.groupBy("label", "at").applyInArrow(_strangers(size, similarity), columns), "followers")
+        keys = left.select("label", "doc_id", "body")
+        if left.isEmpty():
             break
-        before = now
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
@@ -370,9 +401,9 @@ def _thinned(members: DataFrame, kind: str, size: int, similarity: float, part:
 def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 12, part: int = 512) -> DataFrame:
     """The documents with their own columns, one of each group of near copies.
 
-    Groups are candidate components. Inside one, a document goes when its shingle set has the
-    similarity with a document of smaller doc_id; the least doc_id of a group stays, and no two that
-    stay have the similarity. Documents with equal words are one; the least doc_id stays. Rows with
+    Groups are candidate components. Inside one, whatever its size, a document goes when its shingle
+    set has the similarity with a document of smaller doc_id that stays, and only then; so the least
+    doc_id of a group stays, and no two that stay have the similarity. Documents with equal words are one; the least doc_id stays. Rows with
     the same doc_id and different texts are judged apart; a NULL doc_id comes before all others.
     """
     rows = boxed(docs).withColumn("key", F.struct(F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(F.col("row")["text"]).alias("body")))
@@ -386,11 +417,11 @@ def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     nodes = bodies.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("band", band)
     labels = components(link_edges(nodes, radius, least=0.5))
     grouped = bodies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    big = grouped.groupBy("label").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"), F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(grouped.join(big, "label").select("key", "label", "parts"))
+    big = grouped.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut_lineage(grouped.join(big, "label").select("key", "label"))
 
     full = texts.withColumnRenamed("doc_id", "key").join(members, "key").dropDuplicates(["key"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    stay = _thinned(full.select("label", "parts", "key.*", "text"), kind, size, similarity, part)
+    stay = _thinned(full.select("label", "key.*", "text"), members.select("label", "key.*"), kind, size, similarity, part)
     stay = stay.select(F.struct("doc_id", "body").alias("key")).union(grouped.join(big, "label", "left_anti").select("key"))
     return unboxed(rows.join(stay, "key", "left_semi"), docs.columns)

@@ -461,3 +461,20 @@ def test_crowded_shards_lose_no_link(spark):
                 x, y = sorted((head(a), head(b)))
                 up[y] = x
     assert got == {f: head(f) for f in fps}
+
+
+def test_leaders_do_not_depend_on_the_group_size(spark):
+    """A drifting chain: whoever goes is similar to a smaller document that stays, in parts of 4 as in one part."""
+    rng, words, texts = random.Random(8), [f"w{k}" for k in range(200)], []
+    for i in range(60):
+        texts.append(" ".join(words))
+        words[(i * 37) % 200 : (i * 37) % 200 + 5] = [f"x{i}_{k}" for k in range(5)]
+    rng.shuffle(texts)
+    sets = [set(simhash_dedup.shingle_hashes(simhash_dedup.word_bytes(t), 5).tolist()) for t in texts]
+    want = []
+    for i in range(60):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in want):
+            want.append(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for part in (4, 512):
+        assert sorted(r.doc_id for r in simhash_dedup.keep_leaders(docs, part=part).collect()) == want
