@@ -71,8 +71,11 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, mark, fp, n, sketch) per row: `mark` hashes the words, `n` counts shingles, `sketch` has their least hashes."""
+def fingerprints(docs: DataFrame, size: int, distinct: bool = False) -> DataFrame:
+    """(doc_id, mark, fp, n, sketch) per row: `mark` hashes the words, `n` counts shingles, `sketch` has their least hashes.
+
+    With `distinct`, `fp` and `n` are those of the shingle set; else repeats count.
+    """
 
     def run(batches):
         for batch in batches:
@@ -82,6 +85,7 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
                 for text in part.column(1):
                     words = word_bytes(text.as_py())
                     h = shingle_hashes(words, size)
+                    h = np.unique(h) if distinct else h
                     low = np.unique(np.partition(h, 4 * SKETCH)[: 4 * SKETCH] if len(h) > 4 * SKETCH else h)[:SKETCH]
                     out["mark"].append(xxhash.xxh64_intdigest(b" ".join(words), 42) - (1 << 63))
                     out["fp"].append(simhash(h))
@@ -408,7 +412,7 @@ def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     """
     rows = boxed(docs).withColumn("key", F.struct(F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(F.col("row")["text"]).alias("body")))
     texts = rows.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text"))
-    seen = stored(fingerprints(texts, size).withColumnRenamed("doc_id", "key"), "fingerprints")
+    seen = stored(fingerprints(texts, size, distinct=True).withColumnRenamed("doc_id", "key"), "fingerprints")
     # one document per word sequence, one node per look
     look = F.xxhash64("fp", "n", "sketch")
     bodies = seen.groupBy("mark", "fp", "n", "sketch").agg(F.min("key").alias("key"))

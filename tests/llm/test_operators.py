@@ -478,3 +478,10 @@ def test_leaders_do_not_depend_on_the_group_size(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for part in (4, 512):
         assert sorted(r.doc_id for r in simhash_dedup.keep_leaders(docs, part=part).collect()) == want
+
+
+def test_repeats_inside_a_text_do_not_hide_its_copy(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words + 2 * words[-100:]), " ".join(f"v{k}" for k in range(400))]
+    kept = simhash_dedup.keep_leaders(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
