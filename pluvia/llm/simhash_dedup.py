@@ -13,10 +13,10 @@ Defined results: a text without words, or NULL, has fingerprint zero and links l
 Equal fingerprints are one node however many documents share them. Rows that repeat a doc_id are
 one document if their texts are equal.
 
-`similar_groups` is the form for near copies by word shingles: fingerprints propose (radius 12,
+`keep_leaders` is the form for near copies by word shingles: fingerprints propose (radius 20,
 documents of comparable length, bottom-k sketches that agree in half their values) and an exact
 comparison of shingle sets decides. Random 64-bit fingerprints lie 32 +- 4 bits apart, so bounds
-prune at radius 3 and hardly at radius 12; there the work grows with the square of the documents
+prune at radius 3 and not at radius 20; there the work grows with the square of the documents
 of one length band.
 """
 
@@ -402,7 +402,7 @@ def _thinned(members: DataFrame, keys: DataFrame, kind: str, size: int, similari
     return out
 
 
-def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 12, part: int = 512) -> DataFrame:
+def keep_leaders(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 20, part: int = 512) -> DataFrame:
     """The documents with their own columns, one of each group of near copies.
 
     Groups are candidate components. Inside one, whatever its size, a document goes when its shingle

@@ -485,3 +485,20 @@ def test_repeats_inside_a_text_do_not_hide_its_copy(spark):
     texts = [" ".join(words), " ".join(words + 2 * words[-100:]), " ".join(f"v{k}" for k in range(400))]
     kept = simhash_dedup.keep_leaders(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_copies_at_the_threshold_meet(spark):
+    """Pairs of similarity 0.8 to 0.82, among them many whose fingerprints differ in more than 12 bits."""
+    rng, rows, far = random.Random(11), [], 0
+    while len(rows) < 120:
+        words = [f"w{len(rows)}_{rng.random()}" for _ in range(204)]
+        other = list(words)
+        for k in rng.sample(range(204), 5):
+            other[k] += "x"
+        a, b = (np.unique(simhash_dedup.shingle_hashes(simhash_dedup.word_bytes(" ".join(w)), 5)) for w in (words, other))
+        common = len(np.intersect1d(a, b))
+        if 0.8 <= common / (len(a) + len(b) - common) <= 0.82:
+            far += bin((simhash_dedup.simhash(a) ^ simhash_dedup.simhash(b)) % (1 << 64)).count("1") > 12
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    kept = simhash_dedup.keep_leaders(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert far > 0 and sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
