@@ -34,6 +34,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^ \t-\r]+")
 MARKED = re.compile(r"[^ \t-\r]*[0-9@][^ \t-\r]*")
+#: Lower case of A-Z alone: lengths and offsets stay.
+LOWER = {c: c + 32 for c in range(65, 91)}
 EDGE = " \"'()[]{}<>,;:.!?#*$%&|"
 
 FEATURES, ROUNDS, BELIEF, SKIP = 16_384, 8, 0.6, 3.0
@@ -83,21 +85,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _shape(token: str) -> str:
-    s = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", "a", token[:64]))
+    s = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", "a", token))
     return re.sub(r"a+", "a", s)
 
 
 def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, core) of the labelled tokens, punctuation around them left out."""
     found = [(m.start(), m.group()) for m in MARKED.finditer(text)]
-    names = {text[a:b].split("@")[0].lower() for a, k, b in base if k == 0}
+    names = {text[a:b].split("@")[0].translate(LOWER) for a, k, b in base if k == 0}
     if names:
-        low = text.lower()
+        low = text.translate(LOWER)
         for name in names:
-            at = low.find(name) if len(low) == len(text) else -1
+            at = low.find(name)
             while at >= 0:
                 m = TOKEN.match(text, at)
-                if (not at or text[at - 1].isspace()) and m and m.group().strip(EDGE).lower() == name:
+                if (not at or text[at - 1].isspace()) and m and m.group().strip(EDGE).translate(LOWER) == name:
                     found.append((at, m.group()))
                 at = low.find(name, at + 1)
     out = []

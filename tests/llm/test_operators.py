@@ -502,3 +502,11 @@ def test_copies_at_the_threshold_meet(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
     kept = simhash_dedup.keep_leaders(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert far > 0 and sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
+
+
+def test_letters_that_lower_to_more_do_not_hide_mentions():
+    for lead in ("", "\u0130stanbul: "):
+        text = lead + "Write to Jane.Roe@example.org today; jane.roe will answer."
+        found = [text[a:b] for a, b, _ in pii.tokens_of(text, pii.base_spans(text))]
+        assert found == ["Jane.Roe@example.org", "jane.roe"]
+    assert pii._shape("9" * 70 + "-x") == "9" * 70 + "-a"
