@@ -6,9 +6,10 @@ document. Its local potentials are log-odds of hashed token features, and its ch
 those of neighbouring labels, both counted over all documents against the patterns' labels
 (`FEATURES` counters, whatever the corpus). Tokens of a document that are the same but for
 separators, or end in the same digits, share a skip potential that favours equal labels; each
-occurrence is joined to the next, so edges stay linear. Loopy belief propagation passes messages
-along both kinds of edges; a token whose belief in a label passes `BELIEF` becomes a span, if no
-pattern span touches it. What a pattern found and its checksum or range ruled out is labelled
+occurrence is joined to the next and to the first one of each label that patterns gave, so edges
+stay linear and what a pattern found reaches every mention directly. Loopy belief propagation passes
+messages along both kinds of edges until they change by less than `TOLERANCE`; a token whose belief
+in a label passes `BELIEF` becomes a span, if no pattern span touches it. What a pattern found and its checksum or range ruled out is labelled
 none. A number written without its prefix is so found by its other mentions.
 
 Defined results: a NULL text is empty and has no spans. Offsets are code points, ends exclusive.
@@ -38,7 +39,7 @@ MARKED = re.compile(r"[^ \t-\r]*[0-9@][^ \t-\r]*")
 LOWER = {c: c + 32 for c in range(65, 91)}
 EDGE = " \"'()[]{}<>,;:.!?#*$%&|"
 
-FEATURES, ROUNDS, BELIEF, SKIP = 16_384, 8, 0.6, 3.0
+FEATURES, TOLERANCE, BELIEF, SKIP = 16_384, 1e-3, 0.6, 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -187,15 +188,22 @@ def _beliefs(tokens: list, local: np.ndarray, chain: np.ndarray, fixed: list[int
             score[i] = -30.0
             score[i, max(y, 0)] = 0.0
     edges = [(i, i + 1, 0) for i in range(n - 1)]
+    linked = set()
+    keys = [_keys(core) for _, _, core in tokens]
+    proof: dict[str, dict[int, int]] = {}  # the first mention of a key with each label of a pattern
+    for i, y in enumerate(fixed):
+        if y:
+            for key in keys[i]:
+                proof.setdefault(key, {}).setdefault(y, i)
     last: dict[str, int] = {}
-    for i, (_, _, core) in enumerate(tokens):
-        joined = set()
-        for key in _keys(core):
-            j = last.get(key)
-            if j is not None and j not in joined and j != i:
-                edges.append((j, i, 1))
-                joined.add(j)
+    for i in range(n):
+        for key in keys[i]:
+            near = [last[key]] if key in last else []
+            if not fixed[i]:
+                near += proof.get(key, {}).values()
+            linked.update((min(i, j), max(i, j), 1) for j in near if j != i)
             last[key] = i
+    edges += sorted(linked)
     if not edges:
         p = np.exp(score - score.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -205,7 +213,9 @@ def _beliefs(tokens: list, local: np.ndarray, chain: np.ndarray, fixed: list[int
     pot = np.concatenate([table[kind], table[kind].transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     message = np.zeros((len(source), 5))
-    for _ in range(ROUNDS):
+    step = 0.5
+    # evidence crosses a document of n tokens in n rounds; the bound stops loops that never settle
+    for turn in range(1, 64 + 2 * n):
         belief = score.copy()
         np.add.at(belief, target, message)
         out = belief[source] - message[back]
@@ -213,7 +223,12 @@ def _beliefs(tokens: list, local: np.ndarray, chain: np.ndarray, fixed: list[int
         top = joint.max(1)
         new = top + np.log(np.exp(joint - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        change = np.abs(new - message).max()
+        message += step * (new - message)
+        if change < TOLERANCE:
+            break
+        if turn % 64 == 0:  # loops that swing are damped more
+            step *= 0.75
     belief = score.copy()
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))

@@ -510,3 +510,12 @@ def test_letters_that_lower_to_more_do_not_hide_mentions():
         found = [text[a:b] for a, b, _ in pii.tokens_of(text, pii.base_spans(text))]
         assert found == ["Jane.Roe@example.org", "jane.roe"]
     assert pii._shape("9" * 70 + "-x") == "9" * 70 + "-a"
+
+
+def test_field_carries_evidence_to_every_mention():
+    """Potentials that say nothing: only the number with its prefix, first or last, tells what the others are."""
+    mentions = [(20 * i, 20 * i + 12, "743-555-3824") for i in range(1, 31)]
+    for at, tokens in ((0, [(0, 17, "+1-743-555-3824"), *mentions]), (30, [*mentions, (700, 717, "+1-743-555-3824")])):
+        fixed = [4 if i == at else 0 for i in range(31)]
+        p = pii._beliefs(tokens, np.zeros((pii.FEATURES + 1, 5)), np.zeros((5, 5)), fixed)
+        assert (p.argmax(1) == 4).all() and p[:, 4].min() >= pii.BELIEF
