@@ -29,6 +29,8 @@ P = len(FEATURES)
 SCALE = 1000
 #: Quantiles of chi-squared with 5 degrees of freedom at 0.5, 0.975 and 1 - 1e-6.
 CHI2_MEDIAN, CHI2_975, CHI2_FAR = 4.3515, 12.8325, 35.9
+#: The cutoff, near the quantile at 1 - 1e-3: on labelled documents no good one lies above it and every bad one does (README).
+CUTOFF = 20.5
 #: Copies of each group's estimate, so that a group with most of the rows joins in as many tasks.
 SALTS = 32
 SYMBOLS = "#*$%&|<>"
@@ -207,7 +209,7 @@ def fit(stats: DataFrame, h_share: float = 0.75, steps: int = 3, min_rows: int =
     return stored(groups.join(last, "grp", "left").select("lang", "source", "est"), "quality-estimates")
 
 
-def judged(stats: DataFrame, estimates: DataFrame, cutoff: float = CHI2_FAR) -> DataFrame:
+def judged(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Adds `d2` and `kept` to rows (lang, source, stat, ...)."""
     df = stats.join(estimates, ["lang", "source"], "left").withColumn("d2", _distance(F.col("stat")["x"], F.col("est")))
     # one comparison: a conjunction would be split and the base rules evaluated again below the join
@@ -220,7 +222,7 @@ def _keys(row: Column) -> list[Column]:
     return [*[F.coalesce(row[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], salt]
 
 
-def quality_report(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> DataFrame:
+def quality_report(docs: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
     """One row per document: base counts, base verdict, distance and final verdict."""
     rows = boxed(docs)
     narrow = statistics(rows, F.col("row")["text"]).select(F.col("row")["doc_id"].alias("doc_id"), *_keys(F.col("row")), "stat")
@@ -235,7 +237,7 @@ def quality_report(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> Data
     )
 
 
-def keep_good(docs: DataFrame, cutoff: float = CHI2_FAR, **options) -> DataFrame:
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
     """The documents that are kept, with their own columns. Statistics are counted once and stored beside
     the rows; the fit reads them alone, and texts are judged where they are read, not shuffled."""
     rows = boxed(docs)

@@ -519,3 +519,9 @@ def test_field_carries_evidence_to_every_mention():
         fixed = [4 if i == at else 0 for i in range(31)]
         p = pii._beliefs(tokens, np.zeros((pii.FEATURES + 1, 5)), np.zeros((5, 5)), fixed)
         assert (p.argmax(1) == 4).all() and p[:, 4].min() >= pii.BELIEF
+
+
+def test_quality_tells_labelled_documents_apart(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = quality_rules.quality_report(docs).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    assert {r.quality for r in got} == {0, 1} and all(r.kept == (r.quality == 1) for r in got)
