@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvia.llm import line_dedup, substring_dedup
+from pluvia.llm import line_dedup, spelling, substring_dedup
 from pluvia.llm.common import table
 from pluvia.llm.decontamination import leak_report
 from pluvia.llm.lm_scoring import ctw_scores
@@ -80,3 +80,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", spelling.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
