@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvia.llm import line_dedup, spelling, substring_dedup
+from pluvia.llm import divergence, line_dedup, spelling, substring_dedup, url_filters
 from pluvia.llm.common import table
 from pluvia.llm.decontamination import leak_report
 from pluvia.llm.lm_scoring import ctw_scores
@@ -85,3 +85,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants", spelling.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filters", url_filters.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_divergence_audit", divergence.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
