@@ -57,11 +57,12 @@ def _(v: Views):
 
 @query(
     "E16_focal_fraction",
-    """WITH a AS (SELECT "row", col, sum(CASE WHEN cls = 50 THEN 1 ELSE 0 END) OVER (PARTITION BY "row" ORDER BY col RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING) AS b,
-        sum(CASE WHEN cls <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY "row" ORDER BY col RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING) AS v FROM pixels),
-    c AS (SELECT "row", col, CAST(sum(b) OVER (PARTITION BY col ORDER BY "row" RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING) AS DOUBLE) AS b,
-        CAST(sum(v) OVER (PARTITION BY col ORDER BY "row" RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING) AS DOUBLE) AS v FROM a)
-    SELECT "row", col, CASE WHEN v > 0 THEN b / v END AS fraction FROM c""",
+    """WITH e AS (SELECT min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM pixels),
+    s AS (SELECT y AS "row", x AS col FROM e, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS y), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS x)),
+    d AS (SELECT s."row", s.col, CASE WHEN cls = 50 THEN 1 ELSE 0 END AS b, CASE WHEN cls <> 0 THEN 1 ELSE 0 END AS v FROM s LEFT JOIN pixels p ON p."row" = s."row" AND p.col = s.col),
+    a AS (SELECT "row", col, sum(b) OVER w AS b, sum(v) OVER w AS v FROM d WINDOW w AS (PARTITION BY "row" ORDER BY col RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING)),
+    c AS (SELECT "row", col, CAST(sum(b) OVER w AS DOUBLE) AS b, CAST(sum(v) OVER w AS DOUBLE) AS v FROM a WINDOW w AS (PARTITION BY col ORDER BY "row" RANGE BETWEEN 34 PRECEDING AND 34 FOLLOWING))
+    SELECT c."row", c.col, CASE WHEN v > 0 THEN b / v END AS fraction FROM c JOIN pixels p ON p."row" = c."row" AND p.col = c.col""",
     ("pixels",),
 )
 def _(v: Views):

@@ -100,3 +100,31 @@ def tile_cover(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, size: flo
     xs = F.sequence(tile_index(lo_x, size), tile_index(hi_x, size))
     ys = F.sequence(tile_index(lo_y, size), tile_index(hi_y, size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
+
+
+def segment_tiles(x1: Column, y1: Column, x2: Column, y2: Column, size) -> Column:
+    """The tiles a segment runs through, in order: array of (tx, ty, t0, t1), t0 to t1 being its part in the tile.
+
+    The crossings of vertical and horizontal grid lines are merged by their place on the segment; between two
+    of them lies one tile, found at the middle. So n columns and m rows give at most n + m - 1 tiles.
+    """
+
+    def crossings(a: Column, b: Column) -> Column:
+        first, last = tile_index(F.least(a, b), size), tile_index(F.greatest(a, b), size)
+        lines = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines, lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (k * size - a) / (b - a))))
+
+    def tile(part: Column) -> Column:
+        middle = (part["t0"] + part["t1"]) / 2.0
+        return F.struct(
+            tile_index(x1 + middle * (x2 - x1), size).alias("tx"), tile_index(y1 + middle * (y2 - y1), size).alias("ty"),
+            part["t0"].alias("t0"), part["t1"].alias("t1"),
+        )
+
+    def parts(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.struct(F.get(t, i).alias("t0"), F.get(t, i + 1).alias("t1")))
+        return F.filter(pairs, lambda p: p["t0"] < p["t1"])
+
+    places = F.array_sort(F.concat(F.array(F.lit(0.0)), crossings(x1, x2), crossings(y1, y2), F.array(F.lit(1.0))))
+    # the sorted crossings are computed once per row, though the lambda reads them twice
+    return F.transform(F.flatten(F.transform(F.array(places), parts)), tile)

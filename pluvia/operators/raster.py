@@ -1,7 +1,8 @@
 """Raster bands as pixel tables (row, col, value).
 
-(row, col) is unique, so a window over one row or one column holds at most the raster's
-width or height; a raster has as many such groups as it has rows, and they spread over tasks.
+(row, col) is unique. Neighbourhoods are computed in square blocks: every pixel goes to its own
+block and to those whose halo it lies in, so a task holds a block of fixed size whatever the shape
+of the raster, and no window runs over a whole row or column.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from pluvia import fixed_values as fv
 from pluvia.functions.geo import tile_cover, tile_index
 from pluvia.functions.numeric import round_to
 
+#: Pixels on a side of a block.
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class Affine:
@@ -83,41 +89,84 @@ def class_counts(pixels: DataFrame, grid: Affine, rects: DataFrame, tile: float,
     return _in_rectangles(valid, grid, rects, tile).groupBy("zone", cls).agg(F.count(F.lit(1)).alias("n"))
 
 
-def local_fraction(pixels: DataFrame, codes: Sequence[int] = fv.LC_BUILT_UP, size: int = 69, cls="cls") -> DataFrame:
+def in_blocks(pixels: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
+    """Pixels once per block (_br, _bc) that holds them or has them in its halo; `_own` marks the block that holds them."""
+    first = lambda axis: F.floor((F.col(axis) - halo) / block).cast("int")
+    last = lambda axis: F.floor((F.col(axis) + halo) / block).cast("int")
+    spread = pixels.withColumn("_br", F.explode(F.sequence(first("row"), last("row"))))
+    spread = spread.withColumn("_bc", F.explode(F.sequence(first("col"), last("col"))))
+    own = (F.floor(F.col("row") / block) == F.col("_br")) & (F.floor(F.col("col") / block) == F.col("_bc"))
+    return spread.withColumn("_own", own)
+
+
+def window_sums(flags: np.ndarray, size: int) -> np.ndarray:
+    """Sums of all size x size windows inside an integer array, from its summed-area table."""
+    area = np.zeros((flags.shape[0] + 1, flags.shape[1] + 1), dtype=np.int64)
+    area[1:, 1:] = flags.cumsum(axis=0).cumsum(axis=1)
+    return area[size:, size:] - area[:-size, size:] - area[size:, :-size] + area[:-size, :-size]
+
+
+def local_fraction(pixels: DataFrame, codes: Sequence[int] = fv.LC_BUILT_UP, size: int = 69, cls="cls", block: int = BLOCK) -> DataFrame:
     """Share of the codes among valid pixels of the size x size window; outside counts as 0.
 
-    The square sum is separable: sums along the row first, then along the column.
+    `size` is odd. Each block adds up its flags and those of its halo once, in a summed-area table of
+    integers; a window of any size is then four lookups. NULL where the window holds no valid pixel.
     """
     r = size // 2
+
+    def fractions(part: pa.Table) -> pa.Table:
+        top, left = part["_br"][0].as_py() * block - r, part["_bc"][0].as_py() * block - r
+        row, col = (part[c].to_numpy() for c in ("row", "col"))
+        sums = []
+        for flag in ("_b", "_v"):
+            dense = np.zeros((block + 2 * r, block + 2 * r), dtype=np.int64)
+            np.add.at(dense, (row - top, col - left), part[flag].to_numpy())
+            sums.append(window_sums(dense, size))
+        own = part["_own"].to_numpy(zero_copy_only=False)
+        row, col = row[own], col[own]
+        hit, valid = (x[row - top - r, col - left - r] for x in sums)
+        share = np.divide(hit, valid, out=np.zeros(len(hit)), where=valid > 0)
+        return pa.table({"row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), "fraction": pa.array(share, mask=valid == 0)})
+
+    # a pixel with a NULL class is neither valid nor of the codes
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     flags = pixels.select(
-        "row", "col", F.col(cls).isin(*codes).cast("int").alias("_b"), (F.col(cls) != fv.LC_NODATA).cast("int").alias("_v")
+        F.col("row").cast("int"), F.col("col").cast("int"), flag(F.col(cls).isin(*codes)).alias("_b"), flag(F.col(cls) != fv.LC_NODATA).alias("_v")
     )
-    across = Window.partitionBy("row").orderBy("col").rangeBetween(-r, r)
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-r, r)
-    rows = flags.withColumns({"_b": F.sum("_b").over(across), "_v": F.sum("_v").over(across)})
-    both = rows.withColumns({"_b": F.sum("_b").over(down), "_v": F.sum("_v").over(down)})
-    return both.select("row", "col", F.when(F.col("_v") > 0, F.col("_b") / F.col("_v")).alias("fraction"))
+    return in_blocks(flags, r, block).groupBy("_br", "_bc").applyInArrow(fractions, "row int, col int, fraction double")
 
 
-def _neighbours(pixels: DataFrame, value: str) -> DataFrame:
+def _extent(pixels: DataFrame):
+    """First and last row, first and last column. Runs a job (four numbers)."""
+    return pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+
+
+def _block_windows(pixels: DataFrame, value: str, block: int) -> tuple[DataFrame, Window, Window]:
+    """Pixels in blocks with a halo of one, dealt once by block, and the windows along a block's rows and columns."""
+    dealt = in_blocks(pixels.select("row", "col", value), 1, block).repartition("_br", "_bc")
+    along = Window.partitionBy("_br", "_bc", "row").orderBy("col")
+    down = Window.partitionBy("_br", "_bc", "col").orderBy("row")
+    return dealt, along, down
+
+
+def _neighbours(pixels: DataFrame, value: str, block: int) -> DataFrame:
     """Columns n_<dr><dc> of the 3x3 block; a missing pixel is NULL, edges repeat the border pixel. Runs a job."""
-    b = pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()  # four numbers
+    b = _extent(pixels)
     row, col, z = F.col("row"), F.col("col"), F.col(value)
-    wr = Window.partitionBy("row").orderBy("col")
+    dealt, wr, wc = _block_windows(pixels, value, block)
     side = lambda fn, step, edge: F.when(col == edge, z).when(fn("col").over(wr) == col + step, fn(value).over(wr))
-    three = pixels.select(
-        "row", "col", side(F.lag, -1, b[2]).alias("_w"), z.alias("_c"), side(F.lead, 1, b[3]).alias("_e")
+    three = dealt.select(
+        "_br", "_bc", "_own", "row", "col", side(F.lag, -1, b[2]).alias("_w"), z.alias("_c"), side(F.lead, 1, b[3]).alias("_e")
     ).withColumn("_t", F.struct("_w", "_c", "_e"))
-    wc = Window.partitionBy("col").orderBy("row")
     vert = lambda fn, step, edge: F.when(row == edge, F.col("_t")).when(fn("row").over(wc) == row + step, fn("_t").over(wc))
     return three.select(
-        "row", "col", "_t", vert(F.lag, -1, b[0]).alias("_n"), vert(F.lead, 1, b[1]).alias("_s")
-    )
+        "_own", "row", "col", "_t", vert(F.lag, -1, b[0]).alias("_n"), vert(F.lead, 1, b[1]).alias("_s")
+    ).filter("_own").drop("_own")
 
 
-def horn_slope(pixels: DataFrame, dx_m: float, dy_m: float, value="z") -> DataFrame:
-    """Horn 3x3 slope in degrees; NULL when any pixel of the block is missing. Runs a job."""
-    n = _neighbours(pixels, value)
+def horn_slope(pixels: DataFrame, dx_m: float, dy_m: float, value="z", block: int = BLOCK) -> DataFrame:
+    """Horn 3x3 slope in degrees; NULL when any of the nine pixels is missing. Runs a job."""
+    n = _neighbours(pixels, value, block)
     a, b, c = (F.col(f"_n._{k}") for k in "wce")
     d, e, f = (F.col(f"_t._{k}") for k in "wce")
     g, h, i = (F.col(f"_s._{k}") for k in "wce")
@@ -127,13 +176,13 @@ def horn_slope(pixels: DataFrame, dx_m: float, dy_m: float, value="z") -> DataFr
     return n.select("row", "col", F.when(e.isNotNull(), slope).alias("slope_deg"))
 
 
-def central_slope(pixels: DataFrame, spacing_m: float = 30.0, value="z") -> DataFrame:
+def central_slope(pixels: DataFrame, spacing_m: float = 30.0, value="z", block: int = BLOCK) -> DataFrame:
     """Slope from central differences, one-sided at the edges; NULL where a used pixel is missing. Runs a job."""
-    b = pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()  # four numbers
+    b = _extent(pixels)
     z = F.col(value)
+    dealt, along, down = _block_windows(pixels, value, block)
 
-    def gradient(axis: str, group: str, lo: int, hi: int) -> Column:
-        w = Window.partitionBy(group).orderBy(axis)
+    def gradient(axis: str, w: Window, lo: int, hi: int) -> Column:
         before = F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(value).over(w))
         after = F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(value).over(w))
         return (
@@ -142,10 +191,9 @@ def central_slope(pixels: DataFrame, spacing_m: float = 30.0, value="z") -> Data
             .otherwise((after - before) / (2.0 * spacing_m))
         )
 
-    gx, gy = gradient("col", "row", b[2], b[3]), gradient("row", "col", b[0], b[1])
-    graded = pixels.select("row", "col", value, gx.alias("_gx")).withColumn("_gy", gy)
+    graded = dealt.withColumn("_gx", gradient("col", along, b[2], b[3])).withColumn("_gy", gradient("row", down, b[0], b[1]))
     slope = F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))
-    return graded.select("row", "col", F.when(z.isNotNull(), slope).alias("slope_deg"))
+    return graded.filter("_own").select("row", "col", F.when(z.isNotNull(), slope).alias("slope_deg"))
 
 
 def sample_points(points: DataFrame, pixels: DataFrame, grid: Affine, cols: Sequence[str], lon="lon", lat="lat") -> DataFrame:

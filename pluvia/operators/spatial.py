@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from pluvia.functions.geo import clipped_length, segment_distance, tile_cover, tile_index
+from pluvia.functions.geo import clipped_length, segment_distance, segment_tiles, tile_cover, tile_index
+from pluvia.session import stored
 
 _FAN = 4  # tiles per side when a tile is split
-_LEAF = 8  # aimed number of targets in a finest tile
-_FULL = 64  # a finest tile with more targets is split further
-_DEEPEST = 12
+_SHIFT = 2  # binary digits of _FAN: a tile's parent is found by shifting its numbers
+_LEAF = 8  # aimed number of targets in a tile, where they are evenly spread
+_FULL = 64  # a tile with more targets is split; twice as many at each further level
+_DEEPEST = 24  # at this level a tile is as narrow as a double's rounding
 _SMALL = 3  # levels whose tile table has at most 16^3 rows and is broadcast
 
 
@@ -57,139 +59,187 @@ def count_in_zones(points: DataFrame, rects: DataFrame, tile: float) -> DataFram
     return rects.select("zone").join(counts, "zone", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def _levels(n: int, load) -> int:
-    """Depth of the pyramid: enough for evenly spread targets, then deeper while a tile is crowded.
+def _tree(items: DataFrame, cover, rep) -> tuple[dict[int, DataFrame], dict[int, DataFrame], tuple]:
+    """Tiles and their pieces of items, by level, and (x0, y0, extent); no items give no levels.
 
-    load(depth) gives (targets in the fullest finest tile, tile entries of all targets); long
-    lines stop the descent once their cover outgrows the table. One small job per step.
+    The items are read once and stored in the tiles of a first level that suits evenly spread ones. Only
+    pieces in crowded tiles are dealt again to smaller ones, level by level, so the depth follows the
+    targets and a long line is cut finely only where it is crowded. `cover(size, x0, y0)` lists a piece's
+    tiles; `rep()` is a point of the piece. Runs a job or two per level that is needed.
     """
-    depth = max(1, min(_DEEPEST, math.ceil(math.log(n / _LEAF + 1, _FAN * _FAN))))
-    while depth < _DEEPEST:
-        fullest, entries = load(depth)
-        if fullest <= _FULL or entries > 8 * n:
-            break
-        depth += 1
-    return depth
-
-
-def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, distance, qx: str, qy: str, tie: list[str]) -> DataFrame:
-    """Exact nearest item per query by descending a tile pyramid.
-
-    items carries (_rx, _ry), a point of the item. Each tile keeps one such point, so the
-    distance to it bounds the nearest distance from above; a tile whose own nearest corner
-    is farther than the best bound is dropped. Per level: one equi-join with the tile table
-    (aggregated, at most 16 children per tile) and one window per query over its few tiles.
+    span = Observation()  # counted while the items are written
+    edges = {"lx": F.min("_lx"), "ly": F.min("_ly"), "hx": F.max("_hx"), "hy": F.max("_hy"), "n": F.count(F.lit(1))}
+    edges["sides"] = F.sum(F.col("_hx") - F.col("_lx") + F.col("_hy") - F.col("_ly"))
+    whole = items.withColumns({"_t0": F.lit(0.0), "_t1": F.lit(1.0)})
+    held = stored(whole.observe(span, *[c.alias(n) for n, c in edges.items()]), "nearest-items")
+    lx, ly, hx, hy, n, sides = (span.get[c] for c in edges)
+    if n == 0:
+        return {}, {}, ()
+    extent = max(hx - lx, hy - ly, 1e-9) * (1.0 + 1e-9)
+    even = math.log(n / _LEAF + 1, _FAN * _FAN)
+    # at most about three tiles a line, where lines are evenly long
+    long = math.log(max(2.0 * n * (extent / sides), _FAN), _FAN) if sides > extent * 1e-9 else _DEEPEST
+    level = first = max(1, min(_DEEPEST, math.ceil(even), math.ceil(long)))
+    cells, pieces = {}, {}
+    parts = held
+    while True:
+        size = extent / _FAN**level
+        tile = F.explode(cover(size, lx, ly)).alias("_t")
+        named = ["_t.tx", "_t.ty", "_t.t0", "_t.t1"]
+        own = [c for c in items.columns if c not in ("_lx", "_ly", "_hx", "_hy")]
+        if level == first:
+            parts = parts.select(*own, "_t0", "_t1", tile).select(*own, *[F.col(c).alias("_" + c[3:]) for c in named])
+        else:
+            # rounding must not move a part out of the tile that is split
+            inside = lambda t, up: F.greatest(F.col(up) * _FAN, F.least(F.col(up) * _FAN + _FAN - 1, F.col(t)))
+            parts = parts.select(*own, "_t0", "_t1", F.col("_tx").alias("_ux"), F.col("_ty").alias("_uy"), tile).select(
+                *own, inside("_t.tx", "_ux").alias("_tx"), inside("_t.ty", "_uy").alias("_ty"), F.col("_t.t0").alias("_t0"), F.col("_t.t1").alias("_t1")
+            )
+        # pieces of the first level are the stored items; later ones are stored themselves
+        pieces[level] = parts = parts if level == first else stored(parts, f"nearest-pieces-{level}")
+        grouped = parts.groupBy("_tx", "_ty").agg(F.min(rep()).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+        crowded, load = (F.col("_n") > _FULL * 2 ** (level - first)) & F.lit(level < _DEEPEST), Observation()
+        leaves = grouped.observe(load, F.count_if(crowded).alias("crowded"))
+        cells[level] = stored(leaves.select("_tx", "_ty", "_rep", (~crowded).alias("_leaf")), f"nearest-cells-{level}")
+        if not load.get["crowded"]:
+            return cells, pieces, (lx, ly, extent)
+        split = cells[level].where("not _leaf").select("_tx", "_ty")
+        parts = parts.join(split, ["_tx", "_ty"], "left_semi")
+        level += 1
+
+
+def _nearest(queries: DataFrame, key: str, items: DataFrame, cover, rep, distance, qx: str, qy: str, tie: list[str]) -> DataFrame:
+    """Exact nearest item per query by descending a tree of tiles.
+
+    Each tile keeps one point of an item in it, so the distance to it bounds the nearest distance
+    from above; a tile whose own nearest corner is farther than the best bound is dropped. Per level:
+    one equi-join with the tile table (at most 16 children per tile) and one window per query over
+    its few tiles. Levels above the first stored one are its tile numbers shifted.
     """
-    span = items.agg(
-        F.min("_lx"), F.min("_ly"), F.max("_hx"), F.max("_hy"), F.count(F.lit(1))
-    ).first()  # five numbers
-    if span[4] == 0:
+    cells, pieces, span = _tree(items, cover, rep)
+    if not cells:
         kinds = {f.name: f.dataType for f in items.schema.fields}
         return queries.select(key, F.lit(None).cast("double").alias("_d"), *[F.lit(None).cast(kinds[t]).alias(t) for t in tie])
-    x0, y0 = span[0], span[1]
-    extent = max(span[2] - x0, span[3] - y0, 1e-9) * (1.0 + 1e-9)
-    shifted = [F.col("_lx") - x0, F.col("_ly") - y0, F.col("_hx") - x0, F.col("_hy") - y0]
-
-    def load(depth):
-        tiles = items.select(F.explode(cover(*shifted, extent / _FAN**depth)).alias("t")).groupBy("t").count()
-        return tiles.agg(F.max("count"), F.sum("count")).first()
-
-    levels = _levels(span[4], load)
-    size = extent / _FAN**levels
-    placed = items.withColumn("_t", F.explode(cover(*shifted, size))).withColumns(
-        {"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}
-    ).drop("_t")
-
-    best_rep = F.min(F.struct("_rx", "_ry")).alias("_rep")
+    x0, y0, extent = span
+    first, last = min(cells), max(cells)
     frontier = queries.select(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy")).where("_qx is not null and _qy is not null")
-    finest = placed.groupBy("_tx", "_ty").agg(best_rep)
-    for level in range(1, levels + 1):
-        step = _FAN ** (levels - level)
-        tiles = finest.groupBy(F.floor(F.col("_tx") / step).alias("_cx"), F.floor(F.col("_ty") / step).alias("_cy")).agg(F.min("_rep").alias("_rep"))
-        tiles = tiles.withColumns({"_tx": F.floor(F.col("_cx") / _FAN), "_ty": F.floor(F.col("_cy") / _FAN)})
-        side = size * step
-        lx, ly = F.col("_cx") * side + x0, F.col("_cy") * side + y0
-        dx = F.greatest(lx - F.col("_qx"), F.lit(0.0), F.col("_qx") - lx - side)
-        dy = F.greatest(ly - F.col("_qy"), F.lit(0.0), F.col("_qy") - ly - side)
-        ux, uy = F.col("_rep._rx") - F.col("_qx"), F.col("_rep._ry") - F.col("_qy")
-        w = Window.partitionBy(key)
+    kept = [key, "_qx", "_qy", "_level", "_tx", "_ty", "_lo", "_up"]
+    arrived = None
+    for level in range(1, last + 1):
+        if level < first:
+            up = _SHIFT * (first - level)
+            shifted = [F.shiftright(F.col(c), up).alias(c) for c in ("_tx", "_ty")]
+            tiles = cells[first].groupBy(*shifted).agg(F.min("_rep").alias("_rep")).withColumn("_leaf", F.lit(False))
+        else:
+            tiles = cells[level]
+        tiles = tiles.select(F.col("_tx").alias("_cx"), F.col("_ty").alias("_cy"), "_rep._rx", "_rep._ry", "_leaf")
+        side = extent / _FAN**level
+
+        def bounds(tile):
+            """Squared distance to the tile, and to its known item."""
+            left, low = tile("_cx") * side + x0, tile("_cy") * side + y0
+            dx = F.greatest(left - F.col("_qx"), F.lit(0.0), F.col("_qx") - left - side)
+            dy = F.greatest(low - F.col("_qy"), F.lit(0.0), F.col("_qy") - low - side)
+            ux, uy = tile("_rx") - F.col("_qx"), tile("_ry") - F.col("_qy")
+            return {"_lo": dx * dx + dy * dy, "_up": ux * ux + uy * uy, "_level": F.when(tile("_leaf"), level)}
+
         # a hair of slack keeps rounding from dropping the true tile
-        near = F.col("_lo") <= F.min("_up").over(w) * (1.0 + 1e-9) + 1e-12
+        within = lambda lo, least: lo <= least * (1.0 + 1e-9) + 1e-12
         if level == 1:
-            # all tiles are children of the root: sixteen at most, handed over as literals
-            first = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("_cx", "_cy", "_rx", "_ry"), r)]) for r in
-                     tiles.select("_cx", "_cy", "_rep._rx", "_rep._ry").collect()]
-            children = frontier.withColumn("_c", F.explode(F.array(*first))).select(
-                key, "_qx", "_qy", "_c._cx", "_c._cy", F.struct("_c._rx", "_c._ry").alias("_rep")
-            )
+            # all tiles are children of the root, sixteen at most: handed over as literals and judged inside the row
+            names = tiles.columns
+            below = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in tiles.collect()])
+            judged = F.transform(below, lambda t: F.struct(t["_cx"].alias("_tx"), t["_cy"].alias("_ty"), *[c.alias(n) for n, c in bounds(lambda k: t[k]).items()]))
+            children = frontier.withColumn("_all", judged).withColumn("_least", F.array_min(F.transform("_all", lambda t: t["_up"])))
+            children = children.select(key, "_qx", "_qy", F.inline(F.filter("_all", lambda t: within(t["_lo"], F.col("_least")))))
+            frontier = children.select(*kept)
+            if first == level < last:
+                arrived, frontier = frontier.where("_level is not null"), frontier.where("_level is null")
+            continue
+        tiles = tiles.withColumns({"_tx": F.shiftright("_cx", _SHIFT), "_ty": F.shiftright("_cy", _SHIFT)})
+        tiles = F.broadcast(tiles) if level <= _SMALL else tiles
+        children = frontier.select(key, "_qx", "_qy", "_tx", "_ty").join(tiles, ["_tx", "_ty"]).withColumns(bounds(F.col))
+        children = children.select(key, "_qx", "_qy", "_level", F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"), "_lo", "_up")
+        every = children if arrived is None else children.unionByName(arrived)
+        near = within(F.col("_lo"), F.min("_up").over(Window.partitionBy(key)))
+        every = every.withColumn("_near", near).filter("_near").select(*kept)
+        if first <= level < last:
+            every = stored(every, f"nearest-frontier-{level}")
+            arrived = every.where("_level is not null")
+            frontier = every.where("_level is null")
         else:
-            children = frontier.join(F.broadcast(tiles) if level <= _SMALL else tiles, ["_tx", "_ty"])
-        frontier = (
-            children.withColumns({"_lo": dx * dx + dy * dy, "_up": ux * ux + uy * uy})
-            .withColumn("_near", near)
-            .filter("_near")
-            .select(key, "_qx", "_qy", F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"))
-        )
-    pairs = frontier.join(placed, ["_tx", "_ty"]).withColumn("_d", distance(F.col("_qx"), F.col("_qy")))
+            frontier = every
+    own = pieces[first].withColumn("_level", F.lit(first))
+    for level in range(first + 1, last + 1):
+        own = own.unionByName(pieces[level].withColumn("_level", F.lit(level)))
+    pairs = frontier.drop("_lo", "_up").join(own, ["_level", "_tx", "_ty"]).withColumn("_d", distance(F.col("_qx"), F.col("_qy")))
     payload = F.struct("_d", *tie)
     best = pairs.groupBy(key).agg(F.min(payload).alias("_b")).select(key, "_b.*")
     return queries.select(key).distinct().join(best, key, "left")  # a query without a place keeps its row
 
 
 def nearest_point(queries: DataFrame, key: str, targets: DataFrame, qx="x", qy="y", tx="x", ty="y", tie=()) -> DataFrame:
-    """Nearest target of every query by squared distance; ties by the `tie` columns. Runs a job."""
+    """Nearest target of every query by squared distance; ties by the `tie` columns. Runs jobs."""
+    x, y = F.col(tx), F.col(ty)
     items = targets.select(
-        *[F.col(c) for c in tie],
-        F.col(tx).alias("_rx"), F.col(ty).alias("_ry"),
-        F.col(tx).alias("_lx"), F.col(ty).alias("_ly"), F.col(tx).alias("_hx"), F.col(ty).alias("_hy"),
-    ).distinct()
+        *[F.col(c) for c in tie], x.alias("_rx"), y.alias("_ry"), x.alias("_lx"), y.alias("_ly"), x.alias("_hx"), y.alias("_hy"),
+    ).where("_rx is not null and _ry is not null").distinct()
+
+    def cover(size, x0, y0):
+        at = [tile_index(F.col("_rx") - x0, size).alias("tx"), tile_index(F.col("_ry") - y0, size).alias("ty")]
+        return F.array(F.struct(*at, F.col("_t0").alias("t0"), F.col("_t1").alias("t1")))
 
-    def cover(lx, ly, hx, hy, size):
-        return F.array(F.struct(tile_index(lx, size).alias("tx"), tile_index(ly, size).alias("ty")))
+    def rep():
+        return F.struct("_rx", "_ry")
 
     def distance(px, py):
         ex, ey = F.col("_rx") - px, F.col("_ry") - py
         return ex * ex + ey * ey
 
-    return _nearest(queries, key, items, cover, distance, qx, qy, list(tie)).withColumnRenamed("_d", "d2")
+    return _nearest(queries, key, items, cover, rep, distance, qx, qy, list(tie)).withColumnRenamed("_d", "d2")
 
 
 def nearest_line_distance(points: DataFrame, key: str, segments: DataFrame, qx="x", qy="y") -> DataFrame:
-    """Smallest distance from each point to any segment. Runs a job for the extent."""
+    """Smallest distance from each point to any segment. Runs jobs."""
     lx, hx = F.least("x1", "x2"), F.greatest("x1", "x2")
     ly, hy = F.least("y1", "y2"), F.greatest("y1", "y2")
-    items = segments.select(
-        "x1", "y1", "x2", "y2", F.col("x1").alias("_rx"), F.col("y1").alias("_ry"),
-        lx.alias("_lx"), ly.alias("_ly"), hx.alias("_hx"), hy.alias("_hy"),
-    ).distinct()
+    ends = ["x1", "y1", "x2", "y2"]
+    items = segments.select(*ends, lx.alias("_lx"), ly.alias("_ly"), hx.alias("_hx"), hy.alias("_hy")).dropna(subset=ends).distinct()
+
+    def place(a: str, b: str, t: Column) -> Column:
+        return F.col(a) + t * (F.col(b) - F.col(a))
+
+    def cover(size, x0, y0):
+        t0, t1 = F.col("_t0"), F.col("_t1")
+        walk = segment_tiles(place("x1", "x2", t0) - x0, place("y1", "y2", t0) - y0, place("x1", "x2", t1) - x0, place("y1", "y2", t1) - y0, size)
+        return F.transform(walk, lambda w: F.struct(w["tx"].alias("tx"), w["ty"].alias("ty"), *[(t0 + w[t] * (t1 - t0)).alias(t) for t in ("t0", "t1")]))
+
+    def rep():
+        middle = (F.col("_t0") + F.col("_t1")) / 2.0
+        return F.struct(place("x1", "x2", middle).alias("_rx"), place("y1", "y2", middle).alias("_ry"))
 
     def distance(px, py):
         return segment_distance(px, py, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
 
-    near = _nearest(points, key, items, tile_cover, distance, qx, qy, [])
-    value = F.col("_d") if "_d" in near.columns else F.col("_none")
-    return near.select(key, value.alias("distance_m"))
+    near = _nearest(points, key, items, cover, rep, distance, qx, qy, [])
+    return near.select(key, F.col("_d").alias("distance_m"))
 
 
 def line_length_in_zones(segments: DataFrame, rects: DataFrame, tile: float) -> DataFrame:
     """Length of the lines inside each zone and per km2; zones without lines get 0, an empty layer
     gives NULL.
 
-    Both sides are cut into tiles; inside one tile the segment is clipped to tile and zone
-    at once, so lengths add up over tiles and no pair has to be deduplicated.
+    A segment goes to the tiles it runs through, cut at their borders; the part in a tile is clipped to the
+    zones that touch the tile, so lengths add up over tiles and no pair has to be deduplicated.
     """
-    seg = segments.withColumn(
-        "t",
-        F.explode(tile_cover(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), tile)),
-    ).select("x1", "y1", "x2", "y2", "t.tx", "t.ty")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    at = lambda t: [F.col("x1") + F.col(t) * dx, F.col("y1") + F.col(t) * dy]
+    walk = F.explode(segment_tiles(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), tile))
+    seg = segments.withColumn("t", walk).select("x1", "y1", "x2", "y2", "t.tx", "t.ty", "t.t0", "t.t1")
     rect = rects.withColumn(
         "t", F.explode(tile_cover(F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"), tile))
     ).select("zone", "lo_x", "lo_y", "hi_x", "hi_y", "t.tx", "t.ty")
-    length = clipped_length(
-        F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"),
-        F.greatest(F.col("lo_x"), F.col("tx") * tile), F.greatest(F.col("lo_y"), F.col("ty") * tile),
-        F.least(F.col("hi_x"), (F.col("tx") + 1) * tile), F.least(F.col("hi_y"), (F.col("ty") + 1) * tile),
-    )
+    length = clipped_length(*at("t0"), *at("t1"), F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"))
     sums = seg.join(rect, ["tx", "ty"]).groupBy("zone").agg(F.sum(length).alias("length_m"))
     some = segments.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     area = (F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) / 1e6

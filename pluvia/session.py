@@ -38,7 +38,7 @@ def _shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="pluvia-")
 
@@ -57,3 +57,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_shared_dir(spark))
     return f"{sc.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: work is done once and survives a lost executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
