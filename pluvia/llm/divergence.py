@@ -19,17 +19,22 @@ has no pairs, and one without kept terms has values of 0 and no terms. No docume
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import let, stored
-from pluvia.llm.spelling import LOWER, UPPER, lower_ascii
+from pluvia.llm.common import stored
+from pluvia.llm.spelling import LOWER, UPPER
 
-#: Fixed value: terms are maximal runs of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are maximal runs of ASCII letters and bytes beyond ASCII: A-Z to lower case, other ASCII to blanks.
+SEPARATED = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <= 122 else b for b in range(256))
+#: Bytes of a text that are split at once, and the terms that a task holds before it hands them on.
+PIECE, HELD = 1 << 20, 500_000
 BILLION = 1_000_000_000
 GROUP = ["lang", "source"]
 #: Cells a task holds, and the evaluations it makes at once.
@@ -41,13 +46,52 @@ def _keys() -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]
 
 
+def _words(text: bytes):
+    """Lists of the terms of a text, a piece at a time; pieces end where a term does."""
+    text = text.translate(SEPARATED)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, c, docs) of a task's documents; what it holds is handed on before it gets large."""
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def handed_on():
+        for (lang, source), (counts, docs) in held.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            n = pa.array(list(counts.values()), pa.int64())
+            columns = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*columns, terms, n, pa.array([docs[t] for t in counts], pa.int64())], names=["lang", "source", "term", "c", "docs"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        langs, sources = (batch.column(i).to_pylist() for i in range(2))
+        for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary())):
+            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(counts)
+            seen = set()
+            for words in _words(text.as_py()):
+                counts.update(words)
+                seen.update(words)
+            docs.update(seen)
+            size += len(counts)
+            if size > HELD:
+                yield from handed_on()
+                size = 0
+    yield from handed_on()
+
+
 def term_counts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(lang, term, n, by): kept terms with their count in the language and a sorted array (source, c) of the counts in its sources."""
-    terms = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), lower_ascii)
-    # sorted within the document, so that a term's first occurrence counts the document
-    marked = let(F.sort_array(terms), lambda a: F.transform(a, lambda t, i: F.struct(t.alias("term"), (F.when(t.eqNullSafe(F.get(a, i - 1)), 0).otherwise(1)).alias("first"))))
-    rows = docs.select(*_keys(), F.inline(marked))
-    counts = rows.groupBy(*GROUP, "term").agg(F.count("*").alias("c"), F.sum("first").alias("docs"))
+    texts = docs.select(*_keys(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = texts.mapInArrow(_count_terms, "lang string, source string, term string, c bigint, docs bigint")
+    counts = rows.groupBy(*GROUP, "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
     by = F.sort_array(F.collect_list(F.struct("source", "c"))).alias("by")
     kept = counts.groupBy("lang", "term").agg(F.sum("c").alias("n"), F.sum("docs").alias("docs"), by)
     return kept.where(F.col("docs") >= min_docs).select("lang", "term", "n", "by")
