@@ -37,8 +37,8 @@ SEPARATED = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <=
 PIECE, HELD = 1 << 20, 500_000
 BILLION = 1_000_000_000
 GROUP = ["lang", "source"]
-#: Cells a task holds, and the evaluations it makes at once.
-PART, EVALUATED = 50_000, 2_000_000
+#: Cells a task holds: as many as a task returns sums, between these bounds. Evaluations it makes at once.
+PART, EVALUATED = (5_000, 100_000), 2_000_000
 PAIR = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
@@ -168,8 +168,10 @@ def _pair_sums(key, cells: pa.Table, totals: pa.Table) -> pa.Table:
 def source_pairs(terms: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, source, item, value, rank): how far each source is from each other source of its language."""
     cells = stored(terms.groupBy("lang", "by").agg(F.count("*").alias("members")), "divergence-vectors")
-    parts = cells.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    parts = stored(totals.join(parts, "lang", "left").select(*GROUP, "total", "kept", F.coalesce("parts", F.lit(1)).alias("parts")), "divergence-parts")
+    sizes = cells.groupBy("lang").agg(F.count("*").alias("cells")).join(totals.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
+    of_part = F.least(F.greatest(F.col("sources") * F.col("sources"), F.lit(PART[0])), F.lit(PART[1]))
+    sizes = sizes.select("lang", F.ceil(F.col("cells") / of_part).cast("int").alias("parts"))
+    parts = stored(totals.join(sizes, "lang", "left").select(*GROUP, "total", "kept", F.coalesce("parts", F.lit(1)).alias("parts")), "divergence-parts")
     of_lang = parts.select("lang", "parts").distinct()
     left = cells.join(of_lang, "lang").withColumn("part", F.pmod(F.xxhash64("by"), F.col("parts")).cast("int"))
     right = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
