@@ -74,7 +74,60 @@ def _forest(v: Views):
     return _once(v, "forest", make)
 
 
-@query("M02_isolation_forest_nodes")
+_SEED, _TREES, _LIMIT = 42, 300, 8
+_PREPARED = """f AS (SELECT zone, date, rainfall_1d, rainfall_7d, rainfall_30d, year(date) < 2000 AND NOT EXISTS (SELECT 1 FROM storm_days e WHERE e.d BETWEEN r.date - 3 AND r.date + 3) AS is_fit FROM rain_features r),
+    m AS (SELECT quantile_cont(rainfall_1d, 0.5) AS a, quantile_cont(rainfall_7d, 0.5) AS b, quantile_cont(rainfall_30d, 0.5) AS c FROM f WHERE is_fit),
+    x AS MATERIALIZED (SELECT zone, date, coalesce(rainfall_1d, a) AS x0, coalesce(rainfall_7d, b) AS x1, coalesce(rainfall_30d, c) AS x2, is_fit FROM f, m)"""
+
+
+def _md5(text: str, n: int = 15) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {n}) AS BIGINT)"
+
+
+def _forest_sql() -> str:
+    """The forest in SQL: the same rows per tree by hash, one pair of CTEs per level of all trees, `nodes` at the end."""
+    chance = lambda c: f"({_md5(f"'{_SEED}|' || tree || '|' || node || '|{c}'", 13)} / 4503599627370496e0)"
+    value = "CASE feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END"
+    out = f"""{_PREPARED},
+    t AS (SELECT t AS tree, 1 + {_md5(f"'{_SEED}|' || t || '|a'")} % {forest.PRIME - 1} AS a, {_md5(f"'{_SEED}|' || t || '|b'")} % {forest.PRIME} AS b FROM range({_TREES}) r(t)),
+    k AS MATERIALIZED (SELECT *, {_md5(f"'{_SEED}|' || zone || '|' || CAST(date AS VARCHAR)")} % {forest.PRIME} AS h, count(*) OVER () AS n FROM x WHERE is_fit),
+    d AS (SELECT tree, zone, date, x0, x1, x2, (h * a + b) % {forest.PRIME} AS u FROM k, t WHERE (h * a + b) % {forest.PRIME} < least(1e0, 512e0 / n) * {forest.PRIME}),
+    s0 AS MATERIALIZED (SELECT tree, 1 AS node, x0, x1, x2 FROM d QUALIFY row_number() OVER (PARTITION BY tree ORDER BY u, zone, date) <= 256)"""
+    for level in range(_LIMIT + 1):
+        leaf = "true" if level == _LIMIT else "size <= 1 OR len(ok) = 0"
+        out += f""",
+    g{level} AS (SELECT tree, node, count(*) AS size, min(x0) AS l0, max(x0) AS h0, min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2 FROM s{level} GROUP BY tree, node),
+    o{level} AS (SELECT *, list_concat(list_concat(CASE WHEN h0 > l0 THEN [0] ELSE [] END, CASE WHEN h1 > l1 THEN [1] ELSE [] END), CASE WHEN h2 > l2 THEN [2] ELSE [] END) AS ok FROM g{level}),
+    f{level} AS (SELECT *, CASE WHEN {leaf} THEN -1 ELSE ok[1 + CAST(floor({chance("f")} * len(ok)) AS INTEGER)] END AS feature FROM o{level}),
+    c{level} AS (SELECT *, [l0, l1, l2][feature + 1] AS lo, [h0, h1, h2][feature + 1] AS hi FROM f{level}),
+    n{level} AS MATERIALIZED (SELECT tree, node, feature, size, CASE WHEN feature < 0 THEN 0e0 WHEN lo + {chance("c")} * (hi - lo) >= hi THEN lo ELSE lo + {chance("c")} * (hi - lo) END AS threshold FROM c{level})"""
+        if level < _LIMIT:
+            out += f""",
+    s{level + 1} AS MATERIALIZED (SELECT s.tree, 2 * s.node + CASE WHEN ({value}) > threshold THEN 1 ELSE 0 END AS node, x0, x1, x2 FROM s{level} s JOIN n{level} n ON n.tree = s.tree AND n.node = s.node WHERE feature >= 0)"""
+    every = " UNION ALL ".join(f"SELECT tree, node, feature, threshold, size FROM n{level}" for level in range(_LIMIT + 1))
+    return out + f", nodes AS MATERIALIZED ({every})"
+
+
+def _score_sql(rows: str) -> str:
+    """`scored` (zone, date, x1, is_fit, score): rows descend the node table one level per join; path lengths add up as integers."""
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2e0 * (ln({n} - 1e0) + {forest._EULER!r}) - 2e0 * ({n} - 1e0) / {n} WHEN {n} = 2 THEN 1e0 ELSE 0e0 END"
+    out = f"leaf AS MATERIALIZED (SELECT tree, node, CAST(round_even((floor(log2(node)) + {path('size')}) * {forest.STEPS}e0, 0) AS BIGINT) AS path FROM nodes WHERE feature < 0),"
+    out += f"inner_nodes AS MATERIALIZED (SELECT tree, node, feature, threshold FROM nodes WHERE feature >= 0), v0 AS (SELECT zone, date, x0, x1, x2, is_fit, t.tree, 1 AS node FROM {rows}, t)"
+    for level in range(_LIMIT):
+        value = "CASE feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END"
+        out += f""",
+    v{level + 1} AS (SELECT zone, date, x0, x1, x2, is_fit, v.tree, CASE WHEN feature IS NULL THEN v.node ELSE 2 * v.node + CASE WHEN ({value}) > threshold THEN 1 ELSE 0 END END AS node
+      FROM v{level} v LEFT JOIN inner_nodes n ON n.tree = v.tree AND n.node = v.node)"""
+    return out + f""",
+    total AS MATERIALIZED (SELECT zone, date, any_value(x1) AS x1, any_value(is_fit) AS is_fit, CAST(sum(path) AS BIGINT) AS total FROM v{_LIMIT} v JOIN leaf USING (tree, node) GROUP BY zone, date),
+    scored AS MATERIALIZED (SELECT *, pow(2e0, -(total / {forest.STEPS}e0 / {_TREES}e0) / {float(forest.average_path(256))!r}) AS score FROM total)"""
+
+
+@query(
+    "M02_isolation_forest_nodes",
+    f"WITH {_forest_sql()} SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature, threshold, CAST(size AS INTEGER) AS size FROM nodes",
+    ("rain_features", "storm_days"),
+)
 def _(v: Views):
     return _forest(v).nodes
 
@@ -96,9 +149,17 @@ def _(v: Views):
     return trees.select("tree", "root_size", (F.col("_leaves") == F.col("root_size")).alias("leaves_add_up"), (F.col("_depth") <= model.limit).alias("depth_ok"))
 
 
-@query("M03_isolation_forest_scores")
+@query(
+    "M03_isolation_forest_scores",
+    f"""WITH {_forest_sql()}, {_score_sql("x")}, q AS (SELECT quantile_cont(score, 0.99) AS cut FROM scored WHERE is_fit),
+    r AS (SELECT *, row_number() OVER (ORDER BY total DESC, zone, date) - 1 AS p, count(*) OVER () AS n FROM scored),
+    a AS (SELECT *, round_even(1e2 * p / (n - 1) * 1e2, 0) / 1e2 AS anomaly_score FROM r)
+    SELECT zone, date, round_even((score - cut) * 1e9, 0) / 1e9 AS anomaly_score_raw, anomaly_score, CAST(trunc(anomaly_score) AS INTEGER) AS anomaly_percentile FROM a, q""",
+    ("rain_features", "storm_days"),
+)
 def _(v: Views):
-    return forest.anomaly_scores(_forest(v), prepared(v), KEYS)
+    scores = forest.anomaly_scores(_forest(v), prepared(v), KEYS)
+    return scores.select(*KEYS, round_to(F.col("anomaly_score_raw"), 9).alias("anomaly_score_raw"), "anomaly_score", "anomaly_percentile")
 
 
 @query("M03_score_checks", "SELECT zone, date, true AS in_range, true AS int_part_ok FROM zone_day", ("zone_day",))
@@ -114,9 +175,15 @@ def score_direction(v: Views):
     return rho.withColumn("direction_ok", F.col("spearman") > 0.5)
 
 
-@query("M11_score_direction")
+@query(
+    "M11_score_direction",
+    f"""WITH {_forest_sql()}, {_score_sql("(SELECT * FROM x WHERE year(date) >= 2000)")},
+    r AS (SELECT rank() OVER (ORDER BY total DESC) + (count(*) OVER (PARTITION BY total) - 1) / 2e0 AS a, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2e0 AS b FROM scored)
+    SELECT count(*) AS n, round_even(corr(a, b) * 1e6, 0) / 1e6 AS spearman, corr(a, b) > 0.5 AS direction_ok FROM r""",
+    ("rain_features", "storm_days"),
+)
 def _(v: Views):
-    return score_direction(v)
+    return score_direction(v).withColumn("spearman", round_to(F.col("spearman"), 6))
 
 
 @query("M11_direction_checks", "SELECT count(*) AS n, true AS in_range FROM zone_day WHERE year(date) >= 2000", ("zone_day",))

@@ -8,6 +8,7 @@ row order nor partitioning changes the result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,6 +23,10 @@ from pluvia.operators.rank import exact_quantiles
 
 _NODES = "tree int, node int, feature int, threshold double, size int"
 _EULER = 0.5772156649015329
+#: Rows are numbered modulo this prime (2^31 - 1), so that a step times a number stays below 2^63.
+PRIME = 2_147_483_647
+#: Path lengths are added up in steps of this size, as integers: their sum has one value in any order.
+STEPS = 2**32
 
 
 def average_path(n) -> np.ndarray:
@@ -32,23 +37,34 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _unit(seed: int, salt: Column, keys: Sequence[str]) -> Column:
-    """A number in [0, 1) from the row key; the same row always gets the same number."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), salt, *keys), 11)
-    return bits.cast("double") / float(2**53)
+def _digits(text: str, n: int = 15) -> int:
+    """The first hex digits of an MD5: a hash that every SQL engine has."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:n], 16)
+
+
+def row_hash(keys: Sequence[str], seed: int) -> Column:
+    """A number below PRIME from the row key; the same row always gets the same number."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint") % PRIME
 
 
 def tree_samples(df: DataFrame, keys: Sequence[str], trees: int, size: int, seed: int, rows: int) -> DataFrame:
     """Candidate rows per tree (about twice the sample size), by hash of row and tree.
 
-    Every tree draws from all rows at any size; a row leaves the scan only with the trees that drew it.
+    One hash per row, then one linear step modulo a prime per tree. Every tree draws from all rows at any
+    size; a row leaves the scan only with the trees that drew it.
     """
     share = min(1.0, 2.0 * size / max(rows, 1))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), _unit(seed, t, keys).alias("_u")))
-    return df.select("*", F.inline(F.filter(draws, lambda d: d["_u"] < share)))
+    factor = F.lit([1 + _digits(f"{seed}|{t}|a") % (PRIME - 1) for t in range(trees)]).cast("array<bigint>")
+    step = F.lit([_digits(f"{seed}|{t}|b") % PRIME for t in range(trees)]).cast("array<bigint>")
+    drawn = lambda t: F.struct(t.alias("tree"), ((F.col("_h") * F.get(factor, t) + F.get(step, t)) % PRIME).alias("_u"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
+    hashed = df.withColumn("_h", row_hash(keys, seed))
+    return hashed.select(*df.columns, F.inline(F.filter(draws, lambda d: d["_u"] < int(share * PRIME))))
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes (node, feature, threshold, size); which feature splits a node and where follows from a hash of the node."""
     nodes, open_nodes = [], [(1, np.arange(len(x)), 0)]
     while open_nodes:
         node, idx, depth = open_nodes.pop()
@@ -58,11 +74,11 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         if depth >= limit or len(idx) <= 1 or len(usable) == 0:
             nodes.append((node, -1, 0.0, len(idx)))
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(lo[f], hi[f]))
+        chance = [_digits(f"{seed}|{tree}|{node}|{c}", 13) / 2.0**52 for c in "fc"]
+        f = int(usable[int(chance[0] * len(usable))])
+        cut = float(lo[f] + chance[1] * (hi[f] - lo[f]))
+        cut = float(lo[f]) if cut >= hi[f] else cut
         left = part[:, f] <= cut
-        if left.all():
-            left = part[:, f] < hi[f]
         nodes.append((node, f, cut, len(idx)))
         open_nodes.append((2 * node + 1, idx[~left], depth + 1))
         open_nodes.append((2 * node, idx[left], depth + 1))
@@ -90,12 +106,12 @@ class IsolationForest:
         split = np.zeros(entries, dtype="int64")
         cut = np.full(entries, np.inf)
         child = np.zeros(2 * entries, dtype="int64")
-        path = np.zeros(entries)
+        path = np.zeros(entries, dtype="int64")
         split[at] = np.where(leaf, 0, feature)
         cut[at] = np.where(leaf, np.inf, pdf["threshold"])
         child[2 * at] = np.where(leaf, at, base + 2 * node)
         child[2 * at + 1] = np.where(leaf, at, base + 2 * node + 1)
-        path[at] = np.floor(np.log2(node)) + average_path(pdf["size"])
+        path[at] = np.rint((np.floor(np.log2(node)) + average_path(pdf["size"])) * STEPS)
         roots = np.arange(self.trees, dtype="int64") * width + 1
         return split, cut, child, path, roots
 
@@ -111,14 +127,14 @@ class IsolationForest:
             for pdf in batches:
                 x = pdf[cols].to_numpy(dtype="float64")
                 start, flat = np.arange(len(x)) * len(cols), x.ravel()
-                total = np.zeros(len(x))
+                total = np.zeros(len(x), dtype="int64")
                 for root in roots:
                     at = np.full(len(x), root)
                     for _ in range(limit):
                         right = flat.take(start + split.take(at)) > cut.take(at)
                         at = child.take(2 * at + right)
                     total += path.take(at)
-                yield pdf.assign(**{name: np.exp2(-total / len(roots) / norm) - offset})
+                yield pdf.assign(**{name: np.exp2(-(total / STEPS / len(roots)) / norm) - offset})
 
         return df.mapInPandas(run, schema)
 
@@ -139,8 +155,7 @@ def fit(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         chosen = pdf.sort_values(["_u", *keys]).head(used)
-        rng = np.random.default_rng([seed, tree])
-        nodes = _grow(chosen[cols].to_numpy(dtype="float64"), rng, limit)
+        nodes = _grow(chosen[cols].to_numpy(dtype="float64"), seed, tree, limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "size"])
         out.insert(0, "tree", tree)
         return out

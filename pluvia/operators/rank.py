@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.functions.numeric import round_to
-from pluvia.session import cut_lineage
+from pluvia.session import cut_lineage, stored
 
 _ROW_MASK = (1 << 33) - 1
 
@@ -28,8 +28,8 @@ def _fixed_order(df: DataFrame, order: Sequence) -> DataFrame:
     """Sorted rows with (_part, _row), materialised so both survive a lost executor. Runs a job."""
     # a range sort samples its input first: stored, so that what is above runs once
     marked = cut_lineage(df).orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    stored = cut_lineage(marked)
-    return stored.withColumns(
+    kept = cut_lineage(marked)
+    return kept.withColumns(
         {"_part": F.shiftright("_id", 33).cast("int"), "_row": F.col("_id").bitwiseAND(_ROW_MASK)}
     ).drop("_id")
 
@@ -71,7 +71,11 @@ def percentile_rank(df: DataFrame, score: str, keys: Sequence[str], nulls_last:
 
 def value_ranks(df: DataFrame, col: str, descending: bool = False) -> DataFrame:
     """Average rank of every distinct non-null value of a column. Runs a job."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    return _ranks_of_counts(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")), col, descending)
+
+
+def _ranks_of_counts(counts: DataFrame, col: str, descending: bool = False) -> DataFrame:
+    """Average ranks from rows (value, _c)."""
     order = F.col(col).desc() if descending else F.col(col).asc()
     run = running_totals(counts, [order], {"_upto": "_c"})
     return run.select(F.col(col), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(f"rank_{col}"))
@@ -100,10 +104,10 @@ def average_rank_in_zone(df: DataFrame, score: str, zone="zone", name: str = "ra
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, spearman) over the rows where both values exist. Runs jobs."""
     both = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ra, rb = value_ranks(both, a), value_ranks(both, b)
-    # equal pairs are collapsed first: every pair carries its multiplicity
-    pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    ranked = pairs.join(ra, a).join(rb, b)
+    # equal pairs are collapsed first, and stored: the input is evaluated once, ranks follow from the counts
+    pairs = stored(both.groupBy(a, b).agg(F.count(F.lit(1)).alias("_w")), "spearman-pairs")
+    ra, rb = (_ranks_of_counts(pairs.groupBy(c).agg(F.sum("_w").alias("_c")), c) for c in (a, b))
+    ranked = pairs.withColumn("_w", F.col("_w").cast("double")).join(ra, a).join(rb, b)
     x, y, w = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("_w")
     m = ranked.agg(
         F.sum(w).alias("n"),
