@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
@@ -20,9 +22,15 @@ LABEL = "hydrologic_vulnerability_proxy"
 _FITTED: dict[tuple, object] = {}
 
 
-def _once(v: Views, name: str, make):
-    """A fitted model is shared by the queries of one session and data folder."""
-    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+def _once(v: Views, name: str, tables: tuple[str, ...], make):
+    """A fitted model is shared by the queries of one session, as long as its tables are the same files."""
+    sc = v.spark.sparkContext
+    states = []
+    for t in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{v.sf_dir}/{t}.parquet")
+        found = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        states.append((found.getModificationTime(), found.getLen()))
+    key = (sc.applicationId, v.sf_dir, name, *states)
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
@@ -71,7 +79,7 @@ def _forest(v: Views):
     def make():
         return forest.fit(prepared(v).filter("is_fit").drop("is_fit"), RAIN, KEYS)
 
-    return _once(v, "forest", make)
+    return _once(v, "forest", ("lineitem", "nation"), make)
 
 
 _SEED, _TREES, _LIMIT = 42, 300, 8
@@ -207,7 +215,7 @@ def samples(v: Views):
 
 
 def _trees(v: Views):
-    return _once(v, "trees", lambda: boosting.fit_boosted_trees(samples(v), PROXY, LABEL))
+    return _once(v, "trees", ("orders",), lambda: boosting.fit_boosted_trees(samples(v), PROXY, LABEL))
 
 
 def predictions(v: Views):
@@ -219,6 +227,34 @@ def _(v: Views):
     return metrics.classification_metrics(predictions(v), LABEL, "flagged")
 
 
+#: The label of `samples` in SQL.
+_LABELLED = f"""sm AS (SELECT "row", col, z AS elevation_m, (("row" * 13 + col * 7) % 1500) * 1e0 AS dist, ((col * 31 + "row") % 997) * 1e0 AS longitude FROM pixels WHERE z IS NOT NULL),
+    cut AS (SELECT quantile_cont(elevation_m, {fv.LABEL_ELEVATION_QUANTILE}) AS e, quantile_cont(longitude, 0.5) AS mid FROM sm),
+    y AS (SELECT sm.*, longitude > mid AS east, CASE WHEN dist <= {fv.LABEL_DISTANCE_M} AND elevation_m < e THEN 1 ELSE 0 END AS y FROM sm, cut)"""
+#: Rounds of the fits that are only judged; the fit of all rows has 200.
+_JUDGED_ROUNDS = 60
+_FLOOR = 0.8
+
+
+@query(
+    "M04_holdout_quality",
+    f"""WITH {_LABELLED}, c AS (SELECT y, count(*) AS n FROM y GROUP BY y),
+    s AS (SELECT 'stratified' AS split, CAST(sum(floor(n * 0.25)) AS BIGINT) AS n, CAST(sum(CASE WHEN y = 1 THEN floor(n * 0.25) ELSE 0 END) AS BIGINT) AS positives FROM c
+      UNION ALL SELECT 'west_east', count(*), CAST(sum(y) AS BIGINT) FROM y WHERE east UNION ALL SELECT 'whole', count(*), CAST(sum(y) AS BIGINT) FROM y)
+    SELECT split, n, positives, positives AS found_or_missed, true AS precise, true AS recalls, true AS accurate FROM s""",
+    ("pixels",),
+)
+def _(v: Views):
+    """Three splits: a quarter of each class held out, the east held out, and all rows by two halves that predict each other."""
+    rows = samples(v).withColumn("key", F.col("row") * 1000 + F.col("col"))
+    marked = features.spatial_block_split(features.stratified_holdout(rows, LABEL, "key"))
+    test, west, half = F.col("is_test"), F.col("is_train"), forest.row_hash(["key"], 7) % 2 == 0
+    folds = {"stratified": [(~test, test)], "west_east": [(west, ~west)], "whole": [(half, ~half), (~half, half)]}
+    quality = boosting.holdout_quality(boosting.out_of_fold(marked, PROXY, LABEL, folds, rounds=_JUDGED_ROUNDS), LABEL)
+    floors = {"precise": "precision", "recalls": "recall", "accurate": "accuracy"}
+    return quality.select("split", "n", "positives", (F.col("tp") + F.col("fn")).alias("found_or_missed"), *[(F.col(c) >= _FLOOR).alias(n) for n, c in floors.items()])
+
+
 _SMP = """sm AS (SELECT "row", col, z AS elevation_m, ((col * 31 + "row") % 997) * 1e0 AS longitude FROM pixels WHERE z IS NOT NULL)"""
 
 
@@ -232,6 +268,16 @@ def _(v: Views):
     return split.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test_rows"))
 
 
+@query(
+    "M05_holdout_rows",
+    f"""WITH h AS (SELECT doc_id, y, {_md5("'42|' || CAST(doc_id AS VARCHAR)")} % {forest.PRIME} AS h FROM labelled)
+    SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY h, doc_id) <= floor(count(*) OVER (PARTITION BY y) * 0.25) AS is_test FROM h""",
+    ("labelled",),
+)
+def _(v: Views):
+    return features.stratified_holdout(v.labelled, "y", "doc_id").select("doc_id", "y", "is_test")
+
+
 @query(
     "M06_spatial_block_split",
     f"""WITH {_SMP}, q AS (SELECT quantile_cont(longitude, 0.5) AS mid FROM sm) SELECT "row", col, longitude <= mid AS is_train FROM sm, q""",
@@ -279,6 +325,68 @@ def _(v: Views):
     return attributed(v).select("row", "col", *[f"shap_{c}" for c in PROXY])
 
 
+@query("M09_attribution_sums", 'SELECT "row", col, true AS adds_up FROM pixels WHERE z IS NOT NULL', ("pixels",))
+def _(v: Views):
+    """The attributions of a row and the base value add up to the margin of the fitted model."""
+    paths = boosting.leaf_paths(_trees(v), v.spark)
+    rows = boosting.attribute(paths, boosting.predict(_trees(v), samples(v), PROXY, margin="margin"), PROXY)
+    total = sum((F.col(f"shap_{c}") for c in PROXY), F.lit(boosting.base_value(paths)))
+    return rows.select("row", "col", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"))
+
+
+def _table_paths(v: Views) -> list[tuple]:
+    """An ensemble of one tree per nation over the three features, as leaves: its cuts, shares and values follow from the keys."""
+    leaves = []
+    for t, region in v.table("nation").select("n_nationkey", "n_regionkey").collect():  # a row per tree
+        cuts = [20.0 + 15.0 * t, 60.0 * t + 30.0, (t % 9) / 10.0 + 0.05]
+        for leaf in range(8):
+            path = []
+            for f, cut in enumerate(cuts):
+                left = (t * 7 + f * 3) % 10 / 10.0 + 0.05
+                path.append((f, cut, math.inf, 1.0 - left) if leaf >> f & 1 else (f, -math.inf, cut, left))
+            leaves.append((((t * 5 + leaf * 3 + region) % 11 - 5) / 10.0, path))
+    return leaves
+
+
+def _table_shap_sql() -> str:
+    """Shapley values of the same ensemble as a relational query over rows, leaves and coalitions of three features."""
+    x = ["elevation_m", "dist", "built"]
+    cuts = ["20e0 + 15e0 * t", "60e0 * t + 30e0", "(t % 9) / 10e0 + 0.05e0"]
+    bit = lambda f: f"((l >> {f}) & 1)"
+    shares = ", ".join(f"CASE WHEN {bit(f)} = 0 THEN {left} ELSE 1e0 - ({left}) END AS s{f}" for f in range(3) for left in [f"((t * 7 + {f * 3}) % 10 / 10e0 + 0.05e0)"])
+    inside = ", ".join(f"CASE WHEN (({x[f]} > c{f}) = ({bit(f)} = 1)) THEN 1e0 ELSE 0e0 END AS i{f}" for f in range(3))
+    phi = []
+    for f in range(3):
+        a, b = (k for k in range(3) if k != f)
+        team = f"(s{a} * s{b} / 3e0 + i{a} * s{b} / 6e0 + s{a} * i{b} / 6e0 + i{a} * i{b} / 3e0)"
+        phi.append(f"sum(v * (i{f} - s{f}) * {team}) AS shap_{PROXY[f]}")
+    return f"""sm AS (SELECT "row", col, 'B' || CAST(col // 25 AS VARCHAR) AS zone, z AS elevation_m, (("row" * 13 + col * 7) % 1500) * 1e0 AS dist, cls / 100e0 AS built FROM pixels WHERE z IS NOT NULL),
+    lf AS (SELECT t, l, ((t * 5 + l * 3 + r) % 11 - 5) / 10e0 AS v, {", ".join(f"{c} AS c{f}" for f, c in enumerate(cuts))}, {shares} FROM (SELECT n_nationkey AS t, n_regionkey AS r FROM nation), range(8) k(l)),
+    hit AS (SELECT "row", col, zone, v, s0, s1, s2, {inside} FROM sm, lf),
+    shap AS (SELECT "row", col, zone, {", ".join(phi)} FROM hit GROUP BY 1, 2, 3)"""
+
+
+_ROUNDED = ", ".join(f"round_even(shap_{c} * 1e9, 0) / 1e9 + 0e0 AS shap_{c}" for c in PROXY)
+
+
+@query("M09_table_attribution", f'WITH {_table_shap_sql()} SELECT "row", col, {_ROUNDED} FROM shap', ("pixels",))
+def _(v: Views):
+    rows = boosting.attribute(_table_paths(v), samples(v), PROXY)
+    return rows.select("row", "col", *[round_to(F.col(f"shap_{c}"), 9).alias(f"shap_{c}") for c in PROXY])
+
+
+@query(
+    "D32_table_attribution",
+    f"""WITH {_table_shap_sql()}, u AS ({" UNION ALL ".join(f"SELECT zone, '{c}' AS factor, abs(shap_{c}) AS v FROM shap" for c in PROXY)}),
+    a AS (SELECT zone, factor, avg(v) AS mean_abs, count(*) AS n_samples FROM u GROUP BY GROUPING SETS ((zone, factor), (factor)))
+    SELECT zone, factor, round_even(mean_abs * 1e9, 0) / 1e9 AS mean_abs, n_samples, CAST(row_number() OVER (PARTITION BY zone ORDER BY mean_abs DESC, factor) AS INTEGER) AS rank FROM a QUALIFY rank <= 3""",
+    ("pixels",),
+)
+def _(v: Views):
+    rows = boosting.attribute(_table_paths(v), samples(v), PROXY)
+    return metrics.zone_share_rank(boosting.mean_attribution(rows, PROXY)).withColumn("mean_abs", round_to(F.col("mean_abs"), 9))
+
+
 @query("D32_mean_attribution")
 def _(v: Views):
     return metrics.zone_share_rank(boosting.mean_attribution(attributed(v), PROXY))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvia.session import scratch_path
+from pluvia.session import scratch_path, stored
 
 
 def fit_boosted_trees(
@@ -39,15 +42,51 @@ def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 
 
-def predict(model: GBTClassificationModel, df: DataFrame, cols: Sequence[str], prob: str = "p", cut: float = 0.5) -> DataFrame:
-    """Probability and the flag p >= cut."""
+def predict(
+    model: GBTClassificationModel, df: DataFrame, cols: Sequence[str], prob: str = "p", cut: float = 0.5, margin: str | None = None
+) -> DataFrame:
+    """Probability and the flag p >= cut; with `margin`, also the sum of the trees."""
     scored = model.transform(_assembled(df, cols))
     scored = scored.withColumn(prob, vector_to_array("probability")[1])
+    if margin:
+        scored = scored.withColumn(margin, vector_to_array("rawPrediction")[1])
     return scored.withColumn("flagged", (F.col(prob) >= cut).cast("int")).drop(
         "features", "rawPrediction", "probability", "prediction"
     )
 
 
+def out_of_fold(df: DataFrame, cols: Sequence[str], label: str, folds: dict[str, list[tuple[Column, Column]]], **options) -> DataFrame:
+    """Rows (split, ..., p, flagged), each predicted by a model that was fitted without it.
+
+    A split is a list of (rows to fit on, rows to predict). The fits know nothing of each other and run side
+    by side; `df` is stored once for all of them.
+    """
+    rows = stored(df, "out-of-fold")
+    names = [(name, fit, test) for name, pairs in folds.items() for fit, test in pairs]
+
+    def one(task: tuple[str, Column, Column]) -> DataFrame:
+        name, fit, test = task
+        model = fit_boosted_trees(rows.filter(fit), cols, label, **options)
+        return predict(model, rows.filter(test), cols).withColumn("split", F.lit(name))
+
+    with ThreadPool(min(4, len(names))) as pool:
+        return functools.reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), names))
+
+
+def holdout_quality(predicted: DataFrame, label: str) -> DataFrame:
+    """One row per split with the counts and ratios of D29, over rows the models did not see."""
+    y, p = F.col(label) == 1, F.col("flagged") == 1
+    counts = predicted.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("positives"),
+        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
+    )
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.withColumns({
+        "accuracy": ratio(F.col("n") - fp - fn, F.col("n")), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn),
+    })
+
+
 def leaf_paths(model: GBTClassificationModel, spark) -> list[list[tuple]]:
     """Per leaf: (value x tree weight, [(feature, low, high, share of rows that follow)]).
 
@@ -86,13 +125,23 @@ def _merge(conds):
 
 
 def attributions(model: GBTClassificationModel, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact Shapley value of each feature on the margin, columns shap_<feature>.
+    """Exact Shapley value of each feature on the margin of a fitted model, columns shap_<feature>."""
+    return attribute(leaf_paths(model, df.sparkSession), df, cols)
+
+
+def base_value(paths: Sequence[tuple]) -> float:
+    """The margin of the empty coalition: every leaf weighed by the share of rows that reach it."""
+    return math.fsum(value * math.prod(share for _, _, _, share in path) for value, path in paths)
+
+
+def attribute(paths: Sequence[tuple], df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact Shapley values of an ensemble given as leaves (value, [(feature, low, high, share)]).
 
-    A leaf counts when every feature on its path is inside its interval; a feature outside
-    the coalition is replaced by the share of training rows that follow the path. With at
-    most four features on a path the sum over coalitions is exact and short.
+    A leaf counts when every feature on its path is inside its interval (low, high]; a feature outside
+    the coalition is replaced by the share of training rows that follow the path. With at most four
+    features on a path the sum over coalitions is exact and short. `paths` is as large as the ensemble.
     """
-    shared = df.sparkSession.sparkContext.broadcast(leaf_paths(model, df.sparkSession))
+    shared = df.sparkSession.sparkContext.broadcast(list(paths))
     cols = list(cols)
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"shap_{c}", T.DoubleType()) for c in cols]])
 

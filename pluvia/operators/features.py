@@ -85,9 +85,10 @@ def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25,
     Classes are few and large, so rows are not ranked inside one class task: they are placed
     once in the global order (class, hash, key) and compared with the class offset. Runs jobs.
     """
+    from pluvia.operators.isolation_forest import row_hash
     from pluvia.operators.rank import global_position
 
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = df.withColumn("_h", row_hash([key], seed))
     placed = global_position(hashed, [label, "_h", key], "_p")
     sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_first"))
     out = placed.join(sizes, label)
