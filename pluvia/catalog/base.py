@@ -59,12 +59,13 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """sites AS (SELECT c_name AS site, 67.8e0 + ((c_custkey * 7919) % 1000) / 1000e0 AS lon,
                  7.8e0 + ((c_custkey * 104729) % 20200) / 1000e0 AS lat FROM customer)""",
     ),
+    # readings 25 years earlier, so that they fall into the years of the rain series
     "gauge": (
         (),
         """gauge AS (SELECT 'S' || CAST(user_id AS VARCHAR) AS station, event_id,
-                 date_trunc('minute', ts) AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE floor(value) END AS level,
+                 date_trunc('minute', ts) - INTERVAL 9131 DAY AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE floor(value) END AS level,
                  67.9e0 + (user_id % 50) / 100e0 AS lon, 7.9e0 + (user_id % 190) / 10e0 AS lat
-                 FROM events WHERE event_id % 23 <> 0)""",
+                 FROM events)""",
     ),
     "event_range": (
         (),
@@ -215,10 +216,10 @@ class Views:
     @property
     def gauge(self) -> DataFrame:
         u, e = F.col("user_id"), F.col("event_id")
-        return self.table("events").filter(e % 23 != 0).select(
+        return self.table("events").select(
             F.concat(F.lit("S"), u.cast("string")).alias("station"),
             "event_id",
-            F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"),
+            (F.date_trunc("minute", "ts").cast("timestamp_ntz") - F.expr("INTERVAL 9131 DAYS")).alias("ts"),
             F.when(e % 17 != 0, F.floor("value").cast("double")).alias("level"),
             (F.lit(67.9) + (u % 50) / F.lit(100.0)).alias("lon"),
             (F.lit(7.9) + (u % 190) / F.lit(10.0)).alias("lat"),

@@ -9,6 +9,7 @@ from pluvia.catalog.base import Views, query, zone_id
 from pluvia.functions.geo import in_box
 from pluvia.functions.numeric import round_to
 from pluvia.operators import joins, series, spatial, stats
+from pluvia.session import cut_lineage
 
 TILE = 0.25
 
@@ -231,7 +232,7 @@ def _(v: Views):
 def _(v: Views):
     from pluvia.plans.forecast import forecast_lookup
 
-    history = v.scored_parts
+    history = cut_lineage(v.scored_parts.select("zone", "date", "anomaly_score", "temporal_intensity", "vulnerability_score"))
     ahead = F.explode(F.sequence(F.lit(1), F.lit(30))).alias("days_ahead")
     requests = history.groupBy("zone").agg(F.max("date").alias("last")).select("zone", "last", ahead)
     requests = requests.select("zone", "days_ahead", F.date_add("last", F.col("days_ahead")).alias("date"))

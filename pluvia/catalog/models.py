@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.catalog.base import Views, query
+from pluvia.catalog.joins import _GZ, station_days
 from pluvia.functions.numeric import round_to
-from pluvia.operators import boosting, features, joins, metrics, raster, series
+from pluvia.operators import boosting, features, joins, metrics, raster, series, stats
 from pluvia.operators import isolation_forest as forest
 from pluvia.operators.rank import spearman
 from pluvia.plans.vulnerability import model_zone_scores
@@ -38,23 +39,33 @@ def _once(v: Views, name: str, tables: tuple[str, ...], make):
 
 @query(
     "M01_feature_matrix",
-    """WITH b AS (SELECT f.*, CASE WHEN month(f.date) >= 6 AND day(f.date) <> 20 THEN sum(CASE WHEN month(f.date) >= 6 THEN rain_mm END) OVER (PARTITION BY zone, year(f.date) ORDER BY f.date) END AS m,
-        CASE WHEN day(f.date) % 3 = 0 THEN 1e0 END AS lo, CASE WHEN day(f.date) % 6 = 0 THEN 2e0 END AS hi FROM rain_features f)
-       SELECT b.zone, b.date, rainfall_1d, rainfall_7d, rainfall_30d, lo AS river_level_daily_mean_m, hi AS river_level_daily_max_m, CASE WHEN m IS NULL AND month(b.date) < 6 THEN 0 ELSE m END AS monsoon_rainfall_to_date,
-         CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN 1e0 ELSE 0e0 END AS river_level_available, z.elevation_mean_m, z.slope_mean_deg, z.built_up_pct, z.vegetation_pct, z.water_cover_pct,
-         z.distance_to_nearest_waterway_m, z.distance_to_nearest_drainage_m FROM b JOIN zones z ON b.zone = z.zone""",
-    ("rain_features", "zones"),
+    f"""WITH {_GZ}, b AS (SELECT f.*, CASE WHEN month(f.date) >= 6 AND day(f.date) <> 20 THEN sum(CASE WHEN month(f.date) >= 6 THEN rain_mm END) OVER (PARTITION BY zone, year(f.date) ORDER BY f.date) END AS m,
+        sum(rain_mm) OVER (PARTITION BY zone, year(f.date), month(f.date) ORDER BY f.date) AS monthly,
+        CASE WHEN count(*) OVER w3 = 3 THEN sum(rain_mm) OVER w3 END AS r3, CASE WHEN count(*) OVER w14 = 14 THEN sum(rain_mm) OVER w14 END AS r14
+        FROM rain_features f WINDOW w3 AS (PARTITION BY zone ORDER BY f.date ROWS 2 PRECEDING), w14 AS (PARTITION BY zone ORDER BY f.date ROWS 13 PRECEDING)),
+      y AS (SELECT zone, year(date) AS y, avg(rain_mm) AS m FROM zone_day GROUP BY 1, 2), py AS (SELECT zone, y, lag(m) OVER (PARTITION BY zone ORDER BY y) AS pm FROM y)
+       SELECT b.zone, b.date, rainfall_1d, r3 AS rainfall_3d, rainfall_7d, r14 AS rainfall_14d, rainfall_30d, rain_mm - pm AS rainfall_anomaly_mm, monthly AS monthly_rainfall_to_date,
+         river_level_daily_mean_m, river_level_daily_max_m, CASE WHEN b.m IS NULL AND month(b.date) < 6 THEN 0 ELSE b.m END AS monsoon_rainfall_to_date,
+         CASE WHEN river_level_daily_mean_m IS NOT NULL AND river_level_daily_max_m IS NOT NULL THEN 1e0 ELSE 0e0 END AS river_level_available,
+         z.elevation_mean_m, z.elevation_mean_m - 30 AS elevation_min_m, z.elevation_mean_m + 45 AS elevation_max_m, z.slope_mean_deg, z.slope_mean_deg / 2 AS slope_min_deg, z.slope_mean_deg * 2 AS slope_max_deg,
+         z.built_up_pct, z.vegetation_pct, z.water_cover_pct, z.distance_to_nearest_waterway_m, z.distance_to_nearest_waterway_m * 3 AS waterway_length_m,
+         z.distance_to_nearest_drainage_m, z.distance_to_nearest_drainage_m * 5 AS drainage_length_m
+       FROM b JOIN zones z ON b.zone = z.zone JOIN py ON py.zone = b.zone AND py.y = year(b.date) LEFT JOIN zg ON zg.zone = b.zone AND zg.date = b.date""",
+    ("rain_features", "zones", "gauge"),
 )
 def _(v: Views):
     day = F.dayofmonth("date")
-    rows = series.season_to_date(v.rain_features).withColumns(
-        {
-            "monsoon_rainfall_to_date": F.when(day != 20, F.col("monsoon_rainfall_to_date")),
-            "river_level_daily_mean_m": F.when(day % 3 == 0, 1.0),
-            "river_level_daily_max_m": F.when(day % 6 == 0, 2.0),
-        }
+    rows = series.with_previous_month_climatology(series.with_previous_year(series.complete_rolling_sum(v.zone_day)))
+    rows = series.season_to_date(series.month_to_date(rows)).withColumns(
+        {"rainfall_1d": F.col("rain_mm"), "monsoon_rainfall_to_date": F.when(day != 20, F.col("monsoon_rainfall_to_date"))}
     )
-    return features.feature_matrix(joins.static_join(rows, v.zones))
+    e, s = F.col("elevation_mean_m"), F.col("slope_mean_deg")
+    static = v.zones.withColumns({
+        "elevation_min_m": e - 30.0, "elevation_max_m": e + 45.0, "slope_min_deg": s / 2.0, "slope_max_deg": s * 2.0,
+        "waterway_length_m": F.col("distance_to_nearest_waterway_m") * 3.0, "drainage_length_m": F.col("distance_to_nearest_drainage_m") * 5.0,
+    })
+    rows = joins.static_join(rows, static).join(stats.zone_days(station_days(v)), ["zone", "date"], "left")
+    return features.feature_matrix(rows)
 
 
 def prepared(v: Views):
@@ -194,6 +205,33 @@ def _(v: Views):
     return score_direction(v).withColumn("spearman", round_to(F.col("spearman"), 6))
 
 
+@query(
+    "S11_model_card",
+    f"""WITH {_forest_sql()}, {_score_sql("(SELECT * FROM x WHERE year(date) >= 2000)")},
+    r AS (SELECT rank() OVER (ORDER BY total DESC) + (count(*) OVER (PARTITION BY total) - 1) / 2e0 AS a, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2e0 AS b FROM scored),
+    c AS (SELECT corr(a, b) AS rho FROM r)
+    SELECT 'IsolationForest' AS model, {_TREES} AS trees, 256 AS max_samples, count(*) FILTER (is_fit) AS fit_rows, count(*) AS all_rows, strftime(max(date) FILTER (is_fit), '%Y-%m-%d') AS fit_to,
+      any_value(round_even(rho * 1e6, 0) / 1e6) AS direction, any_value(rho > 0.5) AS direction_ok FROM x, c""",
+    ("rain_features", "storm_days"),
+)
+def _(v: Views):
+    """The card of the fitted forest, written as a JSON document and read back."""
+    from pluvia.session import scratch_path
+    from pluvia.sources import sinks
+
+    model, rows = _forest(v), prepared(v)
+    counts = rows.agg(
+        F.count_if("is_fit").alias("fit_rows"), F.count(F.lit(1)).alias("all_rows"), F.date_format(F.max(F.when(F.col("is_fit"), F.col("date"))), "yyyy-MM-dd").alias("fit_to")
+    ).first()
+    rho = score_direction(v).first()
+    path = scratch_path(v.spark, "card")
+    card = {"model": "IsolationForest", "trees": model.trees, "max_samples": model.sample, **counts.asDict(), "direction": {"value": rho["spearman"], "ok": rho["direction_ok"]}}
+    sinks.write_card(v.spark, card, path)
+    kinds = "model string, trees int, max_samples int, fit_rows bigint, all_rows bigint, fit_to string, direction struct<value: double, ok: boolean>"
+    read = v.spark.read.schema(kinds).json(path)
+    return read.select("model", "trees", "max_samples", "fit_rows", "all_rows", "fit_to", round_to(F.col("direction.value"), 6).alias("direction"), F.col("direction.ok").alias("direction_ok"))
+
+
 @query("M11_direction_checks", "SELECT count(*) AS n, true AS in_range FROM zone_day WHERE year(date) >= 2000", ("zone_day",))
 def _(v: Views):
     return score_direction(v).select("n", F.abs("spearman").between(0.0, 1.0).alias("in_range"))

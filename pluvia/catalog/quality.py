@@ -104,8 +104,7 @@ def _(v: Views):
 @query("Q05_feature_guards", "SELECT zone, date, rainfall_7d FROM rain_features", ("rain_features",))
 def _(v: Views):
     rows = v.rain_features.select("zone", "date", "rainfall_7d")
-    quality.feature_guards(rows)
-    return rows
+    return quality.feature_guards(rows)
 
 
 @query(

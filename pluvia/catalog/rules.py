@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.catalog.base import Views, query
-from pluvia.catalog.scoring import _PRIO, ZR_SQL, ZR_VIEWS, river_levels
+from pluvia.catalog.scoring import _PRIO, ZR_SQL, ZR_VIEWS
 from pluvia.operators import alerts as al
 from pluvia.operators import rules as rl
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.catalog.base import Views, query, zone_id
+from pluvia.catalog.joins import _GZ, station_days
 from pluvia.functions import calendar as cal
 from pluvia.functions.numeric import round_to
 from pluvia.operators import rules as rl
+from pluvia.operators import stats
 from pluvia.plans import vulnerability as vu
 from pluvia.plans import zone_response as zr
 
@@ -78,9 +80,30 @@ _HEAT = f"""ht AS (SELECT zone, round_even((0.6e0 * ((built_up_pct - min(built_u
     hl AS (SELECT *, CASE WHEN heat_score < 40 THEN 'LOW' WHEN heat_score < 65 THEN 'MODERATE' ELSE 'HIGH' END AS heat_level FROM ht)"""
 
 
-@query("P15_heat_exposure", f"WITH {_HEAT} SELECT * FROM hl", ("zones",))
+@query(
+    "P15_heat_exposure",
+    f"""WITH {_HEAT} SELECT hl.*, '{{"built_up_pct":' || CAST(round_even(built_up_pct * 1e2, 0) / 1e2 AS VARCHAR) || ',"vegetation_pct":' || CAST(round_even(vegetation_pct * 1e2, 0) / 1e2 AS VARCHAR) || '}}' AS heat_inputs
+    FROM hl JOIN zones z ON z.zone = hl.zone""",
+    ("zones",),
+)
+def _(v: Views):
+    return vu.heat_table(v.zones)
+
+
+@query(
+    "P17_water_explanations",
+    """WITH y AS (SELECT zone, year(date) AS y, avg(rain_mm) AS m FROM zone_day GROUP BY 1, 2), p AS (SELECT zone, y, lag(m) OVER (PARTITION BY zone ORDER BY y) AS m FROM y),
+    j AS (SELECT f.zone, f.date, rainfall_30d, m, CASE WHEN rainfall_30d IS NOT NULL AND m <> 0 THEN greatest(0e0, least(1e0, 1e0 - rainfall_30d / (30e0 * m))) END AS r FROM rain_features f JOIN p ON f.zone = p.zone AND year(f.date) = p.y)
+    SELECT zone, date, CASE WHEN r IS NULL THEN 'insufficient history: no prior-year baseline and/or incomplete 30-day window (left null)'
+      ELSE 'rainfall_30d=' || printf('%.1f', rainfall_30d) || ' mm vs expected ' || printf('%.1f', 30e0 * m) || ' mm|' ||
+        CASE WHEN r <= 0.001 THEN 'at or above climatology (surplus)' ELSE 'deficit vs own climatology (' || CAST(CAST(round_even(r * 100, 0) AS BIGINT) AS VARCHAR) || '% of expected shortfall)' END END AS explanations FROM j""",
+    ("rain_features",),
+)
 def _(v: Views):
-    return vu.heat_table(v.zones).drop("heat_inputs")
+    from pluvia.operators.series import with_previous_year
+    from pluvia.plans.environment import water_table
+
+    return water_table(with_previous_year(v.rain_features)).select("zone", "date", F.array_join("water_explanations", "|").alias("explanations"))
 
 
 # ------------------------------------------------------------- text signals
@@ -90,24 +113,17 @@ _SIG = f"""'ML anomaly ' || CAST(CAST(round_even(anomaly_score, 0) AS BIGINT) AS
     || '|vulnerability ' || printf('%.1f', vulnerability_score) || ' (' || vulnerability_level || ')'
     || CASE WHEN river_level_daily_mean_m IS NULL THEN '|river level unavailable (no CWC data for this cell/date)'
        ELSE '|river level ' || printf('%.2f', river_level_daily_max_m) || ' m (' || CAST(cwc_stations_in_cell AS VARCHAR) || ' station)' END"""
-_RIVER = """rv AS (SELECT *, CASE WHEN day(date) % 3 = 0 THEN CAST(day(date) AS DOUBLE) END AS river_level_daily_mean_m, CASE WHEN day(date) % 3 = 0 THEN day(date) * 2e0 END AS river_level_daily_max_m,
-    CASE WHEN day(date) % 3 = 0 THEN CAST(month(date) AS INTEGER) END AS cwc_stations_in_cell FROM scored)"""
-
-
-def river_levels(df):
-    hit = F.dayofmonth("date") % 3 == 0
-    return df.withColumns(
-        {
-            "river_level_daily_mean_m": F.when(hit, F.dayofmonth("date").cast("double")),
-            "river_level_daily_max_m": F.when(hit, F.dayofmonth("date") * 2.0),
-            "cwc_stations_in_cell": F.when(hit, F.month("date")),
-        }
-    )
+_RIVER = f"""{_GZ}, rv AS (SELECT s.*, river_level_daily_mean_m, river_level_daily_max_m, cwc_stations_in_cell FROM scored s LEFT JOIN zg ON zg.zone = s.zone AND zg.date = s.date)"""
 
 
-@query("P17_key_signals", f"WITH {_RIVER} SELECT zone, date, {_SIG} AS key_signals FROM rv", ("scored",))
+def river_levels(v: Views):
+    """Levels per zone and day from the gauge readings."""
+    return stats.zone_days(station_days(v))
+
+
+@query("P17_key_signals", f"WITH {_RIVER} SELECT zone, date, {_SIG} AS key_signals FROM rv", ("scored", "zones", "gauge"))
 def _(v: Views):
-    rows = river_levels(v.scored).withColumn("anomaly_percentile", F.floor("anomaly_score").cast("int"))
+    rows = v.scored.join(river_levels(v), ["zone", "date"], "left").withColumn("anomaly_percentile", F.floor("anomaly_score").cast("int"))
     return rows.select("zone", "date", F.array_join(zr.key_signals(), "|").alias("key_signals"))
 
 
@@ -205,7 +221,7 @@ _WATER = """py AS (SELECT zone, year(date) AS y, avg(rain_mm) AS m FROM zone_day
            river_level_daily_mean_m, river_level_daily_max_m, coalesce(reports, 0) AS reports
            FROM rv r JOIN wt ON r.zone = wt.zone AND r.date = wt.date LEFT JOIN hl ON r.zone = hl.zone LEFT JOIN rc ON r.zone = rc.zone)"""
 ZR_SQL = f"{_RIVER}, {_HEAT}, {_WATER}"
-ZR_VIEWS = ("scored", "zones", "reports")
+ZR_VIEWS = ("scored", "zones", "reports", "gauge")
 
 
 def zone_table(v: Views):
@@ -214,7 +230,7 @@ def zone_table(v: Views):
     from pluvia.plans.risk_table import score_rows
 
     risk = score_rows(v.signals(water_table(with_previous_year(v.rain_features)), "water_score", "water_level"))
-    level = river_levels(v.zone_day.select("zone", "date")).filter("river_level_daily_mean_m IS NOT NULL")
+    level = river_levels(v)
     zones = v.zones.select("zone", F.concat(F.lit("Zone "), F.substring("zone", 2, 20)).alias("zone_name"))
     return zr.zone_rows(risk, zones, vu.heat_table(v.zones), level, v.reports)
 
@@ -249,6 +265,43 @@ def _(v: Views):
     return out.select("date", "zone", "zone_name", "risk.score", "risk.level", "risk.trend", "public_alert", "reporting_enabled")
 
 
+@query(
+    "P26_operational_role_view",
+    f"""WITH {ZR_SQL} SELECT role, date, zone, risk_score AS score, anomaly_score AS anomaly, vulnerability_level, {_PRIO} AS priority, heat_level, water_level, river_level_daily_mean_m AS level_mean_m
+    FROM zr, (VALUES ('MNC'), ('DISASTER')) r(role)""",
+    ZR_VIEWS,
+)
+def _(v: Views):
+    """Both operational roles see every section."""
+    rows = zone_table(v)
+    views = [zr.role_view(rows, role).withColumn("role", F.lit(role)) for role in fv.ROLES if role != "PUBLIC"]
+    out = views[0].unionByName(views[1])
+    return out.select(
+        "role", "date", "zone", "risk.score", "risk.components.anomaly", F.col("vulnerability.level").alias("vulnerability_level"), "prevention.priority",
+        F.col("environment.heat.level").alias("heat_level"), F.col("environment.water.level").alias("water_level"), "river.level_mean_m",
+    )
+
+
+@query(
+    "P26_role_access",
+    """SELECT role, known, sees_components, CASE WHEN known THEN n ELSE 0 END AS rows FROM (SELECT count(*) AS n FROM scored),
+    (VALUES ('PUBLIC', true, false), ('MNC', true, true), ('DISASTER', true, true), ('GUEST', false, false)) r(role, known, sees_components)""",
+    ("scored",),
+)
+def _(v: Views):
+    """What each role may read; an unknown role is refused."""
+    rows, out = zone_table(v), []
+    for role in (*fv.ROLES, "GUEST"):
+        try:
+            seen = zr.role_view(rows, role)
+            out.append((role, True, "components" in seen.schema["risk"].dataType.names))
+        except ValueError:
+            out.append((role, False, False))
+    access = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).alias("known"), F.lit(c).alias("sees_components")) for r, k, c in out]))
+    counted = v.scored.agg(F.count(F.lit(1)).alias("n")).select("n", access.alias("a"))
+    return counted.select("a.*", F.when(F.col("a.known"), F.col("n")).otherwise(0).alias("rows"))
+
+
 @query(
     "feature_table",
     f"""WITH {_RIVER}, e AS (SELECT DISTINCT zone, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS date FROM event_range),
@@ -260,12 +313,12 @@ def _(v: Views):
       CAST(month(f.date) IN (6, 7, 8, 9) AS INTEGER) AS is_monsoon, built_up_pct, river.river_level_daily_max_m, CASE WHEN e.zone IS NULL THEN 0 ELSE 1 END AS flood_event_active
     FROM rain_features f JOIN py ON f.zone = py.zone AND year(f.date) = py.y JOIN pc ON f.zone = pc.zone AND year(f.date) = pc.y AND month(f.date) = pc.mo
     LEFT JOIN zones z ON f.zone = z.zone LEFT JOIN rv river ON f.zone = river.zone AND f.date = river.date LEFT JOIN e ON f.zone = e.zone AND f.date = e.date""",
-    ("scored", "zones", "event_range"),
+    ("scored", "zones", "event_range", "gauge"),
 )
 def _(v: Views):
     from pluvia.plans.feature_table import feature_table
 
-    level = river_levels(v.zone_day.select("zone", "date")).filter("river_level_daily_mean_m IS NOT NULL")
+    level = river_levels(v)
     out = feature_table(v.zone_day, v.zones, level, v.event_range)
     return out.select(
         "zone", "date", "rainfall_1d", "rainfall_7d", "rainfall_30d", "hist_mean_prior_years_mm", "hist_max_prior_years_mm", "month_clim_mean_prior_years_mm",

@@ -178,9 +178,7 @@ def _(v: Views):
 )
 def _(v: Views):
     rows = v.rain_features.select("zone", "date", "rainfall_7d")
-    pct = rank.percentile_rank(rows, "rainfall_7d", ["zone", "date"]).withColumnRenamed("percentile_0_100", "baseline_percentile")
-    placed = rank.global_position(pct.drop("percentile_int"), [F.desc_nulls_last("rainfall_7d"), "zone", "date"], "_p")
-    return placed.withColumn("baseline_rank", F.col("_p") + 1).drop("_p")
+    return rank.baseline_rank(rows, "rainfall_7d", ["zone", "date"])
 
 
 @query(
@@ -513,8 +511,9 @@ def _(v: Views):
 )
 def _(v: Views):
     f = v.rain_features.select("zone", "date", "rain_mm", "rainfall_7d", "rainfall_30d")
-    ranges = stats.range_profile(f, ["rain_mm", "rainfall_7d", "rainfall_30d"]).drop("infinite")
-    return stats.missing_profile(f).join(ranges, "column").withColumn("mean", round_to(F.col("mean"), 6))
+    counts = stats.column_counts(f)
+    ranges = stats.range_profile(f, ["rain_mm", "rainfall_7d", "rainfall_30d"], counts).drop("infinite")
+    return stats.missing_profile(f, counts).join(ranges, "column").withColumn("mean", round_to(F.col("mean"), 6))
 
 
 @query(

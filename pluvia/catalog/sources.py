@@ -58,7 +58,11 @@ def _(v: Views):
     return readers.read_cube(v.spark, path)
 
 
-@query("S04_gauge_scan", "SELECT station, lat, lon, ts, level FROM gauge", ("gauge",))
+@query(
+    "S04_gauge_scan",
+    """SELECT 'S' || CAST(user_id AS VARCHAR) AS station, 7.9e0 + (user_id % 190) / 10e0 AS lat, 67.9e0 + (user_id % 50) / 100e0 AS lon, date_trunc('minute', ts) AS ts,
+       CASE WHEN event_id % 17 = 0 THEN NULL ELSE floor(value) END AS level FROM events WHERE event_id % 23 <> 0""",
+)
 def _(v: Views):
     path = scratch_path(v.spark, "gauges.csv")
     e, u = F.col("event_id"), F.col("user_id")
@@ -194,9 +198,9 @@ def _alerts(v: Views):
 def _(v: Views):
     path = scratch_path(v.spark, "alerts")
     when = F.col("date").cast("timestamp")
-    stores.append_alerts(_alerts(v), path, when)
-    stores.append_alerts(_alerts(v), path, when)  # a second run adds nothing
-    return stores.list_alerts(v.spark, path, "public", 200).select("zone", "date", "risk_level", "risk_score")
+    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH)
+    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH)  # a second run adds nothing
+    return stores.list_alerts(v.spark, path, "public", 200, by=stores.BY_MONTH).select("zone", "date", "risk_level", "risk_score")
 
 
 @query(
@@ -217,6 +221,53 @@ def _(v: Views):
     return stores.current_preferences(v.spark.read.parquet(path), "min_level")
 
 
+@query(
+    "S13_municipal_preferences",
+    """WITH l AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS username, 'Z' || CAST(user_id % 7 AS VARCHAR) AS zone,
+        coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ['ROUTINE', 'ELEVATED', 'HIGH', 'URGENT'][1 + event_id % 4] END, 'ELEVATED') AS min_priority, ts AS updated_at FROM events)
+       SELECT username, zone, arg_max(min_priority, (updated_at, min_priority)) AS min_priority, max(updated_at) AS updated_at FROM l GROUP BY 1, 2""",
+)
+def _(v: Views):
+    path = scratch_path(v.spark, "municipal-prefs")
+    u, e = F.col("user_id"), F.col("event_id")
+    level = F.element_at(F.array(*[F.lit(x) for x in fv.PRIORITY["order"]]), (e % 4 + 1).cast("int"))
+    log = v.table("events").select(
+        F.concat(F.lit("u"), (u % 40).cast("string")).alias("username"), F.concat(F.lit("Z"), (u % 7).cast("string")).alias("zone"),
+        F.when(e % 5 != 0, level).alias("min_priority"), F.col("ts").alias("updated_at"),
+    )
+    stores.append_preferences(log, path, "min_priority", "ELEVATED")
+    return stores.current_preferences(v.spark.read.parquet(path), "min_priority")
+
+
+@query(
+    "S12_municipal_listing",
+    """WITH t AS (SELECT *, lag(risk_level) OVER (PARTITION BY zone ORDER BY date) AS p FROM scored),
+    a AS (SELECT * FROM t WHERE risk_level IN ('HIGH', 'CRITICAL') OR coalesce(p <> risk_level, false)),
+    d AS (SELECT max(date) AS date FROM a)
+    SELECT zone, date, risk_score, anomaly_score AS anomaly, vulnerability_score AS vulnerability, 'check ' || lower(risk_level) AS first_action, CAST(2 AS INTEGER) AS n_actions,
+      CASE WHEN rainfall_30d IS NOT NULL THEN rainfall_30d END AS water FROM a JOIN d USING (date) ORDER BY zone LIMIT 200""",
+    ("scored",),
+)
+def _(v: Views):
+    """Operational alerts of the last day with alerts, nested columns stored as VARIANT and decoded on reading."""
+    path = scratch_path(v.spark, "municipal")
+    lo, hi = F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date")
+    rows = al.alert_batch(v.scored, lo, hi, ("municipal",)).select(
+        "alert_id", "channel", "zone", "date", "risk_score",
+        F.struct(F.col("anomaly_score").alias("anomaly"), F.col("vulnerability_score").alias("vulnerability")).alias("risk_components"),
+        F.array(F.concat(F.lit("check "), F.lower("risk_level")), F.lit("report")).alias("actions"),
+        F.struct(F.struct(F.col("rainfall_30d").alias("rain")).alias("water")).alias("environment"),
+    )
+    stores.append_alerts(stores.as_variants(rows), path, F.col("date").cast("timestamp"), stores.BY_MONTH)
+    last = v.spark.read.parquet(path).agg(F.max("date")).first()[0]
+    fields = {
+        "anomaly": ("risk_components", "$.anomaly", "double"), "vulnerability": ("risk_components", "$.vulnerability", "double"),
+        "first_action": ("actions", "$[0]", "string"), "_all": ("actions", "$", "array<string>"), "water": ("environment", "$.water.rain", "double"),
+    }
+    out = stores.decoded(stores.list_alerts(v.spark, path, "municipal", 200, date=last, by=stores.BY_MONTH), fields)
+    return out.select("zone", "date", "risk_score", "anomaly", "vulnerability", "first_action", F.size("_all").alias("n_actions"), "water")
+
+
 _OK = "report_type <> 'NOISE' AND length(trim(description)) > 0 AND zone IN (SELECT zone FROM zones)"
 
 
@@ -226,22 +277,23 @@ def _validated(v: Views):
     return stores.validated_reports(rows, F.coalesce("known", F.lit(False)))
 
 
-@query("S14_report_append", f"SELECT zone, report_type, description, ts, 'SUBMITTED' AS status FROM reports WHERE {_OK}", ("reports", "zones"))
+@query("S14_report_append", f"SELECT DISTINCT zone, report_type, description, ts, 'SUBMITTED' AS status FROM reports WHERE {_OK}", ("reports", "zones"))
 def _(v: Views):
     path = scratch_path(v.spark, "reports")
     stores.append_reports(_validated(v), path)
-    return v.spark.read.parquet(path).drop("report_id")
+    stores.append_reports(_validated(v), path)  # the same submissions again add nothing
+    return stores.stored_reports(v.spark, path).drop("report_id")
 
 
 @query(
     "S15_report_listing",
-    f"SELECT zone, report_type, description, ts FROM reports WHERE {_OK} ORDER BY ts DESC LIMIT 50",
+    f"SELECT zone, report_type, description, ts FROM (SELECT DISTINCT zone, report_type, description, ts FROM reports WHERE {_OK}) ORDER BY ts DESC LIMIT 50",
     ("reports", "zones"),
 )
 def _(v: Views):
     path = scratch_path(v.spark, "reports")
     stores.append_reports(_validated(v), path)
-    return stores.list_reports(v.spark.read.parquet(path)).select("zone", "report_type", "description", "ts")
+    return stores.list_reports(stores.stored_reports(v.spark, path)).select("zone", "report_type", "description", "ts")
 
 
 @query(

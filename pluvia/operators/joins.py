@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.session import stored
+
 
 def static_join(daily: DataFrame, static: DataFrame, key: str = "zone") -> DataFrame:
     """Zone attributes onto daily rows; a clashing column of the daily side is dropped first."""
@@ -20,15 +22,18 @@ def static_join(daily: DataFrame, static: DataFrame, key: str = "zone") -> DataF
 
 
 def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], one_to_one: bool = False) -> DataFrame:
-    """Left join that fails on duplicate right keys or unmatched left rows. Runs jobs for the checks."""
-    dup = right.groupBy(*keys).count().filter("count > 1").limit(1).count()
-    if dup:
+    """Join that fails on duplicate right keys or unmatched left rows. Runs jobs for the checks.
+
+    The left side is evaluated once: its join is stored, and the checks read what was stored.
+    """
+    if right.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"right side is not unique on {list(keys)}")
-    if one_to_one and left.groupBy(*keys).count().filter("count > 1").limit(1).count():
+    joined = stored(left.join(right.withColumn("_found", F.lit(True)), list(keys), "left"), "checked-join")
+    if one_to_one and joined.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"left side is not unique on {list(keys)}")
-    if left.join(right.select(*keys), list(keys), "left_anti").limit(1).count():
+    if joined.filter("_found is null").limit(1).count():
         raise ValueError(f"left rows without a match on {list(keys)}")
-    return left.join(right, list(keys))
+    return joined.drop("_found")
 
 
 def expand_dates(df: DataFrame, start="start_date", end="end_date", out="date") -> DataFrame:

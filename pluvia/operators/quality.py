@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pluvia import fixed_values as fv
 from pluvia.functions.numeric import is_infinite
+from pluvia.session import stored
 
 
 def outside(col: Column, lo: float, hi: float) -> Column:
@@ -210,11 +211,13 @@ def validate_features(df: DataFrame, rain_cols: Sequence[str], zone="zone", date
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     inf = F.count_if(F.exists(F.array(*[is_infinite(F.col(c)) for c in numeric]), lambda x: F.coalesce(x, F.lit(False))))
     neg = F.count_if(F.exists(F.array(*[F.col(c) < 0 for c in rain_cols]), lambda x: F.coalesce(x, F.lit(False))))
-    z = _per_zone(
-        df, zone, date,
-        {"_inf": inf, "_neg": neg, "_gauge": F.count("river_level_daily_mean_m"), "_pos": F.sum("flood_event_active")},
-    )
-    dates = df.agg(F.count_distinct(date)).scalar()
+    # counts per (zone, day), stored: the table is evaluated once, and zones and dates are counted from them
+    cells = stored(df.groupBy(zone, date).agg(
+        F.count(F.lit(1)).alias("_rows"), inf.alias("_inf"), neg.alias("_neg"),
+        F.count("river_level_daily_mean_m").alias("_gauge"), F.sum("flood_event_active").alias("_pos"),
+    ), "feature-cells")
+    z = cells.groupBy(zone).agg(*[F.sum(c).alias(c) for c in ("_rows", "_inf", "_neg", "_gauge", "_pos")], F.count(date).alias("_days"))
+    dates = cells.agg(F.count_distinct(date)).scalar()
     agg = z.agg(
         F.sum("_rows").alias("rows"),
         F.sum(F.col("_rows") - F.col("_days")).alias("dups"),
@@ -232,11 +235,15 @@ def validate_features(df: DataFrame, rain_cols: Sequence[str], zone="zone", date
     )
 
 
-def feature_guards(df: DataFrame, forbidden: Sequence[str] = fv.FORBIDDEN_FEATURES, keys=("zone", "date"), rows: int | None = None) -> None:
-    """Q05: forbidden columns absent, no infinities, no duplicate keys, fixed row count. Runs jobs."""
+def feature_guards(df: DataFrame, forbidden: Sequence[str] = fv.FORBIDDEN_FEATURES, keys=("zone", "date"), rows: int | None = None) -> DataFrame:
+    """Q05: forbidden columns absent, no infinities, no duplicate keys, fixed row count. Runs jobs.
+
+    Returns the guarded rows, stored: they are evaluated once for the guards and whatever follows.
+    """
     present = sorted(set(forbidden) & set(df.columns))
     if present:
         raise ValueError(f"forbidden features present: {present}")
+    df = stored(df, "guarded-features")
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(is_infinite(F.col(c))).alias(c) for c in numeric]).first()
     infinite = [c for c in numeric if counts[c]]
@@ -246,3 +253,4 @@ def feature_guards(df: DataFrame, forbidden: Sequence[str] = fv.FORBIDDEN_FEATUR
         raise ValueError(f"unexpected row count {counts['n']}")
     if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"duplicate {list(keys)}")
+    return df

@@ -69,6 +69,22 @@ def percentile_rank(df: DataFrame, score: str, keys: Sequence[str], nulls_last:
     return out.withColumn("percentile_int", F.col("percentile_0_100").cast("int")).drop("_pos")
 
 
+def baseline_rank(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Percentile in ascending order and rank in descending order, NULLs last in both, ties by `keys`. Runs jobs.
+
+    One stored order gives both: rows of one value stand together in it, so a row's place among them is the
+    same in either direction, and what stands above it follows from the value's count and first position.
+    """
+    placed = global_position(df, [F.col(value).asc_nulls_last(), *keys], "_pos")
+    per = placed.groupBy(F.col(value).alias("_v")).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    sizes = per.agg(F.struct(F.sum("_c").alias("n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).alias("known"))).scalar()
+    joined = placed.join(per, placed[value].eqNullSafe(per["_v"]), "left").withColumn("_all", sizes)
+    pct = round_to(F.try_divide(F.lit(100.0) * F.col("_pos"), F.col("_all.n") - 1), 2)
+    above = F.col("_all.known") - F.col("_first") - F.col("_c")
+    down = F.when(F.col(value).isNull(), F.col("_pos")).otherwise(above + F.col("_pos") - F.col("_first")) + 1
+    return joined.withColumns({"baseline_percentile": pct, "baseline_rank": down}).drop("_pos", "_v", "_first", "_c", "_all")
+
+
 def value_ranks(df: DataFrame, col: str, descending: bool = False) -> DataFrame:
     """Average rank of every distinct non-null value of a column. Runs a job."""
     return _ranks_of_counts(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")), col, descending)
@@ -129,7 +145,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(pair.alias("p")).select("p.column", "p.v").filter(F.col("v").isNotNull())
-    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_of_counts(long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_c")), probs)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles from rows (column, v, _c). Runs jobs."""
     run = running_totals(counts, ["column", "v"], {"_upto": "_c"})
     totals = run.groupBy("column").agg(F.sum("_c").alias("n"), F.min(F.col("_upto") - F.col("_c")).alias("_start"))
     want = F.explode(F.array(*[F.lit(float(p)) for p in probs]))

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvia import fixed_values as fv
 from pluvia.functions.numeric import decimal_round, fixed_text, is_infinite, round_to
+from pluvia.session import stored
 
 
 def _rainy(value):
@@ -205,43 +207,58 @@ def station_summary(days: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One pass of aggregates, then one row per column."""
-    items = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("type"),
-            F.count_distinct(F.col(f.name)).alias("unique_count"),
-            F.count_if(F.col(f.name).isNull()).alias("null_count"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        for f in df.schema.fields
-    ]
-    one = df.agg(F.array(*items).alias("a"))
-    out = one.select(F.explode("a").alias("r")).select("r.*")
-    return out.withColumn("null_pct", round_to(F.try_divide(F.col("null_count") * 100.0, F.col("_n")), 2)).drop("_n")
-
-
-def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, exact quartiles and max per column. Runs jobs for the quartiles."""
-    from pluvia.operators.rank import exact_quantiles
+def column_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows (column, value, number, n): how often each column holds each value, NULL included; stored.
 
+    The table is read once and goes through one aggregation in long form, in partial sums. All profiles
+    follow from these counts. `value` is the value as text, `number` as a double where it is numeric.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if cols is None or f.name in cols}
     items = [
         F.struct(
             F.lit(c).alias("column"),
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
+            (F.col(c).cast("string") if isinstance(kind, T.AtomicType) else F.to_json(c)).alias("value"),
+            (F.col(c) if isinstance(kind, T.NumericType) else F.lit(None)).cast("double").alias("number"),
         )
-        for c in cols
+        for c, kind in kinds.items()
     ]
-    basic = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("r")).select("r.*")
-    q = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+    long = df.select(F.inline(F.array(*items)))
+    return stored(long.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n")), "column-counts")
+
+
+def column_profile(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Type, distinct values and NULLs per column, from its counts."""
+    counts = column_counts(df) if counts is None else counts
+    kinds = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string")
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    per = counts.groupBy("column").agg(F.count("value").alias("unique_count"), missing.alias("null_count"), F.sum("n").alias("_n"))
+    # an empty table has its columns, too
+    none = F.lit(0).cast("bigint")
+    every = kinds.join(per, "column", "left").select("column", "type", *[F.coalesce(c, none).alias(c) for c in ("unique_count", "null_count", "_n")])
+    return every.withColumn("null_pct", round_to(F.try_divide(F.col("null_count") * 100.0, F.col("_n")), 2)).drop("_n")
+
+
+def numeric_describe(df: DataFrame, cols: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Count, mean, std, min, exact quartiles and max per column, from its counts. Runs jobs for the quartiles."""
+    from pluvia.operators.rank import quantiles_of_counts
+
+    counts = column_counts(df, cols) if counts is None else counts
+    known = counts.filter(F.col("number").isNotNull() & F.col("column").isin(list(cols)))
+    x, n = F.col("number"), F.col("n")
+    basic = known.groupBy("column").agg(
+        F.sum("n").alias("count"), (F.sum(x * n) / F.sum(n)).alias("mean"), F.min("number").alias("min"), F.max("number").alias("max")
+    )
+    # squares around the mean: columns x one row, so the mean is broadcast
+    off = known.join(F.broadcast(basic.select("column", F.col("mean").alias("_m"))), "column")
+    std = off.groupBy("column").agg(F.sqrt(F.try_divide(F.sum((x - F.col("_m")) * (x - F.col("_m")) * n), F.sum(n) - 1)).alias("std"))
+    q = quantiles_of_counts(known.select("column", F.col("number").alias("v"), F.col("n").alias("_c")), (0.25, 0.5, 0.75))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
     wide = q.groupBy("column").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
-    return basic.join(wide, "column", "left")
+    out = basic.join(std, "column").join(wide, "column", "left")
+    # a column without values keeps its row
+    names = counts.filter(F.col("column").isin(list(cols))).select("column").distinct().join(out, "column", "left")
+    order = ["column", "count", "mean", "std", "min", "max", "p25", "p50", "p75"]
+    return names.withColumn("count", F.coalesce("count", F.lit(0).cast("bigint"))).select(order)
 
 
 def category_distribution(df: DataFrame, category: str) -> DataFrame:
@@ -250,30 +267,24 @@ def category_distribution(df: DataFrame, category: str) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
-def missing_profile(df: DataFrame) -> DataFrame:
+def missing_profile(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Columns with NULLs, most first."""
-    items = [
-        F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing"), F.count(F.lit(1)).alias("_n"))
-        for c in df.columns
-    ]
-    out = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("r")).select("r.*").filter("missing > 0")
-    pct = F.try_divide(F.col("missing") * 100.0, F.col("_n"))
-    return out.withColumn("missing_pct", pct).drop("_n").orderBy(F.desc("missing"), "column")
-
-
-def range_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Min, max, mean and infinite count per numeric column."""
-    items = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-            F.avg(c).alias("mean"),
-            F.count_if(is_infinite(F.col(c))).alias("infinite"),
-        )
-        for c in cols
-    ]
-    return df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    counts = column_counts(df) if counts is None else counts
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    per = counts.groupBy("column").agg(missing.alias("missing"), F.sum("n").alias("_n"))
+    out = per.withColumn("missing_pct", F.try_divide(F.col("missing") * 100.0, F.col("_n"))).drop("_n")
+    return out.filter("missing > 0").orderBy(F.desc("missing"), "column")
+
+
+def range_profile(df: DataFrame, cols: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Min, max, mean and infinite count per numeric column, from its counts."""
+    counts = column_counts(df, cols) if counts is None else counts
+    x, n = F.col("number"), F.col("n")
+    rows = counts.filter(F.col("column").isin(list(cols)))
+    return rows.groupBy("column").agg(
+        F.min("number").alias("min"), F.max("number").alias("max"), (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        F.sum(F.when(is_infinite(x), n).otherwise(0)).alias("infinite"),
+    )
 
 
 def rain_summary(df: DataFrame, value="rain_mm", zone="zone", date="date", week="rainfall_7d") -> DataFrame:
@@ -296,11 +307,14 @@ def group_attributes(df: DataFrame, cols: Sequence[str], value="rain_mm", zone="
     return df.groupBy(zone).agg(*first_known(df, cols, zone, date), F.avg(value).alias("rainfall_climatology_mm_day"))
 
 
-def trailing_mean(df: DataFrame, cols: Sequence[str], zone="zone", date="date", days: int = 90) -> DataFrame:
-    """D25 first half: mean over dates >= the zone's last date - `days`."""
-    last = df.groupBy(zone).agg(F.max(date).alias("_last"))
-    recent = df.join(last, zone).filter(F.col(date) >= F.date_sub("_last", days))
-    return recent.groupBy(zone).agg(*[F.avg(c).alias(c) for c in cols])
+def trailing_mean(df: DataFrame, cols: Sequence[str], zone="zone", date="date", days: int = 90, latest: Sequence[str] = ()) -> DataFrame:
+    """D25 first half: mean over dates >= the zone's last date - `days`, and the last value of the `latest` columns.
+
+    One window and one aggregate on the same exchange; a zone's series is bounded by the calendar.
+    """
+    last = F.max(date).over(Window.partitionBy(zone))
+    recent = df.select(zone, date, *cols, *latest, last.alias("_last")).filter(F.col(date) >= F.date_sub("_last", days))
+    return recent.groupBy(zone).agg(*[F.avg(c).alias(c) for c in cols], *[F.max_by(c, date).alias(c) for c in latest])
 
 
 def damped(value: Column, days_ahead: Column, when_zero: float) -> Column:

@@ -13,9 +13,8 @@ from pluvia.operators.stats import damped, trailing_mean
 
 def damped_climatology(history: DataFrame, requests: DataFrame) -> DataFrame:
     """requests(zone, days_ahead, ...) against history(zone, date, anomaly_score, temporal_intensity, vulnerability_score)."""
-    base = trailing_mean(history, ["anomaly_score", "temporal_intensity"])
-    vuln = history.groupBy("zone").agg(F.max_by("vulnerability_score", "date").alias("vulnerability_score"))
-    rows = requests.join(base, "zone").join(vuln, "zone")
+    base = trailing_mean(history, ["anomaly_score", "temporal_intensity"], latest=["vulnerability_score"])
+    rows = requests.join(base, "zone")
     ahead = F.col("days_ahead")
     rows = rows.withColumns(
         {

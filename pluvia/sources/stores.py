@@ -10,27 +10,58 @@ from pluvia.functions.classify import failures
 from pluvia.sources.readers import _exists
 
 _JSON = ("risk_components", "actions", "checklist", "environment")
+#: How partitions are named: by day, or by month for stores that are filled with years at a time.
+BY_DAY, BY_MONTH = "'d'yyyy-MM-dd", "'m'yyyy-MM"
+_NAMED = 366  # partitions named one by one when a store is pruned; more are given as a range
 
 
-def append_alerts(alerts: DataFrame, path: str, created_at: Column | None = None) -> None:
-    """Add the alerts whose id is not stored yet; a repeated run adds nothing."""
+def _stored_periods(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame | None:
+    """The stored rows of the periods that `rows` has, read from their partitions only; None without a store. Runs a job."""
+    if not _exists(spark, path):
+        return None
+    first, last, n = rows.agg(F.min("period"), F.max("period"), F.count_distinct("period")).first()
+    store = spark.read.parquet(path)
+    if n <= _NAMED:
+        return store.filter(F.col("period").isin([r[0] for r in rows.select("period").distinct().collect()]))
+    return store.filter(F.col("period").between(first, last))
+
+
+def append_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:
+    """Add the alerts whose id is not stored yet; a repeated run adds nothing.
+
+    The store is partitioned by period and channel. An id depends on its day, so the ids of the alerts' own
+    periods are all that has to be read, however long the store has grown.
+    """
     spark = alerts.sparkSession
-    rows = alerts.dropDuplicates(["alert_id"])
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select("alert_id")
-        rows = rows.join(stored, "alert_id", "left_anti")
+    rows = alerts.dropDuplicates(["alert_id"]).withColumn("period", F.date_format("date", by))
+    before = _stored_periods(spark, path, rows)
+    if before is not None:
+        rows = rows.join(before.select("alert_id"), "alert_id", "left_anti")
+    _stamped(rows, created_at).write.mode("append").partitionBy("period", "channel").parquet(path)
+
+
+def replace_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:
+    """The periods and channels of these alerts are written anew, all others stay (dynamic overwrite)."""
+    rows = alerts.dropDuplicates(["alert_id"]).withColumn("period", F.date_format("date", by))
+    out = _stamped(rows, created_at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("period", "channel").parquet(path)
+
+
+def _stamped(rows: DataFrame, created_at: Column | None) -> DataFrame:
+    """With the time of writing; rows of a period are clustered, so that a task writes few files."""
     stamped = rows.withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
-    stamped.write.mode("append").partitionBy("channel").parquet(path)
+    return stamped.hint("rebalance", "period", "channel")
 
 
-def list_alerts(spark: SparkSession, path: str, channel: str, limit: int = 50, date=None, zone: str | None = None) -> DataFrame:
-    """Newest first. Filters apply before the limit; every task sends at most `limit` rows."""
+def list_alerts(spark: SparkSession, path: str, channel: str, limit: int = 50, date=None, zone: str | None = None, by: str = BY_DAY) -> DataFrame:
+    """Newest first. Filters apply before the limit (date and channel to the partitions); every task sends at most `limit` rows."""
     rows = spark.read.parquet(path).filter(F.col("channel") == channel)
     if date is not None:
-        rows = rows.filter(F.col("date") == date)
+        day = F.lit(date).cast("date")
+        rows = rows.filter((F.col("date") == day) & (F.col("period") == F.date_format(day, by)))
     if zone is not None:
         rows = rows.filter(F.col("zone") == zone)
-    return rows.orderBy(F.desc("created_at"), F.desc("date"), "zone").limit(limit)
+    return rows.orderBy(F.desc("created_at"), F.desc("date"), "zone").limit(limit).drop("period")
 
 
 def encode_json(df: DataFrame) -> DataFrame:
@@ -42,6 +73,16 @@ def decode_json(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.from_json(c, s) for c, s in schemas.items()})
 
 
+def as_variants(df: DataFrame) -> DataFrame:
+    """Nested columns of operational alerts as VARIANT, which keeps whatever fields a row brings."""
+    return df.withColumns({c: F.parse_json(F.to_json(c)) for c in _JSON if c in df.columns})
+
+
+def decoded(df: DataFrame, fields: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Columns from VARIANT ones, name = (column, path, type); a missing or unfit field is NULL."""
+    return df.withColumns({name: F.try_variant_get(F.col(c), path, kind) for name, (c, path, kind) in fields.items()})
+
+
 def append_preferences(prefs: DataFrame, path: str, setting: str, default: str) -> None:
     """Log of (username, zone, setting, updated_at); an unset value takes the default."""
     prefs.withColumn(setting, F.coalesce(setting, F.lit(default))).write.mode("append").parquet(path)
@@ -72,15 +113,33 @@ def validated_reports(reports: DataFrame, zone_known: Column) -> DataFrame:
             ),
             "report_id": F.concat(F.lit("CR-"), F.upper(F.substring(F.sha2(key, 256), 1, 12))),
             "status": F.lit("SUBMITTED"),
+            "timeless": F.col("ts").isNull(),
             "ts": F.coalesce(F.col("ts"), F.current_timestamp().cast("timestamp_ntz")),
         }
     )
 
 
 def append_reports(reports: DataFrame, path: str) -> None:
-    """The accepted rows only."""
-    accepted = reports.filter(F.size("failures") == 0)
-    accepted.select("report_id", "zone", "report_type", "description", "ts", "status").write.mode("append").parquet(path)
+    """The accepted rows whose id is not stored yet; the same submissions again add nothing.
+
+    The store is partitioned by day. The id covers the time, so a report is looked up in its own day;
+    a submission without a time gets that of its arrival and is looked up in all days.
+    """
+    spark = reports.sparkSession
+    accepted = reports.filter(F.size("failures") == 0).dropDuplicates(["report_id"])
+    rows = accepted.select("report_id", "zone", "report_type", "description", "ts", "status", F.date_format("ts", BY_DAY).alias("period"), "timeless")
+    before = _stored_periods(spark, path, rows.filter(~F.col("timeless")))
+    if before is not None:
+        known = before.select("report_id")
+        if rows.filter("timeless").limit(1).count():
+            known = known.unionByName(spark.read.parquet(path).filter("timeless").select("report_id"))
+        rows = rows.join(known, "report_id", "left_anti")
+    rows.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(path)
+
+
+def stored_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The reports of the store, without its own columns."""
+    return spark.read.parquet(path).drop("period", "timeless")
 
 
 def list_reports(reports: DataFrame, zone: str | None = None, limit: int = 50) -> DataFrame:

@@ -75,3 +75,48 @@ def test_box_and_site_series(spark):
         ("s", 18.5, 73.75, 1.0), ("s", 18.5, 73.75, 2.0), ("t", 18.5, 73.75, 1.0), ("t", 18.5, 73.75, 2.0)]
     ids = [r["cell_id"] for r in spatial.stable_cell_ids(cube, "G").orderBy("lat", "lon").collect()]
     assert ids == ["G001", "G002", "G003", "G004"]
+
+
+def test_alerts_of_a_day_read_their_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    rows = spark.range(40).select(
+        F.concat(F.lit("a"), F.col("id")).alias("alert_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int")).alias("date"),
+        F.when(F.col("id") < 20, "public").otherwise("municipal").alias("channel"), F.lit("z").alias("zone"),
+    )
+    stores.append_alerts(rows, path)
+    one = rows.filter("date = DATE'2024-01-04'").withColumn("period", F.date_format("date", stores.BY_DAY))
+    before = stores._stored_periods(spark, path, one)
+    plan = before._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan or "PartitionFilters: [period" in plan
+    assert {f.split("period=")[1].split("/")[0] for f in before.inputFiles()} >= {"d2024-01-04"} and before.count() == 4
+    listed = stores.list_alerts(spark, path, "public", date=dt.date(2024, 1, 4))
+    assert listed.count() == 2 and "PartitionFilters" in listed._jdf.queryExecution().executedPlan().toString()
+    stores.append_alerts(rows.filter("date >= DATE'2024-01-04'"), path)
+    assert spark.read.parquet(path).count() == 40
+    stores.replace_alerts(rows.filter("date = DATE'2024-01-04'").limit(1), path)
+    assert spark.read.parquet(path).count() == 39
+
+
+def test_the_same_reports_twice_are_stored_once(spark, tmp_path):
+    from pluvia.streaming.intake import report_intake
+
+    zones = spark.createDataFrame([("a",)], "zone string")
+    data = [("a", "FLOODING", "x", dt.datetime(2024, 1, 1)), ("a", "OTHER", "y", None), ("a", "OTHER", "z", dt.datetime(2023, 1, 1))]
+    reports = spark.createDataFrame(data, "zone string, report_type string, description string, ts timestamp_ntz")
+    checked = stores.validated_reports(reports, F.lit(True))
+    path, incoming, out = (str(tmp_path / n) for n in ("store", "in", "out"))
+    for _ in range(2):
+        stores.append_reports(checked, path)
+        reports.coalesce(1).write.mode("append").json(incoming)
+        report_intake(spark, incoming, zones, out, str(tmp_path / "cp")).awaitTermination(120)
+    assert stores.stored_reports(spark, path).count() == 3
+    assert spark.read.parquet(out).count() == 3
+    assert stores.stored_reports(spark, path).columns == spark.read.parquet(out).columns
+
+
+def test_variant_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, (1.5, None), ["a", "b"])], "id int, risk_components struct<anomaly: double, other: string>, actions array<string>")
+    stores.as_variants(rows).write.parquet(str(tmp_path / "v"))
+    fields = {"anomaly": ("risk_components", "$.anomaly", "double"), "gone": ("risk_components", "$.none", "int"), "all": ("actions", "$", "array<string>")}
+    r = stores.decoded(spark.read.parquet(str(tmp_path / "v")), fields).first()
+    assert (r["anomaly"], r["gone"], r["all"]) == (1.5, None, ["a", "b"])
