@@ -65,3 +65,24 @@ def test_imputation_uses_fit_rows_only(spark):
     assert sorted(r["x"] for r in out.collect()) == [1.0, 2.0, 2.0, 3.0, 100.0]
     with pytest.raises(ValueError, match="median"):
         features.impute_training_medians(df, ["x"], F.col("fit") == 7)
+
+
+def test_no_row_is_judged_by_a_model_that_saw_it(cloud):
+    rows = cloud.limit(400).withColumns({"y": (F.col("a") > 0.3).cast("int"), "part": F.col("id") % 4})
+    first = F.col("part") == 0
+    folds = {"held": [(~first, first)], "whole": [(F.col("part") < 2, F.col("part") >= 2), (F.col("part") >= 2, F.col("part") < 2)]}
+    out = boosting.out_of_fold(rows, COLS, "y", folds, rounds=3)
+    parts = {(r["split"], r["part"]): r["n"] for r in out.groupBy("split", "part").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert parts == {("held", 0): sizes[0], **{("whole", p): sizes[p] for p in range(4)}}
+    quality = {r["split"]: r for r in boosting.holdout_quality(out, "y").collect()}
+    assert quality["whole"]["n"] == 400 and quality["held"]["tp"] + quality["held"]["fn"] == quality["held"]["positives"]
+
+
+def test_attributions_and_base_add_up(spark, cloud):
+    inf = float("inf")
+    paths = [(1.0, [(0, -inf, 0.2, 0.6), (1, 0.0, inf, 0.5)]), (-2.0, [(0, 0.2, inf, 0.4)]), (0.5, [(0, -inf, 0.2, 0.6), (1, -inf, 0.0, 0.5)])]
+    out = boosting.attribute(paths, cloud.limit(200), COLS).toPandas()
+    margin = np.where(out["a"] > 0.2, -2.0, np.where(out["b"] > 0.0, 1.0, 0.5))
+    total = out[[f"shap_{c}" for c in COLS]].sum(axis=1) + boosting.base_value(paths)
+    assert np.allclose(total, margin) and (out["shap_c"] == 0).all()

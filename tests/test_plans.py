@@ -38,3 +38,28 @@ def test_scan_reads_only_the_used_columns(spark):
 def test_top_k_is_limited_before_the_shuffle(spark):
     top = topk.top_per_group(Views(spark, SF).table("lineitem"), "l_suppkey", "l_quantity", ["l_orderkey", "l_linenumber"], 3)
     assert "WindowGroupLimit" in _plan(top) and "Partial" in _plan(top)
+
+
+def test_profiles_read_the_table_once(spark, monkeypatch):
+    from pluvia.operators import stats
+
+    seen = []
+    keep = stats.stored
+    monkeypatch.setattr(stats, "stored", lambda df, name: seen.append(_plan(df)) or keep(df, name))
+    rows = Views(spark, SF).obs
+    for out in (stats.column_profile(rows), stats.missing_profile(rows), stats.range_profile(rows, ["rain_mm"]), stats.numeric_describe(rows, ["rain_mm"])):
+        plan = _plan(out)
+        assert "Expand" not in plan and "lineitem" not in plan  # all that follows reads the stored counts
+    assert len(seen) == 4 and all("Expand" not in p and "partial_count" in p for p in seen)
+
+
+def test_both_ranks_take_one_order(spark, monkeypatch):
+    from pluvia.operators import rank
+
+    orders = []
+    keep = rank._fixed_order
+    monkeypatch.setattr(rank, "_fixed_order", lambda df, order: orders.append(order) or keep(df, order))
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0), (4, 2.0), (5, None)], "k int, v double")
+    got = {r["k"]: (r["baseline_percentile"], r["baseline_rank"]) for r in rank.baseline_rank(rows, "v", ["k"]).collect()}
+    assert len(orders) == 1
+    assert got == {1: (0.0, 2), 4: (25.0, 3), 3: (50.0, 1), 2: (75.0, 4), 5: (100.0, 5)}
