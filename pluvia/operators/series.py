@@ -28,11 +28,12 @@ def daily_series(
     that follow. With no start/end the span of the data is used.
     """
     obs = raw.select(F.col(zone).alias("zone"), F.col(date).cast("date").alias("date"), value.alias("_v"))
+    days = obs.groupBy("zone", "date").agg(F.sum("_v").alias("_v"))
     if start is None or end is None:
-        bounds = obs.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+        # from the days that are added up, with their sums in use, so that both sides share one exchange and one scan
+        bounds = days.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("_v").alias("n"))).scalar()
     else:
         bounds = F.struct(F.lit(start).cast("date").alias("lo"), F.lit(end).cast("date").alias("hi"))
-    days = obs.groupBy("zone", "date").agg(F.sum("_v").alias("_v"))
     w = Window.partitionBy("zone").orderBy("date")
     around = days.withColumns({"_before": F.lag("date").over(w), "_after": F.lead("date").over(w)})
     lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from pluvia.catalog.base import Views
 from pluvia.operators import series, topk
@@ -23,7 +24,7 @@ def _exchanges(df):
 def test_all_windows_share_the_exchange_of_the_series(spark):
     v = Views(spark, SF)
     base = _exchanges(v.zone_day)
-    assert base == 2  # one to add up (zone, day), one by zone
+    assert base == 3  # one to add up (zone, day), one by zone; the span's own is the first again when it runs
     wide = series.with_previous_month_climatology(series.with_previous_year(series.complete_rolling_sum(v.zone_day)))
     wide = series.season_to_date(series.month_to_date(series.shifted_rolling(series.lags(wide))))
     assert _exchanges(wide) == base
@@ -31,6 +32,19 @@ def test_all_windows_share_the_exchange_of_the_series(spark):
     assert _exchanges(risk_table(v.scored_parts.drop("temporal_intensity"))) == base + 1
 
 
+def test_series_reads_its_rows_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    raw = spark.range(3000).selectExpr("concat('z', id % 7) AS zone", "date_add(DATE'2020-01-01', cast(id % 400 AS int)) AS date", "1.0D AS v")
+    out = series.daily_series(raw.mapInArrow(counted, raw.schema), "zone", "date", F.col("v"))
+    assert out.count() == 7 * 400 and reads.value == 3000
+
+
 def test_scan_reads_only_the_used_columns(spark):
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_shipdate" in _plan(Views(spark, SF).zone_day)
 
