@@ -42,7 +42,8 @@ def test_series_reads_its_rows_once(spark):
 
     raw = spark.range(3000).selectExpr("concat('z', id % 7) AS zone", "date_add(DATE'2020-01-01', cast(id % 400 AS int)) AS date", "1.0D AS v")
     out = series.daily_series(raw.mapInArrow(counted, raw.schema), "zone", "date", F.col("v"))
-    assert out.count() == 7 * 400 and reads.value == 3000
+    total, n = out.agg(F.sum("rain_mm"), F.count("*")).first()
+    assert (total, n, reads.value) == (3000.0, 7 * 400, 3000)
 
 
 def test_scan_reads_only_the_used_columns(spark):
