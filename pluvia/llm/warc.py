@@ -1,6 +1,6 @@
 """WARC archives and an index merged from sorted runs.
 
-Pages are written as WARC records (gzip files of about `FILE_BYTES`), one per page: the first
+Pages are written as WARC records (gzip files of at most about `FILE_BYTES`), one per page: the first
 page_id with a payload is a response, others with the same payload revisit it and carry no copy.
 Reading parses every archive by its record lengths and gives index entries. The entries of one
 archive, sorted by URL key and timestamp, are a run; up to `FAN_IN` runs at a time are merged by a
@@ -63,7 +63,7 @@ def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     """Writes pages (page_id, url, html) as WARC files; returns their folder."""
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    total = pages.agg(F.sum(F.octet_length("payload") + 600)).first()[0] or 0
+    rows, total = pages.agg(F.count("*"), F.sum(F.octet_length("payload") + 600)).first()
     roles = _roles(pages, min_bytes)
     df = null_safe(pages.withColumn("sha", F.sha1("payload")), roles, ["page_id", "sha"], "left")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -85,9 +85,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     ]
     record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
     folder = scratch_path(pages.sparkSession, "warc")
-    files = max(1, math.ceil(total / FILE_BYTES))
-    placed = df.select(record.alias("value"), F.xxhash64("page_id", "sha").alias("k")).repartition(files, "k").select("value")
-    placed.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(folder)
+    # written where the join left them, a file per so many records: payloads are not shuffled again for it
+    each = max(1, math.floor(FILE_BYTES * rows / total)) if rows else 1
+    written = df.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+    written.option("maxRecordsPerFile", each).text(folder)
     return folder
 
 
