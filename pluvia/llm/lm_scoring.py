@@ -127,10 +127,11 @@ def _asks(n: int):
     return run
 
 
-def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _added(pdf: pd.DataFrame, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all blobs; those of a block fit 32 bits, those of the corpus need 64."""
     u, c = np.empty(0, np.uint64), np.empty(0, np.int64)
     for at in range(0, len(pdf), 64):  # few blocks at a time, so that memory follows the distinct keys
-        parts = [unsqueeze(b, "<u8", "<u4") for b in pdf["blob"][at : at + 64]]
+        parts = [unsqueeze(b, "<u8", kind) for b in pdf["blob"][at : at + 64]]
         u, c = merged([u, *[p[0] for p in parts]], [c, *[p[1].astype(np.int64) for p in parts]])
     return u, c
 
@@ -171,7 +172,7 @@ class Fold:
 
 
 def _subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
-    fold = Fold(*_added(pdf))
+    fold = Fold(*_added(pdf, "<u8"))
     parts = []
     for k in range(8):
         ctx, node = fold.names(k)
@@ -186,7 +187,7 @@ def _answers(n: int):
     def run(left: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"bucket": [], "blob": []})
-        fold = Fold(*_added(left))
+        fold = Fold(*_added(left, "<u8"))
         keys = (top["ctx"].to_numpy() << 8) + top["node"].to_numpy()
         order = np.argsort(keys)
         logp = np.zeros(len(fold.codes))
@@ -322,7 +323,7 @@ def ctw_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
         rows = []
         for b, _, at in deal(distinct, n, np.arange(len(distinct))):
             pick = np.isin(back, at)
-            rows.append((b, squeeze(u[pick], c[pick].astype("<u4"))))
+            rows.append((b, squeeze(u[pick], c[pick].astype("<u8"))))
         return pd.DataFrame(rows, columns=["model", "blob"])
 
     model = stored(grams.groupBy("bucket").applyInPandas(by_model, "model bigint, blob binary"), "grams")

@@ -254,3 +254,18 @@ def test_counts_are_handed_on_in_parts(awkward, monkeypatch):
 def test_rates_beyond_64_bits():
     counts, total = np.array([0, 5, 10**13, 9 * 10**13 - 1]), 9 * 10**13
     assert divergence.per_billion(counts, np.int64(total)).tolist() == [1 + 10**9 * (int(c) + 1) // total for c in counts]
+
+
+def test_counts_of_the_corpus_pass_32_bits():
+    import pandas as pd
+
+    from pluvia.llm import lm_scoring
+    from pluvia.llm.blocks import squeeze
+
+    codes, n = np.array([97, 98, 353], dtype=np.uint64), np.array([2**32 + 5, 7, 1], dtype=np.int64)
+    block = pd.DataFrame({"blob": [squeeze(codes, np.array([2**32 - 1, 7, 0]).astype("<u4")), squeeze(codes, np.array([6, 0, 1]).astype("<u4"))]})
+    u, c = lm_scoring._added(block)
+    assert u.tolist() == codes.tolist() and c.tolist() == n.tolist()
+    nodes = lm_scoring._subtrees(pd.DataFrame({"blob": [squeeze(u, c.astype("<u8"))]}))
+    roots = nodes[nodes["node"] == 1]
+    assert roots["a"].sum() + roots["b"].sum() == n.sum()
