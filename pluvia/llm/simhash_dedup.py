@@ -4,7 +4,9 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
 vantage-point tree, fitted on a bounded sample, deals the distinct fingerprints to shards by
 Hamming distance: d <= mu goes inside, d > mu outside. A fingerprint is owned by one shard and
 also visits every shard that the triangle bounds d <= mu + r and d > mu - r cannot rule out, so
-each pair within the radius meets in the owner's shard of either side. Crowded shards are cut into
+each pair within the radius meets in the owner's shard of either side. Of two fingerprints within
+radius r, one 32-bit half differs in r // 2 bits at most, so there is one tree for each half, with
+that bound; distances over all 64 bits decide. Shards that one half's value crowds are cut into
 blocks of bounded size in which their pairs still meet. Shards search with local
 trees under the same bounds and return star edges (fingerprint, least linked fingerprint): links
 are exact, and their number is linear in the rows. Components follow in `links`.
@@ -40,6 +42,10 @@ from pluvia.session import cut_lineage
 SAMPLE = 100_000
 #: Distinct fingerprints a shard should own, and those a local leaf compares without bounds.
 SHARD, LOCAL = 65_536, 64
+#: The same for a tree over a half, and the rows above which its shards are cut into blocks.
+HALF_SHARD, CROWD = 8_192, 1_048_576
+#: Bits a fingerprint has, as a whole and in halves.
+WHOLE, HALVES = np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 #: Values of a bottom-k sketch.
 SKETCH = 32
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -139,20 +145,26 @@ class Tree:
         return row, node, own
 
 
-def near_pairs(q: np.ndarray, x: np.ndarray, radius: int):
-    """Index pairs (into q, into x) at most `radius` bits apart, by local trees."""
-    work = [(np.arange(len(q)), np.arange(len(x)))]
+def near_pairs(q: np.ndarray, x: np.ndarray, radius: int, mask: np.uint64 = WHOLE, reach: int | None = None):
+    """Index pairs (into q, into x) at most `radius` bits apart, by local trees.
+
+    With a mask, every such pair that is at most `reach` apart in the masked bits, and maybe others.
+    """
+    work = [(np.arange(len(q)), np.arange(len(x)), mask, radius if reach is None else reach)]
     while work:
-        a, b = work.pop()
+        a, b, bits, bound = work.pop()
         if not len(a) or not len(b):
             continue
         if len(b) > LOCAL:
-            v = x[b[len(b) // 2]]
-            dx, dq = _apart(x[b], v), _apart(q[a], v)
+            v = x[b[len(b) // 2]] & bits
+            dx, dq = _apart(x[b] & bits, v), _apart(q[a] & bits, v)
             mu = int(np.median(dx))
-            inside, goes_in, goes_out = dx <= mu, dq <= mu + radius, dq > mu - radius
+            inside, goes_in, goes_out = dx <= mu, dq <= mu + bound, dq > mu - bound
             if not inside.all() and goes_in.sum() + goes_out.sum() < 1.8 * len(a):
-                work += [(a[goes_in], b[inside]), (a[goes_out], b[~inside])]
+                work += [(a[goes_in], b[inside], bits, bound), (a[goes_out], b[~inside], bits, bound)]
+                continue
+            if bits != WHOLE:  # one value of the masked bits crowds this leaf: the others tell its rows apart
+                work.append((a[dq <= dx.max() + bound], b, WHOLE, radius))
                 continue
         for at in range(0, len(a), 256):
             for to in range(0, len(b), 8192):
@@ -206,27 +218,68 @@ def _agree(s: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndar
     return keep
 
 
-def _shard_edges(radius: int, least: float | None):
+def _shard_edges(radius: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         fps = pdf["fp"].to_numpy().view(np.uint64)
         own = np.flatnonzero(pdf["own"].to_numpy())
         node = pdf["node"].to_numpy()
-        if least is not None:
-            sketch = np.zeros((len(pdf), SKETCH), dtype=np.uint32)
-            for r, raw in enumerate(pdf["sketch"]):
-                v = np.frombuffer(raw, dtype="<u4")
-                sketch[r] = np.pad(v, (0, SKETCH - len(v)), mode="edge") if len(v) else 0
+        sketch = np.zeros((len(pdf), SKETCH), dtype=np.uint32)
+        for r, raw in enumerate(pdf["sketch"]):
+            v = np.frombuffer(raw, dtype="<u4")
+            sketch[r] = np.pad(v, (0, SKETCH - len(v)), mode="edge") if len(v) else 0
         sets = Union(len(pdf))
         for i, j in near_pairs(fps[own], fps, radius):
-            i = own[i]
-            if least is not None:
-                root = sets.flatten()
-                open_ = root[i] != root[j]
-                i, j = i[open_], j[open_]
-                good = _agree(sketch, i, j, least)
-                i, j = i[good], j[good]
-            sets.add(i, j)
+            i, root = own[i], sets.flatten()
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
+            good = _agree(sketch, i, j, least)
+            sets.add(i[good], j[good])
+        root = sets.flatten()
+        linked = np.flatnonzero(node[root] != node)
+        return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
+
+    return run
+
+
+def _fitted(nodes: DataFrame, shard: int) -> tuple[np.ndarray, int]:
+    """The sample of a tree, and its depth at which a shard owns about `shard` rows."""
+    depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / shard)))
+    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy().view(np.uint64)
+    return sample, min(depth, int(math.log2(max(2, len(sample)))) - 3) if depth else 0
+
+
+def _half_edges(nodes: DataFrame, radius: int, shard: int, crowd: int) -> DataFrame:
+    """Star edges (a, b) among nodes (node, fp) within the radius, by one tree for each half."""
+    sample, depth = _fitted(nodes, shard)
+    trees = nodes.sparkSession.sparkContext.broadcast([Tree(np.unique(sample & half), max(depth, 0)) for half in HALVES])
+
+    def deal(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, half in enumerate(HALVES):
+                row, leaf, own = trees.value[k].visits(fps & half, radius // 2)
+                for at in range(0, len(row), 50_000):
+                    part = slice(at, at + 50_000)
+                    rows = batch.take(pa.array(row[part]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(leaf[part]), pa.array(np.full(len(rows), k, dtype=np.int64)), pa.array(own[part]), rows.column("node"), rows.column("fp")],
+                        names=["leaf", "band", "own", "node", "fp"],
+                    )
+
+    dealt = stored(nodes.select("node", "fp").mapInArrow(deal, "leaf bigint, band bigint, own boolean, node bigint, fp bigint"), "shards")
+    blocks = _blocks(dealt.withColumn("sketch", F.lit(None).cast("binary")), crowd)
+    return blocks.drop("sketch").groupBy("leaf", "band", "block").applyInPandas(_half_search(radius), "a bigint, b bigint")
+
+
+def _half_search(radius: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable")
+        fps, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
+        own = np.flatnonzero(pdf["own"].to_numpy())
+        sets = Union(len(pdf))
+        for i, j in near_pairs(fps[own], fps, radius, HALVES[pdf["band"].iat[0]], radius // 2):
+            sets.add(own[i], j)
         root = sets.flatten()
         linked = np.flatnonzero(node[root] != node)
         return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
@@ -239,11 +292,9 @@ def link_edges(nodes: DataFrame, radius: int, least: float | None = None, shard:
 
     With `least`, only nodes of the same or the next band whose sketches share that part are linked.
     """
-    total = nodes.count()
-    spread = 1 if least is None else 8  # bands share out the rows of a shard
-    depth = max(0, math.ceil(math.log2(max(1, total) / (shard * spread))))
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy().view(np.uint64)
-    depth = min(depth, int(math.log2(max(2, len(sample)))) - 3) if depth else 0
+    if least is None:
+        return _half_edges(nodes, radius, min(shard, HALF_SHARD), CROWD * shard // SHARD)
+    sample, depth = _fitted(nodes, shard * 8)  # bands share out the rows of a shard
     tree = nodes.sparkSession.sparkContext.broadcast(Tree(sample, depth))
 
     def deal(batches):
@@ -251,8 +302,8 @@ def link_edges(nodes: DataFrame, radius: int, least: float | None = None, shard:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             row, leaf, own = tree.value.visits(fps, radius)
             band = batch.column("band").to_numpy(zero_copy_only=False)[row]
-            if least is not None:  # a document also visits the next longer band
-                row, leaf, own, band = np.tile(row, 2), np.tile(leaf, 2), np.concatenate([own, np.zeros_like(own)]), np.concatenate([band, band + 1])
+            # a document also visits the next longer band
+            row, leaf, own, band = np.tile(row, 2), np.tile(leaf, 2), np.concatenate([own, np.zeros_like(own)]), np.concatenate([band, band + 1])
             for at in range(0, len(row), 50_000):
                 part = slice(at, at + 50_000)
                 rows = batch.take(pa.array(row[part]))
