@@ -525,3 +525,34 @@ def test_quality_tells_labelled_documents_apart(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     got = quality_rules.quality_report(docs).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
     assert {r.quality for r in got} == {0, 1} and all(r.kept == (r.quality == 1) for r in got)
+
+
+def test_joined_words_equal_the_tokenizer():
+    """Words learned together, ASCII or not, with and without special tokens, and texts without words."""
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), packing.WordEncoder(TOKENIZER)
+    texts = ["The the THE. the!! don't 'Ts ''s 12 3a4 a-b_c", "", "J̌ ǰx İI ΣΑΣ café ﬁn", " 　 ", "plain words, twice; plain words", "x<|endoftext|>y z", "the\x1cthe\x1fend"]
+    for some in (texts[:5], texts):
+        assert [x.tolist() for x in encoder.encode(some)] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+    encoder.pieces = None  # a tokenizer without such a pattern: one by one
+    encoder.clear()
+    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_masked_searches_lose_no_pair():
+    """Pairs within 3 bits have a half within 1: trees over both halves find all, crowded halves too."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in base], dtype=np.uint64)
+    crowd = (base[0] & simhash_dedup.HALVES[1]) | rng.integers(0, 1 << 10, 200, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flips, crowd]))
+    want = {(a, b) for a in range(len(fps)) for b in range(len(fps)) if int(fps[a] ^ fps[b]).bit_count() <= 3}
+    met = set()
+    for half in simhash_dedup.HALVES:
+        row, leaf, own = simhash_dedup.Tree(np.unique(fps & half), 3).visits(fps & half, 1)
+        for shard in np.unique(leaf):
+            here, mine = row[leaf == shard], row[(leaf == shard) & own]
+            for i, j in simhash_dedup.near_pairs(fps[mine], fps[here], 3, half, 1):
+                met |= set(zip(mine[i].tolist(), here[j].tolist()))
+    assert met == want
