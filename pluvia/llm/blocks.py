@@ -96,9 +96,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def deal(keys: np.ndarray, n: int, *rest: np.ndarray):
-    """(bucket, keys, rest...) for sorted keys; inside a bucket they stay sorted."""
-    to = (mix(keys) % np.uint64(n)).astype(np.int64)
+def deal(keys: np.ndarray, n: int, *rest: np.ndarray, by: np.ndarray | None = None):
+    """(bucket, keys, rest...) for sorted keys, dealt by themselves or by `by`; inside a bucket they stay sorted."""
+    to = (mix(keys if by is None else by) % np.uint64(n)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(n + 1))
     for b in range(n):

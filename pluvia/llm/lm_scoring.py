@@ -64,6 +64,20 @@ def ln_kt(a, b, log=np.log):
     return ln_gamma(a + 0.5, log) + ln_gamma(b + 0.5, log) - ln_gamma(a + b + 1.0, log) - LN_PI
 
 
+#: Counts below this take their logarithms of the gamma function from a table of its values at half steps.
+SMALL = 4_096
+_TABLE = ln_gamma(np.arange(1, 2 * SMALL + 1) / 2, np.log)
+
+
+def _ln_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a))
+    small = a + b < SMALL
+    x, y = a[small], b[small]
+    out[small] = _TABLE[2 * x] + _TABLE[2 * y] - _TABLE[2 * (x + y) + 1] - LN_PI
+    out[~small] = ln_kt(a[~small].astype(float), b[~small].astype(float))
+    return out
+
+
 def _codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """6-gram codes of all bytes of the texts, closest context byte highest, coded byte lowest; first code of each text."""
     bodies = [b" ".join(w) + b"\n" for w in texts]
@@ -146,7 +160,7 @@ class Fold:
         self.rep, self.a, self.b, self.lk, self.lw = {}, {}, {}, {}, {}
         for d in range(DEPTH, SPLIT - 1, -1):
             ctx = codes >> np.uint64(8 * (DEPTH + 1 - d))
-            order = np.lexsort((byte, ctx)) if d < DEPTH else np.arange(len(codes))
+            order = np.argsort(ctx << np.uint64(8) | codes & np.uint64(255)) if d < DEPTH else np.arange(len(codes))
             c, x, m = ctx[order], byte[order], n[order]
             for k in range(8):
                 node = (x >> (8 - k)) + (1 << k)
@@ -156,7 +170,7 @@ class Fold:
                 a, b = np.add.reduceat(m * (1 - one), first), np.add.reduceat(m * one, first)
                 of = np.empty(len(codes), dtype=np.int64)
                 of[order] = np.cumsum(new) - 1
-                lk = ln_kt(a.astype(float), b.astype(float))
+                lk = _ln_kt_counts(a, b)
                 key = d, k
                 self.of[key], self.rep[key], self.a[key], self.b[key], self.lk[key] = of, order[first], a, b, lk
                 if d == DEPTH:
@@ -219,58 +233,52 @@ def _to_blocks(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     values = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, "<f4")
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    blobs = [squeeze(values[np.searchsorted(keys, unsqueeze(b, "<u8")[0])]) for b in asked["blob"]]
+    blobs = []
+    for b in asked["blob"]:
+        u = unsqueeze(b, "<u8")[0]
+        blobs.append(squeeze(u, values[np.searchsorted(keys, u)]))
     return pd.DataFrame({"kind": 0, "bucket": asked["bucket"], "block": asked["block"], "blob": blobs, "types": 0, "tokens": 0})
 
 
 def _word_counts(asked: pd.DataFrame) -> pd.DataFrame:
     """Training counts back to the blocks; the bucket's types and tokens on one row."""
     u, c = _added(asked)
-    blobs = [squeeze(c[np.searchsorted(u, unsqueeze(b, "<u8")[0])].astype("<u8")) for b in asked["blob"]]
+    blobs = []
+    for b in asked["blob"]:
+        own = unsqueeze(b, "<u8")[0]
+        blobs.append(squeeze(own, c[np.searchsorted(u, own)].astype("<u8")))
     types, tokens = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
     types[0], tokens[0] = (c > 0).sum(), c.sum()
     return pd.DataFrame({"kind": 1, "bucket": asked["bucket"], "block": asked["block"], "blob": blobs, "types": types, "tokens": tokens})
 
 
-def _scores(n: int, types: int, tokens: int, kind: str):
-    def lookup(u: np.ndarray, got: pd.DataFrame, form: str) -> np.ndarray:
-        out = np.empty(len(u))
-        by = dict(zip(got["bucket"], got["blob"]))
-        for b, _, at in deal(u, n, np.arange(len(u))):
-            out[at] = unsqueeze(by[b], form)[0]
-        return out
+def _scores(types: int, tokens: int):
+    def answers(got: pd.DataFrame, form: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of a block and what the buckets say of them."""
+        parts = [unsqueeze(b, "<u8", form) for b in got["blob"]]
+        keys = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([np.empty(0, form), *[p[1] for p in parts]])[order]
 
     def run(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
-        grams, counts = got[got["kind"] == 0], got[got["kind"] == 1]
         for payload in blocks["payload"]:
-            u, words = np.empty(0, np.uint64), {b""}
-            waiting = []
-            for part in open_block(payload):
-                split = [word_bytes(t.as_py()) for t in part.column("text")]
-                waiting.append(np.unique(_codes(split)[0]))
-                words.update(*split)
-                if len(waiting) > 32:
-                    waiting = [np.unique(np.concatenate(waiting))]
-            u = np.unique(np.concatenate(waiting))
-            logp = lookup(u, grams, "<f4")
-            names = list(words)
-            hashes = np.fromiter(map(_word_key, names), np.uint64, len(names))
-            order = np.argsort(hashes)
-            count = np.empty(len(names))
-            distinct, back = np.unique(hashes[order], return_inverse=True)
-            count[order] = lookup(distinct, counts, "<u8")[back]
+            u, logp = answers(got[got["kind"] == 0], "<f4")
+            hashes, count = answers(got[got["kind"] == 1], "<u8")
             base = np.log10((count + 0.1) / (tokens + 0.1 * (types + 1)))
-            slot = {w: i for i, w in enumerate(names)}
+            slot: dict[bytes, int] = {}
             for part in open_block(payload):
                 held = part.column("held_out").to_pylist()
                 split = [word_bytes(t.as_py()) for t in part.column("text")]
+                new = [x for x in {b""}.union(*split) if x not in slot]
+                slot.update(zip(new, np.searchsorted(hashes, np.fromiter(map(_word_key, new), np.uint64, len(new))).tolist()))
                 codes, starts = _codes(split)
                 distinct, back = np.unique(codes, return_inverse=True)
                 total = np.add.reduceat(logp[np.searchsorted(u, distinct)][back], starts)
                 size = np.diff(np.append(starts, len(codes)))
                 for r, w in enumerate(split):
-                    at = np.fromiter((slot[x] for x in (*w, b"")), np.int64, len(w) + 1)
+                    w.append(b"")
+                    at = np.fromiter(map(slot.__getitem__, w), np.int64, len(w))
                     out.append((part.column("doc_id")[r].as_py(), held[r], len(at), int((count[at] > 0).sum()), tokens, float(base[at].sum()),
                                 float(total[r]), int(size[r]), float(-total[r] / math.log10(2) / size[r])))
         return pd.DataFrame(out, columns=["doc_id", *[f.split()[0] for f in RESULT.split(", ")]])
@@ -319,11 +327,7 @@ def ctw_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     def by_model(pdf: pd.DataFrame) -> pd.DataFrame:
         u, c = _added(pdf)
         ctx = u >> np.uint64(8 * (DEPTH + 1 - SPLIT))
-        distinct, back = np.unique(ctx, return_inverse=True)
-        rows = []
-        for b, _, at in deal(distinct, n, np.arange(len(distinct))):
-            pick = np.isin(back, at)
-            rows.append((b, squeeze(u[pick], c[pick].astype("<u8"))))
+        rows = [(b, squeeze(k, v.astype("<u8"))) for b, k, v in deal(u, n, c, by=ctx)]
         return pd.DataFrame(rows, columns=["model", "blob"])
 
     model = stored(grams.groupBy("bucket").applyInPandas(by_model, "model bigint, blob binary"), "grams")
@@ -337,4 +341,4 @@ def ctw_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     types, tokens = counted.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     answered = grams.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(_to_blocks, back)
     got = answered.union(counted).select("block", "kind", "bucket", "blob")
-    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(_scores(n, types, tokens, kind), f"doc_id {kind}, {RESULT}")
+    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(_scores(types, tokens), f"doc_id {kind}, {RESULT}")
