@@ -63,7 +63,7 @@ def removed_sentences(rows: DataFrame, run: int, min_words: int) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    rows = boxed(docs).select("row", F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(F.col("row")["text"]).alias("mark"))
+    rows = boxed(docs).select("row", F.col("row")["doc_id"].alias("doc_id"), F.hash(F.col("row")["text"]).alias("mark"))
     df = null_safe(rows, removed_sentences(rows, run, min_words), KEYS, "left")
     df = df.withColumn("raw", sentences(F.col("row")["text"]))
     kept = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.col("gone"))
