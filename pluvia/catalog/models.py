@@ -84,11 +84,11 @@ def _(v: Views):
     return prepared(v)
 
 
-def _forest(v: Views):
+def _forest(v: Views, rows=None):
     """Training rows: before 2000, event days and their buffer left out, gaps filled by training medians."""
 
     def make():
-        return forest.fit(prepared(v).filter("is_fit").drop("is_fit"), RAIN, KEYS)
+        return forest.fit((prepared(v) if rows is None else rows).filter("is_fit").drop("is_fit"), RAIN, KEYS)
 
     return _once(v, "forest", ("lineitem", "nation"), make)
 
@@ -177,20 +177,23 @@ def _(v: Views):
     ("rain_features", "storm_days"),
 )
 def _(v: Views):
-    scores = forest.anomaly_scores(_forest(v), prepared(v), KEYS)
+    rows = prepared(v)
+    scores = forest.anomaly_scores(_forest(v, rows), rows, KEYS)
     return scores.select(*KEYS, round_to(F.col("anomaly_score_raw"), 9).alias("anomaly_score_raw"), "anomaly_score", "anomaly_percentile")
 
 
 @query("M03_score_checks", "SELECT zone, date, true AS in_range, true AS int_part_ok FROM zone_day", ("zone_day",))
 def _(v: Views):
     pct, part = F.col("anomaly_score"), F.col("anomaly_percentile")
-    scores = forest.anomaly_scores(_forest(v), prepared(v), KEYS)
+    rows = prepared(v)
+    scores = forest.anomaly_scores(_forest(v, rows), rows, KEYS)
     return scores.select(*KEYS, pct.between(0.0, 100.0).alias("in_range"), (part == F.floor(pct)).alias("int_part_ok"))
 
 
-def score_direction(v: Views):
-    held_out = prepared(v).filter(F.year("date") >= 2000)
-    rho = spearman(_forest(v).score(held_out, "raw"), "raw", "rainfall_7d")
+def score_direction(v: Views, rows=None):
+    rows = prepared(v) if rows is None else rows
+    held_out = rows.filter(F.year("date") >= 2000)
+    rho = spearman(_forest(v, rows).score(held_out, "raw"), "raw", "rainfall_7d")
     return rho.withColumn("direction_ok", F.col("spearman") > 0.5)
 
 
@@ -219,11 +222,12 @@ def _(v: Views):
     from pluvia.session import scratch_path
     from pluvia.sources import sinks
 
-    model, rows = _forest(v), prepared(v)
+    rows = prepared(v)
+    model = _forest(v, rows)
     counts = rows.agg(
         F.count_if("is_fit").alias("fit_rows"), F.count(F.lit(1)).alias("all_rows"), F.date_format(F.max(F.when(F.col("is_fit"), F.col("date"))), "yyyy-MM-dd").alias("fit_to")
     ).first()
-    rho = score_direction(v).first()
+    rho = score_direction(v, rows).first()
     path = scratch_path(v.spark, "card")
     card = {"model": "IsolationForest", "trees": model.trees, "max_samples": model.sample, **counts.asDict(), "direction": {"value": rho["spearman"], "ok": rho["direction_ok"]}}
     sinks.write_card(v.spark, card, path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvia import fixed_values as fv
 from pluvia.operators.rank import exact_quantiles
+from pluvia.session import stored
 
 
 def training_medians(df: DataFrame, cols: Sequence[str], fit: Column) -> dict[str, float]:
@@ -43,8 +44,12 @@ def fit_flag(df: DataFrame, event_days: DataFrame, train: Column, days: int = fv
 
 
 def prepare(df: DataFrame, event_days: DataFrame, train: Column, cols: Sequence[str]) -> DataFrame:
-    """M01 with J10 and D22: fit flag, then gaps of all rows filled by the medians of the fit rows. Runs jobs."""
-    return impute_training_medians(fit_flag(df, event_days, train), cols, F.col("is_fit"))
+    """M01 with J10 and D22: fit flag, then gaps of all rows filled by the medians of the fit rows. Runs jobs.
+
+    The flagged rows are stored: the medians and whatever is made of the rows read them, the series is built once.
+    """
+    marked = stored(fit_flag(df, event_days, train), "prepared")
+    return impute_training_medians(marked, cols, F.col("is_fit"))
 
 
 def feature_matrix(df: DataFrame) -> DataFrame:

@@ -86,3 +86,58 @@ def test_attributions_and_base_add_up(spark, cloud):
     margin = np.where(out["a"] > 0.2, -2.0, np.where(out["b"] > 0.0, 1.0, 0.5))
     total = out[[f"shap_{c}" for c in COLS]].sum(axis=1) + boosting.base_value(paths)
     assert np.allclose(total, margin) and (out["shap_c"] == 0).all()
+
+
+def _descended(nodes, x, trees):
+    """Path lengths by walking every tree for every row."""
+    table = {(r.tree, r.node): r for r in nodes.itertuples()}
+    out = []
+    for row in x:
+        total = 0
+        for t in range(trees):
+            n = 1
+            while table[t, n].feature >= 0:
+                n = 2 * n + int(row[table[t, n].feature] > table[t, n].threshold)
+            total += int(np.rint((np.floor(np.log2(n)) + forest.average_path(table[t, n].size)) * forest.STEPS))
+        out.append(total)
+    return np.array(out)
+
+
+def test_cell_tables_equal_walks(spark, cloud, monkeypatch):
+    """Rows do not walk the trees one by one; values on a cut, unknown ones and trees too wide for a table agree."""
+    model = forest.fit(cloud, COLS, ["id"], trees=12)
+    nodes = model.nodes.toPandas()
+    x = cloud.limit(60).toPandas()[COLS].to_numpy()
+    cuts = nodes[nodes["feature"] >= 0]
+    for i, (f, t) in enumerate(zip(cuts["feature"][:30], cuts["threshold"][:30])):
+        x[i, f] = t
+    x[40:50, 1] = np.nan
+    want = _descended(nodes, x, 12)
+    trees = forest._Trees(nodes, 3, model.limit)
+    assert all(offsets is not None for offsets, _, _ in trees.tables) and (trees.totals(x) == want).all()
+    monkeypatch.setattr(forest, "_CELLS", 1)
+    walked = forest._Trees(nodes, 3, model.limit)
+    assert all(offsets is None for offsets, _, _ in walked.tables) and (walked.totals(x) == want).all()
+
+
+def test_draws_follow_the_hash(cloud):
+    """The sums modulo 2^31 - 1 in the tasks are those that SQL computes."""
+    got = forest.tree_samples(cloud, ["id"], 7, 20, 42, 4000).toPandas()
+    hashes = cloud.select("id", forest.row_hash(["id"], 42).alias("h")).collect()
+    want = set()
+    for t in range(7):
+        a, b = 1 + forest._digits(f"42|{t}|a") % (forest.PRIME - 1), forest._digits(f"42|{t}|b") % forest.PRIME
+        want |= {(r["id"], t, u) for r in hashes if (u := (r["h"] * a + b) % forest.PRIME) < int(0.01 * forest.PRIME)}
+    assert set(zip(got["id"], got["tree"], got["_u"])) == want and list(got.columns) == [*cloud.columns, "tree", "_u"]
+
+
+def test_prepared_rows_are_built_once(spark, monkeypatch):
+    """The medians and the rows read one stored table."""
+    seen = []
+    keep = features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name: seen.append(name) or keep(df, name))
+    days = spark.sql("SELECT 'Z' AS zone, explode(sequence(DATE '1999-12-01', DATE '2000-01-31')) AS date").withColumn("x", F.day("date") * 1.0)
+    events = spark.sql("SELECT DATE '1999-12-10' AS date")
+    out = features.prepare(days, events, F.year("date") < 2000, ["x"])
+    assert seen == ["prepared"] and "Generate" not in out._jdf.queryExecution().toString()
+    assert out.filter("is_fit").count() == 31 - 7
