@@ -180,3 +180,16 @@ def test_targets_are_read_once(spark):
     queries = spark.createDataFrame([(1, 700.0, 700.0), (2, -50.0, 3.0), (3, None, 1.0)], "q int, x double, y double")
     near = spatial.nearest_point(queries, "q", targets, tie=("t",))
     assert near.count() == 3 and reads.value == 5000
+
+
+def test_zones_of_one_rectangle_are_clipped_once(spark):
+    """Work follows the different rectangles; a zone that is listed twice adds both its rows up, as before."""
+    segments = spark.createDataFrame([(0.5, 0.5, 3.5, 0.5), (1.0, 1.0, 1.0, 3.0)], "x1 double, y1 double, x2 double, y2 double")
+    boxes = [(f"Z{i}", 0.0, 0.0, 2.0, 2.0) for i in range(50)] + [("far", 8.0, 8.0, 9.0, 9.0), ("two", 0.0, 0.0, 2.0, 2.0), ("two", 0.0, 0.0, 4.0, 4.0)]
+    rects = spark.createDataFrame(boxes, "zone string, lo_x double, lo_y double, hi_x double, hi_y double")
+    out = spatial.line_length_in_zones(segments, rects, 1.5)
+    assert out.count() == len(boxes)
+    got = {r["zone"]: r["length_m"] for r in out.collect()}
+    assert got == {**{f"Z{i}": 2.5 for i in range(50)}, "far": 0.0, "two": 7.5}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [lo_x#") == 2  # one rectangle of a kind is dealt to tiles, lengths are added up by rectangle
