@@ -12,6 +12,7 @@ from pluvia.sources.readers import _exists
 _JSON = ("risk_components", "actions", "checklist", "environment")
 #: How partitions are named: by day, or by month for stores that are filled with years at a time.
 BY_DAY, BY_MONTH = "'d'yyyy-MM-dd", "'m'yyyy-MM"
+_DEALT = 16  # tasks that write a period of a channel at most
 _NAMED = 366  # partitions named one by one when a store is pruned; more are given as a range
 
 
@@ -19,11 +20,19 @@ def _stored_periods(spark: SparkSession, path: str, rows: DataFrame) -> DataFram
     """The stored rows of the periods that `rows` has, read from their partitions only; None without a store. Runs a job."""
     if not _exists(spark, path):
         return None
-    first, last, n = rows.agg(F.min("period"), F.max("period"), F.count_distinct("period")).first()
+    found = [r[0] for r in rows.select("period").distinct().collect()]  # as many as the calendar has
     store = spark.read.parquet(path)
-    if n <= _NAMED:
-        return store.filter(F.col("period").isin([r[0] for r in rows.select("period").distinct().collect()]))
-    return store.filter(F.col("period").between(first, last))
+    if len(found) <= _NAMED:
+        return store.filter(F.col("period").isin(found))
+    known = [p for p in found if p is not None]
+    return store.filter(F.col("period").between(min(known), max(known)))
+
+
+def _once_each(rows: DataFrame) -> DataFrame:
+    """One row per id, clustered by period and channel. An id has one period and channel, so equal ids meet in
+    the exchange that the writer needs anyway; a large period is dealt to several tasks by its ids."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("alert_id"), F.lit(_DEALT))).repartition("period", "channel", "_deal")
+    return dealt.dropDuplicates(["period", "channel", "_deal", "alert_id"]).drop("_deal")
 
 
 def append_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:
@@ -33,11 +42,11 @@ def append_alerts(alerts: DataFrame, path: str, created_at: Column | None = None
     periods are all that has to be read, however long the store has grown.
     """
     spark = alerts.sparkSession
-    rows = alerts.dropDuplicates(["alert_id"]).withColumn("period", F.date_format("date", by))
+    rows = alerts.withColumn("period", F.date_format("date", by))
     before = _stored_periods(spark, path, rows)
     if before is not None:
         rows = rows.join(before.select("alert_id"), "alert_id", "left_anti")
-    _stamped(rows, created_at).write.mode("append").partitionBy("period", "channel").parquet(path)
+    _timed(_once_each(rows), created_at).write.mode("append").partitionBy("period", "channel").parquet(path)
 
 
 def replace_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:
@@ -47,10 +56,13 @@ def replace_alerts(alerts: DataFrame, path: str, created_at: Column | None = Non
     out.partitionBy("period", "channel").parquet(path)
 
 
+def _timed(rows: DataFrame, created_at: Column | None) -> DataFrame:
+    return rows.withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
+
+
 def _stamped(rows: DataFrame, created_at: Column | None) -> DataFrame:
     """With the time of writing; rows of a period are clustered, so that a task writes few files."""
-    stamped = rows.withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
-    return stamped.hint("rebalance", "period", "channel")
+    return _timed(rows, created_at).hint("rebalance", "period", "channel")
 
 
 def list_alerts(spark: SparkSession, path: str, channel: str, limit: int = 50, date=None, zone: str | None = None, by: str = BY_DAY) -> DataFrame:

@@ -120,3 +120,21 @@ def test_variant_columns(spark, tmp_path):
     fields = {"anomaly": ("risk_components", "$.anomaly", "double"), "gone": ("risk_components", "$.none", "int"), "all": ("actions", "$", "array<string>")}
     r = stores.decoded(spark.read.parquet(str(tmp_path / "v")), fields).first()
     assert (r["anomaly"], r["gone"], r["all"]) == (1.5, None, ["a", "b"])
+
+
+def test_alerts_are_shuffled_once(spark, tmp_path):
+    """Dropping repeated ids and clustering for the writer share one exchange; periods are named without the ids."""
+    path = str(tmp_path / "alerts")
+    rows = spark.range(60).select(
+        F.concat(F.lit("a"), F.col("id") % 30).alias("alert_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("date"),
+        F.when(F.col("id") % 2 == 0, "public").otherwise("municipal").alias("channel"), F.lit("z").alias("zone"),
+    )
+    named = rows.withColumn("period", F.date_format("date", stores.BY_DAY))
+    plan = stores._once_each(named)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange ") == 1
+    for _ in range(2):
+        stores.append_alerts(rows, path)
+        stored = spark.read.parquet(path)
+        assert stored.count() == 30 and stored.select("alert_id").distinct().count() == 30
+    stores.append_alerts(rows.withColumn("alert_id", F.concat(F.lit("b"), "alert_id")), path)
+    assert spark.read.parquet(path).count() == 60
