@@ -1,7 +1,7 @@
 """Ranks, percentiles and running totals over a whole table without a one-task window.
 
 The building block is `running_totals`: range-partition and sort the rows, store that
-order with a reliable checkpoint, add up each partition, and shift every partition by
+order as files, add up each partition, and shift every partition by
 the total of those before it. The only global window runs over one row per partition.
 Ties and hot values are collapsed by a `groupBy(value)` first, so a value that fills a
 third of the table is a single row here.
@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.functions.numeric import round_to
-from pluvia.session import cut_lineage, stored
+from pluvia.session import stored
 
 _ROW_MASK = (1 << 33) - 1
 
 
 def _fixed_order(df: DataFrame, order: Sequence) -> DataFrame:
-    """Sorted rows with (_part, _row), materialised so both survive a lost executor. Runs a job."""
+    """Sorted rows with (_part, _row), materialised so both survive a lost executor. Runs jobs.
+
+    Both steps are columnar files: places are stored with the rows, so no reader depends on how files are split.
+    """
     # a range sort samples its input first: stored, so that what is above runs once
-    marked = cut_lineage(df).orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    kept = cut_lineage(marked)
+    marked = stored(df, "order-rows").orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = stored(marked, "order-sorted")
     return kept.withColumns(
         {"_part": F.shiftright("_id", 33).cast("int"), "_row": F.col("_id").bitwiseAND(_ROW_MASK)}
     ).drop("_id")
