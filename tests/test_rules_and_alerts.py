@@ -121,3 +121,24 @@ def test_label_gate(rows):
     many = [(dt.date(2015 + i % 4, 7, 1 + i % 20), f"z{i % 4}", 1) for i in range(40)]
     assert metrics.label_gate(rows("date date, zone string, label int", *many)).first()["passed"]
     assert metrics.label_gate(few.filter("label = 0")).first()["positives"] == 0
+
+
+def test_alert_texts_fit_a_compiled_method(spark, capsys):
+    """The JVM never compiles a method of 8000 bytes or more; it would be interpreted for every row."""
+    import re
+
+    level = F.element_at(F.array(*[F.lit(x) for x in ("LOW", "HIGH", None, "ODD")]), (F.col("id") % 4 + 1).cast("int"))
+    score = F.when(F.col("id") % 3 > 0, F.col("id") / 8)
+    rows = spark.range(12).select(
+        "id", level.alias("risk_level"), F.lit("Zone 1").alias("zone_name"), F.concat(F.lit("Z"), "id").alias("zone"),
+        *[score.alias(c) for c in ("anomaly_score", "temporal_intensity", "vulnerability_score", "heat_score", "water_score")],
+        *[F.lit("LOW").alias(c) for c in ("heat_level", "water_level")],
+    )
+    out = al.municipal_alerts(rows)
+    got = {r["id"]: r for r in out.collect()}
+    assert got[0]["heat_text"] is None and got[0]["water_text"] is None and got[0]["anomaly_text"] is None
+    assert got[10]["heat_text"] == "1.2/100 (LOW)" and got[10]["anomaly_text"] == "1.2/100"
+    assert got[2]["situation"] == got[3]["situation"] == got[0]["situation"] != got[1]["situation"]
+    out.explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
