@@ -78,3 +78,17 @@ def test_both_ranks_take_one_order(spark, monkeypatch):
     got = {r["k"]: (r["baseline_percentile"], r["baseline_rank"]) for r in rank.baseline_rank(rows, "v", ["k"]).collect()}
     assert len(orders) == 1
     assert got == {1: (0.0, 2), 4: (25.0, 3), 3: (50.0, 1), 2: (75.0, 4), 5: (100.0, 5)}
+
+
+def test_tasks_of_a_series_follow_its_input(spark, monkeypatch):
+    raw = spark.range(3000).selectExpr("concat('z', id % 70) AS zone", "date_add(DATE'2020-01-01', cast(id % 400 AS int)) AS date", "1.0D AS v")
+
+    def tasks(size):
+        monkeypatch.setattr(series, "TASK_BYTES", size)
+        out = series.daily_series(raw, "zone", "date", F.col("v"))
+        # counted after the run: adaptive execution must not put the zones together again
+        held = series.complete_rolling_sum(out).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("rain_mm").alias("v")).collect()
+        assert sum(r["n"] for r in held) == 70 * 400 and sum(r["v"] for r in held) == 3000.0
+        return len(held)
+
+    assert tasks(1 << 40) <= spark.sparkContext.defaultParallelism < 30 < tasks(500)
