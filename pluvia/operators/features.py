@@ -96,7 +96,8 @@ def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25,
     hashed = df.withColumn("_h", row_hash([key], seed))
     placed = global_position(hashed, [label, "_h", key], "_p")
     sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_first"))
-    out = placed.join(sizes, label)
+    # hinted, a row per class: shuffled by the class, the rows of one would be read by one task
+    out = placed.join(F.broadcast(sizes), label)
     return out.withColumn("is_test", F.col("_p") - F.col("_first") < F.floor(F.col("_n") * share)).drop(
         "_h", "_p", "_n", "_first"
     )
