@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 from pluvia.session import scratch_path, stored
 
+#: Cells of an ensemble whose attributions a task keeps.
+_MOST_CELLS = 1 << 18
+
 
 def fit_boosted_trees(
     df: DataFrame, cols: Sequence[str], label: str, rounds: int = 200, depth: int = 4, rate: float = 0.1,
@@ -140,29 +143,50 @@ def attribute(paths: Sequence[tuple], df: DataFrame, cols: Sequence[str]) -> Dat
     A leaf counts when every feature on its path is inside its interval (low, high]; a feature outside
     the coalition is replaced by the share of training rows that follow the path. With at most four
     features on a path the sum over coalitions is exact and short. `paths` is as large as the ensemble.
+
+    Rows between the same bounds in every feature share their values, and a fit has few bounds a feature:
+    the ensemble is walked once for each new such cell of a task, not for each row.
     """
     shared = df.sparkSession.sparkContext.broadcast(list(paths))
     cols = list(cols)
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"shap_{c}", T.DoubleType()) for c in cols]])
 
+    def walk(x: np.ndarray) -> np.ndarray:
+        phi = np.zeros((len(x), len(cols)))
+        for value, path in shared.value:
+            k = len(path)
+            inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype("float64") for f, lo, hi, _ in path]
+            for i, (f, _, _, share) in enumerate(path):
+                others = [j for j in range(k) if j != i]
+                weight = np.zeros(len(x))
+                for size in range(k):
+                    scale = math.factorial(size) * math.factorial(k - size - 1) / math.factorial(k)
+                    for team in itertools.combinations(others, size):
+                        term = np.full(len(x), scale)
+                        for j in others:
+                            term *= inside[j] if j in team else path[j][3]
+                        weight += term
+                phi[:, f] += value * weight * (inside[i] - share)
+        return phi
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds = [sorted({b for _, path in shared.value for f, lo, hi, _ in path if f == i for b in (lo, hi) if math.isfinite(b)}) for i in range(len(cols))]
+        known: dict[bytes, int] = {}
+        table = np.zeros((0, len(cols)))
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype="float64")
-            phi = np.zeros((len(x), len(cols)))
-            for value, path in shared.value:
-                k = len(path)
-                inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype("float64") for f, lo, hi, _ in path]
-                for i, (f, _, _, share) in enumerate(path):
-                    others = [j for j in range(k) if j != i]
-                    weight = np.zeros(len(x))
-                    for size in range(k):
-                        scale = math.factorial(size) * math.factorial(k - size - 1) / math.factorial(k)
-                        for team in itertools.combinations(others, size):
-                            term = np.full(len(x), scale)
-                            for j in others:
-                                term *= inside[j] if j in team else path[j][3]
-                            weight += term
-                    phi[:, f] += value * weight * (inside[i] - share)
+            # the number of bounds below a value; infinite and unknown values lie on no side of some bounds
+            cell = np.stack([np.searchsorted(b, x[:, i], side="left") for i, b in enumerate(bounds)], axis=1).astype("int32")
+            cell = np.where(np.isfinite(x), cell, np.where(np.isnan(x), -1, np.where(x > 0, -2, -3)))
+            cells, first, of_row = np.unique(cell, axis=0, return_index=True, return_inverse=True)
+            keys = [c.tobytes() for c in np.ascontiguousarray(cells)]
+            if len(known) > _MOST_CELLS:
+                known, table = {}, table[:0]
+            new = [i for i, key in enumerate(keys) if key not in known]
+            if new:
+                known.update({keys[i]: len(table) + n for n, i in enumerate(new)})
+                table = np.concatenate([table, walk(x[first[new]])])
+            phi = table[np.array([known[key] for key in keys], dtype="int64")][of_row.reshape(-1)]
             yield pdf.assign(**{f"shap_{c}": phi[:, i] for i, c in enumerate(cols)})
 
     return df.mapInPandas(run, schema)

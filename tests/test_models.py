@@ -141,3 +141,59 @@ def test_prepared_rows_are_built_once(spark, monkeypatch):
     out = features.prepare(days, events, F.year("date") < 2000, ["x"])
     assert seen == ["prepared"] and "Generate" not in out._jdf.queryExecution().toString()
     assert out.filter("is_fit").count() == 31 - 7
+
+
+def test_attribution_walks_the_ensemble_once_a_cell():
+    """Twenty batches of the same cells, unknown and infinite values and values on a bound among them."""
+    import math
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from pluvia.operators import boosting
+
+    class Counted(list):
+        walks = 0
+
+        def __iter__(self):
+            Counted.walks += 1
+            return super().__iter__()
+
+    inf, taken = math.inf, []
+    paths = Counted([(0.5, [(0, -inf, 1.0, 0.25), (1, 2.0, inf, 0.5)]), (-1.5, [(0, 1.0, 3.0, 0.75)]), (2.0, [(1, -inf, 2.0, 0.5)]), (0.25, [])])
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=paths))
+    df = SimpleNamespace(
+        sparkSession=SimpleNamespace(sparkContext=context), schema=T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())]),
+        mapInPandas=lambda run, schema: taken.append(run),
+    )
+    boosting.attribute(paths, df, ["a", "b"])
+    values = [-inf, 0.0, 1.0, 1.5, 3.0, 3.5, inf, math.nan]
+    batch = pd.DataFrame([(a, b) for a in values for b in [-inf, 2.0, 2.5, inf, math.nan]], columns=["a", "b"])
+    Counted.walks = 0
+    got = list(taken[0](iter([batch] * 19 + [batch[:0]])))
+    assert Counted.walks <= len(df.schema) + 1
+    inside = lambda x, lo, hi: np.where((x > lo) & (x <= hi), 1.0, 0.0)
+    a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+    i, j = inside(a, -inf, 1.0), inside(b, 2.0, inf)
+    want_a = 0.5 * (i - 0.25) * (j + 0.5) / 2 - 1.5 * (inside(a, 1.0, 3.0) - 0.75)
+    want_b = 0.5 * (j - 0.5) * (i + 0.25) / 2 + 2.0 * (inside(b, -inf, 2.0) - 0.5)
+    for out in got[:-1]:
+        assert np.allclose(out["shap_a"], want_a, atol=1e-12) and np.allclose(out["shap_b"], want_b, atol=1e-12)
+    assert len(got[-1]) == 0
+
+
+def test_holdout_rows_are_not_shuffled_by_class(spark):
+    from pluvia.operators import features
+
+    rows = spark.range(4000).selectExpr("id", "cast(id % 10 = 0 as int) AS y")
+    with_hint = features.stratified_holdout(rows, "y", "id")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = with_hint._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert {r["y"]: r["n"] for r in with_hint.filter("is_test").groupBy("y").count().withColumnRenamed("count", "n").collect()} == {0: 900, 1: 100}
