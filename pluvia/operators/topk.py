@@ -21,15 +21,15 @@ def top_per_group(df: DataFrame, group: str, value: str, ties: Sequence[str], k:
 def top_days_with_context(df: DataFrame, k: int = 10, value="rain_mm", zone="zone", date="date") -> DataFrame:
     """the top rows with zone, year and month maxima and the year's heavy/extreme day counts.
 
-    All windows share the partitioning by zone (one exchange); month, year and zone windows
-    also share one sort, as each sort key is a prefix of the one before.
+    The zone's window comes first, so all windows keep its partitioning: a series that is dealt by
+    zone is not shuffled again, and its task sizes stay. Month and year windows share one sort.
     """
     v = F.col(value)
     by_month = Window.partitionBy(zone, "_y", "_m")
     by_year = Window.partitionBy(zone, "_y")
     wide = (
         df.select(zone, date, value, F.year(date).alias("_y"), F.month(date).alias("_m"))
-        .repartition(zone)
+        .withColumn("zone_max", F.max(v).over(Window.partitionBy(zone)))
         .withColumn("month_max", F.max(v).over(by_month))
         .withColumns(
             {
@@ -38,7 +38,6 @@ def top_days_with_context(df: DataFrame, k: int = 10, value="rain_mm", zone="zon
                 "extreme_days": F.count_if(v > fv.EXTREME_MM).over(by_year),
             }
         )
-        .withColumn("zone_max", F.max(v).over(Window.partitionBy(zone)))
     )
     top = top_per_group(wide, zone, value, [date], k, "_rank")
     return top.select(zone, date, value, "zone_max", "year_max", "month_max", "heavy_days", "extreme_days")
