@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvia import fixed_values as fv
 from pluvia.functions.geo import tile_cover, tile_index
@@ -202,48 +204,157 @@ def sample_points(points: DataFrame, pixels: DataFrame, grid: Affine, cols: Sequ
     return keyed.join(pixels.select("row", "col", *cols), ["row", "col"], "left")
 
 
-def resample_bilinear(target: DataFrame, to: Affine, source: DataFrame, frm: Affine, value: str) -> DataFrame:
-    """Bilinear value of `source` at each target pixel centre.
+def _asked_pixels(source: DataFrame, frm: Affine, to: Affine, reach: tuple[float, float], block: int) -> DataFrame:
+    """The source pixels some target pixel may ask for, once for each target block that may.
 
-    Each target pixel asks for its four neighbours by key; the weights of missing ones are
-    left out and the rest rescaled, so the partial sums combine before the shuffle.
+    A pixel is asked for by the target centres between its place + reach[0] and + reach[1], in source pixels.
     """
-    at = target.select("row", "col").withColumns(to.center())
-    fx, fy = (F.col("lon") - frm.left) / frm.dx - 0.5, (F.lit(frm.top) - F.col("lat")) / frm.dy - 0.5
-    at = at.withColumns({"_x0": F.floor(fx), "_y0": F.floor(fy), "_ax": fx - F.floor(fx), "_ay": fy - F.floor(fy)})
-    corner = lambda dy, dx, w: F.struct(
-        (F.col("_y0") + dy).cast("int").alias("sr"), (F.col("_x0") + dx).cast("int").alias("sc"), w.alias("w")
-    )
-    ax, ay = F.col("_ax"), F.col("_ay")
-    corners = F.explode(
-        F.array(
-            corner(0, 0, (1 - ax) * (1 - ay)), corner(0, 1, ax * (1 - ay)),
-            corner(1, 0, (1 - ax) * ay), corner(1, 1, ax * ay),
-        )
-    )
-    asked = at.select("row", "col", corners.alias("k")).select("row", "col", "k.sr", "k.sc", "k.w").filter("w > 0")
-    src = source.filter(F.col(value).isNotNull()).select(
-        F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("_v")
+    # rows run down from the top edge: counted like columns on a turned axis
+    axes = {"y": ("row", -frm.top, frm.dy, -to.top, to.dy), "x": ("col", frm.left, frm.dx, to.left, to.dx)}
+    out, ends = source, {}
+    for axis, (name, edge, step, to_edge, to_step) in axes.items():
+        # a little wide: the exact neighbour is looked up in the block
+        shift = (edge - to_edge) / to_step - 0.5
+        lo = F.ceil(F.col(name) * (step / to_step) + (reach[0] * step / to_step + shift - 1e-3))
+        hi = F.floor(F.col(name) * (step / to_step) + (reach[1] * step / to_step + shift + 1e-3))
+        out = out.filter((lo <= hi) & F.col(name).isNotNull())
+        ends |= {f"_{axis}": F.floor(lo / block), f"_{axis}n": F.floor(hi / block) - F.floor(lo / block) + 1}
+    out = out.withColumns(ends)
+    # never empty, and the outer form leaves out the filters Spark would derive by repeating the sums above
+    out = out.withColumn("_i", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_yn") * F.col("_xn") - 1)))
+    return out.withColumns({"_y": F.col("_y") + F.floor(F.col("_i") / F.col("_xn")), "_x": F.col("_x") + F.col("_i") % F.col("_xn")}).drop("_yn", "_xn", "_i")
+
+
+class _Pixels:
+    """Distinct source pixels of a block by (row, col): `order` sorts the rows, `first` and `n` are a pixel's place in it."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray):
+        self.top, self.left, self.bottom, self.right = (int(x) for x in (row.min(), col.min(), row.max(), col.max())) if len(row) else (0, 0, -1, -1)
+        key = self._key(row, col)
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.first, self.n = np.unique(key[self.order], return_index=True, return_counts=True)
+
+    def _key(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        return (row.astype(np.int64) - self.top) * (self.right - self.left + 1) + col - self.left
+
+    def find(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the (row, col) that have a pixel, and that pixel's index."""
+        there = np.flatnonzero((row >= self.top) & (row <= self.bottom) & (col >= self.left) & (col <= self.right))
+        key = self._key(row[there], col[there])
+        at = np.searchsorted(self.key, key)
+        hit = np.append(self.key, -1)[at] == key
+        return there[hit], at[hit]
+
+
+def _bilinear(lon: np.ndarray, lat: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, frm: Affine) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean of the known ones of the four neighbours, and whether there is any."""
+    fx, fy = (lon - frm.left) / frm.dx - 0.5, (frm.top - lat) / frm.dy - 0.5
+    x0, y0 = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+    ax, ay = fx - x0, fy - y0
+    pixels = _Pixels(row, col)
+    # a repeated pixel counts as often as it is there
+    total = np.add.reduceat(value[pixels.order], pixels.first) if len(value) else value
+    top, weight = np.zeros(len(lon)), np.zeros(len(lon))
+    for dy, dx, w in ((0, 0, (1 - ax) * (1 - ay)), (0, 1, ax * (1 - ay)), (1, 0, (1 - ax) * ay), (1, 1, ax * ay)):
+        there, at = pixels.find(y0 + dy, x0 + dx)
+        pull = w[there] > 0
+        there, at = there[pull], at[pull]
+        top[there] += w[there] * total[at]
+        weight[there] += w[there] * pixels.n[at]
+    known = weight > 0
+    return np.divide(top, weight, out=np.zeros(len(lon)), where=known), known
+
+
+def _nearest(lon: np.ndarray, lat: np.ndarray, row: np.ndarray, col: np.ndarray, frm: Affine) -> tuple[np.ndarray, np.ndarray]:
+    """(target, source) index pairs of the pixel that holds each centre, source -1 where there is none."""
+    r, c = np.floor((frm.top - lat) / frm.dy).astype(np.int64), np.floor((lon - frm.left) / frm.dx).astype(np.int64)
+    pixels = _Pixels(row, col)
+    there, pixel = pixels.find(r, c)
+    n, first = np.ones(len(lon), np.int64), np.full(len(lon), len(row))
+    n[there], first[there] = pixels.n[pixel], pixels.first[pixel]
+    target = np.repeat(np.arange(len(lon)), n)
+    within = np.arange(len(target)) - np.repeat(np.cumsum(n) - n, n)
+    return target, np.append(pixels.order, -1)[first[target] + within]
+
+
+def _resample(target: DataFrame, to: Affine, bands: Sequence[tuple[DataFrame, Affine, str]], cover: tuple[DataFrame, Affine, str] | None, block: int) -> DataFrame:
+    """Distinct target pixels with the bilinear values of `bands` and the nearest one of `cover`, and `_n`, their copies in `target`.
+
+    Target pixels are dealt in blocks and every source pixel goes to the blocks that ask for it, so
+    all bands take one exchange in which a pixel travels about once, not once for each of its neighbours.
+    """
+    smooth, sharp = [band[1:] for band in bands], cover and cover[1:]
+    kind = cover[0].schema[cover[2]].dataType if cover else T.StringType()
+    sent = []
+    for k, (source, frm, name) in enumerate(bands):
+        known = source.filter(F.col(name).isNotNull()).select("row", "col", F.col(name).cast("double").alias("_v"), F.lit(None).cast(kind).alias("_c"))
+        sent.append(_asked_pixels(known, frm, to, (-0.5, 1.5), block).withColumn("_k", F.lit(k)))
+    if cover:
+        source, frm, name = cover
+        held = source.select("row", "col", F.lit(None).cast("double").alias("_v"), F.col(name).alias("_c"))
+        sent.append(_asked_pixels(held, frm, to, (0.0, 1.0), block).withColumn("_k", F.lit(len(bands))))
+    side = lambda n: F.floor(F.col(n) / block)
+    wanted = target.filter("row IS NOT NULL AND col IS NOT NULL").select("row", "col", side("row").alias("_y"), side("col").alias("_x"))
+
+    def run(asking: pa.Table, held: pa.Table) -> pa.Table:
+        row, col = (asking.column(n).to_numpy().astype(np.int64) for n in ("row", "col"))
+        # each distinct pixel once, with its copies
+        order = np.lexsort((col, row))
+        row, col = row[order], col[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1])))) if len(row) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(row)))
+        row, col = row[first], col[first]
+        lon, lat = to.left + (col + 0.5) * to.dx, to.top - (row + 0.5) * to.dy
+        which = held.column("_k").to_numpy()
+        out = {"row": pa.array(row), "col": pa.array(col), "_n": pa.array(n)}
+        for k, (frm, name) in enumerate(smooth):
+            part = held.filter(pa.array(which == k))
+            value, known = _bilinear(lon, lat, *(part.column(c).to_numpy() for c in ("row", "col", "_v")), frm)
+            out[name] = pa.array(value, mask=~known)
+        if sharp:
+            part = held.filter(pa.array(which == len(smooth)))
+            at, of = _nearest(lon, lat, *(part.column(c).to_numpy() for c in ("row", "col")), sharp[0])
+            out = {c: a.take(pa.array(at)) for c, a in out.items()}
+            out[sharp[1]] = part.column("_c").take(pa.array(of, mask=of < 0))
+        return pa.table(out)
+
+    schema = T.StructType(
+        [T.StructField(n, T.LongType()) for n in ("row", "col", "_n")]
+        + [T.StructField(name, T.DoubleType()) for _, name in smooth]
+        + ([T.StructField(sharp[1], kind)] if sharp else [])
     )
-    agg = asked.join(src, ["sr", "sc"]).groupBy("row", "col").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(value))
-    return target.select("row", "col").join(agg, ["row", "col"], "left")
+    pixels = reduce(DataFrame.unionByName, sent)
+    out = wanted.groupBy("_y", "_x").cogroup(pixels.groupBy("_y", "_x")).applyInArrow(run, schema)
+    return out.withColumns({n: F.col(n).cast(wanted.schema[n].dataType) for n in ("row", "col")})
+
+
+def _copies(df: DataFrame, power: int) -> DataFrame:
+    """Each row `_n` to the `power` times: rows of a repeated key meet one another in a join."""
+    times = reduce(lambda a, b: a * b, [F.col("_n")] * power)
+    return df.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).drop("_n")
 
 
-def resample_nearest(target: DataFrame, to: Affine, source: DataFrame, frm: Affine, value: str) -> DataFrame:
+def resample_bilinear(target: DataFrame, to: Affine, source: DataFrame, frm: Affine, value: str, block: int = 2 * BLOCK) -> DataFrame:
+    """Bilinear value of `source` at each target pixel centre.
+
+    The weights of missing neighbours are left out and the rest rescaled.
+    """
+    out = _copies(_resample(target, to, [(source, frm, value)], None, block), 1)
+    return out.unionByName(target.filter("row IS NULL OR col IS NULL").select("row", "col"), allowMissingColumns=True)
+
+
+def resample_nearest(target: DataFrame, to: Affine, source: DataFrame, frm: Affine, value: str, block: int = 2 * BLOCK) -> DataFrame:
     """Value of the source pixel that holds the target pixel centre."""
-    at = target.select("row", "col").withColumns(to.center())
-    idx = frm.index(F.col("lon"), F.col("lat"))
-    at = at.select("row", "col", idx["row"].alias("_r"), idx["col"].alias("_c"))
-    src = source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), value)
-    return at.join(src, ["_r", "_c"], "left").select("row", "col", value)
-
-
-def stack_bands(target: DataFrame, to: Affine, elevation: DataFrame, slope: DataFrame, frm: Affine, cover: DataFrame, cover_grid: Affine) -> DataFrame:
-    """Elevation and slope (bilinear) and land cover (nearest) on one grid."""
-    e = resample_bilinear(target, to, elevation, frm, "elevation_m")
-    s = resample_bilinear(target, to, slope, frm, "slope_deg")
-    c = resample_nearest(target, to, cover, cover_grid, "cls")
-    return e.join(s, ["row", "col"]).join(c, ["row", "col"])
+    out = _copies(_resample(target, to, [], (source, frm, value), block), 1)
+    return out.unionByName(target.filter("row IS NULL OR col IS NULL").select("row", "col"), allowMissingColumns=True)
+
+
+def stack_bands(
+    target: DataFrame, to: Affine, elevation: DataFrame, slope: DataFrame, frm: Affine, cover: DataFrame, cover_grid: Affine, block: int = 2 * BLOCK
+) -> DataFrame:
+    """Elevation and slope (bilinear) and land cover (nearest) on one grid, the bands joined by (row, col)."""
+    bands = [(elevation, frm, "elevation_m"), (slope, frm, "slope_deg")]
+    return _copies(_resample(target, to, bands, (cover, cover_grid, "cls"), block), 3)
 
 
 def mosaic(tiles: DataFrame, value="z", order="tile") -> DataFrame:

@@ -124,6 +124,37 @@ def test_raster_windows_stay_inside_blocks(spark):
         assert all("_br" in line for line in plan.splitlines() if "Window [" in line)
 
 
+def test_bands_meet_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    to, frm, grid = raster.Affine(10.0, 20.0, 0.3, 0.37), raster.Affine(9.7, 20.3, 0.25, 0.31), raster.Affine(10.1, 19.9, 0.4, 0.22)
+    band = lambda: {(int(r), int(c)): float(rng.uniform(0, 9)) for r, c in rng.integers(-2, 30, (500, 2))}
+    elev, slope, cover = band(), band(), band()
+    cells = sorted({(int(r), int(c)) for r, c in rng.integers(-2, 25, (300, 2))})
+    frame = lambda d, n: spark.createDataFrame([(*k, v) for k, v in d.items()] + [(None, 3, 1.0)], f"row int, col int, {n} double")
+    target = spark.createDataFrame([*cells, (None, 1)], "row int, col int")
+
+    def smooth(values, r, c):
+        fx = (to.left + (c + 0.5) * to.dx - frm.left) / frm.dx - 0.5
+        fy = (frm.top - (to.top - (r + 0.5) * to.dy)) / frm.dy - 0.5
+        near = [(values.get((y, x)), (1 - abs(fy - y)) * (1 - abs(fx - x))) for y in (int(fy // 1), int(fy // 1) + 1) for x in (int(fx // 1), int(fx // 1) + 1)]
+        near = [(v, w) for v, w in near if v is not None and w > 0]
+        return sum(v * w for v, w in near) / sum(w for _, w in near) if near else None
+
+    for block in (4, 512):
+        out = raster.stack_bands(target, to, frame(elev, "elevation_m"), frame(slope, "slope_deg"), frm, frame(cover, "cls"), grid, block)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # no pixel is sent for each of its neighbours
+        got = {(x["row"], x["col"]): x for x in out.collect()}
+        assert sorted(got) == cells
+        for (r, c), x in got.items():
+            for want, have in ((smooth(elev, r, c), x["elevation_m"]), (smooth(slope, r, c), x["slope_deg"])):
+                assert have is None if want is None else have == pytest.approx(want)
+            at = int((grid.top - (to.top - (r + 0.5) * to.dy)) / grid.dy // 1), int((to.left + (c + 0.5) * to.dx - grid.left) / grid.dx // 1)
+            assert x["cls"] == cover.get(at)
+    twice = spark.createDataFrame([(0, 0), (0, 0)], "row int, col int")  # rows of one key meet one another
+    assert raster.resample_bilinear(twice, to, frame(elev, "z"), frm, "z").count() == 2
+    assert raster.resample_nearest(target, to, frame(cover, "z"), grid, "z").count() == len(cells) + 1
+
+
 def test_a_line_is_listed_in_the_tiles_it_runs_through(spark):
     rng = np.random.default_rng(4)
     lines = [(0.0, 0.0, 100.0, 100.0), (100.0, 100.0, 0.0, 0.0), (3.0, 4.0, 3.0, 4.0), (-2.5, 7.0, 91.0, 7.0), (10.0, 20.0, 10.0, -60.0)]
