@@ -19,10 +19,9 @@ repeat a doc_id do not remove each other's bytes. Windows are judged on the inpu
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +31,13 @@ from pluvia.llm.common import stored
 SPAN, GRAM, HOT = 50, 24, 10_000
 #: Bytes of a text looked at together; pieces of longer texts overlap by SPAN - 1.
 PIECE = 1 << 20
+#: Bytes of texts hashed together: their arrays of eight bytes a byte stay in a core's cache.
+HELD = 1 << 17
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def _pieces(payload: bytes):
-    """Lists of (row, doc_id, first byte, bytes) of about PIECE bytes in all; rows count through the block."""
+    """Lists of (row, doc_id, first byte, bytes) of about HELD bytes in all, or one of PIECE; rows count through the block."""
     row, waiting, held = 0, [], 0
     for part in open_block(payload):
         ids = part.column("doc_id")
@@ -47,7 +48,7 @@ def _pieces(payload: bytes):
             for at in range(0, max(0, len(data) - SPAN + 1), PIECE):
                 waiting.append((row, doc, at, data[at : at + PIECE + SPAN - 1]))
                 held += len(waiting[-1][3])
-                if held >= PIECE:
+                if held >= HELD:
                     yield waiting
                     waiting, held = [], 0
             row += 1
@@ -100,12 +101,16 @@ class Runs:
         self.starts = np.cumsum(sizes) - sizes
         self.rows, self.docs, self.base = (np.array([p[i] for p in pieces], dtype=np.int64) for i in range(3))
         least = least_hashes(self.data)
-        piece = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
-        at = np.flatnonzero(np.arange(len(least)) + SPAN <= (self.starts + sizes)[piece])
-        key, piece = least[at], piece[at]
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1]))))
-        self.key, self.at, self.piece = key[first], at[first], piece[first]
-        self.n = np.diff(np.append(first, len(at)))
+        # a run ends where the hash changes, a piece begins or its last window is over
+        over = self.starts + sizes - SPAN + 1
+        edge = np.empty(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=edge[1:-1])
+        edge[self.starts] = edge[over] = edge[-1] = True
+        first = np.flatnonzero(edge)
+        piece = np.searchsorted(self.starts, first[:-1], "right") - 1
+        own = first[:-1] < over[piece]
+        self.key, self.at, self.piece = least[first[:-1][own]], first[:-1][own], piece[own]
+        self.n = np.diff(first)[own]
 
     def place(self, pick: np.ndarray) -> np.ndarray:
         """First byte of the picked runs in their texts."""
@@ -118,6 +123,11 @@ class Runs:
         return np.repeat(self.at[pick] - (np.cumsum(size) - size), size) + np.arange(len(run)), run
 
 
+def _due(parts: list[np.ndarray]) -> bool:
+    """Merge the parts into the first when they have outgrown it."""
+    return len(parts) > 1 and sum(map(len, parts[1:])) > max(1 << 20, len(parts[0]))
+
+
 def _block_keys(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted least hashes of a block and how many of its rows have each."""
     keys, counts = [], []
@@ -129,7 +139,7 @@ def _block_keys(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         u, c = np.unique(k[once], return_counts=True)
         keys.append(u)
         counts.append(c)
-        if len(keys) > 24:
+        if _due(keys):
             u, c = merged(keys, counts)
             keys, counts = [u], [c]
     return merged(keys, counts)
@@ -147,7 +157,7 @@ def _keys_out(n: int):
 
 
 def _flags(hot: int):
-    """Per block and key: 0 one document has it, 1 several, 2 more than `hot`."""
+    """Per block the keys of several documents: 1, or 2 if more than `hot` have them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         u, c = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -155,19 +165,22 @@ def _flags(hot: int):
             parts = [unsqueeze(b, "<u8", "<u4") for b in pdf["blob"][at : at + 64]]
             u, c = merged([u, *[p[0] for p in parts]], [c, *[p[1].astype(np.int64) for p in parts]])
         flag = (c > 1).astype(np.uint8) + (c > hot)
-        blobs = [squeeze(flag[np.searchsorted(u, unsqueeze(b, "<u8")[0])]) for b in pdf["blob"]]
+        blobs = []
+        for b in pdf["blob"]:
+            k = unsqueeze(b, "<u8")[0]
+            f = flag[np.searchsorted(u, k)]
+            blobs.append(squeeze(k[f > 0], f[f > 0]))
         return pd.DataFrame({"kind": 0, "bucket": pdf["bucket"], "block": pdf["block"], "blob": blobs, "data": b""})
 
     return run
 
 
-def _flag_of(payload: bytes, got: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    u, _ = _block_keys(payload)
-    out, by = np.zeros(len(u), np.uint8), dict(zip(got["bucket"], got["blob"]))
-    for b, _, at in deal(u, n, np.arange(len(u))):
-        out[at] = unsqueeze(by[b], "u1")[0]
-    keep = out > 0
-    return u[keep], out[keep]
+def _flag_of(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that a block shares with other documents, and their flags."""
+    parts = [unsqueeze(b, "<u8", "u1") for b in got["blob"]]
+    u, flag = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint8))
+    order = np.argsort(u)
+    return u[order], flag[order]
 
 
 def _lookup(u: np.ndarray, flag: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -190,13 +203,13 @@ def _hot_windows(runs: Runs, pick: np.ndarray):
     return at, run, a, b
 
 
-def _suffixes_out(n: int, wide: int):
+def _suffixes_out(wide: int):
     """Blocks and their flags -> strings of suffixes (kind 1) and single hot windows (kind 2), dealt to buckets."""
 
     def run(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for block, payload in zip(blocks["block"], blocks["payload"]):
-            u, flag = _flag_of(payload, got, n)
+            u, flag = _flag_of(got)
             if not len(u):
                 continue
             parts, hot = [], []
@@ -212,7 +225,7 @@ def _suffixes_out(n: int, wide: int):
                 if len(pick):
                     _, r, a, b = _hot_windows(runs, pick)
                     hot.append(_least_windows(a, b, runs.docs[runs.piece[pick]][r]))
-                if len(hot) > 8:
+                if _due([h[0] for h in hot]):
                     hot = [_least_windows(*(np.concatenate(x) for x in zip(*hot)))]
             if parts:
                 key, doc, row, place, size, text = (np.concatenate(x) for x in zip(*parts))
@@ -225,7 +238,7 @@ def _suffixes_out(n: int, wide: int):
                     if len(p):
                         take = np.repeat(begin[p] - (np.cumsum(size[p]) - size[p]), size[p]) + np.arange(int(size[p].sum()))
                         meta = squeeze(doc[p], row[p].astype("<u4"), place[p].astype("<u4"), size[p].astype("<u4"))
-                        rows.append((1, b, block, meta, zlib.compress(text[take].tobytes(), 1)))
+                        rows.append((1, b, block, meta, pa.compress(text[take].tobytes(), "zstd", asbytes=True)))
             if hot:
                 a, b, doc = _least_windows(*(np.concatenate(x) for x in zip(*hot)))
                 rows += [(2, k, block, squeeze(x, y, z), b"") for k, x, y, z in deal(a, wide, b, doc)]
@@ -237,20 +250,28 @@ def _suffixes_out(n: int, wide: int):
 def radix_groups(data: np.ndarray, start: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share their first `span` bytes with another, ordered, and their group numbers.
 
-    Most significant digit first; suffixes alone in their group drop out after each pass.
+    Most significant digit first; suffixes alone in their group drop out after each pass. The first digit
+    has eight bytes, the later ones as many as fit into one sort key beside the number of the group.
     """
     value = data.astype(np.uint64)
     for size in (1, 2, 4):  # eight bytes from each position as one digit
         value = (value[: len(value) - size] << np.uint64(8 * size)) | value[size:]
-    rows, group = np.arange(len(start)), np.zeros(len(start), np.int64)
-    for at in [*range(0, span - 8, 8), span - 8]:
-        digit = value[start[rows] + at]
-        order = np.lexsort((digit, group))
-        rows, group, digit = rows[order], group[order], digit[order]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))) if len(rows) else np.zeros(0, bool)
+    rows, group, at = np.arange(len(start)), np.zeros(len(start), np.uint64), 0
+    while at < span and len(rows):
+        taken = int(group[-1]).bit_length()
+        wide = min((64 - taken) // 8, span - at)
+        # the digit's bytes may lie at the end of the eight read before it, where the text ends
+        back = max(0, at + 8 - span)
+        key = value[start[rows] + (at - back)] << np.uint64(8 * back) >> np.uint64(64 - 8 * wide)
+        if at:
+            key |= group << np.uint64(8 * wide)
+        order = np.argsort(key)
+        rows, key = rows[order], key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         alone = new & np.append(new[1:], True)
-        group = (np.cumsum(new) - 1)[~alone]
+        group = (np.cumsum(new) - 1).astype(np.uint64)[~alone]
         rows = rows[~alone]
+        at += wide
     return rows, group
 
 
@@ -262,26 +283,34 @@ def _covers(kind_rows: pd.DataFrame) -> pd.DataFrame:
         parts = [unsqueeze(b, "<i8", "<u4", "<u4", "<u4") for b in strings["blob"]]
         block = np.repeat(strings["block"].to_numpy(), [len(p[0]) for p in parts])
         doc, row, place, size = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        data = np.frombuffer(b"".join(zlib.decompress(d) for d in strings["data"]), np.uint8)
-        windows = size - SPAN + 1
+        data = b"".join(pa.decompress(d, int(p[3].sum()), "zstd", asbytes=True) for d, p in zip(strings["data"], parts))
         begin = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(size)), windows)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rows, group = radix_groups(data, begin[of] + within)
+        # equal strings are sorted once, for the least of their documents
+        known = {}
+        same = np.array([known.setdefault(data[at:to], len(known)) for at, to in zip(begin.tolist(), (begin + size).tolist())])
+        order = np.lexsort((doc, same))
+        one = order[np.flatnonzero(np.diff(same[order], prepend=-1))]
+        data = np.frombuffer(data, np.uint8)
+        windows = size[one] - SPAN + 1
+        place_of = np.cumsum(windows) - windows
+        of = np.repeat(np.arange(len(one)), windows)
+        rows, group = radix_groups(data, begin[one][of] + np.arange(len(of)) - place_of[of])
+        least = doc[one][of]
         if len(rows):
             first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            least = np.minimum.reduceat(doc[of[rows]], first)
-            hit = np.zeros(len(of), bool)
-            hit[rows] = doc[of[rows]] > np.repeat(least, np.diff(np.append(first, len(rows))))
-            hit = np.flatnonzero(hit)
-            if len(hit):
-                new = np.concatenate(([True], (of[hit][1:] != of[hit][:-1]) | (within[hit][1:] != within[hit][:-1] + 1)))
-                head = np.flatnonzero(new)
-                n = np.diff(np.append(head, len(hit)))
-                r, w = of[hit[head]], within[hit[head]]
-                for b in np.unique(block[r]):
-                    p = block[r] == b
-                    out.append((1, b, squeeze(row[r[p]].astype("<u4"), (place[r] + w)[p].astype("<u4"), (n + SPAN - 1)[p].astype("<u4"))))
+            least[rows] = np.repeat(np.minimum.reduceat(least[rows], first), np.diff(np.append(first, len(rows))))
+        windows = size - SPAN + 1
+        of = np.repeat(np.arange(len(size)), windows)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        hit = np.flatnonzero(doc[of] > least[place_of[same[of]] + within])
+        if len(hit):
+            new = np.concatenate(([True], (of[hit][1:] != of[hit][:-1]) | (within[hit][1:] != within[hit][:-1] + 1)))
+            head = np.flatnonzero(new)
+            n = np.diff(np.append(head, len(hit)))
+            r, w = of[hit[head]], within[hit[head]]
+            for b in np.unique(block[r]):
+                p = block[r] == b
+                out.append((1, b, squeeze(row[r[p]].astype("<u4"), (place[r] + w)[p].astype("<u4"), (n + SPAN - 1)[p].astype("<u4"))))
     if len(hot):
         parts = [unsqueeze(b, "<u8", "<u8", "<i8") for b in hot["blob"]]
         a, b, doc = _least_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
@@ -296,50 +325,48 @@ def _covers(kind_rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(k, 0, b, blob, b"") for k, b, blob in out], columns=["kind", "bucket", "block", "blob", "data"])
 
 
-def _removed(n: int):
-    def run(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for payload in blocks["payload"]:
-            cover = [unsqueeze(b, "<u4", "<u4", "<u4") for b in got.loc[got["kind"] == 1, "blob"]]
-            row, start, size = [np.concatenate([c[i] for c in cover]).astype(np.int64) if cover else np.empty(0, np.int64) for i in range(3)]
-            minima = [unsqueeze(b, "<u8", "<u8", "<i8") for b in got.loc[got["kind"] == 2, "blob"]]
-            if minima:
-                a, b, least = _least_windows(*(np.concatenate([m[i] for m in minima]) for i in range(3)))
-                u, flag = _flag_of(payload, got[got["kind"] == 0], n)
-                more = []
-                for pieces in _pieces(payload):
-                    runs = Runs(pieces)
-                    pick = np.flatnonzero(_lookup(u, flag, runs.key) == 2)
-                    if len(pick):
-                        at, r, x, y = _hot_windows(runs, pick)
-                        first = np.searchsorted(a, x)
-                        while (b[first] != y).any():
-                            first = first + (b[first] != y)
-                        own = runs.piece[pick][r]
-                        hit = runs.docs[own] > least[first]
-                        where = at - runs.starts[own] + runs.base[own]
-                        more.append((runs.rows[own][hit], where[hit], np.full(int(hit.sum()), SPAN)))
-                if more:
-                    row, start, size = (np.concatenate([old, *[m[i] for m in more]]) for i, old in enumerate((row, start, size)))
-            order = np.argsort(row, kind="stable")
-            row, start, size = row[order], start[order], size[order]
-            r = 0
-            for part in open_block(payload):
-                for k, text in enumerate(part.column("text")):
-                    data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    lo, hi = np.searchsorted(row, [r, r + 1])
-                    spans, kept = [], data
-                    if hi > lo:
-                        step = np.bincount(start[lo:hi], minlength=len(data) + 1) - np.bincount(start[lo:hi] + size[lo:hi], minlength=len(data) + 1)
-                        gone = np.cumsum(step)[:-1] > 0
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                        spans = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2])]
-                        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    out.append((part.column("doc_id")[k].as_py(), len(data), spans, kept))
-                    r += 1
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
-
-    return run
+def _removed(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for payload in blocks["payload"]:
+        cover = [unsqueeze(b, "<u4", "<u4", "<u4") for b in got.loc[got["kind"] == 1, "blob"]]
+        row, start, size = [np.concatenate([c[i] for c in cover]).astype(np.int64) if cover else np.empty(0, np.int64) for i in range(3)]
+        minima = [unsqueeze(b, "<u8", "<u8", "<i8") for b in got.loc[got["kind"] == 2, "blob"]]
+        if minima:
+            a, b, least = _least_windows(*(np.concatenate([m[i] for m in minima]) for i in range(3)))
+            u, flag = _flag_of(got[got["kind"] == 0])
+            u, flag = u[flag == 2], flag[flag == 2]
+            more = []
+            for pieces in _pieces(payload):
+                runs = Runs(pieces)
+                pick = np.flatnonzero(_lookup(u, flag, runs.key) == 2)
+                if len(pick):
+                    at, r, x, y = _hot_windows(runs, pick)
+                    first = np.searchsorted(a, x)
+                    while (b[first] != y).any():
+                        first = first + (b[first] != y)
+                    own = runs.piece[pick][r]
+                    hit = runs.docs[own] > least[first]
+                    where = at - runs.starts[own] + runs.base[own]
+                    more.append((runs.rows[own][hit], where[hit], np.full(int(hit.sum()), SPAN)))
+            if more:
+                row, start, size = (np.concatenate([old, *[m[i] for m in more]]) for i, old in enumerate((row, start, size)))
+        order = np.argsort(row, kind="stable")
+        row, start, size = row[order], start[order], size[order]
+        r = 0
+        for part in open_block(payload):
+            for k, text in enumerate(part.column("text")):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                lo, hi = np.searchsorted(row, [r, r + 1])
+                spans, kept = [], data
+                if hi > lo:
+                    step = np.bincount(start[lo:hi], minlength=len(data) + 1) - np.bincount(start[lo:hi] + size[lo:hi], minlength=len(data) + 1)
+                    gone = np.cumsum(step)[:-1] > 0
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+                    spans = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2])]
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                out.append((part.column("doc_id")[k].as_py(), len(data), spans, kept))
+                r += 1
+    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -351,11 +378,11 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     keys = blocks.mapInPandas(_keys_out(n), "bucket bigint, block bigint, blob binary")
     fields = "kind int, bucket bigint, block bigint, blob binary, data binary"
     flags = stored(keys.groupBy("bucket").applyInPandas(_flags(hot), fields), "flags")
-    dealt = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(_suffixes_out(n, 4 * n), fields)
+    dealt = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(_suffixes_out(4 * n), fields)
     covers = dealt.groupBy("bucket").applyInPandas(_covers, fields)
     got = flags.union(covers)
     return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(
-        _removed(n), f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,length:bigint>>, kept binary"
+        _removed, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,length:bigint>>, kept binary"
     )
 
 

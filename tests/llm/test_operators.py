@@ -309,6 +309,20 @@ def test_radix_groups():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in by.values() if len(v) > 1)
 
 
+def test_equal_strings_of_suffixes_are_sorted_once(monkeypatch):
+    """Fifty copies of a run cost the sort no more than one, and each loses what a smaller document has."""
+    text = np.frombuffer(bytes(range(33, 113)), np.uint8)
+    size = np.array([len(text)], "<u4")
+    blobs = [suffix_dedup.squeeze(np.array([d], "<i8"), np.array([0], "<u4"), np.array([7], "<u4"), size) for d in range(50)]
+    data = suffix_dedup.pa.compress(text.tobytes(), "zstd", asbytes=True)
+    rows = suffix_dedup.pd.DataFrame({"kind": 1, "bucket": 0, "block": range(50), "blob": blobs, "data": [data] * 50})
+    sorted_, radix = [], suffix_dedup.radix_groups
+    monkeypatch.setattr(suffix_dedup, "radix_groups", lambda data, start: sorted_.append(len(start)) or radix(data, start))
+    got = {b: tuple(int(x[0]) for x in suffix_dedup.unsqueeze(blob, "<u4", "<u4", "<u4")) for b, blob in suffix_dedup._covers(rows)[["block", "blob"]].itertuples(index=False)}
+    assert got == {b: (0, 7, len(text)) for b in range(1, 50)}
+    assert sorted_ == [len(text) - suffix_dedup.SPAN + 1]
+
+
 def test_ln_gamma():
     for x in (0.5, 1.0, 3.5, 100.5, 1e6):
         assert float(lm_scoring.ln_gamma(np.float64(x), np.log)) == pytest.approx(math.lgamma(x), rel=1e-9, abs=1e-9)
