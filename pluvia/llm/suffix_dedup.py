@@ -1,8 +1,8 @@
 """Suffix-array dedup by depth-limited radix sort.
 
 A byte goes when a string of `SPAN` bytes that covers it also starts in a document with a smaller
-doc_id. Suffixes are ordered through SPAN bytes only, by most-significant-digit passes of eight
-bytes; after each pass only suffixes that still share their group stay, and the groups after the
+doc_id. Suffixes are ordered through SPAN bytes only, by most-significant-digit passes of up to
+eight bytes; after each pass only suffixes that still share their group stay, and the groups after the
 last pass are exactly the repeated windows.
 
 Suffixes are dealt to buckets by content first. The least hash of the 24-byte strings in a window
