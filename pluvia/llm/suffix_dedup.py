@@ -15,6 +15,10 @@ documents of a passage.
 
 Defined results: a NULL text is empty. A NULL doc_id counts as smaller than any other. Rows that
 repeat a doc_id do not remove each other's bytes. Windows are judged on the input texts.
+
+Memory: a worker holds one block, or one bucket of strings. A block's strings are cut from its text bucket by
+bucket, and a bucket is sorted part by part. Text of a short period gives long runs of one hash; they are cut
+into strings of `LONG` windows, most of them equal, so that they are sorted once as well.
 """
 
 from __future__ import annotations
@@ -33,6 +37,14 @@ SPAN, GRAM, HOT = 50, 24, 10_000
 PIECE = 1 << 20
 #: Bytes of texts hashed together: their arrays of eight bytes a byte stay in a core's cache.
 HELD = 1 << 17
+#: Bytes of text in a block, about.
+BLOCK = 16_000_000
+#: Windows of a string at most (a hash that occurs once in its surroundings has no more than 27).
+LONG = 64
+#: Parts of a bucket that are sorted one by one; a string's part is kept above the SIZE_BITS bits of its size.
+PARTS, SIZE_BITS = 8, 24
+#: Windows whose least documents are looked up together.
+STEP = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -93,7 +105,7 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Runs:
-    """Runs of windows with one least hash in a list of pieces: key, first window, number, piece."""
+    """Runs of up to LONG windows with one least hash in a list of pieces: key, first window, number, piece."""
 
     def __init__(self, pieces: list):
         sizes = np.array([len(p[3]) for p in pieces])
@@ -111,16 +123,30 @@ class Runs:
         own = first[:-1] < over[piece]
         self.key, self.at, self.piece = least[first[:-1][own]], first[:-1][own], piece[own]
         self.n = np.diff(first)[own]
+        if len(self.n) and self.n.max() > LONG:
+            cut = -(-self.n // LONG)
+            run = np.repeat(np.arange(len(cut)), cut)
+            off = (np.arange(len(run)) - np.repeat(np.cumsum(cut) - cut, cut)) * LONG
+            self.key, self.at, self.piece, self.n = self.key[run], self.at[run] + off, self.piece[run], np.minimum(self.n[run] - off, LONG)
 
     def place(self, pick: np.ndarray) -> np.ndarray:
         """First byte of the picked runs in their texts."""
         return self.at[pick] - self.starts[self.piece[pick]] + self.base[self.piece[pick]]
 
-    def spread(self, pick: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the picked runs' windows (extra 0) or bytes, and the index of their run in `pick`."""
-        size = self.n[pick] + extra
-        run = np.repeat(np.arange(len(pick)), size)
-        return np.repeat(self.at[pick] - (np.cumsum(size) - size), size) + np.arange(len(run)), run
+    def spread(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the picked runs' windows, and the index of their run in `pick`."""
+        return _stretched(self.at[pick], self.n[pick]), np.repeat(np.arange(len(pick)), self.n[pick])
+
+
+def _stretched(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all stretches, one after the other."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _stretches(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first and number of the neighbours that have one `of` and follow each other by `at`."""
+    head = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)))) if len(of) else np.empty(0, np.int64)
+    return head, np.diff(np.append(head, len(of)))
 
 
 def _due(parts: list[np.ndarray]) -> bool:
@@ -198,7 +224,7 @@ def _least_windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def _hot_windows(runs: Runs, pick: np.ndarray):
-    at, run = runs.spread(pick, 0)
+    at, run = runs.spread(pick)
     a, b = window_keys(runs.data, at)
     return at, run, a, b
 
@@ -212,15 +238,16 @@ def _suffixes_out(wide: int):
             u, flag = _flag_of(got)
             if not len(u):
                 continue
-            parts, hot = [], []
+            text, parts, hot = bytearray(), [], []
             for pieces in _pieces(payload):
                 runs = Runs(pieces)
                 of = _lookup(u, flag, runs.key)
                 pick = np.flatnonzero(of == 1)
                 if len(pick):
-                    text, _ = runs.spread(pick, SPAN - 1)
                     own = runs.piece[pick]
-                    parts.append((runs.key[pick], runs.docs[own], runs.rows[own], runs.place(pick), runs.n[pick] + SPAN - 1, runs.data[text]))
+                    places = (runs.rows[own], runs.place(pick), runs.n[pick] + SPAN - 1, runs.at[pick] + len(text))
+                    parts.append((runs.key[pick], runs.docs[own], *(x.astype("<u4") for x in places)))
+                    text += runs.data.data
                 pick = np.flatnonzero(of == 2)
                 if len(pick):
                     _, r, a, b = _hot_windows(runs, pick)
@@ -228,17 +255,18 @@ def _suffixes_out(wide: int):
                 if _due([h[0] for h in hot]):
                     hot = [_least_windows(*(np.concatenate(x) for x in zip(*hot)))]
             if parts:
-                key, doc, row, place, size, text = (np.concatenate(x) for x in zip(*parts))
-                begin = np.cumsum(size) - size
-                to = (mix(key) % np.uint64(wide)).astype(np.int64)
+                key, doc, row, place, size, begin = (np.concatenate(x) for x in zip(*parts))
+                text, parts = np.frombuffer(text, np.uint8), []
+                to = mix(key) % np.uint64(PARTS * wide)
                 order = np.lexsort((key, to))
-                cuts = np.searchsorted(to[order], np.arange(wide + 1))
+                cuts = np.searchsorted(to[order], np.arange(wide + 1, dtype=np.uint64) * np.uint64(PARTS))
                 for b in range(wide):
                     p = order[cuts[b] : cuts[b + 1]]
                     if len(p):
-                        take = np.repeat(begin[p] - (np.cumsum(size[p]) - size[p]), size[p]) + np.arange(int(size[p].sum()))
-                        meta = squeeze(doc[p], row[p].astype("<u4"), place[p].astype("<u4"), size[p].astype("<u4"))
-                        rows.append((1, b, block, meta, pa.compress(text[take].tobytes(), "zstd", asbytes=True)))
+                        part = (to[p] % np.uint64(PARTS)).astype("<u4") << np.uint32(SIZE_BITS)
+                        meta = squeeze(doc[p], row[p], place[p], size[p] | part)
+                        data = text[_stretched(begin[p].astype(np.int64), size[p].astype(np.int64))]
+                        rows.append((1, b, block, meta, pa.compress(data, "zstd", asbytes=True)))
             if hot:
                 a, b, doc = _least_windows(*(np.concatenate(x) for x in zip(*hot)))
                 rows += [(2, k, block, squeeze(x, y, z), b"") for k, x, y, z in deal(a, wide, b, doc)]
@@ -275,6 +303,39 @@ def radix_groups(data: np.ndarray, start: np.ndarray, span: int = SPAN) -> tuple
     return rows, group
 
 
+def _covered(data: bytes, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows that smaller documents have, too: index of their string, first window, number."""
+    # equal strings are sorted once, for the least of their documents
+    known = {}
+    same = np.array([known.setdefault(data[at:to], len(known)) for at, to in zip(begin.tolist(), (begin + size).tolist())])
+    windows = np.fromiter(map(len, known), np.int64, len(known)) - SPAN + 1
+    text, known = np.frombuffer(b"".join(known), np.uint8), None
+    least = np.full(len(windows), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    place_of = np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(windows)), windows)
+    least = least[of]
+    rows, group = radix_groups(text, np.arange(len(of)) + of * (SPAN - 1))
+    if len(rows):
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        least[rows] = np.repeat(np.minimum.reduceat(least[rows], first), np.diff(np.append(first, len(rows))))
+    del of, rows, group
+    out, windows = [], size - SPAN + 1
+    total = np.cumsum(windows)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - windows[at] + STEP, "right")))
+        n = windows[at:to]
+        of = np.repeat(np.arange(at, to), n)
+        within = _stretched(np.zeros(len(n), np.int64), n)
+        hit = np.flatnonzero(doc[of] > least[place_of[same[of]] + within])
+        of, within = of[hit], within[hit]
+        head, n = _stretches(of, within)
+        out.append((of[head], within[head], n))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _covers(kind_rows: pd.DataFrame) -> pd.DataFrame:
     """Bucket of suffix strings -> per block the covered stretches (row, first byte, bytes); hot windows -> least doc_id."""
     out = []
@@ -282,35 +343,25 @@ def _covers(kind_rows: pd.DataFrame) -> pd.DataFrame:
     if len(strings):
         parts = [unsqueeze(b, "<i8", "<u4", "<u4", "<u4") for b in strings["blob"]]
         block = np.repeat(strings["block"].to_numpy(), [len(p[0]) for p in parts])
-        doc, row, place, size = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        data = b"".join(pa.decompress(d, int(p[3].sum()), "zstd", asbytes=True) for d, p in zip(strings["data"], parts))
-        begin = np.cumsum(size) - size
-        # equal strings are sorted once, for the least of their documents
-        known = {}
-        same = np.array([known.setdefault(data[at:to], len(known)) for at, to in zip(begin.tolist(), (begin + size).tolist())])
-        order = np.lexsort((doc, same))
-        one = order[np.flatnonzero(np.diff(same[order], prepend=-1))]
-        data = np.frombuffer(data, np.uint8)
-        windows = size[one] - SPAN + 1
-        place_of = np.cumsum(windows) - windows
-        of = np.repeat(np.arange(len(one)), windows)
-        rows, group = radix_groups(data, begin[one][of] + np.arange(len(of)) - place_of[of])
-        least = doc[one][of]
-        if len(rows):
-            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            least[rows] = np.repeat(np.minimum.reduceat(least[rows], first), np.diff(np.append(first, len(rows))))
-        windows = size - SPAN + 1
-        of = np.repeat(np.arange(len(size)), windows)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = np.flatnonzero(doc[of] > least[place_of[same[of]] + within])
-        if len(hit):
-            new = np.concatenate(([True], (of[hit][1:] != of[hit][:-1]) | (within[hit][1:] != within[hit][:-1] + 1)))
-            head = np.flatnonzero(new)
-            n = np.diff(np.append(head, len(hit)))
-            r, w = of[hit[head]], within[hit[head]]
-            for b in np.unique(block[r]):
-                p = block[r] == b
-                out.append((1, b, squeeze(row[r[p]].astype("<u4"), (place[r] + w)[p].astype("<u4"), (n + SPAN - 1)[p].astype("<u4"))))
+        doc, row, place, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        part, size = size >> np.uint32(SIZE_BITS), (size & np.uint32((1 << SIZE_BITS) - 1)).astype(np.int64)
+        ends = np.cumsum(size)
+        last = ends[np.cumsum([len(p[0]) for p in parts]) - 1]
+        data = b"".join(pa.decompress(d, int(n), "zstd", asbytes=True) for d, n in zip(strings["data"], np.diff(last, prepend=0)))
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(PARTS + 1))
+        found = []
+        for own in (order[cuts[k] : cuts[k + 1]] for k in range(PARTS)):
+            if len(own):
+                of, first, n = _covered(data, ends[own] - size[own], size[own], doc[own])
+                found.append((own[of], first, n))
+        of, first, n = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(block[of], kind="stable")
+        of, first, n = of[by], first[by], n[by]
+        start = np.flatnonzero(np.diff(block[of], prepend=block[of[:1]] - 1)) if len(of) else of
+        for at, to in zip(start, np.append(start[1:], len(of))):
+            r = of[at:to]
+            out.append((1, block[r[0]], squeeze(row[r], (place[r] + first[at:to]).astype("<u4"), (n[at:to] + SPAN - 1).astype("<u4"))))
     if len(hot):
         parts = [unsqueeze(b, "<u8", "<u8", "<i8") for b in hot["blob"]]
         a, b, doc = _least_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
@@ -346,8 +397,9 @@ def _removed(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
                         first = first + (b[first] != y)
                     own = runs.piece[pick][r]
                     hit = runs.docs[own] > least[first]
-                    where = at - runs.starts[own] + runs.base[own]
-                    more.append((runs.rows[own][hit], where[hit], np.full(int(hit.sum()), SPAN)))
+                    of, where = runs.rows[own][hit], (at - runs.starts[own] + runs.base[own])[hit]
+                    head, n = _stretches(of, where)
+                    more.append((of[head], where[head], n + SPAN - 1))
             if more:
                 row, start, size = (np.concatenate([old, *[m[i] for m in more]]) for i, old in enumerate((row, start, size)))
         order = np.argsort(row, kind="stable")
@@ -374,7 +426,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = buckets(text_bytes(docs))
-    blocks = write_blocks(docs)
+    blocks = write_blocks(docs, BLOCK)
     keys = blocks.mapInPandas(_keys_out(n), "bucket bigint, block bigint, blob binary")
     fields = "kind int, bucket bigint, block bigint, blob binary, data binary"
     flags = stored(keys.groupBy("bucket").applyInPandas(_flags(hot), fields), "flags")

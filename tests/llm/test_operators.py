@@ -323,6 +323,44 @@ def test_equal_strings_of_suffixes_are_sorted_once(monkeypatch):
     assert sorted_ == [len(text) - suffix_dedup.SPAN + 1]
 
 
+def test_runs_of_periodic_text_are_cut():
+    """One hash over thousands of windows gives short strings, nearly all equal; no window is lost or told twice."""
+    runs = suffix_dedup.Runs([(0, 5, 0, b"xyz" + b"abcdefgh" * 500), (1, 6, 0, b"abcdefgh" * 500)])
+    assert runs.n.max() <= 64
+    at, run = runs.spread(np.arange(len(runs.n)))
+    assert list(zip(runs.docs[runs.piece[run]].tolist(), at.tolist())) == [(5, p) for p in range(4003 - 49)] + [(6, 4003 + p) for p in range(4000 - 49)]
+    assert len({runs.data[a : a + n + 49].tobytes() for a, n in zip(runs.at, runs.n)}) < 20
+
+
+def test_a_bucket_is_sorted_in_parts():
+    """The memory for a bucket of strings stays far below what all of its windows take at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 30_000).astype(np.uint8).tobytes().decode() for _ in range(10)]
+    ids = list(range(30))
+    part = suffix_dedup.pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts * 3})
+    sink = suffix_dedup.pa.BufferOutputStream()
+    with suffix_dedup.pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_batch(part)
+    payload = sink.getvalue().to_pybytes()
+    keys, counts = suffix_dedup._block_keys(payload)
+    assert (counts == 3).all()
+    blocks = suffix_dedup.pd.DataFrame({"block": [7], "payload": [payload]})
+    got = suffix_dedup.pd.DataFrame({"blob": [suffix_dedup.squeeze(keys, np.ones(len(keys), np.uint8))]})
+    rows = suffix_dedup._suffixes_out(1)(blocks, got)
+    tracemalloc.start()
+    covers = suffix_dedup._covers(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gone = {k: np.zeros(30_000, bool) for k in ids}
+    for blob in covers["blob"]:
+        for row, start, size in zip(*(x.tolist() for x in suffix_dedup.unsqueeze(blob, "<u4", "<u4", "<u4"))):
+            gone[row][start : start + size] = True
+    assert [k for k in ids if gone[k].any()] == [k for k in ids if gone[k].all()] == ids[10:]
+    assert peak < 60 * sum(map(len, texts)) * 3, peak / sum(map(len, texts)) / 3
+
+
 def test_ln_gamma():
     for x in (0.5, 1.0, 3.5, 100.5, 1e6):
         assert float(lm_scoring.ln_gamma(np.float64(x), np.log)) == pytest.approx(math.lgamma(x), rel=1e-9, abs=1e-9)
