@@ -197,3 +197,68 @@ def test_holdout_rows_are_not_shuffled_by_class(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert {r["y"]: r["n"] for r in with_hint.filter("is_test").groupBy("y").count().withColumnRenamed("count", "n").collect()} == {0: 900, 1: 100}
+
+
+def _wet(spark, n, partitions=3):
+    """Rows with a noisy rule, repeated values, zeros and a feature of one value."""
+    x, y = F.col("id"), F.xxhash64("id") % 1000
+    rows = spark.range(0, n, 1, partitions).select(
+        "id", (F.floor(x * 7919 % 1013) / 10.0 - 20.0).alias("a"), (x * 31 % 5).cast("int").alias("b"), F.lit(3.0).alias("c"), F.abs(y).alias("r")
+    )
+    return rows.withColumn("y", (((F.col("a") > 10.0) & (F.col("b") < 2)) | (F.col("r") < 40)).cast("int")).drop("r")
+
+
+def _by_mllib(rows, rounds):
+    from pyspark.ml.classification import GBTClassifier
+
+    n = rows.agg(F.sum("y").alias("pos"), F.count("*").alias("n")).first()
+    weighed = boosting._assembled(rows, COLS).withColumn("label", F.col("y").cast("double")).withColumn("w", F.when(F.col("y") == 1, (n["n"] - n["pos"]) / n["pos"]).otherwise(1.0))
+    return GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.9", weightCol="w", seed=42, cacheNodeIds=False).fit(weighed)
+
+
+@pytest.mark.parametrize("n", [25, 3000, 25_000])
+def test_cells_grow_the_trees_of_mllib(spark, n):
+    """Probabilities, margins and attributions are those of a fit that reads all rows for each level of each tree."""
+    rows = _wet(spark, n)
+    got, want = boosting.fit_boosted_trees(rows, COLS, "y", rounds=4), _by_mllib(rows, 4)
+    assert isinstance(got, boosting.CellTrees)
+    out = [boosting.predict(m, rows, COLS, margin="margin").orderBy("id").toPandas() for m in (got, want)]
+    assert list(out[0].columns) == list(out[1].columns) == [*rows.columns, "p", "margin", "flagged"]
+    assert np.allclose(out[0][["p", "margin"]], out[1][["p", "margin"]], rtol=1e-9, atol=1e-12) and (out[0]["flagged"] == out[1]["flagged"]).all()
+    shap = [boosting.attributions(m, rows, COLS).orderBy("id").toPandas() for m in (got, want)]
+    for c in COLS:
+        assert np.allclose(shap[0][f"shap_{c}"], shap[1][f"shap_{c}"], rtol=1e-9, atol=1e-12)
+
+
+def test_rounds_do_not_read_the_rows_again(spark):
+    """The jobs of a fit do not grow with its rounds."""
+    rows, sc, jobs = _wet(spark, 2000), spark.sparkContext, []
+    for rounds in (2, 12):
+        sc.setJobGroup(f"fit-{rounds}", "")
+        boosting.fit_boosted_trees(rows, COLS, "y", rounds=rounds)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"fit-{rounds}")))
+    sc.setJobGroup("other", "")
+    assert jobs[0] == jobs[1] <= 8
+
+
+def test_draws_are_those_of_spark(spark):
+    """Blocks of any size continue the numbers of a partition."""
+    for seed in (42, -7, 123456789012):
+        df = spark.range(0, 2000, 1, 2).select(F.spark_partition_id().alias("p"), *[(F.rand(seed + m + 1) < 0.9).alias(f"d{m}") for m in range(3)]).toPandas()
+        for p in range(2):
+            draws, got = boosting._Draws(3, 0.9, seed, p), []
+            for n in (256, 512, 232):
+                order, left = draws.left_out(n)
+                part = np.empty_like(left)
+                part[:, order] = ~left
+                got.append(part)
+            assert (np.concatenate(got, axis=1) == df[df["p"] == p][["d0", "d1", "d2"]].to_numpy().T).all()
+
+
+def test_unknown_values_still_fail(spark):
+    rows = _wet(spark, 200)
+    model = boosting.fit_boosted_trees(rows, COLS, "y", rounds=2)
+    hole = rows.withColumn("a", F.when(F.col("id") != 7, F.col("a")))
+    for run in (lambda: boosting.fit_boosted_trees(hole, COLS, "y", rounds=2), lambda: boosting.predict(model, hole, COLS).agg(F.sum("p")).collect()):
+        with pytest.raises(Exception):
+            run()
