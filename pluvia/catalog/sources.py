@@ -198,8 +198,9 @@ def _alerts(v: Views):
 def _(v: Views):
     path = scratch_path(v.spark, "alerts")
     when = F.col("date").cast("timestamp")
-    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH)
-    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH)  # a second run adds nothing
+    made = {"id_of": al.ID_OF, "made": al.alert_id()}
+    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH, **made)
+    stores.append_alerts(_alerts(v), path, when, stores.BY_MONTH, **made)  # a second run adds nothing
     return stores.list_alerts(v.spark, path, "public", 200, by=stores.BY_MONTH).select("zone", "date", "risk_level", "risk_score")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,25 +31,41 @@ def _stored_periods(spark: SparkSession, path: str, rows: DataFrame) -> DataFram
     return store.filter(F.col("period").between(min(known), max(known)))
 
 
-def _once_each(rows: DataFrame) -> DataFrame:
-    """One row per id, clustered by period and channel. An id has one period and channel, so equal ids meet in
-    the exchange that the writer needs anyway; a large period is dealt to several tasks by its ids."""
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("alert_id"), F.lit(_DEALT))).repartition("period", "channel", "_deal")
-    return dealt.dropDuplicates(["period", "channel", "_deal", "alert_id"]).drop("_deal")
+def _once_each(rows: DataFrame, keys: Sequence[str] = ("alert_id",)) -> DataFrame:
+    """One row per key, clustered by period and channel. A key has one period and channel, so equal keys meet in
+    the exchange that the writer needs anyway; a large period is dealt to several tasks by its keys."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(_DEALT))).repartition("period", "channel", "_deal")
+    return dealt.dropDuplicates(["period", "channel", "_deal", *(k for k in keys if k != "channel")]).drop("_deal")
 
 
-def append_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:
+def append_alerts(
+    alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY, id_of: Sequence[str] = ("alert_id",), made: Column | None = None
+) -> None:
     """Add the alerts whose id is not stored yet; a repeated run adds nothing.
 
     The store is partitioned by period and channel. An id depends on its day, so the ids of the alerts' own
     periods are all that has to be read, however long the store has grown.
+
+    An id is a long hash that does not compress. Where it is `made` of the columns `id_of`, these tell alerts apart
+    in its place, and the id is made after the last exchange. The store's files are packed by zstd, which halves ids.
     """
     spark = alerts.sparkSession
     rows = alerts.withColumn("period", F.date_format("date", by))
+    if made is not None:
+        rows = rows.drop("alert_id")
     before = _stored_periods(spark, path, rows)
     if before is not None:
-        rows = rows.join(before.select("alert_id"), "alert_id", "left_anti")
-    _timed(_once_each(rows), created_at).write.mode("append").partitionBy("period", "channel").parquet(path)
+        known = before.select(*[F.col(c).alias(f"_{c}") for c in id_of])
+        rows = rows.join(known, functools.reduce(Column.__and__, [_same(c, f"_{c}", made) for c in id_of]), "left_anti")
+    rows = _once_each(rows, id_of)
+    if made is not None:
+        rows = rows.withColumn("alert_id", made).select(*alerts.columns, "period")
+    _timed(rows, created_at).write.mode("append").option("compression", "zstd").partitionBy("period", "channel").parquet(path)
+
+
+def _same(a: str, b: str, made: Column | None) -> Column:
+    """Ids are equal, or the columns they are made of, where an unknown value is a value, too."""
+    return F.col(a) == F.col(b) if made is None else F.col(a).eqNullSafe(F.col(b))
 
 
 def replace_alerts(alerts: DataFrame, path: str, created_at: Column | None = None, by: str = BY_DAY) -> None:

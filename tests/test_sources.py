@@ -138,3 +138,25 @@ def test_alerts_are_shuffled_once(spark, tmp_path):
         assert stored.count() == 30 and stored.select("alert_id").distinct().count() == 30
     stores.append_alerts(rows.withColumn("alert_id", F.concat(F.lit("b"), "alert_id")), path)
     assert spark.read.parquet(path).count() == 60
+
+
+def test_alert_ids_are_made_after_the_exchange(spark, tmp_path, monkeypatch):
+    """Rows travel by what their ids are made of; the store holds what it holds without, and a second run adds nothing."""
+    from pluvia.operators import alerts as al
+
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-02-10')) AS date")
+    rows = days.crossJoin(spark.createDataFrame([("Z1",), ("Z2",), (None,)], "zone string")).crossJoin(spark.createDataFrame([("public",), ("municipal",)], "channel string"))
+    batch = rows.withColumn("risk_level", F.lit("HIGH")).withColumn("alert_id", al.alert_id())
+    batch = batch.unionByName(batch.filter("zone = 'Z1'"))
+    seen, keep = [], stores._once_each
+    monkeypatch.setattr(stores, "_once_each", lambda df, keys: seen.append(df.columns) or keep(df, keys))
+    paths = [str(tmp_path / "plain"), str(tmp_path / "made")]
+    for path, made in zip(paths, ({}, {"id_of": al.ID_OF, "made": al.alert_id()})):
+        made = {"by": stores.BY_MONTH, **made}
+        stores.append_alerts(batch.filter("date < DATE'2024-01-20'"), path, **made)
+        stores.append_alerts(batch, path, **made)
+        stores.append_alerts(batch, path, **made)
+    plain, made = (spark.read.parquet(p).drop("created_at") for p in paths)
+    assert plain.columns == made.columns and made.count() == 41 * 6
+    assert plain.exceptAll(made).isEmpty() and made.exceptAll(plain).isEmpty()
+    assert ["alert_id" in c for c in seen] == [True] * 3 + [False] * 3
