@@ -1,4 +1,4 @@
-"""Boosted-tree classifier on MLlib: fit, prediction, exact tree attribution."""
+"""Boosted-tree classifier as MLlib grows it: fit, prediction, exact tree attribution."""
 
 from __future__ import annotations
 
